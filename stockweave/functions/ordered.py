@@ -18,7 +18,7 @@ SLICE_ROWS = 1_000_000  # rows of one group that one task may order
 
 @dataclass(frozen=True)
 class Running:
-    """One running measure: ``kind`` is sum, max or last (last non-null); ``through`` takes in rows of equal order."""
+    """One running measure: ``kind`` is sum, max, first or last (non-null); ``through`` takes in rows of equal order."""
 
     out: str
     kind: str
@@ -26,7 +26,7 @@ class Running:
     through: bool = True
 
 
-_OVER = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+_OVER = {"sum": F.sum, "max": F.max, "first": lambda c: F.first(c, ignorenulls=True), "last": lambda c: F.last(c, ignorenulls=True)}
 
 
 def running(df: DataFrame, keys: list[str], order: str, slice_by: Column, measures: list[Running]) -> DataFrame:
@@ -39,8 +39,9 @@ def running(df: DataFrame, keys: list[str], order: str, slice_by: Column, measur
 
     totals = []
     for v, m in zip(named, measures):
-        if m.kind == "last":
-            totals.append(F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(f"_t{v}"))
+        if m.kind in ("first", "last"):
+            edge = F.min_by if m.kind == "first" else F.max_by
+            totals.append(edge(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(f"_t{v}"))
         else:
             totals.append(_OVER[m.kind](F.col(v)).alias(f"_t{v}"))
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
@@ -59,6 +60,8 @@ def running(df: DataFrame, keys: list[str], order: str, slice_by: Column, measur
             joined[m.out] = F.coalesce(here, F.lit(0)) + F.coalesce(prior, F.lit(0))
         elif m.kind == "max":
             joined[m.out] = F.greatest(here, prior)
+        elif m.kind == "first":
+            joined[m.out] = F.coalesce(prior, here)
         else:
             joined[m.out] = F.coalesce(here, prior)
     return out.withColumns(joined).drop("_slice", *named, *[f"_c{v}" for v in named])
