@@ -28,6 +28,7 @@ class Folded:
     attrs: DataFrame      # id, attr, value
     aliases: DataFrame    # id, alias
     conflicts: DataFrame  # id, attr, value, source, seen_at, seq
+    merged: DataFrame | None = None  # id, was(id, name, source), turn: nodes merged away in this step
 
 
 def link_records(records: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -142,7 +143,12 @@ def assemble(folded: Folded) -> DataFrame:
     """Node rows with their attribute map and alias array (both bounded by what one entity is called and has)."""
     attrs = folded.attrs.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("attr", "value"))).alias("attrs"))
     aliases = folded.aliases.groupBy("id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
-    return as_nodes(folded.nodes.join(attrs, "id", "left").join(aliases, "id", "left"))
+    out = folded.nodes.join(attrs, "id", "left").join(aliases, "id", "left")
+    if folded.merged is not None:
+        was = folded.merged.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "was"))), lambda m: m["was"]).alias("_was"))
+        out = out.join(was, "id", "left").withColumn("merged_from", F.when(F.col("_was").isNull(), F.col("merged_from"))
+                                                     .otherwise(F.concat("merged_from", "_was"))).drop("_was")
+    return as_nodes(out)
 
 
 def upsert_edges(edges: DataFrame, incoming: DataFrame) -> DataFrame:

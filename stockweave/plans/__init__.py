@@ -3,5 +3,5 @@
 
 def load():
     """All registered queries and their SQL checks."""
-    from stockweave.plans import graph_queries, member_queries, registry, stock_queries  # noqa: F401
+    from stockweave.plans import fusion_queries, gap_queries, graph_queries, member_queries, registry, stock_queries  # noqa: F401
     return registry.QUERIES, registry.ORACLES
