@@ -23,7 +23,8 @@ def pages(spark, sf):
 
 
 def features(spark, sf):
-    return v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_partkey").cast("string").alias("product_id"))
+    """A page features the part of its first line."""
+    return v.table(spark, sf, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("page_id"), F.col("l_partkey").cast("string").alias("product_id"))
 
 
 def studies(spark, sf):
@@ -51,7 +52,7 @@ def _no_photo(spark, sf):
     return gaps.without_photo(v.products(spark, sf), photos).select("sku", "name")
 
 
-@query("without_live_page", f"WITH {PRODUCTS} SELECT sku, name FROM products WHERE status = 'active' AND p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O')")
+@query("without_live_page", f"WITH {PRODUCTS} SELECT sku, name FROM products WHERE status = 'active' AND p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O' AND l_linenumber = 1)")
 def _no_page(spark, sf):
     return gaps.without_live_page(v.products(spark, sf), features(spark, sf), pages(spark, sf)).select("sku", "name")
 
@@ -78,7 +79,7 @@ def _unverified(spark, sf):
 @query("stale_pages", """WITH changed AS (SELECT l_partkey, CAST(max(l_shipdate) AS DATE) AS changed_on FROM lineitem GROUP BY l_partkey)
   SELECT o_orderkey AS page_id, CAST(o_orderdate AS DATE) AS last_updated, CAST(c.l_partkey AS VARCHAR) AS other, changed_on
   FROM orders JOIN lineitem l ON l_orderkey = o_orderkey JOIN changed c ON c.l_partkey = l.l_partkey
-  WHERE o_orderstatus = 'O' AND changed_on > CAST(o_orderdate AS DATE)
+  WHERE o_orderstatus = 'O' AND l_linenumber = 1 AND changed_on > CAST(o_orderdate AS DATE)
   QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY CAST(c.l_partkey AS VARCHAR)) = 1""")
 def _stale(spark, sf):
     changes = v.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("other")).agg(F.to_date(F.max("l_shipdate")).alias("changed_on"))

@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The same files as a stream; the pattern lets the table be one file or a folder."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
+
+
 def products(spark, sf) -> DataFrame:
     """Every part is a product; its size decides status and fulfilment."""
     tenth = F.col("p_size") % 10
@@ -44,10 +49,15 @@ def lots(spark, sf) -> DataFrame:
 
 
 def ledger(spark, sf) -> DataFrame:
+    return ledger_rows(table(spark, sf, "lineitem"))
+
+
+def ledger_rows(line_items: DataFrame) -> DataFrame:
+    """Each line item is one ledger event."""
     line, flag = F.col("l_linenumber"), F.col("l_returnflag")
     kind = (F.when((flag == "R") & (line >= 6), "damaged").when(flag == "R", "sold").when(flag == "A", "adjusted")
             .when(line == 7, "transfer").otherwise("received"))
-    return table(spark, sf, "lineitem").select(
+    return line_items.select(
         lot_key().alias("lot_id"), kind.alias("kind"), F.col("l_quantity").alias("quantity"),
         F.to_date("l_shipdate").alias("occurred_on"), F.col("l_orderkey").cast("string").alias("reference"))
 
