@@ -148,17 +148,18 @@ def sale_parts(decisions: DataFrame, lots: DataFrame) -> DataFrame:
 
     Lines and lots are both runs of units on one axis per sku. Both are cut into cells of ``CELL`` units and
     joined by (sku, cell), so no task sees more than ``CELL`` lines or lots of a sku at once; an overlap is
-    kept only in the cell where it begins.
+    kept only in the cell where it begins. Stock beyond what is sold is left out first.
     """
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / CELL), F.floor((F.col(hi) - 1) / CELL)))
     sold = (decisions.filter((F.col("outcome") == "sold") & (F.col("quantity") > 0))
-            .withColumn("unit_end", F.col("unit_start") + F.col("quantity"))
-            .withColumn("cell", cells("unit_start", "unit_end")))
-    stocked = (lots.filter("unit_to > unit_from").select("sku", "lot_id", "fefo_rank", "unit_from", "unit_to")
+            .withColumn("unit_end", F.col("unit_start") + F.col("quantity")))
+    demand = sold.groupBy("sku").agg(F.max("unit_end").alias("_sold"))
+    stocked = (lots.select("sku", "lot_id", "fefo_rank", "unit_from", "unit_to").join(demand, "sku")
+               .withColumn("unit_to", F.least("unit_to", "_sold")).filter("unit_to > unit_from").drop("_sold")
                .withColumn("cell", cells("unit_from", "unit_to")))
     start = F.greatest("unit_start", "unit_from")
     end = F.least("unit_end", "unit_to")
-    return (sold.join(stocked, ["sku", "cell"]).filter((start < end) & (F.floor(start / CELL) == F.col("cell")))
+    return (sold.withColumn("cell", cells("unit_start", "unit_end")).join(stocked, ["sku", "cell"]).filter((start < end) & (F.floor(start / CELL) == F.col("cell")))
             .select("order_id", "sku", "lot_id", "fefo_rank", "created_at", (end - start).alias("taken"),
                     F.when(start == F.col("unit_start"), line_ref())
                     .otherwise(F.concat(line_ref(), F.lit(" lot "), "lot_id")).alias("reference")))
