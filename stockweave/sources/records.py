@@ -39,10 +39,7 @@ def _yaml_to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_documents(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
     """One row per document with its file. ``json`` takes one document per line and splits large files;
     ``json-file`` and ``yaml`` take one document per file."""
-    if format == "json":
-        reader = spark.read.text(path)
-    else:
-        reader = spark.read.option("wholetext", True).text(path)
+    reader = spark.read.text(path, wholetext=format != "json")
     rows = reader.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                          F.monotonically_increasing_id().alias("line"))
     if format == "yaml":
