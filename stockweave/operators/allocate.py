@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from stockweave.functions.ordered import SLICE_ROWS, Running, number_rows, running
 from stockweave.functions.runtime import materialize
 
+HOT_LINES = 1_000_000  # lines of one sku that may go through one task
 CELL = 64  # stock units per join cell when sold units are matched to lots
 
 
@@ -29,12 +30,8 @@ def fefo_lots(lot_stock: DataFrame) -> DataFrame:
     stocked = lot_stock.filter(F.col("on_hand") > 0).withColumn("units", F.floor("on_hand"))
     placed = number_rows(stocked, ["sku", F.col("expires_on").asc_nulls_last(), "lot_id"], "_pos")
     summed = running(placed, ["sku"], "_pos", F.floor(F.col("_pos") / SLICE_ROWS),
-                     [Running("unit_to", "sum", F.col("units"))])
-    first = placed.groupBy("sku").agg(F.min("_pos").alias("_first"))
-    return (summed.join(first, "sku")
-            .withColumn("fefo_rank", F.col("_pos") - F.col("_first") + 1)
-            .withColumn("unit_from", F.col("unit_to") - F.col("units"))
-            .drop("_pos", "_first"))
+                     [Running("unit_to", "sum", F.col("units")), Running("fefo_rank", "sum", F.lit(1))])
+    return summed.withColumn("unit_from", F.col("unit_to") - F.col("units")).drop("_pos")
 
 
 def line_ref(order_id="order_id", sku="sku"):
@@ -76,8 +73,8 @@ def _decide_hot(lines: DataFrame, capacity: DataFrame) -> DataFrame:
     left = materialize(capacity.select("sku", F.col("capacity").alias("r"), "capacity"), "stock-left")
     decided = None
     while True:
-        # Hot skus number at most (all lines / hot_lines), so this side is small by construction.
-        live = open_.join(F.broadcast(left), "sku").withColumn("small", F.col("quantity") * 2 <= F.col("r"))
+        # Hot skus number at most (all lines / hot_lines); Spark broadcasts them if their written size allows.
+        live = open_.join(left, "sku").withColumn("small", F.col("quantity") * 2 <= F.col("r"))
         live = live.withColumn("fits", F.col("quantity") <= F.col("r"))
         lost = live.filter(~F.col("fits")).withColumn("unit_start", F.lit(-1).cast("bigint"))
         small = F.when(F.col("small"), F.greatest("quantity", F.lit(0))).otherwise(0)
@@ -88,7 +85,7 @@ def _decide_hot(lines: DataFrame, capacity: DataFrame) -> DataFrame:
                  | (F.col("small") & (F.col("taken") * 2 > F.col("r"))))
         run = materialize(run.withColumn("before", before).withColumn("stops", stops), "allocation-round")
         ends = run.groupBy("sku").agg(F.min(F.when(F.col("stops"), F.col("_pos"))).alias("_end"))
-        marked = run.join(F.broadcast(ends), "sku")
+        marked = run.join(ends, "sku")
         done = F.col("_end").isNull() | (F.col("_pos") <= F.col("_end"))
         served = F.col("small") | (F.col("_pos") == F.col("_end"))
         now = marked.filter(done).withColumn(
@@ -105,7 +102,7 @@ def _decide_hot(lines: DataFrame, capacity: DataFrame) -> DataFrame:
             return decided
 
 
-def decide_lines(lines: DataFrame, lots: DataFrame, references: DataFrame, hot_lines: int = 200_000) -> DataFrame:
+def decide_lines(lines: DataFrame, lots: DataFrame, references: DataFrame, hot_lines: int = HOT_LINES) -> DataFrame:
     """Outcome of every line: ``refunded``, ``recorded`` (already in the ledger), ``sold`` or ``waits``.
 
     ``lines`` has order_id, sku, quantity, status, created_at; ``lots`` comes from :func:`fefo_lots`;
@@ -125,12 +122,12 @@ def decide_lines(lines: DataFrame, lots: DataFrame, references: DataFrame, hot_l
     with_stock = lambda rows: rows.join(capacity, "sku", "left").withColumn(
         "capacity", F.coalesce("capacity", F.lit(0)).cast("bigint"))
     schema = "order_id string, sku string, quantity bigint, status string, created_at timestamp, unit_start bigint"
-    ordinary = with_stock(fresh.join(F.broadcast(hot), "sku", "left_anti")).select(*base, "capacity")
+    ordinary = with_stock(fresh.join(hot, "sku", "left_anti")).select(*base, "capacity")
     decided = (ordinary.withColumn("created_at", F.col("created_at").cast("timestamp"))
                .repartition("sku").sortWithinPartitions("sku", "created_at", "order_id", "quantity")
                .mapInPandas(_walk, schema))
     if not hot.isEmpty():
-        rows = fresh.join(F.broadcast(hot), "sku", "left_semi").select(*base)
+        rows = fresh.join(hot, "sku", "left_semi").select(*base)
         rows = rows.withColumn("created_at", F.col("created_at").cast("timestamp"))
         decided = decided.unionByName(_decide_hot(rows, with_stock(hot)))
     outcome = F.when(F.col("unit_start") >= 0, "sold").otherwise("waits")

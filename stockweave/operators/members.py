@@ -14,7 +14,7 @@ from stockweave.functions.ordered import Running, running
 
 DAY = 86_400_000_000
 YEAR = 365 * DAY
-SLICE = 30 * DAY  # one task orders at most a customer's rows of one such stretch
+SLICE = DAY  # one task orders at most a customer's rows of one such stretch
 
 
 @dataclass(frozen=True)

@@ -4,27 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from stockweave.functions.keys import has_type_prefix, node_id, norm_key, ref_name, ref_type
+from stockweave.functions.keys import has_type_prefix, norm_key, ref_name, ref_type
 
 
-def alias_index(nodes: DataFrame) -> DataFrame:
-    """Unique (alias_key, type, id) rows from every node's name and aliases; empty surfaces are skipped."""
+def _spoken(nodes: DataFrame) -> DataFrame:
     surfaces = F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
     rows = nodes.select("id", "type", F.explode(surfaces).alias("surface")).filter(F.col("surface") != "")
-    return rows.select(norm_key("surface").alias("alias_key"), "type", "id").distinct()
+    return rows.select(norm_key("surface").alias("alias_key"), "type", "id")
+
+
+def alias_index(nodes: DataFrame) -> DataFrame:
+    """Unique (alias_key, type, id) rows from every node's name and aliases; empty surfaces are skipped."""
+    return _spoken(nodes).distinct()
 
 
 def resolve(refs: DataFrame, nodes: DataFrame, type_col: str = "type", name_col: str = "name", out: str = "node_id") -> DataFrame:
     """Add the node id of each typed reference, null when nothing matches.
 
-    A canonical hit wins; otherwise an alias of a node of the same type, the smallest id when several match.
+    A canonical hit wins; otherwise an alias of a node of the same type, the smallest id when several match. Both
+    are one lookup table by (type, key), so the references are joined, and shuffled, once.
     """
-    ids = nodes.select(F.col("id").alias("_canonical"))
-    by_alias = alias_index(nodes).groupBy("alias_key", F.col("type").alias("_type")).agg(F.min("id").alias("_alias"))
-    keyed = refs.withColumns({"_want": node_id(type_col, name_col), "_key": norm_key(name_col)})
-    hit = keyed.join(ids, keyed["_want"] == ids["_canonical"], "left")
-    hit = hit.join(by_alias, (F.col("_key") == F.col("alias_key")) & (F.col(type_col) == F.col("_type")), "left")
-    return hit.withColumn(out, F.coalesce("_canonical", "_alias")).drop("_want", "_key", "_canonical", "alias_key", "_type", "_alias")
+    canonical = nodes.select(F.split("id", ":", 2)[1].alias("alias_key"), F.split("id", ":", 2)[0].alias("type"), "id", F.lit(0).alias("rank"))
+    ranked = canonical.unionByName(_spoken(nodes).withColumn("rank", F.lit(1)))
+    lookup = ranked.groupBy(F.col("type").alias("_type"), "alias_key").agg(F.min(F.struct("rank", "id"))["id"].alias(out))
+    keyed = refs.withColumn("_key", norm_key(name_col))
+    hit = keyed.join(lookup, (F.col("_key") == F.col("alias_key")) & (F.col(type_col) == F.col("_type")), "left")
+    return hit.drop("_key", "alias_key", "_type")
 
 
 def resolve_any(refs: DataFrame, nodes: DataFrame, ref_col: str = "ref") -> DataFrame:

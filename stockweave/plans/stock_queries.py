@@ -93,7 +93,7 @@ def available(spark, sf):
     return od.available_to_promise(product_stock(spark, sf), sold(spark, sf))
 
 
-def decisions(spark, sf, hot_lines=200_000):
+def decisions(spark, sf, hot_lines=allocate.HOT_LINES):
     from stockweave.functions.runtime import materialize
     lots = materialize(allocate.fefo_lots(lot_stock(spark, sf)), "fefo")
     return allocate.decide_lines(due_lines(spark, sf), lots, v.sale_references(spark, sf), hot_lines), lots
