@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stockweave.functions.columns import col, micros
 from stockweave.functions.ordered import Running, running
+from stockweave.functions.runtime import materialize
 
 DAY = 86_400_000_000
 YEAR = 365 * DAY
@@ -156,6 +157,7 @@ def tier_ups(earned: DataFrame, levels: list[Level], after: DataFrame | None = N
     maxima over the orders and over the orders moved on by a year, cut into slices of time.
     """
     top = len(levels) - 1
+    earned = materialize(earned.select("customer", "order_id", "t", "cents", "rolling_cents", "level"), "earned")  # read four times below
     own = earned.select("customer", "order_id", "t", "cents", "rolling_cents", "level", F.lit(0).alias("age"))
     aged = earned.select("customer", (F.col("t") + YEAR).alias("t"), "level", F.lit(1).alias("age"))
     flow = own.unionByName(aged, allowMissingColumns=True)

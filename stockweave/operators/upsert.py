@@ -193,13 +193,12 @@ def ingest(records: DataFrame, nodes: DataFrame, edges: DataFrame, ontology: Ont
 
     In strict mode any error leaves the given graph untouched (``committed`` is False).
     """
-    spark = records.sparkSession
-    known = F.broadcast(ontology.type_table(spark).select("type"))
+    known = F.col("type").isin(*ontology.types)
     text = lambda c: c.cast("string")
-    bad_type = records.join(known, "type", "left_anti").select(
+    bad_type = records.filter(~known).select(
         "source", text(F.lit(None)).alias("item"), text(F.lit(None)).alias("rel"), F.col("type").alias("target"),
         F.lit("unknown_type").alias("error")).distinct()
-    good = records.join(known, "type", "left_semi")
+    good = records.filter(known)
     folded = upsert_nodes(nodes, good.drop("edges"), conflicts)
     merged = materialize(assemble(folded), "nodes")
     e = good.select("seq", "type", "name", "source", "confidence", "seen_at", F.posexplode("edges").alias("_pos", "e"))

@@ -79,7 +79,8 @@ def _map(spark, sf):
 @query("order_status", f"WITH {MOVED} SELECT * FROM state")
 def _status(spark, sf):
     o = shop(spark, sf)
-    return payments.current_orders(o, *payments.status_changes(o, fresh(spark, sf)))
+    moved, paid_by = payments.status_changes(o, fresh(spark, sf))
+    return payments.current_orders(o, moved, paid_by)
 
 
 @query("paid_alerts", f"WITH {MOVED} SELECT * FROM alerts")

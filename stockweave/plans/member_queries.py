@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from stockweave.functions.runtime import materialize
 from stockweave.operators import members as m
 from stockweave.plans import views as v
 from stockweave.plans.registry import query
@@ -78,7 +79,7 @@ def _earned(spark, sf):
 
 @query("member_status", f"WITH {EARNED} {BOTH}")
 def _status(spark, sf):
-    e = earned(spark, sf)
+    e = materialize(earned(spark, sf), "earned")
     one, two = (m.status_at(e, LEVELS, F.lit(d)).select(F.lit(f"{d:%Y-%m-%d}").alias("as_of"), "*") for d in AS_OF)
     return one.unionByName(two)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stockweave.functions.ordered import SLICE_ROWS, Running, running
+from stockweave.functions.runtime import materialize
 from stockweave.sources.batches import read_before, write_batch
 
 # Event type -> order status; other types are stored but change nothing.
@@ -75,7 +76,7 @@ def _by_payment(held: DataFrame, fallback: DataFrame) -> DataFrame:
     """
     turned = held.withColumn("_back", -F.col("arrival"))
     turned = running(turned, ["order_id"], "_back", _slices("_back"), [Running("until", "last", F.col("arrival"), through=False)])
-    spans = turned.select("order_id", "payment_id", F.col("arrival").alias("since"), "until")
+    spans = materialize(turned.select("order_id", "payment_id", F.col("arrival").alias("since"), "until"), "payment-spans")
     hit = F.struct(F.col("arrival").alias("at"), "status")
     overall = fallback.groupBy("payment_id").agg(F.max_by(hit, "arrival").alias("hit"))
     still = spans.filter("until IS NULL").join(overall, "payment_id")
@@ -106,6 +107,7 @@ def status_changes(orders: DataFrame, events: DataFrame) -> tuple[DataFrame, Dat
     payment at that moment. Of the latter only rows that can decide a final status or a first alert are listed.
     """
     mapped = events.withColumn("status", status_of()).filter("status IS NOT NULL")
+    mapped = materialize(mapped.select("order_id", "payment_id", "arrival", "status"), "mapped-events")  # read several times below
     known = orders.select("order_id")
     direct = mapped.filter("order_id IS NOT NULL").join(known, "order_id", "left_semi")
     paid_by = direct.filter("payment_id IS NOT NULL").select("order_id", F.col("arrival").cast("bigint").alias("arrival"), "payment_id")
