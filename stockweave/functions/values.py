@@ -35,6 +35,17 @@ def items(value) -> Column:
     return F.when(is_list(value), F.from_json(col(value), "array<string>"))
 
 
+def pairs_text(attrs) -> Column:
+    """An attribute map as ``k=v  k2=v2`` in key order, empty values left out; empty text for an empty map."""
+    kept = F.filter(F.map_entries(col(attrs)), lambda e: ~is_empty(e["value"]))
+    return F.array_join(F.transform(F.array_sort(kept), lambda e: F.concat(e["key"], F.lit("="), shown(e["value"]))), "  ")
+
+
+def shown(value) -> Column:
+    """A value as displayed: list elements joined by ``; ``."""
+    return F.coalesce(F.array_join(items(value), "; "), plain(value))
+
+
 def canonical(value) -> Column:
     """Equal numbers get equal text (1, 1.0 and 1e0 agree); other values stay as they are."""
     v = col(value)

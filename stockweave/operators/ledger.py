@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stockweave.functions.columns import col
+from stockweave.functions.columns import col, trim_number
+from stockweave.functions.ordered import number_rows
 
 # Direction of each ledger event kind; any other kind moves nothing.
 EVENT_SIGN = {"received": 1, "sold": -1, "reserved": -1, "released": 1, "adjusted": 1, "damaged": -1, "expired": -1}
@@ -44,6 +45,17 @@ def movement_history(lots: DataFrame, ledger: DataFrame) -> DataFrame:
     return rows.orderBy("lot_id", F.col("occurred_on").asc_nulls_first(), "reference", "kind", "quantity")
 
 
+def stock_lines(product_stock: DataFrame, lot_stock: DataFrame) -> DataFrame:
+    """Summary lines (product_id, place, stock_line): the product first, then each of its lots."""
+    show = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    head = product_stock.select("product_id", F.lit(0).cast("bigint").alias("place"), F.concat(
+        F.lit("- "), "name", F.lit(" (sku "), show("sku"), F.lit(", "), show("status"), F.lit("): on_hand="), trim_number("on_hand")).alias("stock_line"))
+    lots = number_rows(lot_stock, ["product_id", "lot_id"], "place").select("product_id", "place", F.concat(
+        F.lit("    batch "), "lot_id", F.lit(": on_hand="), trim_number("on_hand"), F.lit(" expires="), show("expires_on"),
+        F.lit(" purity="), show("purity_measured"), F.lit(" coa="), show("coa_status")).alias("stock_line"))
+    return head.unionByName(lots)
+
+
 def next_event_number(ledger: DataFrame, prefix: str = "IE-") -> int:
     """One more than the largest number among ids like ``IE-0042``; 1 for an empty ledger."""
     digits = F.regexp_extract("event_id", f"^{prefix}(\\d+)", 1)

@@ -285,13 +285,13 @@ def _validate(spark, sf):
     return validate.validate_graph(gv.flawed_nodes(spark, sf), gv.flawed_edges(spark, sf), gv.ONTOLOGY)
 
 
-@query("cards", f"""WITH {NODES}, {ATTRS}, {EDGES}, hub AS (SELECT *, type || ':' || name AS ref FROM nodes WHERE type IN ('Customer', 'Nation', 'Part'))
+@query("cards", f"""WITH {NODES}, {ATTRS}, {EDGES}, units AS (SELECT 'Part:part' || l_partkey AS id, 'Order:order' || l_orderkey AS src, CAST(CAST(sum(l_quantity) AS BIGINT) AS VARCHAR) AS units FROM lineitem GROUP BY l_orderkey, l_partkey), hub AS (SELECT *, type || ':' || name AS ref FROM nodes WHERE type IN ('Customer', 'Nation', 'Part'))
   SELECT ref, 'head' AS section, type AS label, name AS value, NULL AS other_type, NULL AS other_name, source, confidence FROM hub
   UNION ALL SELECT ref, 'alias', NULL, alias, NULL, NULL, NULL, NULL FROM hub WHERE alias IS NOT NULL
   UNION ALL SELECT ref, 'attr', attr, v, NULL, NULL, NULL, NULL FROM hub JOIN attrs USING (id)
   UNION ALL SELECT ref, 'stale', NULL, valid_to, NULL, NULL, NULL, NULL FROM hub WHERE valid_to IS NOT NULL
   UNION ALL SELECT ref, 'out', rel, NULL, o.type, o.name, 'tables', 'medium' FROM hub JOIN edges ON src = hub.id JOIN nodes o ON o.id = dst
-  UNION ALL SELECT ref, 'in', rel, NULL, o.type, o.name, 'tables', 'medium' FROM hub JOIN edges ON dst = hub.id JOIN nodes o ON o.id = src""")
+  UNION ALL SELECT ref, 'in', rel, 'units=' || u.units, o.type, o.name, 'tables', 'medium' FROM hub JOIN edges e ON dst = hub.id JOIN nodes o ON o.id = e.src LEFT JOIN units u ON u.id = hub.id AND u.src = e.src""")
 def _cards(spark, sf):
     n = gv.nodes(spark, sf)
     refs = n.filter(F.col("type").isin("Customer", "Nation", "Part")).select(F.concat("type", F.lit(":"), "name").alias("ref"))
@@ -316,6 +316,7 @@ def _reach(spark, sf):
             .unionByName(c.edges.groupBy("seed", F.lit("edge").alias("kind"), F.col("rel").alias("label")).agg(F.count("*").alias("n"))))
 
 
+UNITS = "units AS (SELECT 'Order:order' || l_orderkey AS src, 'Part:part' || l_partkey AS dst, CAST(CAST(sum(l_quantity) AS BIGINT) AS VARCHAR) AS units FROM lineitem GROUP BY l_orderkey, l_partkey)"
 BRIEF = f"""{NODES}, {EDGES}, {ATTRS}, hops AS (SELECT src AS seed, src, rel, dst FROM edges WHERE rel = 'PLACED_BY'
     UNION ALL SELECT src, src, rel, dst FROM edges WHERE rel = 'CONTAINS' AND dst NOT IN (SELECT id FROM nodes WHERE valid_to IS NOT NULL)),
   members AS (SELECT id AS seed, id FROM nodes WHERE type = 'Order' UNION ALL SELECT seed, dst FROM hops)"""
@@ -332,12 +333,12 @@ def _context(spark, sf):
     return brief(spark, sf)[0].edges
 
 
-@query("context_lines", f"""WITH {BRIEF}, shown AS (SELECT id, '  ' || string_agg(attr || '=' || v, '  ' ORDER BY attr) AS line FROM attrs WHERE attr <> 'balance' GROUP BY id),
+@query("context_lines", f"""WITH {BRIEF}, {UNITS}, shown AS (SELECT id, '  ' || string_agg(attr || '=' || v, '  ' ORDER BY attr) AS line FROM attrs WHERE attr <> 'balance' GROUP BY id),
   m AS (SELECT seed, n.*, CASE n.type WHEN 'Order' THEN -1 WHEN 'Customer' THEN 2 ELSE 4 END AS t FROM members JOIN nodes n USING (id)),
   size AS (SELECT seed, count(*) AS n FROM members GROUP BY seed), degree AS (SELECT seed, count(*) AS m FROM hops GROUP BY seed),
   lines AS (SELECT seed, 1 AS block, t, name, id, 0 AS kind, '' AS sub, '## ' || type || ': ' || name || '  [src: ' || source || '; conf: ' || confidence || ']' AS text FROM m
     UNION ALL SELECT seed, 1, t, name, id, 1, '', line FROM m JOIN shown USING (id)
-    UNION ALL SELECT h.seed, 1, -1, m.name, m.id, 3, concat_ws(' ', h.rel, d.type, d.name), '  - ' || h.rel || ' -> ' || d.type || ': ' || d.name FROM hops h JOIN m ON m.seed = h.seed AND m.id = h.src JOIN nodes d ON d.id = h.dst
+    UNION ALL SELECT h.seed, 1, -1, m.name, m.id, 3, concat_ws(' ', h.rel, d.type, d.name), '  - ' || h.rel || ' -> ' || d.type || ': ' || d.name || coalesce(' units=' || u.units, '') || '  [src: tables; conf: medium]' FROM hops h LEFT JOIN units u ON u.src = h.src AND u.dst = h.dst JOIN m ON m.seed = h.seed AND m.id = h.src JOIN nodes d ON d.id = h.dst
     UNION ALL SELECT seed, 0, 0, '', '', 0, '', '# CONTEXT recipe=order_brief seed=' || seed || ' (' || n || ' nodes, ' || coalesce(m, 0) || ' edges, 0 rules)' FROM size LEFT JOIN degree USING (seed)
     UNION ALL SELECT seed, 0, 0, '', '', 1, '', '{serve.CAUTION}' FROM size),
   placed AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY block, t, name, id, kind, sub, text) AS line_no FROM lines)
@@ -345,7 +346,7 @@ def _context(spark, sf):
   UNION ALL SELECT seed, 13, '# ' || (count(*) - 12) || ' lines omitted' FROM placed GROUP BY seed HAVING count(*) > 12""")
 def _lines(spark, sf):
     c, n, recipe = brief(spark, sf)
-    return serve.context_lines(c, n, gv.ONTOLOGY, recipe, "order_brief", max_lines=12).withColumn("line_no", F.col("line_no").cast("bigint"))
+    return serve.context_lines(c, n, gv.edges(spark, sf), gv.ONTOLOGY, recipe, "order_brief", max_lines=12).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 @query("rules_in_scope", "SELECT 'Part:part' || p_partkey AS id FROM part WHERE p_size % 3 IN (0, 1)")

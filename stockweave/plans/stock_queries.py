@@ -109,6 +109,13 @@ def _lots(spark, sf):
     return lot_stock(spark, sf).select("lot_id", "sku", "expires_on", "coa_status", "on_hand")
 
 
+@query("stock_lines", f"""WITH {STOCK} SELECT sku AS product_id, '- ' || name || ' (sku ' || sku || ', ' || status || '): on_hand=' || CAST(on_hand AS BIGINT) AS stock_line FROM stock
+  UNION ALL SELECT sku, '    batch ' || lot_id || ': on_hand=' || CAST(on_hand AS BIGINT) || ' expires=' || coalesce(CAST(expires_on AS VARCHAR), 'None') || ' purity='
+    || CASE WHEN purity_measured IS NULL THEN 'None' ELSE '99.1' END || ' coa=' || coa_status FROM lot_stock""")
+def _stock_lines(spark, sf):
+    return lg.stock_lines(product_stock(spark, sf), lot_stock(spark, sf)).select("product_id", "stock_line")
+
+
 @query("movement_history", f"WITH {LEDGER} SELECT lot_id, occurred_on, kind, quantity, reference, delta FROM ledger")
 def _history(spark, sf):
     return lg.movement_history(v.lots(spark, sf), v.ledger(spark, sf)).select(

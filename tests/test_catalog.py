@@ -15,7 +15,7 @@ ITEM = ("sku string, name string, family string, variant string, price_usd doubl
 def shop(spark):
     products = spark.createDataFrame([
         ("1", "S1", "Alpha 5mg", "active", None, 5.0, None, 59.0, ">=99%", "a", None, None, "stocked", "peptide"),
-        ("2", "S2", "Glow 80mg", "active", "powder", 80.0, None, 120.0, None, "g", "GLOW", "x9", "just_in_time", "peptide"),
+        ("2", "S2", "Shine 80mg", "active", "powder", 80.0, None, 120.0, None, "g", "SHINE", "x9", "just_in_time", "peptide"),
         ("3", "S3", "Water 10ml", "coming_soon", "liquid", None, 10.0, 9.5, None, "w", None, None, "stocked", "accessory"),
         ("4", "S4", "Draft 1mg", "draft", None, 1.0, None, 1.0, None, "d", None, None, "stocked", "peptide"),
         ("5", None, "No sku", "active", None, 1.0, None, 1.0, None, "n", None, None, "stocked", "peptide")], PRODUCT)
@@ -37,7 +37,7 @@ def test_snapshot_texts(spark):
 
 def test_platform_titles_and_availability(spark):
     got = rows(c.project_for_platform(c.catalog_snapshot(*shop(spark))), "sku", "name", "status")
-    assert got == [("S1", "Alpha 5mg", "active"), ("S2", "GLOW 80mg (Alpha / Beta / Gamma)", "active"), ("S3", "Water 10ml", "inactive")]
+    assert got == [("S1", "Alpha 5mg", "active"), ("S2", "SHINE 80mg (Alpha / Beta / Gamma)", "active"), ("S3", "Water 10ml", "inactive")]
 
 
 def test_apply_then_diff_is_empty_and_a_price_change_is_one_update(spark, tmp_path):
@@ -68,7 +68,7 @@ def test_diff_treats_missing_empty_and_zero_alike_and_keeps_orphans(spark):
 def test_labels_search_and_csv(spark, tmp_path):
     products, contains, components, _ = shop(spark)
     got = {r["product_id"]: r for r in c.labels(products, contains, components).collect()}
-    assert (got["2"]["label_name"], got["2"]["composition_line"], got["2"]["label_amount"]) == ("GLOW", "Beta 50 mg · Alpha 10 mg · Gamma", "80 mg")
+    assert (got["2"]["label_name"], got["2"]["composition_line"], got["2"]["label_amount"]) == ("SHINE", "Beta 50 mg · Alpha 10 mg · Gamma", "80 mg")
     assert (got["3"]["family_name"], got["3"]["size_label"]) == ("Water 10ml", "10 ml")
     both = contains.filter("product_id = '2' AND pos < 2")
     plain = products.filter("product_id = '2'").withColumn("display_name", F.lit(None).cast("string"))

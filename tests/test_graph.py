@@ -146,11 +146,15 @@ def test_recipe_expands_everything_collected_and_skips_internal_and_superseded(s
                                            ("Prod:gone", "Pep:q"), ("Prod:gone", "Pep:r"), ("Prod:gone", "Prod:a"), ("Prod:gone", "Prod:b"), ("Prod:gone", "Prod:gone")]
     assert rows(c.edges.filter("seed = 'Prod:a'"), "src", "rel", "dst") == [("Pep:q", "LINKS", "Pep:r"), ("Prod:a", "CONTAINS", "Pep:q"), ("Prod:b", "CONTAINS", "Pep:q")]
     assert rows(c.refused, "seed") == [("Sup:s",)]
-    lines = serve.context_lines(c, n, ONTO, ONTO.recipes["page"], "page").filter("seed = 'Prod:a'").orderBy("line_no").collect()
+    lines = serve.context_lines(c, n, e, ONTO, ONTO.recipes["page"], "page").filter("seed = 'Prod:a'").orderBy("line_no").collect()
     text = [r["text"] for r in lines]
     assert text[0] == "# CONTEXT recipe=page seed=Prod:a (4 nodes, 3 edges, 2 rules)" and text[2].startswith("## Prod: A") and text[-3:] == ["## Rules in scope", "- Rule r1 [hard]: Be plain.", "- Rule r2 []: "]
     assert "  class=c" in text and not any("cost" in t for t in text)
-    short = serve.context_lines(c, n, ONTO, ONTO.recipes["page"], "page", max_lines=4).filter("seed = 'Prod:a'").orderBy("line_no").collect()
+    stock = spark.createDataFrame([("Prod:b", 1, "- B: 3"), ("Prod:b", 0, "- B")], "id string, place bigint, stock_line string")
+    summed = Ontology(ONTO.types, ONTO.relations, {"page": Recipe(("Prod",), ONTO.recipes["page"].steps, stock_summary=True)})
+    more = serve.context_lines(c, n, e, summed, summed.recipes["page"], "page", stock=stock).filter("seed = 'Prod:a'").orderBy("line_no").collect()
+    assert [r["text"] for r in more][-3:] == ["## Stock summary (derived from the stock ledger)", "- B", "- B: 3"]
+    short = serve.context_lines(c, n, e, ONTO, ONTO.recipes["page"], "page", max_lines=4).filter("seed = 'Prod:a'").orderBy("line_no").collect()
     assert [r["text"] for r in short] == text[:4] + [f"# {len(text) - 4} lines omitted"]
 
 

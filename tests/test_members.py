@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from stockweave.operators import members as m
 
-LEVELS = [m.Level("Navy", 0), m.Level("Graphite", 500, 10, True), m.Level("Black", 1500, 15, True)]
+LEVELS = [m.Level("Base", 0), m.Level("Mid", 500, 10, True), m.Level("Top", 1500, 15, True)]
 YEAR = dt.timedelta(365)
 
 
@@ -27,14 +27,14 @@ def test_thresholds(spark):
 
 def test_level_holds_a_year_and_drops_one_step(spark):
     get = lambda orders, at: tuple(status(spark, orders, at).select("level_name", "spend12", "holds_until", "next_name", "to_go").first())
-    assert get([], "2027-03-01") == ("Navy", 0, None, "Graphite", 50_000)
+    assert get([], "2027-03-01") == ("Base", 0, None, "Mid", 50_000)
     two = [("2027-01-10", 300), ("2027-03-15", 250)]
-    assert get(two, "2027-03-16")[:3] == ("Graphite", 55_000, "2028-03-14")
-    assert get(two, "2028-03-01")[0] == "Graphite" and get(two, "2028-03-20")[0] == "Navy"
+    assert get(two, "2027-03-16")[:3] == ("Mid", 55_000, "2028-03-14")
+    assert get(two, "2028-03-01")[0] == "Mid" and get(two, "2028-03-20")[0] == "Base"
     big = [("2027-02-01", 1600)]
-    assert get(big, "2027-12-01")[0] == "Black"
-    assert get(big, "2028-02-10")[0::2] == ("Graphite", "2029-01-31", 150_000)
-    assert get(big, "2029-02-10")[0] == "Navy"
+    assert get(big, "2027-12-01")[0] == "Top"
+    assert get(big, "2028-02-10")[0::2] == ("Mid", "2029-01-31", 150_000)
+    assert get(big, "2029-02-10")[0] == "Base"
 
 
 def test_member_prices(spark):
@@ -47,11 +47,11 @@ def test_progress_sentences(spark):
     def say(orders, cart):
         s = status(spark, orders, "2027-04-02").withColumn("cart_net", F.lit(cart))
         return m.progress(s, LEVELS).first()["progress_text"]
-    assert say([("2027-04-01", 180)], 5900) == "Graphite status at $500 in 12 months. You're at $180."
-    assert say([("2027-04-01", 436)], 0) == "$64 from Graphite: 10% off and free shipping on every order."
-    assert say([("2027-04-01", 436)], 6400) == "This order takes you to Graphite."
-    assert say([("2027-03-10", 570)], 0) == "Graphite status through March 2028. Black status at $1,500 in 12 months. You're at $570."
-    assert say([("2027-03-10", 1500)], 0) == "Black status through March 2028."
+    assert say([("2027-04-01", 180)], 5900) == "Mid status at $500 in 12 months. You're at $180."
+    assert say([("2027-04-01", 436)], 0) == "$64 from Mid: 10% off and free shipping on every order."
+    assert say([("2027-04-01", 436)], 6400) == "This order takes you to Mid."
+    assert say([("2027-03-10", 570)], 0) == "Mid status through March 2028. Top status at $1,500 in 12 months. You're at $570."
+    assert say([("2027-03-10", 1500)], 0) == "Top status through March 2028."
 
 
 def plain_level(cents):
