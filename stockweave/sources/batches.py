@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def batch_numbers(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the complete batches; one whose write did not finish has no success marker."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch=") and _exists(spark, f"{folder}/{n}/_SUCCESS"))
+    """Numbers of the complete batches, by one listing of success markers; an unfinished write has none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    marks = fs.globStatus(path(f"{folder}/batch=*/_SUCCESS")) or []
+    return sorted(int(m.getPath().getParent().getName().split("=")[1]) for m in marks)
 
 
 def write_batch(df: DataFrame, folder: str, n: int) -> DataFrame:
