@@ -70,8 +70,8 @@ def queue(slim: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float =
     last = timed.filter(F.col("_total") <= words).agg(F.max("_finish")).first()[0]
     taken = served.filter(F.col("_finish") <= (-1 if last is None else last)).groupBy("_key").agg(
         *[F.max(F.when(F.col("_pass") == i, F.col("_at"))).alias(f"_p{i}") for i in range(passes)])
-    return goals.join(taken, "_key", "left").select(
-        "_key", "source", "source_size", "target", F.array(*[F.coalesce(F.col(f"_p{i}"), F.lit(-1).cast("bigint")) for i in range(passes)]).alias("_upto"))
+    upto = F.array(*[F.coalesce(F.col(f"_p{i}"), F.lit(-1).cast("bigint")) for i in range(passes)])
+    return materialize(goals.join(taken, "_key", "left").select("_key", "source", "source_size", "target", upto.alias("_upto")), "sources")
 
 
 def copies(upto="_upto", at="_at") -> Column:

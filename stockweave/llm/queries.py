@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stockweave.llm import hosts, mixing, secrets
+from stockweave.llm import hosts, mixing, packing, quality_rules, secrets, simhash
 from stockweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +108,48 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return secrets.report(docs, secrets.scan(docs)[1])
+
+
+OP1 = rf"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce('=' || lang, '') || chr(1) || coalesce('=' || source, '') AS k, coalesce('=' || lang, '') AS l, coalesce(text, '') AS text FROM documents),
+tokens AS (SELECT id, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT id, regexp_extract_all(text, {WORDS_SQL}) AS w FROM docs)),
+windows AS (SELECT id, i, count(*) OVER (PARTITION BY id, a, b, c) AS n FROM (SELECT id, i, w AS a, lead(w) OVER d AS b, lead(w, 2) OVER d AS c FROM tokens
+            WINDOW d AS (PARTITION BY id ORDER BY i)) WHERE c IS NOT NULL),
+covered AS (SELECT id, count(DISTINCT i + j) AS n FROM windows, (VALUES (0), (1), (2)) v(j) WHERE n > 1 GROUP BY id),
+lines AS (SELECT id, count(*) AS n, count(DISTINCT line) AS d FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM docs)
+          WHERE regexp_matches(line, {WORDS_SQL}) GROUP BY id),
+counts AS (SELECT id, doc_id, k, l, len(regexp_extract_all(text, {WORDS_SQL}))::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+                  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(lines.n - d, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+                  coalesce(lines.n, 0)::BIGINT AS n_lines, (length(text) - length(regexp_replace(text, '[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]', '', 'g')))::BIGINT AS n_marks,
+                  (length(text) - length(regexp_replace(text, '[A-Z\x{{C0}}-\x{{D6}}\x{{D8}}-\x{{DE}}]', '', 'g')))::BIGINT AS n_upper
+           FROM docs LEFT JOIN covered USING (id) LEFT JOIN lines USING (id)),
+base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+ratios AS (SELECT id, k, l, base_failed, unnest([0, 1, 2, 3, 4, 5]) AS r,
+                  unnest([{", ".join(f"CASE WHEN {b} > 0 THEN {t}::DOUBLE / {b} ELSE 0.0::DOUBLE END" for t, b in
+                                     (("word_chars", "n_words"), ("n_symbols", "n_words"), ("n_dup_lines", "n_lines"), ("n_repeat_words", "n_words"), ("n_marks", "word_chars"), ("n_upper", "word_chars")))}]) AS x FROM base),
+cells AS (SELECT k, l, r, CASE WHEN x > 0 THEN ceil(ln(x) / {quality_rules.STEP!r}::DOUBLE)::INT ELSE -100000 END AS b FROM ratios WHERE NOT base_failed),
+{", ".join(f'''cum{n} AS (SELECT {keys} r, b, sum(count(*)) OVER (PARTITION BY {keys} r ORDER BY b) AS upto, sum(count(*)) OVER (PARTITION BY {keys} r) AS n,
+                  CASE WHEN b = -100000 THEN 0.0::DOUBLE ELSE exp(b * {quality_rules.STEP!r}::DOUBLE) * {2 / (1 + math.exp(quality_rules.STEP))!r}::DOUBLE END AS v FROM cells GROUP BY {keys} r, b),
+q{n} AS (SELECT {keys} r, max(n) AS n, min(v) FILTER (upto > floor((n - 1) * 0.25)) AS q1, min(v) FILTER (upto > floor((n - 1) * 0.75)) AS q3 FROM cum{n} GROUP BY {keys} r),
+f{n} AS (SELECT {keys} r, n::DOUBLE AS n, q1 - 3.0 * greatest(q3 - q1, [0.4, 0.02, 0.08, 0.05, 0.015, 0.02][r + 1]::DOUBLE) AS low,
+                q3 + 3.0 * greatest(q3 - q1, [0.4, 0.02, 0.08, 0.05, 0.015, 0.02][r + 1]::DOUBLE) AS high FROM q{n})''' for n, keys in ((0, ""), (1, "l, "), (2, "k, l, ")))},
+fences AS (SELECT k, r, (f2.n * f2.low + 50 * ((f1.n * f1.low + 50 * f0.low) / (f1.n + 50))) / (f2.n + 50) AS low,
+                  (f2.n * f2.high + 50 * ((f1.n * f1.high + 50 * f0.high) / (f1.n + 50))) / (f2.n + 50) AS high FROM f2 JOIN f1 USING (l, r) JOIN f0 USING (r)),
+inside AS (SELECT id, bool_and(coalesce(x <= high AND (r > 0 OR x >= low), false)) AS ok FROM ratios LEFT JOIN fences USING (k, r) GROUP BY id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept FROM base JOIN inside USING (id)"""
+
+
+@query("op1_adaptive_quality", OP1)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf, "documents")).drop("n_lines", "n_marks", "n_upper")
+
+
+@query("op2_bin_completion")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"))
+
+
+@query("op9_simhash_blocks")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
