@@ -41,8 +41,8 @@ class Ratio:
 RATIOS = (
     Ratio("word_length", "word_chars", "n_words", 0.4, True),
     Ratio("symbols", "n_symbols", "n_words", 0.02),
-    Ratio("dup_lines", "n_dup_lines", "n_lines", 0.08),
-    Ratio("repeats", "n_repeat_words", "n_words", 0.05),
+    Ratio("dup_lines", "n_dup_lines", "n_lines", 0.15),
+    Ratio("repeats", "n_repeat_words", "n_words", 0.1),
     Ratio("marks", "n_marks", "word_chars", 0.015),
     Ratio("upper", "n_upper", "word_chars", 0.02),
 )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stockweave.llm import hosts, mixing, packing, quality_rules, secrets, simhash
+from stockweave.llm import hosts, maxscore, mixing, packing, quality_rules, secrets, simhash, token_files
 from stockweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,8 +131,8 @@ cells AS (SELECT k, l, r, CASE WHEN x > 0 THEN ceil(ln(x) / {quality_rules.STEP!
 {", ".join(f'''cum{n} AS (SELECT {keys} r, b, sum(count(*)) OVER (PARTITION BY {keys} r ORDER BY b) AS upto, sum(count(*)) OVER (PARTITION BY {keys} r) AS n,
                   CASE WHEN b = -100000 THEN 0.0::DOUBLE ELSE exp(b * {quality_rules.STEP!r}::DOUBLE) * {2 / (1 + math.exp(quality_rules.STEP))!r}::DOUBLE END AS v FROM cells GROUP BY {keys} r, b),
 q{n} AS (SELECT {keys} r, max(n) AS n, min(v) FILTER (upto > floor((n - 1) * 0.25)) AS q1, min(v) FILTER (upto > floor((n - 1) * 0.75)) AS q3 FROM cum{n} GROUP BY {keys} r),
-f{n} AS (SELECT {keys} r, n::DOUBLE AS n, q1 - 3.0 * greatest(q3 - q1, [0.4, 0.02, 0.08, 0.05, 0.015, 0.02][r + 1]::DOUBLE) AS low,
-                q3 + 3.0 * greatest(q3 - q1, [0.4, 0.02, 0.08, 0.05, 0.015, 0.02][r + 1]::DOUBLE) AS high FROM q{n})''' for n, keys in ((0, ""), (1, "l, "), (2, "k, l, ")))},
+f{n} AS (SELECT {keys} r, n::DOUBLE AS n, q1 - 3.0 * greatest(q3 - q1, {[r.floor for r in quality_rules.RATIOS]}[r + 1]::DOUBLE) AS low,
+                q3 + 3.0 * greatest(q3 - q1, {[r.floor for r in quality_rules.RATIOS]}[r + 1]::DOUBLE) AS high FROM q{n})''' for n, keys in ((0, ""), (1, "l, "), (2, "k, l, ")))},
 fences AS (SELECT k, r, (f2.n * f2.low + 50 * ((f1.n * f1.low + 50 * f0.low) / (f1.n + 50))) / (f2.n + 50) AS low,
                   (f2.n * f2.high + 50 * ((f1.n * f1.high + 50 * f0.high) / (f1.n + 50))) / (f2.n + 50) AS high FROM f2 JOIN f1 USING (l, r) JOIN f0 USING (r)),
 inside AS (SELECT id, bool_and(coalesce(x <= high AND (r > 0 OR x >= low), false)) AS ok FROM ratios LEFT JOIN fences USING (k, r) GROUP BY id)
@@ -153,3 +153,19 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
+@query("op3_patched_frames")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf, "documents"))
+
+
+@query("op8_maxscore_top20", """
+WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+           FROM kept q JOIN kept c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
