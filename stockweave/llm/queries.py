@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stockweave.llm import hosts, maxscore, mixing, packing, quality_rules, secrets, simhash, token_files
+from stockweave.llm import hosts, knn_quality, maxscore, mixing, packing, quality_rules, secrets, simhash, token_files
 from stockweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,8 @@ ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DE
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op7_neighbour_vote")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return knn_quality.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
