@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stockweave.llm import hosts, knn_quality, maxscore, mixing, packing, quality_rules, secrets, simhash, token_files
+from stockweave.llm import hosts, knn_quality, maxscore, mixing, packing, quality_rules, secrets, simhash, suffix_dedup, token_files
 from stockweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_neighbour_vote")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return knn_quality.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op6_suffix_array_dedup")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf, "documents"), texts=False)
