@@ -32,4 +32,4 @@ def micros(ts) -> Column:
 
 def first_upper(c) -> Column:
     c = col(c)
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substr(c, F.lit(2)))

@@ -7,6 +7,7 @@ each round is computed once, and the optimizer sees real sizes when it picks the
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; a temporary one is made only for a local master that has none."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # not local-cluster, whose executors have folders of their own
             raise RuntimeError(f"set {SETTING} to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="stockweave-")
         spark.sparkContext.setCheckpointDir(folder)

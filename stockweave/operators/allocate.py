@@ -1,24 +1,18 @@
 """First-expiry-first allocation of paid order lines to lots.
 
 Within one sku the rule is sequential: a line is served whole or not at all, and a skipped line leaves the
-stock for later, smaller lines. Ordinary skus are streamed through Python in sorted batches, many skus to a
-task. A sku with more lines than ``hot_lines`` never goes through one task; it is decided in rounds of
-distributed running sums instead (see ``_decide_hot``). Both give the same decisions.
+stock for later, smaller lines. All skus are decided together in rounds of distributed running sums (see ``_decide``), so a sku
+with any number of lines is spread over tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from stockweave.functions.ordered import SLICE_ROWS, Running, number_rows, running
 from stockweave.functions.runtime import materialize
 
-HOT_LINES = 1_000_000  # lines of one sku that may go through one task
-CELL = 64  # stock units per join cell when sold units are matched to lots
+SLICE_UNITS = 1 << 20  # stock units of a sku whose lines and lots one task meets
 
 
 def fefo_lots(lot_stock: DataFrame) -> DataFrame:
@@ -46,23 +40,8 @@ def recorded_refs(references: DataFrame) -> DataFrame:
             .select(F.explode(prefixes).alias("ref")).distinct())
 
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Serve lines that arrive sorted by sku and time; only the current sku's stock is held in memory."""
-    sku, left, total = None, 0, 0
-    for pdf in batches:
-        starts = np.full(len(pdf), -1, dtype="int64")
-        rows = zip(pdf["sku"].tolist(), pdf["quantity"].tolist(), pdf["capacity"].tolist())
-        for i, (line_sku, qty, capacity) in enumerate(rows):
-            if line_sku != sku:
-                sku, left, total = line_sku, capacity, capacity
-            if qty <= left:
-                starts[i] = total - left
-                left -= max(qty, 0)
-        yield pdf.assign(unit_start=starts).drop(columns="capacity")
-
-
-def _decide_hot(lines: DataFrame, capacity: DataFrame) -> DataFrame:
-    """The sequential rule as O(log stock) rounds over all hot skus at once.
+def _decide(lines: DataFrame, capacity: DataFrame) -> DataFrame:
+    """The sequential rule as O(log stock) rounds over all skus at once.
 
     With r units left, a line above r can never be served, and at most one line above r/2 can be served before
     the rest falls below r/2. Every line of at most r/2 is served until then. So each round finds, by one
@@ -73,7 +52,6 @@ def _decide_hot(lines: DataFrame, capacity: DataFrame) -> DataFrame:
     left = materialize(capacity.select("sku", F.col("capacity").alias("r"), "capacity"), "stock-left")
     decided = None
     while True:
-        # Hot skus number at most (all lines / hot_lines); Spark broadcasts them if their written size allows.
         live = open_.join(left, "sku").withColumn("small", F.col("quantity") * 2 <= F.col("r"))
         live = live.withColumn("fits", F.col("quantity") <= F.col("r"))
         lost = live.filter(~F.col("fits")).withColumn("unit_start", F.lit(-1).cast("bigint"))
@@ -102,8 +80,8 @@ def _decide_hot(lines: DataFrame, capacity: DataFrame) -> DataFrame:
             return decided
 
 
-def decide_lines(lines: DataFrame, lots: DataFrame, references: DataFrame, hot_lines: int = HOT_LINES) -> DataFrame:
-    """Outcome of every line: ``refunded``, ``recorded`` (already in the ledger), ``sold`` or ``waits``.
+def decide_lines(lines: DataFrame, lots: DataFrame, references: DataFrame) -> DataFrame:
+    """Outcome of every line: ``refunded``, ``recorded`` (already in the ledger), ``sold``, ``waits``, or ``unknown`` (its status is null).
 
     ``lines`` has order_id, sku, quantity, status, created_at; ``lots`` comes from :func:`fefo_lots`;
     ``references`` holds the ledger's references. ``unit_start`` places a sold line on its sku's stock.
@@ -111,6 +89,7 @@ def decide_lines(lines: DataFrame, lots: DataFrame, references: DataFrame, hot_l
     base = ["order_id", "sku", "quantity", "status", "created_at"]
     lines = lines.select(*base[:2], F.col("quantity").cast("bigint").alias("quantity"), *base[3:])
     tagged = lines.withColumn("ref", line_ref())
+    unknown = tagged.filter("status is null")
     refunded = tagged.filter(F.col("status") == "refunded")
     paid = tagged.filter(F.col("status") != "refunded")
     recorded = recorded_refs(references)
@@ -118,18 +97,10 @@ def decide_lines(lines: DataFrame, lots: DataFrame, references: DataFrame, hot_l
     fresh = materialize(paid.join(recorded, "ref", "left_anti").select(base), "fresh-lines")
 
     capacity = lots.groupBy("sku").agg(F.max("unit_to").alias("capacity"))
-    hot = materialize(fresh.groupBy("sku").count().filter(F.col("count") > hot_lines).select("sku"), "hot-skus")
     with_stock = lambda rows: rows.join(capacity, "sku", "left").withColumn(
         "capacity", F.coalesce("capacity", F.lit(0)).cast("bigint"))
-    schema = "order_id string, sku string, quantity bigint, status string, created_at timestamp, unit_start bigint"
-    ordinary = with_stock(fresh.join(hot, "sku", "left_anti")).select(*base, "capacity")
-    decided = (ordinary.withColumn("created_at", F.col("created_at").cast("timestamp"))
-               .repartition("sku").sortWithinPartitions("sku", "created_at", "order_id", "quantity")
-               .mapInPandas(_walk, schema))
-    if not hot.isEmpty():
-        rows = fresh.join(hot, "sku", "left_semi").select(*base)
-        rows = rows.withColumn("created_at", F.col("created_at").cast("timestamp"))
-        decided = decided.unionByName(_decide_hot(rows, with_stock(hot)))
+    rows = fresh.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    decided = _decide(rows, with_stock(fresh.select("sku").distinct()))
     outcome = F.when(F.col("unit_start") >= 0, "sold").otherwise("waits")
     none = F.lit(None).cast("bigint")
     plain = lambda rows, word: rows.select(
@@ -137,28 +108,32 @@ def decide_lines(lines: DataFrame, lots: DataFrame, references: DataFrame, hot_l
         F.lit(word).alias("outcome"))
     return (decided.withColumn("outcome", outcome)
             .withColumn("unit_start", F.when(F.col("unit_start") >= 0, F.col("unit_start")))
-            .unionByName(plain(refunded, "refunded")).unionByName(plain(seen, "recorded")))
+            .unionByName(plain(refunded, "refunded")).unionByName(plain(seen, "recorded")).unionByName(plain(unknown, "unknown")))
 
 
 def sale_parts(decisions: DataFrame, lots: DataFrame) -> DataFrame:
     """Split each sold line over the lots its units fall on: one row per (line, lot).
 
-    Lines and lots are both runs of units on one axis per sku. Both are cut into cells of ``CELL`` units and
-    joined by (sku, cell), so no task sees more than ``CELL`` lines or lots of a sku at once; an overlap is
-    kept only in the cell where it begins. Stock beyond what is sold is left out first.
+    Lines and lots are both gapless runs of units on one axis per sku. Every part begins where a line or a lot begins, in the last line and the last
+    lot that began by then; one running pass over those points finds both. The work follows the lines and lots, not the units.
+    Stock beyond what is sold is left out first.
     """
-    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / CELL), F.floor((F.col(hi) - 1) / CELL)))
     sold = (decisions.filter((F.col("outcome") == "sold") & (F.col("quantity") > 0))
             .withColumn("unit_end", F.col("unit_start") + F.col("quantity")))
     demand = sold.groupBy("sku").agg(F.max("unit_end").alias("_sold"))
     stocked = (lots.select("sku", "lot_id", "fefo_rank", "unit_from", "unit_to").join(demand, "sku")
-               .withColumn("unit_to", F.least("unit_to", "_sold")).filter("unit_to > unit_from").drop("_sold")
-               .withColumn("cell", cells("unit_from", "unit_to")))
-    start = F.greatest("unit_start", "unit_from")
+               .withColumn("unit_to", F.least("unit_to", "_sold")).filter("unit_to > unit_from").drop("_sold"))
+    line = F.struct("order_id", "created_at", "unit_start", "unit_end").alias("line")
+    lot = F.struct("lot_id", "fefo_rank", "unit_from", "unit_to").alias("lot")
+    points = sold.select("sku", F.col("unit_start").cast("bigint").alias("_at"), line).unionByName(
+        stocked.select("sku", F.col("unit_from").cast("bigint").alias("_at"), lot), allowMissingColumns=True)
+    points = materialize(points, "unit-points")
+    met = running(points, ["sku"], "_at", F.floor(F.col("_at") / SLICE_UNITS), [Running("on", "last", F.col("line")), Running("of", "last", F.col("lot"))])
+    met = met.select("sku", "_at", "on.*", "of.*").filter("order_id IS NOT NULL AND lot_id IS NOT NULL").dropDuplicates(["sku", "_at"])
     end = F.least("unit_end", "unit_to")
-    return (sold.withColumn("cell", cells("unit_start", "unit_end")).join(stocked, ["sku", "cell"]).filter((start < end) & (F.floor(start / CELL) == F.col("cell")))
-            .select("order_id", "sku", "lot_id", "fefo_rank", "created_at", (end - start).alias("taken"),
-                    F.when(start == F.col("unit_start"), line_ref())
+    return (met.filter(end > F.col("_at"))
+            .select("order_id", "sku", "lot_id", "fefo_rank", "created_at", (end - F.col("_at")).alias("taken"),
+                    F.when(F.col("_at") == F.col("unit_start"), line_ref())
                     .otherwise(F.concat(line_ref(), F.lit(" lot "), "lot_id")).alias("reference")))
 
 
@@ -171,9 +146,9 @@ def sale_events(parts: DataFrame, start: int = 1, prefix: str = "IE-") -> DataFr
 
 
 def order_outcomes(decisions: DataFrame) -> DataFrame:
-    """Per order: ``blocked`` if any line waits, else ``recorded`` if any line is on the ledger, else ``refunded``."""
+    """Per order: ``blocked`` if any line waits or has no status, else ``recorded`` if any line is on the ledger, else ``refunded``."""
     any_of = lambda *words: F.bool_or(F.col("outcome").isin(*words))
-    flags = decisions.groupBy("order_id").agg(any_of("waits").alias("w"), any_of("sold", "recorded").alias("s"))
+    flags = decisions.groupBy("order_id").agg(any_of("waits", "unknown").alias("w"), any_of("sold", "recorded").alias("s"))
     return flags.select("order_id", F.when(F.col("w"), "blocked").when(F.col("s"), "recorded")
                         .otherwise("refunded").alias("outcome"))
 
@@ -198,7 +173,7 @@ def _line_flags(lines: DataFrame, references: DataFrame) -> DataFrame:
     on = recorded_refs(references).withColumn("on_ledger", F.lit(True))
     joined = lines.withColumn("ref", line_ref()).join(on, "ref", "left")
     hit = F.coalesce("on_ledger", F.lit(False))
-    paid, refunded = F.col("status") == "paid", F.col("status") == "refunded"
+    paid, refunded = (F.coalesce(F.col("status") == word, F.lit(False)) for word in ("paid", "refunded"))
     return joined.groupBy("order_id").agg(
         F.bool_and(paid).alias("all_paid"), F.bool_and(refunded).alias("all_refunded"),
         F.bool_or(refunded).alias("any_refunded"), F.bool_and(hit).alias("all_on"), F.bool_or(hit).alias("any_on"))

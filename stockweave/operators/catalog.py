@@ -133,8 +133,13 @@ def apply_plan(remote: DataFrame, local: DataFrame, plan: DataFrame, new_id=None
 
 
 def merge_platform_ids(existing: DataFrame, ids: DataFrame, products: DataFrame, platform: str) -> DataFrame:
-    """Platform ids per product name, the newest id winning; unknown skus and null ids are left out; sorted."""
-    named = ids.filter(truthy("external_id")).join(products.select("sku", "name"), "sku").select("name", F.col("external_id").cast("string").alias("new_id"))
+    """Platform ids per product name, the newest id winning; unknown skus and null ids are left out; sorted.
+
+    Of several new ids of one name the one with the largest ``seq`` wins, without that column the largest id.
+    """
+    turn = F.col("seq") if "seq" in ids.columns else F.col("external_id").cast("string")
+    named = (ids.filter(truthy("external_id")).join(products.select("sku", "name"), "sku").groupBy("name")
+             .agg(F.max_by(F.col("external_id").cast("string"), turn).alias("new_id")))
     j = existing.join(named, "name", "full_outer")
     return j.select("name", F.coalesce("new_id", "external_id").alias("external_id"),
                     F.when(F.col("new_id").isNotNull(), platform).otherwise(F.col("platform")).alias("platform")).orderBy("name")
@@ -148,10 +153,10 @@ def csv_rows(items: DataFrame) -> DataFrame:
 
 
 def product_components(products: DataFrame, contains: DataFrame, components: DataFrame) -> DataFrame:
-    """Components per product with ``place``: where the component's name stands in the product's name, missing last."""
+    """Components per product with ``place``: where the component's name stands in the product's name, null where it doesn't (those come last)."""
     j = contains.join(components, "component_id").join(products.select("product_id", F.col("name").alias("product_name")), "product_id")
     at = F.instr("product_name", F.col("component_name"))
-    return j.withColumn("place", F.when(at > 0, at - 1).otherwise(1_000_000)).drop("product_name")
+    return j.withColumn("place", F.when(at > 0, at - 1)).drop("product_name")
 
 
 def _subjects(products: DataFrame, contains: DataFrame) -> DataFrame:

@@ -38,10 +38,11 @@ def resolve_any(refs: DataFrame, nodes: DataFrame, ref_col: str = "ref") -> Data
     A bare name is looked up over all types and must match one node. The matches of a key are counted before
     the join, so a name shared by many nodes costs one row; :func:`candidates_of` lists them.
     """
-    typed = refs.filter(has_type_prefix(ref_col)).withColumns({"_t": ref_type(ref_col), "_n": ref_name(ref_col)})
+    has_type = F.coalesce(has_type_prefix(ref_col), F.lit(False))  # a null reference is looked up as a bare name and not found
+    typed = refs.filter(has_type).withColumns({"_t": ref_type(ref_col), "_n": ref_name(ref_col)})
     typed = resolve(typed, nodes, "_t", "_n").drop("_t", "_n").withColumn("n_matches", F.when(F.col("node_id").isNull(), 0).otherwise(1))
     per_key = alias_index(nodes).groupBy("alias_key").agg(F.count("*").alias("n_matches"), F.min("id").alias("_id"))
-    bare = refs.filter(~has_type_prefix(ref_col)).withColumn("alias_key", norm_key(ref_col)).join(per_key, "alias_key", "left")
+    bare = refs.filter(~has_type).withColumn("alias_key", norm_key(ref_col)).join(per_key, "alias_key", "left")
     bare = bare.withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
     bare = bare.withColumn("node_id", F.when(F.col("n_matches") == 1, F.col("_id"))).drop("alias_key", "_id")
     status = F.when(F.col("n_matches") == 0, "not_found").when(F.col("n_matches") == 1, "found").otherwise("ambiguous")

@@ -154,14 +154,15 @@ def assemble(folded: Folded) -> DataFrame:
 def upsert_edges(edges: DataFrame, incoming: DataFrame) -> DataFrame:
     """Last writer wins per (src, rel, dst); evidence and valid_from keep the last value that is not null.
 
-    ``incoming`` has edge columns and ``seq`` (without it all its rows count as equally late). One aggregation, combined before the shuffle.
+    ``incoming`` has edge columns and ``seq`` and, inside it, ``pos`` (without them all its rows count as equally late). One aggregation, combined before the shuffle.
     """
-    with_seq = EDGE_SCHEMA + ", seq bigint"
-    old = conform(edges.withColumn("seq", F.lit(BEFORE)), with_seq)
-    new = conform(incoming if "seq" in incoming.columns else incoming.withColumn("seq", F.lit(0)), with_seq)
-    rows = old.unionByName(new)
-    latest = F.max_by(F.struct("attrs", "source", "confidence", "extracted_at", "valid_to"), "seq").alias("l")
-    kept = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    with_seq = EDGE_SCHEMA + ", seq bigint, pos bigint"
+    zero = {c: F.lit(0) for c in ("seq", "pos") if c not in incoming.columns}
+    old = conform(edges.withColumns({"seq": F.lit(BEFORE), "pos": F.lit(0)}), with_seq)
+    rows = old.unionByName(conform(incoming.withColumns(zero) if zero else incoming, with_seq))
+    turn = F.struct("seq", "pos")
+    latest = F.max_by(F.struct("attrs", "source", "confidence", "extracted_at", "valid_to"), turn).alias("l")
+    kept = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), turn)).alias(c)
     g = rows.groupBy("src", "rel", "dst").agg(latest, kept("evidence"), kept("valid_from"))
     return as_edges(g.select("src", "rel", "dst", "l.*", "evidence", "valid_from"))
 
@@ -193,7 +194,7 @@ def ingest(records: DataFrame, nodes: DataFrame, edges: DataFrame, ontology: Ont
 
     In strict mode any error leaves the given graph untouched (``committed`` is False).
     """
-    known = F.col("type").isin(*ontology.types)
+    known = F.coalesce(F.col("type").isin(*ontology.types), F.lit(False))  # a null type is unknown
     text = lambda c: c.cast("string")
     bad_type = records.filter(~known).select(
         "source", text(F.lit(None)).alias("item"), text(F.lit(None)).alias("rel"), F.col("type").alias("target"),
@@ -203,7 +204,7 @@ def ingest(records: DataFrame, nodes: DataFrame, edges: DataFrame, ontology: Ont
     merged = materialize(assemble(folded), "nodes")
     e = good.select("seq", "type", "name", "source", "confidence", "seen_at", F.posexplode("edges").alias("_pos", "e"))
     wanted = e.select(
-        (F.col("seq") * 1_000_000 + F.col("_pos")).alias("seq"), F.col("type").alias("src_type_ref"), F.col("name").alias("src_name"),
+        "seq", F.col("_pos").alias("pos"), F.col("type").alias("src_type_ref"), F.col("name").alias("src_name"),
         F.col("e.rel").alias("rel"), F.col("e.to").alias("to"), ref_type("e.to").alias("dst_type_ref"), ref_name("e.to").alias("dst_name"),
         F.col("e.attrs").alias("attrs"), F.coalesce("e.source", "source").alias("source"),
         F.coalesce("e.confidence", "confidence").alias("confidence"), F.col("e.evidence").alias("evidence"),

@@ -12,10 +12,17 @@ from stockweave.plans.registry import query
 from stockweave.plans.stock_queries import STOCK, lot_stock, product_stock
 from stockweave.sources import exports
 
-K, T = F.col("p_partkey"), F.col("p_partkey").cast("string")
 US_LABS, FORMATS = ["lab-us"], ["square", "portrait"]
 
 
+def K():
+    return F.col("p_partkey")
+
+
+def T():
+    return K().cast("string")
+
+
 def _cmp(number):
     return F.concat(F.lit("cmp"), number.cast("bigint").cast("string"))
 
@@ -25,28 +32,28 @@ def products(spark, sf):
     tenth, size = F.col("p_size") % 10, F.col("p_size").cast("double")
     none = F.lit(None).cast("string")
     return v.table(spark, sf, "part").select(
-        T.alias("product_id"), T.alias("sku"),
-        F.concat("p_name", F.lit(" "), _cmp(F.floor(K / 4)), F.lit(" "), F.col("p_size").cast("string"), F.lit("mg")).alias("name"),
+        T().alias("product_id"), T().alias("sku"),
+        F.concat("p_name", F.lit(" "), _cmp(F.floor(K() / 4)), F.lit(" "), F.col("p_size").cast("string"), F.lit("mg")).alias("name"),
         F.when(tenth < 7, "active").when(tenth < 9, "coming_soon").otherwise("draft").alias("status"),
         F.when(F.col("p_size") % 4 == 0, "just_in_time").otherwise("stocked").alias("fulfilment"),
-        F.when(K % 10 != 0, F.lower("p_type")).alias("form"), F.when(K % 5 != 0, size).alias("size_mg"), F.when(K % 5 == 0, size).alias("size_ml"),
-        F.col("p_retailprice").alias("price_usd"), F.when(K % 4 == 0, ">=99%").alias("purity_spec"), F.concat(F.lit("p-"), T).alias("slug"),
-        F.when(K % 9 == 0, F.concat(F.lit("Kit "), T)).alias("display_name"), F.when(K % 8 == 0, F.concat(F.lit("x"), T)).otherwise(none).alias("external_id"),
-        F.when(K % 13 == 0, "accessory").otherwise("peptide").alias("category"), F.when(K % 6 != 0, F.col("p_brand")).alias("research_area"),
-        F.when(K % 2 == 0, F.lit(3.0)).alias("vial_ml"), F.when(K % 4 == 0, "amber").otherwise("clear").alias("vial_glass"))
+        F.when(K() % 10 != 0, F.lower("p_type")).alias("form"), F.when(K() % 5 != 0, size).alias("size_mg"), F.when(K() % 5 == 0, size).alias("size_ml"),
+        F.col("p_retailprice").alias("price_usd"), F.when(K() % 4 == 0, ">=99%").alias("purity_spec"), F.concat(F.lit("p-"), T()).alias("slug"),
+        F.when(K() % 9 == 0, F.concat(F.lit("Kit "), T())).alias("display_name"), F.when(K() % 8 == 0, F.concat(F.lit("x"), T())).otherwise(none).alias("external_id"),
+        F.when(K() % 13 == 0, "accessory").otherwise("peptide").alias("category"), F.when(K() % 6 != 0, F.col("p_brand")).alias("research_area"),
+        F.when(K() % 2 == 0, F.lit(3.0)).alias("vial_ml"), F.when(K() % 4 == 0, "amber").otherwise("clear").alias("vial_glass"))
 
 
 def contains(spark, sf):
     """Four neighbouring parts share a component; every third part is a blend with the next one."""
     size = F.col("p_size").cast("double")
     part = v.table(spark, sf, "part")
-    first = part.select(T.alias("product_id"), _cmp(F.floor(K / 4)).alias("component_id"), F.lit(0).alias("pos"), F.when(K % 2 == 0, size).alias("amount_mg"))
-    second = part.filter(K % 3 == 0).select(T.alias("product_id"), _cmp(F.floor(K / 4) + 1).alias("component_id"), F.lit(1).alias("pos"), (size * 2).alias("amount_mg"))
+    first = part.select(T().alias("product_id"), _cmp(F.floor(K() / 4)).alias("component_id"), F.lit(0).alias("pos"), F.when(K() % 2 == 0, size).alias("amount_mg"))
+    second = part.filter(K() % 3 == 0).select(T().alias("product_id"), _cmp(F.floor(K() / 4) + 1).alias("component_id"), F.lit(1).alias("pos"), (size * 2).alias("amount_mg"))
     return first.unionByName(second)
 
 
 def components(spark, sf):
-    n = F.floor(K / 4)
+    n = F.floor(K() / 4)
     ids = v.table(spark, sf, "part").select(F.explode(F.array(n, n + 1)).alias("n")).distinct()
     n, text = F.col("n"), F.col("n").cast("string")
     return ids.select(
@@ -57,8 +64,8 @@ def components(spark, sf):
 
 
 def photos(spark, sf):
-    shape = F.when(K % 2 == 0, "square").otherwise("portrait")
-    one = v.table(spark, sf, "part").filter(K % 3 != 0).select(T.alias("product_id"), K.alias("photo_id"), shape.alias("format"), F.concat(F.lit("/img/"), T).alias("url"))
+    shape = F.when(K() % 2 == 0, "square").otherwise("portrait")
+    one = v.table(spark, sf, "part").filter(K() % 3 != 0).select(T().alias("product_id"), K().alias("photo_id"), shape.alias("format"), F.concat(F.lit("/img/"), T()).alias("url"))
     again = one.filter(F.col("photo_id") % 5 == 0).withColumns({"photo_id": F.col("photo_id") + 1_000_000_000, "url": F.concat("url", F.lit("-new"))})
     return one.unionByName(again)
 
@@ -173,18 +180,18 @@ def _csv(spark, sf):
   CASE WHEN p_partkey % 3 = 0 AND p_partkey % 9 <> 0 THEN 'file' ELSE 'shop' END AS platform FROM part WHERE p_partkey % 2 = 0 OR (p_partkey % 3 = 0 AND p_partkey % 9 <> 0)""")
 def _ids(spark, sf):
     part = v.table(spark, sf, "part")
-    name = F.concat(F.lit("product "), T)
-    existing = part.filter(K % 2 == 0).select(name.alias("name"), F.concat(F.lit("old"), T).alias("external_id"), F.lit("shop").alias("platform"))
-    ids = part.filter(K % 3 == 0).select(T.alias("sku"), F.when(K % 9 != 0, F.concat(F.lit("new"), T)).alias("external_id"))
+    name = F.concat(F.lit("product "), T())
+    existing = part.filter(K() % 2 == 0).select(name.alias("name"), F.concat(F.lit("old"), T()).alias("external_id"), F.lit("shop").alias("platform"))
+    ids = part.filter(K() % 3 == 0).select(T().alias("sku"), F.when(K() % 9 != 0, F.concat(F.lit("new"), T())).alias("external_id"))
     unknown = ids.withColumn("sku", F.concat(F.lit("zz"), "sku"))
-    return c.merge_platform_ids(existing, ids.unionByName(unknown), part.select(T.alias("sku"), name.alias("name")), "file")
+    return c.merge_platform_ids(existing, ids.unionByName(unknown), part.select(T().alias("sku"), name.alias("name")), "file")
 
 
 MADE = """made AS (SELECT CAST(p_partkey AS VARCHAR) AS product_id, 'cmp' || p_partkey // 4 AS component_id, p_partkey // 4 AS n, 0 AS pos, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS amount FROM part
   UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'cmp' || (p_partkey // 4 + 1), p_partkey // 4 + 1, 1, p_size * 2 FROM part WHERE p_partkey % 3 = 0)"""
 
 
-@query("product_components", f"WITH {PROD}, {MADE} SELECT product_id, component_id, CASE WHEN instr(name, component_id) > 0 THEN instr(name, component_id) - 1 ELSE 1000000 END AS place FROM made JOIN prod ON sku = product_id")
+@query("product_components", f"WITH {PROD}, {MADE} SELECT product_id, component_id, CASE WHEN instr(name, component_id) > 0 THEN instr(name, component_id) - 1 END AS place FROM made JOIN prod ON sku = product_id")
 def _components(spark, sf):
     return c.product_components(products(spark, sf), contains(spark, sf), components(spark, sf)).select("product_id", "component_id", F.col("place").cast("bigint").alias("place"))
 

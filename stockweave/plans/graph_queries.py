@@ -22,9 +22,9 @@ NODES = f"""nodes AS (SELECT type || ':' || {KEY.format('name')} AS id, *, CASE
   UNION ALL SELECT 'Order', o_orderkey, 'order ' || o_orderkey, NULL, NULL FROM orders))"""
 ATTRS = """attrs AS (
   SELECT 'Nation:nation' || n_nationkey AS id, 'Nation' AS type, n_nationkey AS k, 'region_key' AS attr, CAST(n_regionkey AS VARCHAR) AS v FROM nation
-  UNION ALL SELECT 'Customer:customer' || lpad(CAST(c_custkey AS VARCHAR), 9, '0'), 'Customer', c_custkey, 'segment', c_mktsegment FROM customer
-  UNION ALL SELECT 'Customer:customer' || lpad(CAST(c_custkey AS VARCHAR), 9, '0'), 'Customer', c_custkey, 'balance', CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) FROM customer
-  UNION ALL SELECT 'Supplier:supplier' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0'), 'Supplier', s_suppkey, 'balance', CAST(CAST(floor(s_acctbal) AS BIGINT) AS VARCHAR) FROM supplier
+  UNION ALL SELECT 'Customer:customer' || printf('%09d', c_custkey), 'Customer', c_custkey, 'segment', c_mktsegment FROM customer
+  UNION ALL SELECT 'Customer:customer' || printf('%09d', c_custkey), 'Customer', c_custkey, 'balance', CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) FROM customer
+  UNION ALL SELECT 'Supplier:supplier' || printf('%09d', s_suppkey), 'Supplier', s_suppkey, 'balance', CAST(CAST(floor(s_acctbal) AS BIGINT) AS VARCHAR) FROM supplier
   UNION ALL SELECT 'Part:part' || p_partkey, 'Part', p_partkey, 'brand', p_brand FROM part
   UNION ALL SELECT 'Part:part' || p_partkey, 'Part', p_partkey, 'class', p_type FROM part
   UNION ALL SELECT 'Part:part' || p_partkey, 'Part', p_partkey, 'size', CAST(p_size AS VARCHAR) FROM part
@@ -34,16 +34,16 @@ ATTRS = """attrs AS (
   UNION ALL SELECT 'Order:order' || o_orderkey, 'Order', o_orderkey, 'priority', o_orderpriority FROM orders)"""
 EDGES = f"""edges AS (
   SELECT 'Nation:nation' || n_nationkey AS src, 'IN_REGION' AS rel, 'Region:' || {KEY.format('r_name')} AS dst FROM nation JOIN region ON n_regionkey = r_regionkey
-  UNION ALL SELECT 'Customer:customer' || lpad(CAST(c_custkey AS VARCHAR), 9, '0'), 'IN_NATION', 'Nation:nation' || c_nationkey FROM customer
-  UNION ALL SELECT 'Supplier:supplier' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0'), 'IN_NATION', 'Nation:nation' || s_nationkey FROM supplier
-  UNION ALL SELECT 'Order:order' || o_orderkey, 'PLACED_BY', 'Customer:customer' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') FROM orders
+  UNION ALL SELECT 'Customer:customer' || printf('%09d', c_custkey), 'IN_NATION', 'Nation:nation' || c_nationkey FROM customer
+  UNION ALL SELECT 'Supplier:supplier' || printf('%09d', s_suppkey), 'IN_NATION', 'Nation:nation' || s_nationkey FROM supplier
+  UNION ALL SELECT 'Order:order' || o_orderkey, 'PLACED_BY', 'Customer:customer' || printf('%09d', o_custkey) FROM orders
   UNION ALL SELECT DISTINCT 'Order:order' || l_orderkey, 'CONTAINS', 'Part:part' || l_partkey FROM lineitem
-  UNION ALL SELECT DISTINCT 'Part:part' || l_partkey, 'SUPPLIED_BY', 'Supplier:supplier' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') FROM lineitem)"""
+  UNION ALL SELECT DISTINCT 'Part:part' || l_partkey, 'SUPPLIED_BY', 'Supplier:supplier' || printf('%09d', l_suppkey) FROM lineitem)"""
 ALIASES = f"""aliases AS (SELECT DISTINCT {KEY.format('surface')} AS alias_key, type, id FROM (
   SELECT id, type, name AS surface FROM nodes UNION ALL SELECT id, type, alias FROM nodes WHERE alias IS NOT NULL))"""
 REFERENCES = """references_ AS (SELECT o_orderkey AS ref_id, coalesce(CASE o_orderkey % 5 WHEN 0 THEN 'Order: ORDER-' || o_orderkey
     WHEN 1 THEN 'Part:' || upper(p_name[1:1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1:1]) || split_part(p_name, ' ', 2)[2:]
-    WHEN 2 THEN 'customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') WHEN 3 THEN p_name ELSE 'nothing ' || o_orderkey END,
+    WHEN 2 THEN 'customer#' || printf('%09d', o_custkey) WHEN 3 THEN p_name ELSE 'nothing ' || o_orderkey END,
     'Order:order ' || o_orderkey) AS ref FROM orders LEFT JOIN part ON o_orderkey = p_partkey)"""
 RESOLVED = f"""{NODES}, {ALIASES}, {REFERENCES}, typed AS (SELECT ref_id, ref, n.id AS canonical, a.id AS alias FROM (SELECT *, split_part(ref, ':', 1) AS t,
       {KEY.format("trim(substr(ref, instr(ref, ':') + 1))")} AS k FROM references_ WHERE contains(ref, ':')) x
@@ -166,7 +166,7 @@ def records(spark, sf):
         F.lit(None).cast("string").alias("valid_from"), F.lit(None).cast("string").alias("valid_to"), F.lit(None).cast("timestamp").alias("seen_at"),
         (F.array(*es) if es else F.array().cast(edge)).cast(edge).alias("edges"))
     k, rest = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 10
-    buyer = F.concat(F.lit("Customer:Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    buyer = F.concat(F.lit("Customer:Customer#"), F.format_string("%09d", "o_custkey"))
     rel = F.when(rest == 1, "SHIPPED_TO").otherwise("CONTAINS")
     to = F.when(rest.isin(1, 2), buyer).when(rest == 3, F.concat(F.lit("Part:lost "), k)).otherwise(
         F.concat(F.lit("Part:Part-"), (F.col("o_orderkey") % 200).cast("string")))
@@ -183,7 +183,7 @@ def ingested(spark, sf):
     return upsert.ingest(records(spark, sf), empty_n, empty_e, gv.ONTOLOGY, strict=False)
 
 
-BUYER = "lpad(CAST(o_custkey AS VARCHAR), 9, '0')"
+BUYER = "printf('%09d', o_custkey)"
 
 
 @query("ingest_errors", f"""SELECT 'vendor file' AS source, NULL AS item, NULL AS rel, 'Vendor' AS target, 'unknown_type' AS error
@@ -205,7 +205,7 @@ def _ingest_edges(spark, sf):
     CASE o_orderkey % 4 WHEN 0 THEN 'domain' WHEN 1 THEN 'endpoint_not_found' ELSE 'added' END AS outcome FROM orders""")
 def _add_edges(spark, sf):
     o, k = table(spark, sf, "orders"), F.col("o_orderkey")
-    buyer = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    buyer = F.concat(F.lit("Customer#"), F.format_string("%09d", "o_custkey"))
     wanted = o.select(F.concat(F.lit("order "), k.cast("string")).alias("src_ref"), F.when(k % 4 == 0, "IN_NATION").otherwise("PLACED_BY").alias("rel"),
                       F.when(k % 4 == 1, F.concat(F.lit("nobody "), k.cast("string"))).otherwise(buyer).alias("dst_ref"))
     empty = g.as_edges(spark.createDataFrame([], "src string"))
@@ -226,7 +226,7 @@ def _delete_edges(spark, sf):
     return g.delete_edges(e, e.filter(F.col("rel").isin("CONTAINS", "SUPPLIED_BY"))).select("src", "rel", "dst")
 
 
-@query("neighbours", f"""WITH {EDGES}, ids AS (SELECT 'Customer:customer' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS id FROM customer)
+@query("neighbours", f"""WITH {EDGES}, ids AS (SELECT 'Customer:customer' || printf('%09d', c_custkey) AS id FROM customer)
   SELECT id, 'out' AS dir, rel, dst AS other FROM ids JOIN edges ON src = id UNION ALL SELECT id, 'in', rel, src FROM ids JOIN edges ON dst = id""")
 def _neighbours(spark, sf):
     ids = gv.nodes(spark, sf).filter("type = 'Customer'")
@@ -372,7 +372,7 @@ def _siblings(spark, sf):
     return serve.siblings(last, gv.edges(spark, sf), "CONTAINS", active)
 
 
-PAIRS = "pairs AS (SELECT 'Customer:customer' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS a, 'Part:part' || c_custkey % (SELECT count(*) FROM part) AS b FROM customer)"
+PAIRS = "pairs AS (SELECT 'Customer:customer' || printf('%09d', c_custkey) AS a, 'Part:part' || c_custkey % (SELECT count(*) FROM part) AS b FROM customer)"
 
 
 @query("shortest_paths", f"""WITH {EDGES}, {PAIRS}, adj AS (SELECT src AS u, dst AS v FROM edges UNION SELECT dst, src FROM edges),

@@ -54,7 +54,7 @@ def order_id(key) -> Column:
 
 
 def numbered_id(type_: str, key) -> Column:
-    return _id(type_, F.concat(F.lit(type_.lower()), F.lpad(F.col(key).cast("string"), 9, "0")))
+    return _id(type_, F.concat(F.lit(type_.lower()), F.format_string("%09d", F.col(key).cast("bigint"))))
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,7 +178,7 @@ def references(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select("p_partkey", "p_name")
     shape, k = F.col("o_orderkey") % 5, F.col("o_orderkey").cast("string")
     ref = (F.when(shape == 0, F.concat(F.lit("Order: ORDER-"), k)).when(shape == 1, F.concat(F.lit("Part:"), F.initcap("p_name")))
-           .when(shape == 2, F.concat(F.lit("customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")))
+           .when(shape == 2, F.concat(F.lit("customer#"), F.format_string("%09d", "o_custkey")))
            .when(shape == 3, F.col("p_name")).otherwise(F.concat(F.lit("nothing "), k)))
     return o.join(p, F.col("o_orderkey") == F.col("p_partkey"), "left").select(
         F.col("o_orderkey").alias("ref_id"), F.coalesce(ref, F.concat(F.lit("Order:order "), k)).alias("ref"))

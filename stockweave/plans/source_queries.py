@@ -66,7 +66,7 @@ def _masked_nodes(spark, sf):
 
 
 @query("masked_edges", """SELECT 'Order:order' || l_orderkey AS src, 'Part:part' || l_partkey AS dst, CAST(CAST(sum(l_quantity) AS BIGINT) AS VARCHAR) AS units FROM lineitem GROUP BY l_orderkey, l_partkey
-  UNION ALL SELECT DISTINCT 'Part:part' || l_partkey, 'Supplier:supplier' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0'), NULL FROM lineitem""")
+  UNION ALL SELECT DISTINCT 'Part:part' || l_partkey, 'Supplier:supplier' || printf('%09d', l_suppkey), NULL FROM lineitem""")
 def _masked_edges(spark, sf):
     e = gv.edges(spark, sf).filter(F.col("rel").isin("CONTAINS", "SUPPLIED_BY")).withColumn(
         "attrs", F.when(F.col("rel") == "SUPPLIED_BY", F.create_map(F.lit("units"), F.lit("secret"))).otherwise(F.col("attrs")))

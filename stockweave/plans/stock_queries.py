@@ -93,10 +93,10 @@ def available(spark, sf):
     return od.available_to_promise(product_stock(spark, sf), sold(spark, sf))
 
 
-def decisions(spark, sf, hot_lines=allocate.HOT_LINES):
+def decisions(spark, sf):
     from stockweave.functions.runtime import materialize
     lots = materialize(allocate.fefo_lots(lot_stock(spark, sf)), "fefo")
-    return allocate.decide_lines(due_lines(spark, sf), lots, v.sale_references(spark, sf), hot_lines), lots
+    return allocate.decide_lines(due_lines(spark, sf), lots, v.sale_references(spark, sf)), lots
 
 
 @query("stock_on_hand", f"WITH {STOCK} SELECT sku, name, status, on_hand, n_lots FROM stock")
