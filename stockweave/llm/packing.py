@@ -184,9 +184,8 @@ def _pieces(batches, vocabulary: str, size: int, end: int):
     task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
     coder = tokens.encoder(vocabulary)
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for lo, hi in tokens.slices(texts):
-            flat, counts = coder.encode(texts[lo:hi])
+        for lo, hi, texts in tokens.runs(batch.column("text")):
+            flat, counts = coder.encode(texts)
             own = counts + 1  # with the end id
             ends = np.cumsum(own)
             ids = np.full(int(ends[-1]), end, np.uint32)

@@ -6,8 +6,8 @@ and the few that need more are stored whole in an exception list. ``index`` hold
 block can be decoded by itself. Documents are dealt out by ranges of doc_id, so that the tables's shards in order hold the corpus in order; the place
 of a shard's first id is a prefix sum over one row for each shard.
 
-Block: u4 minimum, u1 width, u1 0, u2 number of ids, u2 number of exceptions, u2 0, packed low bits (width * 256 / 8 bytes),
-exceptions (u1 place, padded to even), u4 differences. All little-endian.
+Block: u4 minimum, u1 width, u1 0, u2 number of ids, u2 number of exceptions, u2 0; the differences' low bits (width * 256 / 8 bytes: first the whole
+bytes, lowest first, 256 each, then the bits that are left, packed); exceptions: u1 place each, padded to even, u4 difference each. All little-endian.
 """
 
 from __future__ import annotations
@@ -36,31 +36,42 @@ def encode_blocks(ids: np.ndarray, percent: int = PERCENT) -> tuple[bytes, np.nd
     grid = grid.reshape(blocks, BLOCK)
     least = grid.min(axis=1)
     grid -= least[:, None]
-    at = np.sort(grid, axis=1)[:, -(-BLOCK * percent // 100) - 1]
+    k = -(-BLOCK * percent // 100) - 1
+    at = np.partition(grid, k, axis=1)[:, k]
     width = np.where(at > 0, np.frexp(at.astype(np.float64))[1], 0).astype(np.uint8)
-    over = (grid.astype(np.uint64) >> width[:, None]) > 0
+    over = grid > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     n_exc = over.sum(axis=1)
-    sizes = HEAD.itemsize + width.astype(np.int64) * (BLOCK // 8) + n_exc + n_exc % 2 + 4 * n_exc
+    body = HEAD.itemsize + width.astype(np.int64) * (BLOCK // 8)
+    sizes = body + n_exc + n_exc % 2 + 4 * n_exc
     starts = np.cumsum(sizes) - sizes
     out = np.zeros(int(sizes.sum()), np.uint8)
     head = np.zeros(blocks, HEAD)
     head["least"], head["width"], head["n"], head["n_exc"] = least, width, np.minimum(BLOCK, n - np.arange(blocks) * BLOCK), n_exc
     out[starts[:, None] + np.arange(HEAD.itemsize)] = head.view(np.uint8).reshape(blocks, -1)
-    for w in np.unique(width):  # at most 33 widths
+    planes = np.ascontiguousarray(grid.astype("<u4").view(np.uint8).reshape(blocks, BLOCK, 4).transpose(2, 0, 1))
+    for w in np.unique(width).tolist():  # at most 33 widths
         rows = np.nonzero(width == w)[0]
-        if w:
-            bits = np.unpackbits(grid[rows].astype(">u4").view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2)[:, :, 32 - w:]
-            packed = np.packbits(bits.reshape(len(rows), -1), axis=1)
+        parts = [planes[i][rows] for i in range(w // 8)]
+        if w % 8:
+            bits = np.unpackbits(planes[w // 8][rows].reshape(len(rows), BLOCK, 1), axis=2, bitorder="little")[:, :, :w % 8]
+            parts.append(np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little"))
+        if parts:
+            packed = np.concatenate(parts, axis=1)
             out[starts[rows][:, None] + HEAD.itemsize + np.arange(packed.shape[1])] = packed
-    for b in np.nonzero(n_exc)[0]:
-        places = np.nonzero(over[b])[0]
-        p = int(starts[b]) + HEAD.itemsize + int(width[b]) * (BLOCK // 8)
-        out[p:p + len(places)] = places
-        p += len(places) + len(places) % 2
-        out[p:p + 4 * len(places)] = grid[b, places].astype("<u4").view(np.uint8)
+    block, place, where, values = _exceptions(starts + body, n_exc, over)
+    out[where] = place
+    out[values[:, None] + np.arange(4)] = grid[block, place].astype("<u4").view(np.uint8).reshape(-1, 4)
     return out.tobytes(), starts.astype(np.uint32)
 
 
+def _exceptions(lists: np.ndarray, n_exc: np.ndarray, over: np.ndarray | None = None):
+    """Block, place (if known), and the bytes of the place and the difference of each exception; ``lists`` is where a block's list begins."""
+    block = np.repeat(np.arange(len(n_exc)), n_exc)
+    number = np.arange(len(block)) - np.repeat(np.cumsum(n_exc) - n_exc, n_exc)
+    values = lists[block] + (n_exc + n_exc % 2)[block] + 4 * number
+    return block, None if over is None else np.nonzero(over)[1], lists[block] + number, values
+
+
 def decode_blocks(payload: bytes, starts: np.ndarray) -> np.ndarray:
     """The ids of the blocks that start there."""
     data, starts = np.frombuffer(payload, np.uint8), starts.astype(np.int64)
@@ -68,19 +79,20 @@ def decode_blocks(payload: bytes, starts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint32)
     head = data[starts[:, None] + np.arange(HEAD.itemsize)].copy().view(HEAD).reshape(-1)
     width = head["width"]
-    grid = np.zeros((len(starts), BLOCK), np.uint32)
-    for w in np.unique(width):
-        if w:
-            rows = np.nonzero(width == w)[0]
-            packed = data[starts[rows][:, None] + HEAD.itemsize + np.arange(int(w) * (BLOCK // 8))]
-            wide = 16 if w <= 16 else 32
-            bits = np.zeros((len(rows), BLOCK, wide), np.uint8)
-            bits[:, :, wide - w:] = np.unpackbits(packed, axis=1).reshape(len(rows), BLOCK, w)
-            grid[rows] = np.packbits(bits, axis=2).view(f">u{wide // 8}").reshape(len(rows), BLOCK)
-    for b in np.nonzero(head["n_exc"])[0]:
-        k = int(head["n_exc"][b])
-        p = int(starts[b]) + HEAD.itemsize + int(width[b]) * (BLOCK // 8)
-        grid[b, data[p:p + k]] = data[p + k + k % 2:p + k + k % 2 + 4 * k].copy().view("<u4")
+    planes = np.zeros((4, len(starts), BLOCK), np.uint8)
+    for w in np.unique(width).tolist():
+        rows = np.nonzero(width == w)[0]
+        packed = data[starts[rows][:, None] + HEAD.itemsize + np.arange(w * (BLOCK // 8))]
+        for i in range(w // 8):
+            planes[i][rows] = packed[:, i * BLOCK:(i + 1) * BLOCK]
+        if w % 8:
+            bits = np.zeros((len(rows), BLOCK, 8), np.uint8)
+            bits[:, :, :w % 8] = np.unpackbits(packed[:, w // 8 * BLOCK:], axis=1, bitorder="little").reshape(len(rows), BLOCK, w % 8)
+            planes[w // 8][rows] = np.packbits(bits, axis=2, bitorder="little")[:, :, 0]
+    grid = np.ascontiguousarray(planes.transpose(1, 2, 0)).view("<u4")[:, :, 0].copy()
+    n_exc = head["n_exc"].astype(np.int64)
+    block, _, where, values = _exceptions(starts + HEAD.itemsize + width.astype(np.int64) * (BLOCK // 8), n_exc)
+    grid[block, data[where]] = data[values[:, None] + np.arange(4)].copy().view("<u4")[:, 0]
     grid += head["least"][:, None]
     return grid.reshape(-1)[(np.arange(BLOCK) < head["n"][:, None]).reshape(-1)]
 
@@ -108,9 +120,8 @@ def _chunks(batches, vocabulary: str, end: int, percent: int):
         return row
 
     for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for lo, hi in tokens.slices(texts, 1_000_000):
-            flat, counts = coder.encode(texts[lo:hi])
+        for lo, _, texts in tokens.runs(batch.column("text")):
+            flat, counts = coder.encode(texts)
             own = counts + 1
             ends = np.cumsum(own)
             full = np.full(int(ends[-1]), end, np.uint32)

@@ -14,9 +14,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"  # a name known to public_tokenizers.path, or a path
-CACHE_CHUNKS = 600_000  # distinct chunks a worker keeps; then it starts anew, which changes no result
+CACHE_CHUNKS = 400_000  # distinct chunks a worker keeps; then those that were not met again are forgotten, which changes no result
 
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -56,6 +57,15 @@ class Encoder:
         self.ids = np.zeros(1 << 16, np.uint32 if self.wide else np.uint16)
         self.ends = np.zeros(1 << 14, np.int64)
         self.known, self.used = 0, 0
+        self.again = np.zeros(1 << 14, bool)  # chunks that a later call met again
+
+    def forget(self) -> None:
+        """Keep the chunks that were met again, if they are less than half of the cache."""
+        kept = [c for c, code in self.codes.items() if self.again[code]]
+        each = [self.known_ids(c) for c in kept] if 2 * len(kept) < self.limit else []
+        self.clear()
+        if each:
+            self.keep(kept, each)
 
     def keep(self, chunks: list[str], each: list[list[int]]) -> None:
         flat = [i for ids in each for i in ids]
@@ -63,6 +73,7 @@ class Encoder:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.known + len(chunks) > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
         self.ids[self.used:self.used + len(flat)] = flat
         self.ends[self.known:self.known + len(chunks)] = self.used + np.cumsum([len(ids) for ids in each], dtype=np.int64)
         self.codes.update(zip(chunks, range(self.known, self.known + len(chunks))))
@@ -106,13 +117,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.known > self.limit:
-            self.clear()
+            self.forget()
         each = [self.chunks(t) for t in texts]
         every = [c for chunks in each if chunks for c in chunks]
+        before = self.known
         new = set(every).difference(self.codes)
         if new:
             self.learn(new)
         codes = np.fromiter(map(self.codes.__getitem__, every), np.int64, len(every))
+        self.again[codes[codes < before]] = True
         stops = self.ends[codes]
         starts = np.where(codes > 0, self.ends[np.maximum(codes - 1, 0)], 0)
         sizes = stops - starts
@@ -148,13 +161,12 @@ def crc32(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
 
-def slices(texts: list[str], most: int = 4_000_000):
-    """Start and end of runs of texts with about ``most`` characters, so that one call's arrays stay small."""
+def runs(column, most: int = 2_000_000):
+    """Start, end and texts (null: empty) of runs of a column with about ``most`` bytes, so that one call's arrays stay small."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, i
+    for i, n in enumerate([*sizes.tolist(), most]):
+        if i > start and size + n > most:
+            yield start, i, [t or "" for t in column.slice(start, i - start).to_pylist()]
             start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
