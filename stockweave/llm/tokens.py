@@ -165,7 +165,7 @@ def runs(column, most: int = 2_000_000):
     """Start, end and texts (null: empty) of runs of a column with about ``most`` bytes, so that one call's arrays stay small."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start, size = 0, 0
-    for i, n in enumerate([*sizes.tolist(), most]):
+    for i, n in enumerate([*sizes.tolist(), most + 1]):
         if i > start and size + n > most:
             yield start, i, [t or "" for t in column.slice(start, i - start).to_pylist()]
             start, size = i, 0
