@@ -28,7 +28,7 @@ class Fit:
     fit_rows: int = 4096
     dims: int = 48
     neighbours: int = 15
-    sharpness: float = 6.0
+    sharpness: float = 20.0
     shape_weight: float = 3.0
     doubt: float = 0.05  # weight of the labels' mean in a vote
 
