@@ -56,8 +56,11 @@ def stock_lines(product_stock: DataFrame, lot_stock: DataFrame) -> DataFrame:
     return head.unionByName(lots)
 
 
-def next_event_number(ledger: DataFrame, prefix: str = "IE-") -> int:
-    """One more than the largest number among ids like ``IE-0042``; 1 for an empty ledger."""
+def next_event_numbers(ledger: DataFrame, prefix: str = "IE-") -> DataFrame:
+    """One row, next_number: one more than the largest number among ids like ``IE-0042``; 1 for an empty ledger."""
     digits = F.regexp_extract("event_id", f"^{prefix}(\\d+)", 1)
-    top = ledger.agg(F.max(F.when(digits != "", digits.cast("bigint"))).alias("n")).first()["n"]
-    return (top or 0) + 1
+    return ledger.agg((F.coalesce(F.max(F.when(digits != "", digits.cast("bigint"))), F.lit(0)) + 1).alias("next_number"))
+
+
+def next_event_number(ledger: DataFrame, prefix: str = "IE-") -> int:
+    return next_event_numbers(ledger, prefix).first()["next_number"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stockweave.functions.keys import has_type_prefix, norm_key, ref_name, ref_type
+from stockweave.functions.runtime import materialize
 
 
 def _spoken(nodes: DataFrame) -> DataFrame:
@@ -32,21 +33,35 @@ def resolve(refs: DataFrame, nodes: DataFrame, type_col: str = "type", name_col:
     return hit.drop("_key", "alias_key", "_type")
 
 
+def _names(nodes: DataFrame) -> DataFrame:
+    """(id, type, key, rank) of everything a node answers to, in one pass over the nodes: rank 0 for its canonical key, with the type its id
+    begins with, 1 for its name and aliases."""
+    surfaces = F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    one = lambda type_, key, rank: F.struct(type_.alias("type"), key.alias("key"), F.lit(rank).alias("rank"))
+    canonical = one(F.split("id", ":", 2)[0], F.split("id", ":", 2)[1], 0)
+    spoken = F.transform(F.filter(surfaces, lambda x: x != ""), lambda x: one(F.col("type"), norm_key(x), 1))
+    return nodes.select("id", F.explode(F.concat(F.array(canonical), spoken)).alias("n")).select("id", "n.*")
+
+
 def resolve_any(refs: DataFrame, nodes: DataFrame, ref_col: str = "ref") -> DataFrame:
     """Resolve ``Type:Name`` or bare names; adds node_id, n_matches and status (found, not_found, ambiguous).
 
-    A bare name is looked up over all types and must match one node. The matches of a key are counted before
-    the join, so a name shared by many nodes costs one row; :func:`candidates_of` lists them.
+    A bare name is looked up over all types and must match one node. All matches of a key are one row of a lookup table, typed and
+    bare alike, so a name shared by many nodes costs one row, the nodes are read once and the references are joined once; :func:`candidates_of`
+    lists the nodes of an ambiguous name. A null reference is not found.
     """
-    has_type = F.coalesce(has_type_prefix(ref_col), F.lit(False))  # a null reference is looked up as a bare name and not found
-    typed = refs.filter(has_type).withColumns({"_t": ref_type(ref_col), "_n": ref_name(ref_col)})
-    typed = resolve(typed, nodes, "_t", "_n").drop("_t", "_n").withColumn("n_matches", F.when(F.col("node_id").isNull(), 0).otherwise(1))
-    per_key = alias_index(nodes).groupBy("alias_key").agg(F.count("*").alias("n_matches"), F.min("id").alias("_id"))
-    bare = refs.filter(~has_type).withColumn("alias_key", norm_key(ref_col)).join(per_key, "alias_key", "left")
-    bare = bare.withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
-    bare = bare.withColumn("node_id", F.when(F.col("n_matches") == 1, F.col("_id"))).drop("alias_key", "_id")
+    names = materialize(_names(nodes), "names")
+    typed = names.groupBy(F.col("type").alias("_type"), F.col("key").alias("_key")).agg(F.min(F.struct("rank", "id"))["id"].alias("node_id"))
+    bare = (names.filter("rank = 1").select(F.col("key").alias("_key"), "type", "id").distinct().groupBy("_key")
+            .agg(F.count("*").alias("n_matches"), F.min("id").alias("_id")))
+    lookup = typed.withColumn("n_matches", F.lit(1).cast("bigint")).unionByName(
+        bare.select(F.lit("").alias("_type"), "_key", F.when(F.col("n_matches") == 1, F.col("_id")).alias("node_id"), "n_matches"))
+    has_type = F.coalesce(has_type_prefix(ref_col), F.lit(False))
+    keyed = refs.withColumns({"_type": F.when(has_type, ref_type(ref_col)).otherwise(""),
+                              "_key": norm_key(F.when(has_type, ref_name(ref_col)).otherwise(F.col(ref_col)))})
+    hit = keyed.join(lookup, ["_type", "_key"], "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
     status = F.when(F.col("n_matches") == 0, "not_found").when(F.col("n_matches") == 1, "found").otherwise("ambiguous")
-    return bare.unionByName(typed.withColumn("n_matches", F.col("n_matches").cast("bigint"))).withColumn("status", status)
+    return hit.withColumn("status", status).select(*refs.columns, "node_id", "n_matches", "status")
 
 
 def candidates_of(refs: DataFrame, nodes: DataFrame, ref_col: str = "ref") -> DataFrame:

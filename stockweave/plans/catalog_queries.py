@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stockweave.functions.runtime import materialize
 from stockweave.functions.text import fold
 from stockweave.operators import catalog as c
 from stockweave.plans import views as v
@@ -89,13 +90,12 @@ def items(spark, sf):
     return c.catalog_snapshot(products(spark, sf), contains(spark, sf), components(spark, sf), product_stock(spark, sf))
 
 
-def remote(spark, sf):
-    """The catalogue as a platform holds it: some items missing, some changed, some left over, one key twice."""
+def remote(old):
+    """The catalogue ``old`` as a platform holds it: some items missing, some changed, some left over, one key twice."""
     k = F.col("sku").cast("bigint")
-    kept = items(spark, sf).filter(k % 10 != 0).withColumns({
+    kept = old.filter(k % 10 != 0).withColumns({
         "price_usd": F.when(k % 7 == 0, F.col("price_usd") + 1).otherwise(F.col("price_usd")), "name": F.when(k % 11 != 0, F.col("name")),
         "external_id": F.concat(F.lit("r"), "sku"), "seq": F.lit(2)})
-    old = items(spark, sf)
     left = old.filter(k % 100 == 0).withColumns({"sku": F.concat(F.lit("old-"), "sku"), "seq": F.lit(1)})
     stale = old.filter(k % 17 == 3).filter(k % 10 != 0).withColumns({"name": F.lit("stale"), "seq": F.lit(1)})
     return kept.unionByName(left).unionByName(stale)
@@ -124,13 +124,15 @@ def _snapshot(spark, sf):
 
 @query("catalog_diff", f"WITH {DIFF} SELECT * FROM diff")
 def _diff(spark, sf):
-    return c.catalog_diff(items(spark, sf), remote(spark, sf)).select("sku", "action")
+    local = materialize(items(spark, sf), "items")
+    return c.catalog_diff(local, remote(local)).select("sku", "action")
 
 
 @query("plan_changes", f"""WITH {DIFF} SELECT sku, 'price_usd' AS field, round(price_usd + 1, 2) AS old_value, round(price_usd, 2) AS new_value FROM items WHERE k % 10 <> 0 AND k % 7 = 0
   UNION ALL SELECT sku, 'name', NULL, NULL FROM items WHERE k % 10 <> 0 AND k % 11 = 0""")
 def _changes(spark, sf):
-    rows = c.plan_changes(c.catalog_diff(items(spark, sf), remote(spark, sf)))
+    local = materialize(items(spark, sf), "items")
+    rows = c.plan_changes(c.catalog_diff(local, remote(local)))
     number = lambda x: F.round(F.when(F.col("field") == "price_usd", F.col(x).cast("double")), 2)
     return rows.select("sku", "field", number("old").alias("old_value"), number("new").alias("new_value"))
 
@@ -149,9 +151,9 @@ APPLY = f"""WITH {DIFF} SELECT sku, {{0}} AS external_id, price_usd, name FROM i
 
 
 def applied(spark, sf, **how):
-    r = remote(spark, sf)
+    local = materialize(items(spark, sf), "items")
+    r = remote(local)
     r = r.groupBy("sku").agg(F.max_by(F.struct(*[x for x in r.columns if x not in ("sku", "seq")]), "seq").alias("r")).select("sku", "r.*")
-    local = items(spark, sf)
     return c.apply_plan(r, local, c.catalog_diff(local, r), **how).select("sku", "external_id", "price_usd", "name")
 
 

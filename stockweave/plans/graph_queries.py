@@ -390,10 +390,10 @@ def _paths(spark, sf):
 
 
 ADMIT = f"""{NODES}, {ALIASES}, t AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS k, l_linenumber AS n FROM lineitem),
-  recognised AS (SELECT DISTINCT c, 'Part:part ' || k AS ref FROM t WHERE n <> 7 UNION SELECT c, 'Order:order ' || c FROM t),
+  recognised AS MATERIALIZED (SELECT DISTINCT c, 'Part:part ' || k AS ref FROM t WHERE n <> 7 UNION SELECT c, 'Order:order ' || c FROM t),
   rels AS (SELECT DISTINCT c AS chunk_id, CASE WHEN n = 5 THEN 'Part:part ' || k ELSE 'Order:order ' || c END AS src, CASE WHEN n = 6 THEN 'SHIPS' ELSE 'CONTAINS' END AS rel,
     CASE n WHEN 5 THEN 'Order:order ' || c WHEN 4 THEN 'Part:part ' || (k + 1000000) ELSE 'Part:part ' || k END AS dst FROM t),
-  judged AS (SELECT r.*, CASE WHEN s.ref IS NULL OR d.ref IS NULL THEN 'unrecognised' WHEN rel = 'SHIPS' THEN 'unknown_relation' WHEN r.src[1:5] = 'Part:' THEN 'domain' END AS reason
+  judged AS MATERIALIZED (SELECT r.*, CASE WHEN s.ref IS NULL OR d.ref IS NULL THEN 'unrecognised' WHEN rel = 'SHIPS' THEN 'unknown_relation' WHEN r.src[1:5] = 'Part:' THEN 'domain' END AS reason
     FROM rels r LEFT JOIN recognised s ON s.c = chunk_id AND s.ref = src LEFT JOIN recognised d ON d.c = chunk_id AND d.ref = dst),
   staged AS (SELECT 'node' AS kind, c AS chunk_id, split_part(ref, ':', 1) AS type, split_part(ref, ':', 2) AS canonical, replace(ref, ' ', '') AS resolved_to, NULL AS src, NULL AS rel, NULL AS dst FROM recognised
     UNION ALL SELECT 'edge', chunk_id, NULL, NULL, NULL, src, rel, dst FROM judged WHERE reason IS NULL)"""

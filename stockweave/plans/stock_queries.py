@@ -152,11 +152,11 @@ def _outcomes(spark, sf):
 
 
 @query("next_event_number", f"""{DECIDE}, numbered AS (SELECT printf('IE-%04d', row_number() OVER (ORDER BY created_at, order_id, sku, fefo_rank)) AS event_id FROM parts)
-  SELECT CAST(max(CAST(regexp_extract(event_id, 'IE-([0-9]+)', 1) AS BIGINT)) + 1 AS BIGINT) AS next_number FROM numbered""")
+  SELECT CAST(coalesce(max(CAST(regexp_extract(event_id, 'IE-([0-9]+)', 1) AS BIGINT)), 0) + 1 AS BIGINT) AS next_number FROM numbered""")
 def _next_number(spark, sf):
     d, lots = decisions(spark, sf)
     events = allocate.sale_events(allocate.sale_parts(d, lots))
-    return events.select(F.lit(0)).limit(1).select(F.lit(lg.next_event_number(events)).cast("bigint").alias("next_number"))
+    return lg.next_event_numbers(events)
 
 
 MARK = f"""WITH {SHOP}, {REFS}, f AS (SELECT order_id, bool_and(status='paid') AS p, bool_and(status='refunded') AS rf,

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -54,12 +56,11 @@ def read_records(spark: SparkSession, path: str, format: str = "json") -> DataFr
     """Items of all documents with defaults applied and a global ``seq``: files by name, then place in the file.
 
     An item's source and confidence override its document's, an edge's override its item's. A document without
-    ``type`` or ``items`` is an error.
+    ``type`` or ``items`` ends the job with an error that names its file.
     """
     docs = read_documents(spark, path, format)
-    bad = docs.filter(F.col("type").isNull() | F.col("items").isNull()).select("file").limit(1).collect()
-    if bad:
-        raise ValueError(f"{bad[0]['file']}: a document needs 'type' and 'items'")
+    fault = F.raise_error(F.concat("file", F.lit(": a document needs 'type' and 'items'")))
+    docs = docs.withColumn("items", F.when(F.col("type").isNull() | F.col("items").isNull(), fault.cast(docs.schema["items"].dataType)).otherwise(F.col("items")))
     i = docs.select("file", "block", "line", "type", F.coalesce("source", F.element_at(F.split("file", "/"), -1)).alias("source"),
                     F.coalesce("confidence", F.lit(DEFAULT_CONFIDENCE)).alias("confidence"), F.posexplode("items").alias("pos", "i"))
     edge = lambda e: F.struct(e["rel"].alias("rel"), e["to"].alias("to"), json_map(e["attrs"]).alias("attrs"), e["source"].alias("source"),
@@ -70,4 +71,10 @@ def read_records(spark: SparkSession, path: str, format: str = "json") -> DataFr
         F.coalesce("i.aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce("i.source", "source").alias("source"),
         F.coalesce("i.confidence", "confidence").alias("confidence"), F.col("i.valid_from").alias("valid_from"), F.col("i.valid_to").alias("valid_to"),
         F.current_timestamp().alias("seen_at"), F.transform(F.coalesce("i.edges", F.array().cast(f"array<{EDGE}>")), edge).alias("edges"))
-    return number_rows(flat, ["file", "block", "line", "pos"], "seq", 0).drop("file", "block", "line", "pos")
+    try:
+        return number_rows(flat, ["file", "block", "line", "pos"], "seq", 0).drop("file", "block", "line", "pos")
+    except PySparkException as e:
+        named = re.search(r"\S+: a document needs 'type' and 'items'", str(e))
+        if named:
+            raise ValueError(named[0]) from e
+        raise
