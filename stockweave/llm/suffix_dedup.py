@@ -33,6 +33,16 @@ BUCKET = 6 << 20  # bytes of text for each bucket
 NO_ID = np.iinfo(np.int64).min  # stands for a null id, which is smaller than all
 
 
+def squeeze(data: bytes, level: int = 3) -> bytes:
+    """Compressed, with the size in front."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(data, asbytes=True)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
     """Spread the bits of 64-bit numbers."""
     x = (x ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
@@ -72,8 +82,8 @@ def grams(data: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarra
 class Page:
     """A page's documents and its grams, the same each time it is read."""
 
-    def __init__(self, blob: bytes, size: int, ids: np.ndarray, lengths: np.ndarray):
-        self.data = np.frombuffer(pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True) if size else b"", np.uint8)
+    def __init__(self, blob: bytes, ids: np.ndarray, lengths: np.ndarray):
+        self.data = np.frombuffer(unsqueeze(blob), np.uint8)
         self.ids, self.ends = ids, np.cumsum(lengths)
         self.places = grams(self.data, self.ends)
         four = self.data[self.places[:, None] + np.arange(GRAM)].view("<u8") if len(self.places) else np.zeros((0, 4), np.uint64)
@@ -134,7 +144,7 @@ def _pages(batches):
         return pa.RecordBatch.from_arrays([
             pa.array([(task << 32) + number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, pa.int64())),
             pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([len(joined)], pa.int64()),
-            pa.array([pa.compress(joined, codec="zstd", asbytes=True) if joined else b""], pa.binary())], names)
+            pa.array([squeeze(joined, 6)], pa.binary())], names)
 
     ids, texts, held = [], [], 0
     for batch in batches:
@@ -153,7 +163,7 @@ def _pages(batches):
 def _page(batch, row: int) -> Page:
     get = lambda name: batch.column(name)[row]
     ids = np.array([NO_ID if i is None else i for i in get("ids").as_py()], np.int64)
-    return Page(get("blob").as_py(), get("size").as_py(), ids, np.asarray(get("lengths").values, np.int64))
+    return Page(get("blob").as_py(), ids, np.asarray(get("lengths").values, np.int64))
 
 
 def _rows(page: int, parts, names):
@@ -202,7 +212,7 @@ def _sent(batches, n: int):
             _, _, rows, lo, hi, least, which = page.surroundings(shared)
             found, first = np.unique(buckets[which], return_index=True)
             ends = np.append(first[1:], len(which))
-            parts = [(int(b), rows[x:y].tobytes(), np.stack([lo[x:y], hi[x:y]]).tobytes(), least[x:y].tobytes()) for b, x, y in zip(found, first, ends)]
+            parts = [(int(b), squeeze(rows[x:y].tobytes()), squeeze(np.stack([lo[x:y], hi[x:y]]).tobytes()), squeeze(least[x:y].tobytes())) for b, x, y in zip(found, first, ends)]
             if parts:
                 yield _rows(batch.column("page")[i].as_py(), parts, ["bucket", "page", "rows", "bounds", "ids"])
 
@@ -237,12 +247,11 @@ def first_ids(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray)
 
 def _covered(table: pa.Table) -> pa.Table:
     """For one bucket: for each row of each page the starts, as bits, whose string begins in a document before the row's first."""
-    joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    ids = joined("ids", np.int64)
-    sizes = np.array([len(b) // 8 for b in table.column("ids").to_pylist()], np.int64)
-    bounds = [np.frombuffer(b, np.uint8).reshape(2, -1) for b in table.column("bounds").to_pylist()]
-    lo, hi = np.concatenate(bounds, axis=1).astype(np.int64)
-    earlier = first_ids(joined("rows", np.uint8).reshape(-1, AROUND), lo, hi, ids) < ids[:, None]
+    blobs = lambda name, kind: [np.frombuffer(unsqueeze(b), kind) for b in table.column(name).to_pylist()]
+    each = blobs("ids", np.int64)
+    sizes, ids = np.array([len(x) for x in each], np.int64), np.concatenate(each)
+    lo, hi = np.concatenate([b.reshape(2, -1) for b in blobs("bounds", np.uint8)], axis=1).astype(np.int64)
+    earlier = first_ids(np.concatenate(blobs("rows", np.uint8)).reshape(-1, AROUND), lo, hi, ids) < ids[:, None]
     masks = (earlier << np.arange(STEP)).sum(axis=1).astype("<u4")
     parts = np.split(masks, np.cumsum(sizes)[:-1])
     return pa.table([table.column("bucket"), table.column("page"), pa.array([p.tobytes() for p in parts], pa.binary())], names=["bucket", "page", "masks"])
