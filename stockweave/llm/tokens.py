@@ -12,16 +12,19 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"  # a name known to public_tokenizers.path, or a path
-CACHE_CHUNKS = 400_000  # distinct chunks a worker keeps; then those that were not met again are forgotten, which changes no result
+CACHE_CHUNKS = 700_000  # distinct chunks a worker keeps; then those that were not met again are forgotten, which changes no result
 
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_WORD = re.compile("( [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")  # one piece of the pattern, then at most one more
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!-&(-/:-@\\[-`{-~"  # no apostrophe: it can begin a contraction
+_PIECE = re.compile(f" ?[{_LETTERS}]++| ?[{_MARKS}]++|\n(?=\\S)")  # what the splitting pattern gives for these characters
+_PLAIN = re.compile(f"(?:{_PIECE.pattern})++")
 _NOT_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python only
 
 
@@ -85,26 +88,22 @@ class Encoder:
         return self.ids[self.ends[code - 1] if code else 0:self.ends[code]].tolist()
 
     def learn(self, new: set[str]) -> None:
-        """Encode new chunks: plain words by the merges alone, as nothing splits them; all others by the whole tokenizer."""
-        plain, marked, other = set(), [], []
+        """Encode new chunks: pieces of Latin letters or of ASCII marks by the merges alone, as nothing splits them; all others by the whole tokenizer."""
+        pieces, joined, other = set(), [], []
         for c in new:
-            m = _WORD.fullmatch(c)
-            if m is None:
-                other.append(c)
-            elif m[2]:
-                marked.append((c, m[1], m[2]))
-                plain.add(m[1])
+            if _PLAIN.fullmatch(c):
+                parts = _PIECE.findall(c)
+                pieces.update(parts)
+                if len(parts) > 1:
+                    joined.append((c, parts))
             else:
-                plain.add(c)
-        other += {mark for _, _, mark in marked if mark not in new} - self.codes.keys()
-        words = list(plain - self.codes.keys())
+                other.append(c)
+        pieces = list(pieces.difference(self.codes))
         merges, table = self.tokenizer.model.tokenize, self.table
-        self.keep(words, [[t.id for t in merges(w.encode().decode("latin-1").translate(table))] for w in words])
+        self.keep(pieces, [[t.id for t in merges(w.encode().decode("latin-1").translate(table))] for w in pieces])
+        self.keep([c for c, _ in joined], [[i for w in parts for i in self.known_ids(w)] for _, parts in joined])
         if other:
-            encoded = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
-            self.keep(other, [e.ids for e in encoded])
-        if marked:
-            self.keep([c for c, _, _ in marked], [self.known_ids(w) + self.known_ids(mark) for _, w, mark in marked])
+            self.keep(other, [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)])
 
     def chunks(self, text: str) -> list[str] | None:
         """The chunks of a text; None if it has to be encoded whole."""
@@ -121,10 +120,11 @@ class Encoder:
         each = [self.chunks(t) for t in texts]
         every = [c for chunks in each if chunks for c in chunks]
         before = self.known
-        new = set(every).difference(self.codes)
-        if new:
-            self.learn(new)
-        codes = np.fromiter(map(self.codes.__getitem__, every), np.int64, len(every))
+        codes = np.fromiter(map(self.codes.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.nonzero(codes < 0)[0].tolist()
+        if missing:
+            self.learn({every[i] for i in missing})
+            codes[missing] = [self.codes[every[i]] for i in missing]
         self.again[codes[codes < before]] = True
         stops = self.ends[codes]
         starts = np.where(codes > 0, self.ends[np.maximum(codes - 1, 0)], 0)
