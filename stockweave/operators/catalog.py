@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stockweave.functions.columns import first_upper, trim_number, truthy
+from stockweave.functions.ordered import number_rows
 from stockweave.functions.text import fold, fold_text
 from stockweave.operators.orders import in_stock, just_in_time
 
@@ -248,8 +249,37 @@ def product_documents(products: DataFrame, contains: DataFrame, components: Data
 
 
 def area_products(documents: DataFrame) -> DataFrame:
-    """(research_area, product slug) rows and, per area, how many there are."""
-    return documents.filter(F.col("research_area").isNotNull()).groupBy("research_area").agg(F.count("*").alias("n_products"), F.min("slug").alias("first_slug"))
+    """(research_area, slug, position): the products of each area, numbered from 1 by name. Numbered over the whole table, so an area of any size is
+    spread over tasks."""
+    rows = documents.filter(F.col("research_area").isNotNull()).select("research_area", "name", "product_id", "slug")
+    placed = number_rows(rows, ["research_area", "name", "product_id"], "_n")
+    first = placed.groupBy("research_area").agg(F.min("_n").alias("_first"))
+    return placed.join(first, "research_area").select("research_area", "slug", (F.col("_n") - F.col("_first") + 1).alias("position"))
+
+
+def product_lots(products: DataFrame, lots: DataFrame) -> DataFrame:
+    """The lots of each sellable product: product_id, lot_id, expires_on, purity_measured, coa_status."""
+    sellable = products.filter(F.col("status").isin(*SELLABLE)).select("product_id")
+    return lots.join(sellable, "product_id", "left_semi").select("product_id", "lot_id", "expires_on", "purity_measured", "coa_status")
+
+
+def product_certificates(products: DataFrame, lots: DataFrame, links: DataFrame) -> DataFrame:
+    """(product_id, lot_id, path, purity) of each sellable product that has one: the certificate that ``links`` (lot_id, path) ties to its last
+    published lot with a certificate."""
+    held = product_lots(products, lots).filter("coa_status = 'published'").join(links.select("lot_id", "path"), "lot_id")
+    last = held.groupBy("product_id").agg(F.max_by(F.struct("lot_id", "path", F.col("purity_measured").alias("purity")), F.struct("lot_id", "path")).alias("c"))
+    return last.select("product_id", "c.*")
+
+
+def related_products(seeds: DataFrame, products: DataFrame, contains: DataFrame) -> DataFrame:
+    """Distinct (product_id, slug): the active products that share a component with each of the seeds (product_id).
+
+    Only the seeds' components are looked up; for the members of a component as they are, join ``contains`` with the products.
+    """
+    mine = seeds.select("product_id").distinct().join(contains.select("product_id", "component_id"), "product_id")
+    active = products.filter("status = 'active' AND slug IS NOT NULL").select(F.col("product_id").alias("other"), "slug")
+    other = contains.select(F.col("product_id").alias("other"), "component_id").join(active, "other")
+    return mine.join(other, "component_id").filter("other <> product_id").select("product_id", "slug").distinct()
 
 
 def composition_groups(documents: DataFrame) -> DataFrame:

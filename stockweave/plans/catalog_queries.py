@@ -269,11 +269,31 @@ def _flags(spark, sf):
     return c.stock_flags(product_stock(spark, sf)).select("sku", "in_stock", "jit_backorder")
 
 
-@query("area_products", f"WITH {DOCUMENTS} SELECT research_area, count(*) AS n_products, min('p-' || sku) AS first_slug FROM document WHERE research_area IS NOT NULL GROUP BY research_area")
+@query("area_products", f"WITH {DOCUMENTS} SELECT research_area, 'p-' || sku AS slug, row_number() OVER (PARTITION BY research_area ORDER BY name, sku) AS position FROM document WHERE research_area IS NOT NULL")
 def _areas(spark, sf):
     return c.area_products(product_docs(spark, sf))
 
 
+@query("product_lots", f"WITH {STOCK} SELECT sku AS product_id, lot_id, expires_on, CASE WHEN purity_measured IS NULL THEN NULL ELSE 99.1e0 END AS purity_measured, coa_status FROM lot_stock JOIN stock USING (sku) WHERE status IN ('active', 'coming_soon')")
+def _lot_list(spark, sf):
+    return c.product_lots(products(spark, sf), v.lots(spark, sf))
+
+
+@query("product_certificates", f"""WITH {STOCK}, held AS (SELECT sku, lot_id, purity_measured IS NOT NULL AS pure FROM lot_stock JOIN stock USING (sku) WHERE status IN ('active', 'coming_soon') AND coa_status = 'published' AND length(lot_id) % 3 <> 0)
+  SELECT sku AS product_id, max(lot_id) AS lot_id, 'coa/' || max(lot_id) || '.pdf' AS path, CASE WHEN arg_max(pure, lot_id) THEN 99.1e0 END AS purity FROM held GROUP BY sku""")
+def _certificates(spark, sf):
+    lots = v.lots(spark, sf)
+    links = lots.filter(F.length("lot_id") % 3 != 0).select("lot_id", F.concat(F.lit("coa/"), "lot_id", F.lit(".pdf")).alias("path"))
+    return c.product_certificates(products(spark, sf), lots, links)
+
+
+@query("related_products", f"""WITH {PROD}, {MADE} SELECT DISTINCT a.product_id, 'p-' || b.product_id AS slug FROM made a JOIN made b USING (component_id) JOIN prod p ON p.sku = a.product_id JOIN prod o ON o.sku = b.product_id
+  WHERE a.product_id <> b.product_id AND o.status = 'active' AND p.status IN ('active', 'coming_soon')""")
+def _related(spark, sf):
+    p = products(spark, sf)
+    return c.related_products(p.filter(F.col("status").isin(*c.SELLABLE)), p, contains(spark, sf))
+
+
 @query("composition_groups", f"""WITH {DOCUMENTS} SELECT trim(regexp_replace(lower(composition_class), '[^a-z0-9]+', '-', 'g'), '-') AS composition_slug, composition_class, composition_class = 'Laboratory supply' AS supplies,
   count(*) FILTER (category <> 'accessory') AS n_products FROM document GROUP BY composition_class""")
 def _groups(spark, sf):
