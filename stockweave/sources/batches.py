@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def batch_numbers(spark: SparkSession, folder: str) -> list[int]:
@@ -28,6 +30,35 @@ def read_before(spark: SparkSession, folder: str, n: int | None = None) -> DataF
     return spark.read.option("basePath", folder).parquet(*[f"{folder}/batch={b}" for b in numbers])
 
 
+WHOLE_EVERY = 20  # batches after which a carried table is written as a whole
+
+
+def state_parts(spark: SparkSession, folder: str, n: int | None = None) -> list[str]:
+    """The files that hold a carried table before batch ``n``: its last whole copy and the changes since, however many batches went before."""
+    wholes = [b for b in batch_numbers(spark, f"{folder}/whole") if n is None or b < n]
+    since = wholes[-1] if wholes else -1
+    changes = [b for b in batch_numbers(spark, f"{folder}/changes") if b > since and (n is None or b < n)]
+    return [f"{folder}/whole/batch={b}" for b in wholes[-1:]] + [f"{folder}/changes/batch={b}" for b in changes]
+
+
+def read_state(spark: SparkSession, folder: str, key: str, n: int | None = None) -> DataFrame | None:
+    """A carried table before batch ``n`` (or now): the last row of each key; None when there is none."""
+    parts = state_parts(spark, folder, n)
+    if not parts:
+        return None
+    rows = [spark.read.parquet(p).withColumn("_turn", F.lit(i)) for i, p in enumerate(parts)]
+    table = reduce(DataFrame.unionByName, rows)
+    columns = [c for c in table.columns if c not in (key, "_turn")]
+    return table.groupBy(key).agg(F.max_by(F.struct(*columns), "_turn").alias("_r")).select(key, "_r.*")
+
+
+def write_state(changes: DataFrame, folder: str, key: str, n: int, every: int = WHOLE_EVERY) -> None:
+    """Write what batch ``n`` changes; every so many batches also the whole table, so that readers stop reading older changes."""
+    write_batch(changes, f"{folder}/changes", n)
+    if n % every == every - 1:
+        write_batch(read_state(changes.sparkSession, folder, key, n + 1), f"{folder}/whole", n)
+
+
 class SnapshotTable:
     """A table replaced as a whole: each write is a new numbered snapshot, readers take the last complete one."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stockweave.functions.ordered import SLICE_ROWS, Running, running
 from stockweave.functions.runtime import materialize
-from stockweave.sources.batches import read_before, write_batch
+from stockweave.sources.batches import read_before, read_state, write_batch, write_state
 
 # Event type -> order status; other types are stored but change nothing.
 STATUS_OF = {
@@ -153,25 +153,52 @@ def alert_payload(alerts: DataFrame, orders: DataFrame, pickups: DataFrame, tier
 def start_payments(stream: DataFrame, orders: DataFrame, folder: str, trigger: dict | None = None):
     """Run the steps on a stream of (payload, arrival); results are tables under ``folder``.
 
-    ``seen`` holds each event id once; ``moved``, ``paid_by`` and ``alerts`` are logs. ``orders`` is the state before
-    the stream. Read the present state with :func:`read_orders`.
+    ``seen`` holds each event id once, for ever; ``alerts`` is a log. The state of the orders that events touched (status, payment, since which arrival, first
+    alert) is carried from batch to batch, so a batch reads the last whole copy of it and at most some changes, not the history. ``orders`` is the
+    state before the stream. Read the present state with :func:`read_orders`.
     """
     spark = stream.sparkSession
 
     def step(batch: DataFrame, n: int) -> None:
         fresh = first_deliveries(normalize(batch), read_before(spark, f"{folder}/seen", n))
         fresh = write_batch(fresh, f"{folder}/seen", n)
-        before_moved, before_paid = read_before(spark, f"{folder}/moved", n), read_before(spark, f"{folder}/paid_by", n)
-        state = orders if before_moved is None else current_orders(orders, before_moved, before_paid)
-        moved, paid_by = status_changes(state, fresh)
-        moved = write_batch(moved, f"{folder}/moved", n)
-        write_batch(paid_by, f"{folder}/paid_by", n)
-        write_batch(new_alerts(moved, read_before(spark, f"{folder}/alerts", n)), f"{folder}/alerts", n)
+        held = read_state(spark, f"{folder}/orders", "order_id", n)
+        moved, paid_by = status_changes(with_state(orders, held), fresh)
+        changed = materialize(advance(held, moved, paid_by), "order-state")
+        alerts = changed.filter("_alerts").select("order_id", F.lit("paid").alias("kind"), F.col("alert_at").alias("arrival"))
+        write_batch(alerts, f"{folder}/alerts", n)
+        write_state(changed.drop("_alerts"), f"{folder}/orders", "order_id", n)
 
     return (stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/_progress")
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def advance(held: DataFrame | None, moved: DataFrame, paid_by: DataFrame) -> DataFrame:
+    """State rows of the orders that ``moved`` or ``paid_by`` touch: order_id, status, status_at, payment_id, payment_at, alert_at, and whether
+    this is the first alert. A row of an earlier arrival than the held one changes nothing."""
+    m = moved.groupBy("order_id").agg(F.max_by("status", "arrival").alias("s"), F.max("arrival").alias("s_at"), F.min(F.when(F.col("status") == "paid", F.col("arrival"))).alias("alert"))
+    p = paid_by.groupBy("order_id").agg(F.max_by("payment_id", "arrival").alias("p"), F.max("arrival").alias("p_at"))
+    j = m.join(p, "order_id", "full_outer")
+    if held is None:
+        none = F.lit(None)
+        j = j.withColumns({"status": none.cast("string"), "status_at": none.cast("bigint"), "payment_id": none.cast("string"), "payment_at": none.cast("bigint"), "alert_at": none.cast("bigint")})
+    else:
+        j = j.join(held, "order_id", "left")
+    later = lambda new, old: F.col(new).isNotNull() & (F.col(old).isNull() | (F.col(new) > F.col(old)))
+    s, p = later("s_at", "status_at"), later("p_at", "payment_at")
+    pick = lambda c, new, old: F.when(c, F.col(new)).otherwise(F.col(old)).alias(old)
+    return j.select("order_id", pick(s, "s", "status"), pick(s, "s_at", "status_at"), pick(p, "p", "payment_id"), pick(p, "p_at", "payment_at"),
+                    F.coalesce("alert_at", "alert").alias("alert_at"), (F.col("alert_at").isNull() & F.col("alert").isNotNull()).alias("_alerts"))
+
+
+def with_state(orders: DataFrame, held: DataFrame | None) -> DataFrame:
+    """Orders with the status and payment of their carried state, where there is one."""
+    if held is None:
+        return orders
+    now = held.select("order_id", F.col("status").alias("_status"), F.col("payment_id").alias("_payment"))
+    return orders.join(now, "order_id", "left").withColumns(
+        {"status": F.coalesce("_status", "status"), "payment_id": F.coalesce("_payment", "payment_id")}).drop("_status", "_payment")
+
+
 def read_orders(spark: SparkSession, orders: DataFrame, folder: str) -> DataFrame:
-    moved, paid_by = read_before(spark, f"{folder}/moved"), read_before(spark, f"{folder}/paid_by")
-    return orders if moved is None else current_orders(orders, moved, paid_by)
+    return with_state(orders, read_state(spark, f"{folder}/orders", "order_id"))
