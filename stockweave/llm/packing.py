@@ -186,10 +186,8 @@ def _pieces(batches, vocabulary: str, size: int, end: int):
     for batch in batches:
         for lo, hi, texts in tokens.runs(batch.column("text")):
             flat, counts = coder.encode(texts)
-            own = counts + 1  # with the end id
-            ends = np.cumsum(own)
-            ids = np.full(int(ends[-1]), end, np.uint32)
-            ids[np.arange(len(flat)) + np.repeat(np.arange(len(own)), counts)] = flat
+            ids, ends = tokens.with_end(flat, counts, end)
+            own = counts + 1
             parts = -(-own // size)
             doc = np.repeat(np.arange(len(own)), parts)
             piece = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)

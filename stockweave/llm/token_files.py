@@ -48,7 +48,7 @@ def encode_blocks(ids: np.ndarray, percent: int = PERCENT) -> tuple[bytes, np.nd
     head = np.zeros(blocks, HEAD)
     head["least"], head["width"], head["n"], head["n_exc"] = least, width, np.minimum(BLOCK, n - np.arange(blocks) * BLOCK), n_exc
     out[starts[:, None] + np.arange(HEAD.itemsize)] = head.view(np.uint8).reshape(blocks, -1)
-    planes = np.ascontiguousarray(grid.astype("<u4").view(np.uint8).reshape(blocks, BLOCK, 4).transpose(2, 0, 1))
+    planes = [(grid >> np.uint32(8 * i)).astype(np.uint8) for i in range(-(-int(width.max()) // 8))]
     for w in np.unique(width).tolist():  # at most 33 widths
         rows = np.nonzero(width == w)[0]
         parts = [planes[i][rows] for i in range(w // 8)]
@@ -79,7 +79,7 @@ def decode_blocks(payload: bytes, starts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint32)
     head = data[starts[:, None] + np.arange(HEAD.itemsize)].copy().view(HEAD).reshape(-1)
     width = head["width"]
-    planes = np.zeros((4, len(starts), BLOCK), np.uint8)
+    planes = np.zeros((-(-int(width.max()) // 8), len(starts), BLOCK), np.uint8)
     for w in np.unique(width).tolist():
         rows = np.nonzero(width == w)[0]
         packed = data[starts[rows][:, None] + HEAD.itemsize + np.arange(w * (BLOCK // 8))]
@@ -89,7 +89,9 @@ def decode_blocks(payload: bytes, starts: np.ndarray) -> np.ndarray:
             bits = np.zeros((len(rows), BLOCK, 8), np.uint8)
             bits[:, :, :w % 8] = np.unpackbits(packed[:, w // 8 * BLOCK:], axis=1, bitorder="little").reshape(len(rows), BLOCK, w % 8)
             planes[w // 8][rows] = np.packbits(bits, axis=2, bitorder="little")[:, :, 0]
-    grid = np.ascontiguousarray(planes.transpose(1, 2, 0)).view("<u4")[:, :, 0].copy()
+    grid = np.zeros((len(starts), BLOCK), np.uint32)
+    for i, plane in enumerate(planes):
+        grid |= plane.astype(np.uint32) << np.uint32(8 * i)
     n_exc = head["n_exc"].astype(np.int64)
     block, _, where, values = _exceptions(starts + HEAD.itemsize + width.astype(np.int64) * (BLOCK // 8), n_exc)
     grid[block, data[where]] = data[values[:, None] + np.arange(4)].copy().view("<u4")[:, 0]
@@ -122,10 +124,8 @@ def _chunks(batches, vocabulary: str, end: int, percent: int):
     for batch in batches:
         for lo, _, texts in tokens.runs(batch.column("text")):
             flat, counts = coder.encode(texts)
+            full, ends = tokens.with_end(flat, counts, end)
             own = counts + 1
-            ends = np.cumsum(own)
-            full = np.full(int(ends[-1]), end, np.uint32)
-            full[np.arange(len(flat)) + np.repeat(np.arange(len(own)), counts)] = flat
             first = 0
             for last in np.unique(np.searchsorted(ends, np.arange(CHUNK - held, ends[-1] + 1, CHUNK))).tolist() + [None]:
                 stop = len(own) if last is None else last + 1
