@@ -101,7 +101,7 @@ def links(prints: DataFrame, near: int = 2) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, near: int = 2) -> DataFrame:
     """Per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, fp, component_id (the smallest doc_id that can be reached
-    over links of at most ``near`` differing bits, itself included).
+    over links of at most ``near`` differing bits, itself included), root (the component itself, as its smallest fingerprint).
 
     A null or empty text has fingerprint zero and is linked like any other. Copies and repeated rows share a fingerprint. A null id
     takes part, and is the component's id only where no other is. An empty table gives no rows.
@@ -111,18 +111,25 @@ def near_duplicates(docs: DataFrame, near: int = 2) -> DataFrame:
     roots = components(links(first.select("fp"), near))
     tied = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = tied.groupBy("root").agg(F.min("first").alias("component_id"))
-    return each.join(tied.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
+    return each.join(tied.select("fp", "root").join(ids, "root").select("fp", "component_id", "root"), "fp", "left").select("doc_id", "fp", "component_id", "root")
 
 
-def keep_one(docs: DataFrame, near: int = 2) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates, with all their columns: of each component one row stays, one with the smallest
-    doc_id. An empty table gives no rows."""
-    found = near_duplicates(docs, near).groupBy("component_id").agg(F.min(F.struct("doc_id", "fp")).alias("m")).select("m.*").distinct()
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), fp_of("text").alias("_fp"))
+def one_of_each(docs: DataFrame, groups: DataFrame, print_of) -> DataFrame:
+    """The rows of ``docs`` that stay when of each root of ``groups`` (doc_id, fp, root) one row does: one with the smallest
+    doc_id, a null id only where no other is. ``print_of`` gives the fp of a text column."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "fp")).alias("m")
+    found = groups.groupBy("root").agg(least).select("m.doc_id", "m.fp")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), print_of("text").alias("_fp"))
     same = rows["_id"].eqNullSafe(found["doc_id"]) & (rows["_fp"] == found["fp"])
     first = F.row_number().over(W.partitionBy("_id", "_fp").orderBy(F.xxhash64("_row.text")))
     return rows.join(found, same, "left_semi").withColumn("_n", first).filter("_n = 1").select("_row.*")
 
 
+def keep_one(docs: DataFrame, near: int = 2) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates, with all their columns: of each component one row stays, one with the smallest
+    doc_id. An empty table gives no rows."""
+    return one_of_each(docs, near_duplicates(docs, near), fp_of)
+
+
 def as_hex(fp="fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))

@@ -382,6 +382,13 @@ def test_fingerprints_and_components(spark, real, odd):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_null_and_repeated_ids_do_not_join_components(spark):
+    texts = [" ".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=60)) for k in range(5)]
+    df = docs_of(spark, [(None, texts[0], "en", "a"), (None, texts[1], "en", "a"), (7, texts[2], "en", "a"), (7, texts[3], "en", "a"), (8, texts[4], "en", "a"), (None, texts[4], "en", "a")])
+    for keep in (simhash.keep_one,):
+        assert collected(keep(df).orderBy("text")) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4])], key=lambda r: r[1])
+
+
 def test_buckets_meet_every_close_pair():
     rng = random.Random(1)
     masks = [m & (1 << 64) - 1 for m in simhash.masks(2)]
