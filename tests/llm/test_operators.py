@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stockweave.llm import hosts, knn_quality, maxscore, mixing, packing, quality_rules, secrets, simhash, suffix_dedup, token_files, tokens
+import corpus_pipeline
+from stockweave.llm import hosts, knn_quality, maxscore, mixing, near_copies, packing, quality_rules, secrets, simhash, suffix_dedup, token_files, tokens
 from stockweave.llm.components import components
 from stockweave.llm.suffix_array import suffix_array
 
@@ -385,10 +386,56 @@ def test_fingerprints_and_components(spark, real, odd):
 def test_null_and_repeated_ids_do_not_join_components(spark):
     texts = [" ".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=60)) for k in range(5)]
     df = docs_of(spark, [(None, texts[0], "en", "a"), (None, texts[1], "en", "a"), (7, texts[2], "en", "a"), (7, texts[3], "en", "a"), (8, texts[4], "en", "a"), (None, texts[4], "en", "a")])
-    for keep in (simhash.keep_one,):
+    for keep in (simhash.keep_one, near_copies.keep_one):
         assert collected(keep(df).orderBy("text")) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4])], key=lambda r: r[1])
 
 
+def five_words(text):
+    w = [x.encode() for x in WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))]
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_copy_stage_meets_every_similar_pair(spark, odd, monkeypatch):
+    """Planted copies of 0.8 to 0.95, chains of them, and a group that is cut into cells."""
+    rng, given = random.Random(5), []
+    for k in range(12):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice((40, 150, 700)))]
+        given.append(words)
+        for share in (0.005, 0.01, 0.015, 0.02, 0.04):
+            changed = [f"x{rng.randrange(9999)}" if rng.random() < share else w for w in words]
+            given.append(changed if k % 3 else given[-1][:-1] + ["end"])
+    line = [f"common{i}" for i in range(30)]  # frequent words beside text of each document's own
+    given += [line + [f"own{k}x{i}" for i in range(12)] for k in range(20)]
+    planted = docs_of(spark, [(100 + i, " ".join(w), "en", "a") for i, w in enumerate(given)])
+    monkeypatch.setattr(near_copies, "CHUNK", 7)
+    for df in (planted, odd, empty(spark)):
+        docs = collected(df)
+        sets = [five_words(t) for _, t in docs]
+        root = list(range(len(docs)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        similarities = []
+        for i in range(len(docs)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if 5 * both >= 4 * len(sets[i] | sets[j]):
+                    root[find(i)] = find(j)
+                    similarities.append(both / max(1, len(sets[i] | sets[j])))
+        assert df is not planted or sum(0.8 <= s <= 0.95 for s in similarities) > 20
+        least = {}
+        for i, (d, _) in enumerate(docs):
+            if d is not None:
+                least[find(i)] = min(d, least.get(find(i), d))
+        out = corpus_pipeline.near_duplicate_stage(spark, df, SF)
+        assert out.columns == df.columns
+        want = [least.get(find(i)) for i in range(len(docs)) if find(i) == i]
+        assert sorted((d for d, _ in collected(out)), key=repr) == sorted(want, key=repr)
+
+
 def test_buckets_meet_every_close_pair():
     rng = random.Random(1)
     masks = [m & (1 << 64) - 1 for m in simhash.masks(2)]
