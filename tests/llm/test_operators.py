@@ -500,3 +500,18 @@ def test_masked_texts_hold_no_secret(spark, odd):
     assert out.columns == odd.columns and out.count() == odd.count()
     for (i, t), (j, m) in zip(sorted(collected(odd), key=repr), sorted(collected(out), key=repr)):
         assert i == j and (plain_spans(t) or m == t) and not [x for x in plain_spans(m) if x[1] < 3]
+
+
+def test_private_keys_are_masked_with_their_bodies(spark):
+    rng = random.Random(2)
+    lines = ["".join(rng.choices("ABCDEFabcdefGHIJKLmnopqr0123456789+/", k=64)) for _ in range(200)] + ["Zz9+Qw=="]
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    encrypted = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF00FF\n\n"
+    texts = [f"{head}{glue}{extra}{glue.join(lines)}{end}" for glue in ("\n", "\r\n", "\\n", "\n            ", " ") for extra in ("", encrypted) for end in (f"\n{tail}", "")]
+    texts += [f"{head}\n{lines[0]}\n{head}\n{lines[1]}\n{tail}"]
+    df = docs_of(spark, [(i, f"before {t}\n(after)", "en", "a") for i, t in enumerate(texts)] + [(99, f"the line {head}\nNext words stay", "en", "a")])
+    out = dict(collected(secrets.mask(df, secrets.scan(df)[1])))
+    assert out.pop(99) == "the line [secret]\nNext words stay"
+    for m in out.values():
+        assert m.startswith("before [secret]") and m.endswith("\n(after)")
+        assert not any(x in m for x in [*lines, "Proc-Type", "DEK-Info", "END"]), m
