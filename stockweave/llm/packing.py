@@ -10,6 +10,7 @@ task, and a length that most pieces share is spread like any other.
 from __future__ import annotations
 
 from bisect import bisect_right, insort
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -61,64 +62,61 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], i
     return [(pattern, number) for group in bins.values() for pattern, number in group]
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room`` from the lengths that are left (ascending), least waste first, at most ``most`` of them.
+def fillings(counts: dict[int, int], room: int, most_waste: int):
+    """Undominated ways to fill ``room`` from ``counts`` that waste at most ``most_waste``, least waste first, then with the larger pieces first. None stands
+    for a dominated one that was passed over.
 
-    A filling of one piece of exactly the room dominates all others. Otherwise the largest single piece stands against pairs and
-    triples that fill more: a set is dominated if one piece, or a smaller set that is as full or fuller with larger pieces, can take its place.
+    A filling of one piece of exactly the room dominates all others. Any other is dominated if a piece left fits beside it, or fits in the place of a
+    smaller one or of two that are together no larger. The sums that can be reached are known for each length, so the walk has no dead ends.
     """
-    top = bisect_right(lengths, room)
-    if not top:
-        return [()]
-    single = lengths[top - 1]
-    if single == room:
-        return [(single,)]
-    found = [(room - single, (single,))]
-    best = room - single
-    for i in range(top - 1, -1, -1):  # pairs: each first piece takes the largest second that fits
-        a = lengths[i]
-        if 2 * a < room - best:
-            break
-        j = min(bisect_right(lengths, room - a), i + 1)
-        if j and lengths[j - 1] == a and counts[a] < 2:
-            j -= 1
-        if j:
-            waste = room - a - lengths[j - 1]
-            if waste < best:
-                found.append((waste, (a, lengths[j - 1])))
-                if waste == 0:
-                    break
-    best = min(w for w, _ in found)
-    if best:  # deeper sets only where pairs leave room: greedy sets of three or more, one for each first piece
-        for i in range(top - 1, max(-1, top - 1 - most), -1):
-            rest, chosen, used = room - lengths[i], [lengths[i]], {lengths[i]: 1}
-            hi = i + 1
-            while rest:
-                hi = min(hi, bisect_right(lengths, rest))
-                while hi and used.get(lengths[hi - 1], 0) >= counts[lengths[hi - 1]]:
-                    hi -= 1
-                if not hi:
-                    break
-                x = lengths[hi - 1]
-                chosen.append(x)
-                used[x] = used.get(x, 0) + 1
-                rest -= x
-            if len(chosen) > 2 and rest < best:
-                found.append((rest, tuple(chosen)))
-                best = rest
-                if not rest:
-                    break
-    found.sort(key=lambda f: (f[0], len(f[1]), [-x for x in f[1]]))
-    return [f for _, f in found[:most]]
-
-
-def complete(counts: dict[int, int], size: int, nodes: int = 4_000, most: int = 12) -> list[tuple[tuple[int, ...], int]]:
+    lengths = sorted(x for x, n in counts.items() if n and x <= room)
+    if lengths and lengths[-1] == room:
+        yield (room,)
+        return
+    reach, mask = [1], (1 << room + 1) - 1  # sums of the lengths before each, as bits
+    for x in lengths:
+        sums, n, k = reach[-1], min(counts[x], room // x), 1
+        while n > 0:
+            sums |= sums << x * min(k, n) & mask
+            n, k = n - k, 2 * k
+        reach.append(sums)
+
+    def walk(i: int, left: int, chosen: tuple[int, ...]):
+        """Sets of exactly ``left`` from the first i lengths."""
+        if not left:
+            yield chosen
+        while left and i:
+            i -= 1
+            x = lengths[i]
+            for n in range(min(counts[x], left // x), 0, -1):
+                if reach[i] >> left - n * x & 1:
+                    yield from walk(i, left - n * x, chosen + (x,) * n)
+            if not reach[i] >> left & 1:
+                return
+
+    def dominated(chosen: tuple[int, ...], waste: int) -> bool:
+        spare = [x for x in lengths if counts[x] > chosen.count(x)]
+        if spare and spare[0] <= waste:
+            return True
+        fits = lambda low, high: (at := bisect_right(spare, high)) and spare[at - 1] >= low
+        if waste and any(fits(x + 1, x + waste) for x in set(chosen)):
+            return True
+        return any(fits(a + b, a + b + waste) for a, b in set(combinations(chosen, 2)))
+
+    for waste in range(min(room, most_waste) + 1):
+        if reach[-1] >> room - waste & 1:
+            for chosen in walk(len(lengths), room - waste, ()):
+                yield None if dominated(chosen, waste) else chosen
+
+
+def complete(counts: dict[int, int], size: int, nodes: int = 4_000) -> list[tuple[tuple[int, ...], int]]:
     """Bin completion: patterns (lengths, sequences) that hold all pieces of ``counts`` in as few sequences as the search finds.
 
-    Each step takes the largest piece left and one of the undominated fillings around it, as many times as the counts allow. The first incumbent is
+    Each step takes the largest piece left and one of the undominated fillings around it, as many times as the counts allow or, as further branches, fewer
+    times; then only fillings behind it in their order go on with that piece. The first incumbent is
     best-fit decreasing. A branch is left when the waste it has made leaves no room to beat the
     incumbent: its sequences, and those that its pieces left need by their tokens or by how many are over half a sequence. The search ends when it meets the
-    lower bound or has looked at ``nodes`` nodes; then the best packing so far stands.
+    lower bound, has tried everything, or has looked at ``nodes`` nodes and dominated fillings; then the best packing so far stands.
     """
     counts = {k: v for k, v in counts.items() if v}
     total = sum(k * v for k, v in counts.items())
@@ -126,11 +124,39 @@ def complete(counts: dict[int, int], size: int, nodes: int = 4_000, most: int =
     best = sum(n for _, n in incumbent)
     least = bound(counts, size)
     seen = 0
-    # depth first with an own stack: (counts left, patterns so far as a linked list, sequences so far)
-    stack = [(counts, None, 0, total)]
+
+    def options(left, path, made, tokens_left, last):
+        """Nodes below a node; None for a dominated filling."""
+        first = max(left)
+        without = dict(left)
+        without[first] -= 1
+        for filling in fillings(without, size - first, (best - 1 - made) * size - tokens_left):
+            if filling is None:
+                yield None
+                continue
+            pattern = (first, *filling)
+            order = (first, size - sum(pattern), [-x for x in filling])
+            if last and last[0] == first and order[1:] <= last[1:]:
+                yield None
+                continue
+            need: dict[int, int] = {}
+            for x in pattern:
+                need[x] = need.get(x, 0) + 1
+            for times in range(min(left[x] // n for x, n in need.items()), 0, -1):
+                after = {x: n - need.get(x, 0) * times for x, n in left.items()}
+                yield {x: n for x, n in after.items() if n}, (path, (pattern, times)), made + times, tokens_left - times * sum(pattern), order
+
+    # depth first: the nodes below each node of the path are made as they are needed
+    stack = [iter([(counts, None, 0, total, None)])]  # counts left, patterns so far as a linked list, sequences so far, tokens left, last filling
     while stack and best > least and seen < nodes:
-        left, path, made, tokens_left = stack.pop()
+        node = next(stack[-1], False)
+        if node is False:
+            stack.pop()
+            continue
         seen += 1
+        if node is None:
+            continue
+        left, path, made, tokens_left, _ = node
         if not left:
             if made < best:
                 best, incumbent = made, []
@@ -138,26 +164,8 @@ def complete(counts: dict[int, int], size: int, nodes: int = 4_000, most: int =
                     path, step = path
                     incumbent.append(step)
             continue
-        lengths = sorted(left)
-        if made + max(-(-tokens_left // size), sum(left[x] for x in lengths[bisect_right(lengths, size // 2):])) >= best:
-            continue
-        first = lengths[-1]
-        without = dict(left)
-        without[first] -= 1
-        options = []
-        for filling in fillings([x for x in lengths if without[x]], without, size - first, most):
-            pattern = (first, *filling)
-            need: dict[int, int] = {}
-            for x in pattern:
-                need[x] = need.get(x, 0) + 1
-            times = min(left[x] // n for x, n in need.items())
-            after = dict(left)
-            for x, n in need.items():
-                after[x] -= n * times
-                if not after[x]:
-                    del after[x]
-            options.append((after, (path, (pattern, times)), made + times, tokens_left - times * sum(pattern)))
-        stack.extend(reversed(options))  # the least waste is looked at first
+        if made + max(-(-tokens_left // size), sum(n for x, n in left.items() if 2 * x > size)) < best:
+            stack.append(options(*node))
     return incumbent
 
 

@@ -162,6 +162,21 @@ def test_bin_completion_finds_the_optimum_of_small_cases():
         assert sum(n for _, n in found) == optimum(items, 30)
 
 
+def test_bin_completion_offers_every_undominated_filling():
+    lengths = {824: 2, 90: 2, 70: 1, 60: 1, 50: 1, 40: 1}
+    for times in (1, 7, 100_000):
+        found = packing.complete({x: n * times for x, n in lengths.items()}, 1024)
+        assert sum(n for _, n in found) == 2 * times and all(sum(p) == 1024 for p, _ in found)
+    # a filling as often as the counts allow leaves pieces that no longer fit together
+    rng = random.Random(21)
+    for _ in range(150):
+        size = rng.choice((12, 25, 40))
+        items = sorted((rng.choice((2, 3, 5, 7, 8, 11)) for _ in range(rng.randint(4, 12))), reverse=True)
+        found = packing.complete(dict(Counter(items)), size)
+        assert sum(n for _, n in found) == optimum(items, size)
+        assert sorted((x for p, n in found for x in p * n), reverse=True) == items
+
+
 def test_patched_frames_round_trip():
     rng = np.random.default_rng(3)
     for n in (0, 1, 255, 256, 257, 5000):
