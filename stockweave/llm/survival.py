@@ -124,9 +124,9 @@ def audit(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFrame:
     before = [sum(1 << f for f in o[:i]) for o, i in steps]
     own = [1 << o[i] for o, i in steps]
     every, none = (1 << len(FILTERS)) - 1, F.lit(0)
-    at = lambda xs: F.lit(xs)[F.col("_at")]
+    at = lambda xs, kind="int": F.split(F.lit(",".join(map(str, xs))), ",").cast(f"array<{kind}>")[F.col("_at")]
     rows = alive.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(len(steps) - 1)))).select(
-        "part", "all", "good", "toxic", at(["".join(FILTERS[f] for f in o) for o, _ in steps]).alias("filter_order"), at([i + 1 for _, i in steps]).alias("step"),
+        "part", "all", "good", "toxic", at(["".join(FILTERS[f] for f in o) for o, _ in steps], "string").alias("filter_order"), at([i + 1 for _, i in steps]).alias("step"),
         at(before).alias("_b"), at(own).alias("_f"))
     lost = lambda kind: F.get(kind, F.col("_b")) - F.get(kind, F.col("_b") + F.col("_f"))
     removed = rows.select("*", lost("all").alias("removed"))
