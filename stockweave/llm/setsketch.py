@@ -9,8 +9,8 @@ corpus add up. Two registers are equal with a probability that grows with the Ja
 * Members of a bucket first meet its smallest one, one pair for each member, and what the check confirms is tied together. Then members of different components are
   compared by their whole sketches, in cells of two chunks of a bucket: sizes that can't be similar and pairs whose registers are too unlikely under the wanted
   similarity go. The likelihood takes both exact sizes and the three counts of larger, smaller and equal registers jointly; a pair is left out where the best J is e^SLACK
-  times as likely as the wanted one, which happens to a similar pair with a probability below 1e-9. Each member gives its most likely partner; turns go on
-  while they tie components together, and the last turn takes every pair that is left.
+  times as likely as the wanted one, which happens to a similar pair with a probability of about 1e-9. Each member gives its most likely partner; turns go on
+  while a tenth of these pairs are links, and the last turn takes every pair that is left.
 * Every pair is confirmed on the full sets of shingles of both texts.
 """
 
@@ -24,10 +24,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stockweave.functions.runtime import materialize
 from stockweave.llm.components import components
-from stockweave.llm.near_copies import set_key, shingles, spread
 
 CHUNK = 2048  # members of a chunk of a bucket
 SLACK = 20.0
+WORDS, SEED = 5, 42
+BLOCK = 1 << 20  # bytes of words that are hashed at a time
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,80 @@ class Sketch:
         return self.bands * self.rows
 
 
+def spread(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that mixes them."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER = spread(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # a number for each byte; A to Z have those of a to z
+_LETTER[ord("A"):ord("Z") + 1] = _LETTER[ord("a"):ord("z") + 1]
+_ODD = np.uint64(0xD1342543DE82EF95)
+
+
+def word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of bytes and where it starts: the sum of its letters' numbers times powers of an odd number, by blocks of words."""
+    word = ~_SPACE[text]
+    starts = np.flatnonzero(word & np.append(True, ~word[:-1]))
+    lengths = np.flatnonzero(word & np.append(~word[1:], True)) + 1 - starts
+    letters, ends = text[word], np.cumsum(lengths)
+    powers = np.cumprod(np.full(int(lengths.max(initial=1)), _ODD, np.uint64))
+    out, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):
+        begin = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, begin + BLOCK, side="right")))
+        own, cuts = lengths[first:last], ends[first:last] - lengths[first:last] - begin
+        at = np.arange(int(ends[last - 1]) - begin) - np.repeat(cuts, own)
+        out[first:last] = np.add.reduceat(_LETTER[letters[begin:ends[last - 1]]] * powers[at], cuts)
+        first = last
+    return out, starts
+
+
+def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
+    """For each text its different five-word shingles, as ascending hashes. A shorter text is one shingle, one without words has none."""
+    flat, starts = word_hashes(np.frombuffer(b" ".join(t or b"" for t in texts), np.uint8))
+    ends = np.searchsorted(starts, np.cumsum([len(t or b"") + 1 for t in texts]))
+    shingles = np.zeros(max(0, len(flat) - WORDS + 1), np.uint64)
+    for k in range(WORDS):
+        shingles = spread(shingles * np.uint64(0x9E3779B97F4A7C15) + flat[k:k + len(shingles)])
+    out, begin = [], 0
+    for end in ends.tolist():
+        n = end - begin
+        if n >= WORDS:
+            own = np.sort(shingles[begin:end - WORDS + 1])
+            own = own[np.append(True, own[1:] != own[:-1])]
+        elif n:
+            own = np.array([n], np.uint64)  # the number of words, then all of them
+            for h in flat[begin:end]:
+                own = spread(own * np.uint64(0x9E3779B97F4A7C15) + h)
+        else:
+            own = np.zeros(0, np.uint64)
+        out.append(own)
+        begin = end
+    return out
+
+
+def set_key(each: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(each.tobytes(), SEED)).astype(np.int64))
+
+
+def runs(texts: list, most: int = BLOCK):
+    """Runs of a list of texts with about ``most`` bytes each, so that one turn's arrays stay small."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t or b"") > most:
+            yield start, i
+            start, size = i, 0
+        size += len(t or b"")
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def registers(sets: list[np.ndarray], s: Sketch) -> np.ndarray:
     """A row of registers for each set of hashes; the empty set has zeros.
 
@@ -122,11 +197,14 @@ def sketches(docs: DataFrame, s: Sketch = Sketch()) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, fp (key of its set), n (size of its set), regs (registers, two bytes each), text_key."""
     def run(batches):
         for batch in batches:
-            each = [shingles(t) for t in batch.column("text").to_pylist()]
-            regs = registers(each, s).astype("<u2")
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("text_key"), pa.array([set_key(x) for x in each], pa.int64()), pa.array([len(x) for x in each], pa.int64()),
-                pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "text_key", "fp", "n", "regs"])
+            texts = batch.column("text").to_pylist()
+            for lo, hi in runs(texts):
+                each = shingle_sets(texts[lo:hi])
+                regs = registers(each, s).astype("<u2")
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("doc_id"), part.column("text_key"), pa.array([set_key(x) for x in each], pa.int64()), pa.array([len(x) for x in each], pa.int64()),
+                    pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "text_key", "fp", "n", "regs"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key bigint, fp bigint, n bigint, regs binary")
@@ -146,7 +224,7 @@ def _confirmed(batches, percent: int):
         if key not in kept:
             if len(kept) >= 64:
                 kept.pop(next(iter(kept)))
-            kept[key] = shingles(text)
+            kept[key] = shingle_sets([text])[0]
         return kept[key]
 
     for batch in batches:
@@ -165,34 +243,77 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return materialize(both.mapInArrow(lambda rows: _confirmed(rows, percent), "a bigint, b bigint"), "similar")
 
 
-def _across(batches, percent: int, base: float, best: bool, block: int = 1 << 15):
-    """Pairs of different components inside cells that can be similar; with ``best`` the most likely one for each member and chunk."""
+def tail(n: int, p: float, slack: float = SLACK) -> int:
+    """The largest count that ``n`` draws of probability ``p`` still reach with a probability of e^-slack or more (Chernoff's bound)."""
+    for c in range(int(n * p) + 1, n + 1):
+        x = min(c / n, 1 - 1e-12)
+        if n * (x * np.log(x / p) + (1 - x) * np.log((1 - x) / (1 - p))) > slack:
+            return c - 1
+    return n
+
+
+def first_band(same: np.ndarray, rows: int) -> np.ndarray:
+    """The first band in which all registers are equal, for rows of equal and unequal registers."""
+    return same.reshape(len(same), -1, rows).all(axis=2).argmax(axis=1)
+
+
+def _pairs_inside(sizes: np.ndarray, begins: np.ndarray, cells: list[tuple[np.ndarray, np.ndarray]], block: int):
+    """Places (i, j) of the pairs that cells compare, in blocks: of all members of small cells, and of ``cells``, (left, right) places of large ones."""
+    inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at, ends = np.repeat(begins, sizes) + inside, np.cumsum(inside)
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, block):
+        pair = np.arange(lo, min(lo + block, int(ends[-1])))
+        row = np.searchsorted(ends, pair, side="right")
+        yield at[row], at[row] - 1 - (pair - (ends[row] - inside[row]))
+    for left, right in cells:
+        step = max(1, block // len(right))
+        for lo in range(0, len(left), step):
+            i, j = np.repeat(left[lo:lo + step], len(right)), np.tile(right, len(left[lo:lo + step]))
+            yield (i, j) if left is not right else (i[i > j], j[i > j])
+
+
+def _across(batches, percent: int, s: Sketch, best: bool, block: int = 1 << 18, small: int = 64):
+    """Pairs of different components inside cells that can be similar; with ``best`` the most likely one for each member and cell.
+
+    Of each register one bit is compared first, as two words for each pair; then whole registers, in the first band that both share; then the likelihood."""
+    unlike = 1.1 * (1 - percent / 100)  # of registers, with some room for the spacing of the scale
+    most_bits, most_unequal = tail(s.registers, unlike / 2), tail(s.registers, unlike)
     for batch in batches:
+        lists = batch.column("members")
+        ms, sizes = lists.flatten(), np.asarray(lists.value_lengths()).astype(np.int64)
+        ids, n, root, chunk = (np.asarray(ms.field(c)).astype(np.int64) for c in ("fp", "n", "root", "chunk"))
+        regs = np.frombuffer(b"".join(ms.field("regs").to_pylist()), "<u2").reshape(len(ids), -1)
+        bits = np.packbits(regs & 1 == 1, axis=1)
+        bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
+        begins, few = np.cumsum(sizes) - sizes, sizes <= small
+        cell = np.repeat(np.arange(len(sizes)), sizes)
+        ci, cj, band = (np.asarray(batch.column(c)).astype(np.int64) for c in ("ci", "cj", "band"))
+        large = []
+        for k in np.flatnonzero(~few).tolist():
+            left = begins[k] + np.flatnonzero(chunk[begins[k]:begins[k] + sizes[k]] == ci[k])
+            right = left if ci[k] == cj[k] else begins[k] + np.flatnonzero(chunk[begins[k]:begins[k] + sizes[k]] == cj[k])
+            if len(left) and len(right):
+                large.append((left, right))
         found = []
-        for row in range(batch.num_rows):
-            ms = batch.column("members")[row].values
-            ids, n, root, chunk = (np.asarray(ms.field(c)).astype(np.int64) for c in ("fp", "n", "root", "chunk"))
-            regs = np.frombuffer(b"".join(ms.field("regs").to_pylist()), "<u2").reshape(len(ids), -1)
-            ci, cj = batch.column("ci")[row].as_py(), batch.column("cj")[row].as_py()
-            left, right = np.flatnonzero(chunk == ci), np.flatnonzero(chunk == cj)
-            step = max(1, block // max(1, len(right)))
-            for at in range(0, len(left), step):
-                r = left[at:at + step]
-                ok = root[r][:, None] != root[right]
-                if ci == cj:
-                    ok &= r[:, None] > right
-                ok &= 100 * np.minimum(n[r][:, None], n[right]) >= percent * np.maximum(n[r][:, None], n[right])
-                i, j = np.nonzero(ok)
-                i, j = r[i], right[j]
-                if len(i):
-                    fits, worth = can_be(regs[i], regs[j], n[i], n[j], percent, base)
-                    i, j, worth = i[fits], j[fits], worth[fits]
-                    if best and len(i):
-                        order = np.lexsort((ids[j], -worth, i))
-                        i, j = i[order], j[order]
-                        i, first = np.unique(i, return_index=True)
-                        j = j[first]
-                    found.append((ids[i], ids[j]))
+        for i, j in _pairs_inside(sizes[few], begins[few], large, block):
+            ok = (root[i] != root[j]) & ((ci[cell[i]] == cj[cell[i]]) | (chunk[i] != chunk[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            apart = sum(np.bitwise_count(bits[i, w] ^ bits[j, w]).astype(np.uint16) for w in range(bits.shape[1]))
+            i, j = i[apart <= most_bits], j[apart <= most_bits]
+            for lo in range(0, len(i), block >> 4):
+                x, y = i[lo:lo + (block >> 4)], j[lo:lo + (block >> 4)]
+                same = regs[x] == regs[y]
+                fits = (s.registers - same.sum(axis=1) <= most_unequal) & (first_band(same, s.rows) == band[cell[x]])
+                x, y = x[fits], y[fits]
+                if len(x):
+                    fits, worth = can_be(regs[x], regs[y], n[x], n[y], percent, s.base)
+                    x, y, worth = x[fits], y[fits], worth[fits]
+                if best and len(x):
+                    order = np.lexsort((ids[y], -worth, x))
+                    x, y = x[order], y[order]
+                    x, first = np.unique(x, return_index=True)
+                    y = y[first]
+                found.append((ids[x], ids[y]))
         if found:
             a, b = (np.concatenate(x) for x in zip(*found))
             a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
@@ -200,22 +321,27 @@ def _across(batches, percent: int, base: float, best: bool, block: int = 1 << 15
 
 
 def across(members: DataFrame, sets: DataFrame, roots: DataFrame, s: Sketch, percent: int, best: bool) -> DataFrame:
-    """Different pairs (a, b) of sets that share a bucket of ``members`` (k, fp), lie in different components of ``roots`` (node, root) and can be similar."""
-    tied = members.join(roots, F.col("fp") == F.col("node"), "left").select("k", "fp", F.coalesce("root", "fp").alias("root"))
-    open_ = tied.groupBy("k").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_m")).filter("_lo < _hi")
-    cells = (tied.join(open_.select("k", F.ceil(F.col("_m") / CHUNK).cast("int").alias("chunks")), "k")
-             .withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-             .select("k", "fp", "root", "chunk", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj")))
+    """Different pairs (a, b) of sets that share a bucket of ``members`` (k, band, fp), lie in different components of ``roots`` (node, root) and can be similar.
+
+    The members of a bucket's largest component are no partners of each other: chunks of the others meet all chunks, its own chunks meet only those of the others."""
+    tied = materialize(members.join(roots, F.col("fp") == F.col("node"), "left").select("k", "band", "fp", F.coalesce("root", "fp").alias("root")), "tied")
+    sizes = tied.groupBy("k", "root").agg(F.count("*").alias("m")).groupBy("k").agg(F.max(F.struct("m", "root")).alias("top"), (F.sum("m") - F.max("m")).alias("others"))
+    up = lambda c: F.ceil(c / CHUNK).cast("int")
+    sizes = sizes.filter("others > 0").select("k", F.col("top.root").alias("_top"), up(F.col("others")).alias("few"), up(F.col("top.m")).alias("many"))
+    own, code = F.col("root") == F.col("_top"), F.xxhash64("fp")
+    cells = (tied.join(sizes, "k").withColumn("chunk", F.when(own, F.col("few") + F.pmod(code, F.col("many"))).otherwise(F.pmod(code, F.col("few"))).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(own, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))))
+             .select("k", "band", "fp", "root", "chunk", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj")))
     rows = cells.join(sets.select("fp", "n", "regs"), "fp")
-    buckets = rows.groupBy("k", "ci", "cj").agg(F.collect_list(F.struct("fp", "n", "root", "chunk", "regs")).alias("members"))
-    buckets = buckets.filter(F.size(F.array_distinct("members.root")) > 1)
-    return buckets.mapInArrow(lambda b: _across(b, percent, s.base, best), "a bigint, b bigint").distinct()
+    buckets = rows.groupBy("k", "band", "ci", "cj").agg(F.collect_list(F.struct("fp", "n", "root", "chunk", "regs")).alias("members"))
+    buckets = buckets.filter(F.size(F.array_distinct("members.root")) > 1).drop("k")
+    return buckets.mapInArrow(lambda b: _across(b, percent, s, best), "a bigint, b bigint").distinct()
 
 
 def links(each: DataFrame, docs: DataFrame, s: Sketch, percent: int) -> DataFrame:
     """Links (a, b) between keys of sets of ``each`` (written rows of :func:`sketches`) whose components are those of all similar pairs."""
     sets = materialize(each.filter("n > 0").groupBy("fp").agg(F.min_by(F.struct("doc_id", "text_key", "n", "regs"), "text_key").alias("r")).select("fp", "r.*"), "sets")
-    entries = sets.select("fp", F.explode(band_keys(s)).alias("k"))
+    entries = sets.select("fp", F.posexplode(band_keys(s)).alias("band", "k"))
     shared = entries.groupBy("k").agg(F.min("fp").alias("least"), F.count("*").alias("_m")).filter("_m > 1")
     members = materialize(entries.join(shared.select("k", "least"), "k"), "members")
     pairs = materialize(members.filter("fp <> least").groupBy(F.col("fp").alias("b")).agg(F.min("least").alias("a")).select("a", "b"), "pairs")
@@ -223,16 +349,15 @@ def links(each: DataFrame, docs: DataFrame, s: Sketch, percent: int) -> DataFram
     rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), F.col("text").cast("binary").alias("text"))
     texts = rows.join(wanted, (F.col("_key") == F.col("text_key")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("fp", "text")
     texts = materialize(texts.groupBy("fp").agg(F.first("text").alias("text")), "texts")
-    members = members.select("k", "fp")
-    tried, found = pairs, confirm(pairs, texts, percent)
-    for best in (True, False):
-        while True:
-            fresh = materialize(across(members, sets, components(found), s, percent, best).join(tried, ["a", "b"], "left_anti"), "pairs")
-            more = confirm(fresh, texts, percent)
-            tried, found = tried.unionByName(fresh), found.unionByName(more)
-            if not best or more.isEmpty():
-                break
-    return found
+    members = members.select("k", "band", "fp")
+    tried, found, best = pairs, confirm(pairs, texts, percent), True
+    while True:
+        fresh = materialize(across(members, sets, components(found), s, percent, best).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = confirm(fresh, texts, percent)
+        tried, found = tried.unionByName(fresh), found.unionByName(more)
+        if not best:
+            return found
+        best = 10 * more.count() >= fresh.count() > 0
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, s: Sketch = Sketch()) -> DataFrame:

@@ -10,7 +10,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockweave.llm import infill, setsketch, survival
-from stockweave.llm.near_copies import shingles
 from tests.llm.test_operators import LONG, SF, WORD, collected, docs_of, empty, five_words, odd, real, rows  # noqa: F401
 
 # --- 11 fill in the middle -------------------------------------------------------------------------------------------
@@ -136,8 +135,22 @@ def test_sketches_merge_and_estimate():
             assert fits[0] == (true > 0.7)
 
 
+def test_hashed_shingles_are_as_many_as_plain_ones(monkeypatch, spark, odd, real):
+    texts = [t for df in (odd, real) for _, t in collected(df)] + ["a b c d ab ba", "x" * 5000 + " y z", "a b", "b a", "A  b", ""]
+    for block in (1 << 20, 50):
+        monkeypatch.setattr(setsketch, "BLOCK", block)
+        sets = setsketch.shingle_sets([None if t is None else t.encode() for t in texts])
+        assert [len(x) for x in sets] == [len(five_words(t)) for t in texts]
+        every, plain = {}, {}
+        for x, t in zip(sets, texts):
+            plain.setdefault(frozenset(five_words(t)), set()).add(setsketch.set_key(x))
+            every.setdefault(setsketch.set_key(x), set()).add(frozenset(five_words(t)))
+        assert all(len(v) == 1 for v in (*every.values(), *plain.values()))
+        assert len(set().union(*map(set, map(np.ndarray.tolist, sets)))) == len(set().union(*map(five_words, texts)))
+
+
 def test_a_shingle_in_both_texts_has_one_register_value():
-    x, y = shingles(b"a b c d e f g"), shingles(b"a b c d e f g")
+    x, y = setsketch.shingle_sets([b"a b c d e f g", b"A b  c d\te f g"])
     assert (setsketch.registers([x], setsketch.Sketch()) == setsketch.registers([y, np.zeros(0, np.uint64)], setsketch.Sketch())[:1]).all()
 
 
