@@ -1,31 +1,38 @@
 """Token ids of whole texts, by a public byte-level BPE file of the ``tokenizers`` library.
 
-Encoding one long text costs several microseconds a word, and most words were seen before. ``Encoder`` therefore
-encodes each distinct chunk once per Python worker and keeps its ids. A chunk is a run of white space with the word
-after it; the splitting pattern of a byte-level BPE never joins a character that isn't white space to white space after
-it, so the ids of a text are those of its chunks, one after the other. Texts for which that is not certain (control
-characters that only Python calls white space, special tokens) are encoded whole.
+Encoding one long text costs several microseconds a word, and most words were seen before. ``Encoder`` therefore encodes each distinct chunk once per
+Python worker and keeps its ids. A chunk is a run of ASCII white space with what follows up to the next; the splitting pattern of a byte-level BPE never
+joins a character that isn't white space to white space after it, so the ids of a text are those of its chunks, one after the other. Texts for which that is
+not certain (other white space right before an ASCII one, special tokens) are encoded whole.
+
+Chunks are found, hashed and looked up in arrays of a batch's bytes; Python sees a chunk only when it is new. A hash only proposes: the bytes
+of every chunk are compared with those that the ids were made from.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"  # a name known to public_tokenizers.path, or a path
-CACHE_CHUNKS = 1_100_000  # distinct chunks a worker keeps; then those that were not met again are forgotten, which changes no result
+CACHE_CHUNKS = 1_000_000  # distinct chunks a worker keeps, about 90 bytes each; then it begins anew, which changes no result
+BLOCK = 1 << 20  # bytes that are hashed or compared at a time
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
 
-_CHUNK = re.compile(r"\s*\S+|\s+")
-_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!-&(-/:-@\\[-`{-~"  # no apostrophe: it can begin a contraction
-_PIECE = re.compile(f" ?[{_LETTERS}]++| ?[{_MARKS}]++|\n(?=\\S)")  # what the splitting pattern gives for these characters
-_PLAIN = re.compile(f"(?:{_PIECE.pattern})++")
-_NOT_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python only
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # a number for each byte
+_ODD = np.uint64(0xD1342543DE82EF95)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -34,118 +41,188 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return name if "/" in name else public_tokenizers.path(name)
 
 
-def byte_letters() -> str:
-    """The letter by which a byte-level BPE writes each byte: its own if it is printable, else one from 256 on."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return "".join(chr(b if b in own else next(others)) for b in range(256))
+def blocks(lengths: np.ndarray):
+    """Runs (first, last) of chunks with about BLOCK bytes, one chunk at least."""
+    ends, first = np.cumsum(lengths), 0
+    while first < len(lengths):
+        begin = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, begin + BLOCK, side="right")))
+        yield first, last
+        first = last
+
+
+def inner(lengths: np.ndarray) -> np.ndarray:
+    """The place of each byte in its chunk."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1])) - np.repeat(ends - lengths, lengths)
+
+
+def hash_chunks(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each chunk; the chunks lie one after the other."""
+    out = np.empty(len(starts), np.uint64)
+    powers = np.cumprod(np.full(int(lengths.max(initial=1)), _ODD, np.uint64))
+    for a, b in blocks(lengths):
+        at = inner(lengths[a:b])
+        out[a:b] = np.add.reduceat(_BYTE[text[starts[a]:starts[a] + len(at)]] * powers[at], starts[a:b] - starts[a])
+    return _mixed(out)
+
+
+def other_space(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether white space beyond ASCII ends right before each place."""
+    p1, p2, p3 = (text[np.maximum(at - k, 0)] for k in (1, 2, 3))
+    two = (p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0))
+    three = (((p3 == 0xE1) & (p2 == 0x9A) & (p1 == 0x80)) | ((p3 == 0xE2) & (p2 == 0x80) & (((p1 >= 0x80) & (p1 <= 0x8A)) | np.isin(p1, (0xA8, 0xA9, 0xAF))))
+             | ((p3 == 0xE2) & (p2 == 0x81) & (p1 == 0x9F)) | ((p3 == 0xE3) & (p2 == 0x80) & (p1 == 0x80)))
+    return two | three
+
+
+def grown(x: np.ndarray, size: int) -> np.ndarray:
+    """The array, made longer until it has ``size`` entries."""
+    return x if size <= len(x) else np.concatenate([x, np.zeros(max(size, 2 * len(x)) - len(x), x.dtype)])
 
 
 class Encoder:
-    """Ids of texts. ``encode(texts)`` gives one flat uint32 array and the number of ids of each text."""
+    """Ids of texts. ``encode(texts)`` takes bytes in UTF-8 and gives one flat uint32 array and the number of ids of each text."""
 
     def __init__(self, vocabulary: str = VOCABULARY, cache_chunks: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit = cache_chunks
         self.wide = max(self.tokenizer.get_vocab().values()) >= 1 << 16
-        self.table = byte_letters()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.widths = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, np.int64)  # bytes of each id; one letter stands for each byte
+        self.widths[list(vocab.values())] = [len(t) for t in vocab]
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32 if self.wide else np.uint16)
-        self.ends = np.zeros(1 << 14, np.int64)
-        self.known, self.used = 0, 0
-        self.again = np.zeros(1 << 14, bool)  # chunks that a later call met again
-
-    def forget(self) -> None:
-        """Keep the chunks that were met again, if they are less than half of the cache."""
-        kept = [c for c, code in self.codes.items() if self.again[code]]
-        each = [self.known_ids(c) for c in kept] if 2 * len(kept) < self.limit else []
-        self.clear()
-        if each:
-            self.keep(kept, each)
-
-    def keep(self, chunks: list[str], each: list[list[int]]) -> None:
-        flat = [i for ids in each for i in ids]
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.known + len(chunks) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
-        self.ids[self.used:self.used + len(flat)] = flat
-        self.ends[self.known:self.known + len(chunks)] = self.used + np.cumsum([len(ids) for ids in each], dtype=np.int64)
-        self.codes.update(zip(chunks, range(self.known, self.known + len(chunks))))
-        self.used += len(flat)
-        self.known += len(chunks)
-
-    def known_ids(self, chunk: str) -> list[int]:
-        code = self.codes[chunk]
-        return self.ids[self.ends[code - 1] if code else 0:self.ends[code]].tolist()
-
-    def learn(self, new: set[str]) -> None:
-        """Encode new chunks: pieces of Latin letters or of ASCII marks by the merges alone, as nothing splits them; all others by the whole tokenizer."""
-        pieces, joined, other = set(), [], []
-        for c in new:
-            if _PLAIN.fullmatch(c):
-                parts = _PIECE.findall(c)
-                pieces.update(parts)
-                if len(parts) > 1:
-                    joined.append((c, parts))
-            else:
-                other.append(c)
-        pieces = list(pieces.difference(self.codes))
-        merges, table = self.tokenizer.model.tokenize, self.table
-        self.keep(pieces, [[t.id for t in merges(w.encode().decode("latin-1").translate(table))] for w in pieces])
-        self.keep([c for c, _ in joined], [[i for w in parts for i in self.known_ids(w)] for _, parts in joined])
-        if other:
-            self.keep(other, [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)])
-
-    def chunks(self, text: str) -> list[str] | None:
-        """The chunks of a text; None if it has to be encoded whole."""
-        if any(s in text for s in self.special):
-            return None
-        if _RARE_SPACE.search(text):
-            return None if _NOT_SPACE.search(text) else _CHUNK.findall(text)
-        if "  " in text or " \n" in text or "\n " in text or text[:1] == " ":
-            return _CHUNK.findall(text)
-        first, *rest = text.split(" ")  # every space stands alone: a chunk is a space with what follows up to the next
-        return [first, *[" " + w for w in rest]] if first or rest else []
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.known = 0
+        self.slots = np.zeros(1 << 12, np.int32)  # an open table of codes + 1, by hash
+        self.hashes = np.zeros(1 << 10, np.uint64)
+        self.ids, self.ends = np.zeros(1 << 12, np.uint32 if self.wide else np.uint16), np.zeros(1 << 10, np.int64)
+        self.bytes, self.stops = np.zeros(1 << 13, np.uint8), np.zeros(1 << 10, np.int64)
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """The code of each hash, -1 where it is new."""
+        mask, out, open_ = len(self.slots) - 1, np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
+        at = (hashes & np.uint64(mask)).astype(np.int64)
+        while len(open_):
+            code = self.slots[at] - 1
+            used = code >= 0
+            hit = used & (self.hashes[code] == hashes[open_])
+            out[open_[hit]] = code[hit]
+            on = used & ~hit
+            open_, at = open_[on], (at[on] + 1) & mask
+        return out
+
+    def place(self, codes: np.ndarray) -> None:
+        """Enter different codes in the table."""
+        mask = len(self.slots) - 1
+        at = (self.hashes[codes] & np.uint64(mask)).astype(np.int64)
+        while len(codes):
+            free = np.flatnonzero(self.slots[at] == 0)
+            won = free[np.unique(at[free], return_index=True)[1]]
+            self.slots[at[won]] = codes[won] + 1
+            left = np.ones(len(codes), bool)
+            left[won] = False
+            codes, at = codes[left], (at[left] + 1) & mask
+
+    def keep(self, hashes: np.ndarray, raw: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Learn new chunks of different hashes, whose bytes lie one after the other in ``raw``; their codes."""
+        order, flat, counts = self.learn(raw, lengths)
+        begins = np.cumsum(lengths) - lengths
+        lengths, n = lengths[order], self.known + len(order)
+        raw = raw[inner(lengths) + np.repeat(begins[order], lengths)]
+        used, written = (int(x[self.known - 1]) if self.known else 0 for x in (self.ends, self.stops))
+        self.ids, self.bytes = grown(self.ids, used + len(flat)), grown(self.bytes, written + len(raw))
+        self.hashes, self.ends, self.stops = (grown(x, n) for x in (self.hashes, self.ends, self.stops))
+        self.ids[used:used + len(flat)], self.bytes[written:written + len(raw)] = flat, raw
+        self.hashes[self.known:n] = hashes[order]
+        self.ends[self.known:n], self.stops[self.known:n] = used + np.cumsum(counts), written + np.cumsum(lengths)
+        codes = np.empty(len(order), np.int64)
+        codes[order] = np.arange(self.known, n)
+        before, self.known = self.known, n
+        if 2 * n > len(self.slots):
+            self.slots, before = np.zeros(1 << (4 * n).bit_length(), np.int32), 0
+        self.place(np.arange(before, n))
+        return codes
+
+    def learn(self, raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of chunks, their ids in that order and how many each has.
+
+        Chunks that begin with ASCII white space and end without any make one text, whose ids are theirs; the bytes of the ids tell where a chunk ends."""
+        ends = np.cumsum(lengths)
+        apart = ~_SPACE[raw[ends - lengths]] | _SPACE[raw[ends - 1]] | other_space(raw, ends)
+        joined, single = np.flatnonzero(~apart), np.flatnonzero(apart)
+        flat, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(joined):
+            text = raw[np.repeat(~apart, lengths)].tobytes()
+            flat = np.asarray(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.int64)
+            reach, want = np.cumsum(self.widths[flat]), np.cumsum(lengths[joined])
+            at = np.searchsorted(reach, want)
+            if reach[-1] == want[-1] and (reach[at] == want).all():
+                counts = np.diff(np.append(-1, at))
+            else:  # an id across chunks: not with the patterns known here
+                flat, single, joined = flat[:0], np.append(joined, single), joined[:0]
+        if len(single):
+            texts = [raw[e - n:e].tobytes().decode("utf-8", "replace") for e, n in zip(ends[single].tolist(), lengths[single].tolist())]
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            flat, counts = np.concatenate([flat, np.array([i for ids in each for i in ids], np.int64)]), np.append(counts, [len(ids) for ids in each])
+        return np.append(joined, single), flat, counts.astype(np.int64)
+
+    def differ(self, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Chunks whose bytes aren't those of their code."""
+        stops = self.stops[codes]
+        begins = np.where(codes > 0, self.stops[np.maximum(codes - 1, 0)], 0)
+        bad = stops - begins != lengths
+        for a, b in blocks(lengths):
+            own = lengths[a:b]
+            at = np.minimum(inner(own) + np.repeat(begins[a:b], own), len(self.bytes) - 1)
+            wrong = np.flatnonzero(self.bytes[at] != text[starts[a]:starts[a] + len(at)])
+            bad[a + np.searchsorted(np.cumsum(own), wrong, side="right")] = True
+        return np.flatnonzero(bad)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if self.known > self.limit:
-            self.forget()
-        each = [self.chunks(t) for t in texts]
-        every = [c for chunks in each if chunks for c in chunks]
-        before = self.known
-        codes = np.fromiter(map(self.codes.get, every, repeat(-1)), np.int64, len(every))
-        missing = np.nonzero(codes < 0)[0].tolist()
-        if missing:
-            self.learn({every[i] for i in missing})
-            codes[missing] = [self.codes[every[i]] for i in missing]
-        self.again[codes[codes < before]] = True
+            self.clear()
+        whole, given = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}, texts
+        texts = [b"" if i in whole else t for i, t in enumerate(texts)]
+        text = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        space = _SPACE[text]
+        begin = space.copy()
+        begin[1:] &= ~space[:-1]
+        at = np.flatnonzero(begin)
+        whole.update(np.searchsorted(ends, at[other_space(text, at)], side="right").tolist())
+        begin[(ends - [len(t) for t in texts])[[len(t) > 0 for t in texts]]] = True
+        starts = np.flatnonzero(begin)
+        lengths = np.diff(np.append(starts, len(text)))
+        hashes = hash_chunks(text, starts, lengths)
+        codes = self.codes(hashes)
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            fresh, first, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            own = lengths[missing[first]]
+            raw = text[inner(own) + np.repeat(starts[missing[first]], own)]
+            codes[missing] = self.keep(fresh, raw, own)[which]
+        whole.update(np.searchsorted(ends, starts[self.differ(text, starts, lengths, codes)], side="right").tolist())
         stops = self.ends[codes]
-        starts = np.where(codes > 0, self.ends[np.maximum(codes - 1, 0)], 0)
-        sizes = stops - starts
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.ids[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)].astype(np.uint32)
-        counts = np.fromiter((len(c) if c is not None else 0 for c in each), np.int64, len(each))
-        at = np.cumsum(counts)
-        reach = np.concatenate([[0], ends])
-        lengths = reach[at] - reach[at - counts]
-        whole = [i for i, c in enumerate(each) if c is None]
+        begins = np.where(codes > 0, self.ends[np.maximum(codes - 1, 0)], 0)
+        sizes = stops - begins
+        through = np.cumsum(sizes)
+        total = int(through[-1]) if len(through) else 0
+        flat = self.ids[np.arange(total) + np.repeat(begins - (through - sizes), sizes)].astype(np.uint32)
+        reach = np.concatenate([[0], through])[np.searchsorted(starts, ends)]
+        counts = np.diff(np.concatenate([[0], reach]))
         if whole:
-            parts = np.split(flat, np.cumsum(lengths)[:-1])
-            for i in whole:
-                parts[i] = np.asarray(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-                lengths[i] = len(parts[i])
+            parts = np.split(flat, reach[:-1])
+            for i in sorted(whole):
+                parts[i] = np.asarray(self.tokenizer.encode(given[i].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+                counts[i] = len(parts[i])
             flat = np.concatenate(parts)
-        return flat, lengths
+        return flat, counts
 
 
 def encoder(vocabulary: str = VOCABULARY) -> Encoder:
@@ -174,11 +251,12 @@ def crc32(ids: np.ndarray) -> int:
 
 
 def runs(column, most: int = 2_000_000):
-    """Start, end and texts (null: empty) of runs of a column with about ``most`` bytes, so that one call's arrays stay small."""
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    """Start, end and texts (UTF-8 bytes; null: empty) of runs of a column with about ``most`` bytes, so that one call's arrays stay small."""
+    column = column.cast(pa.large_binary())
+    sizes = [*pc.fill_null(pc.binary_length(column), 0).to_pylist(), most + 1]
     start, size = 0, 0
-    for i, n in enumerate([*sizes.tolist(), most + 1]):
+    for i, n in enumerate(sizes):
         if i > start and size + n > most:
-            yield start, i, [t or "" for t in column.slice(start, i - start).to_pylist()]
+            yield start, i, [t or b"" for t in column.slice(start, i - start).to_pylist()]
             start, size = i, 0
         size += n
