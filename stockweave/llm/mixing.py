@@ -24,12 +24,30 @@ SLICES_LOG2 = 11  # slices of a source's shuffled order
 TICKS = 1 << 50  # virtual time 1
 
 
-def position(doc_id="doc_id", seed: str = "mix") -> Column:
-    """Place of a document in its source's shuffle, 60 bits; rows with the same id share it, and are taken together."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+def _digits(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
+def position(doc_id="doc_id", text="text", seed: str = "mix") -> Column:
+    """Place of a document in its source's shuffle, 60 bits, by its id and text."""
+    return _digits(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))))
+
+
+def apart(rows: DataFrame, seed: str = "mix") -> DataFrame:
+    """``rows`` (_key, _at, ...) with a place of its own for each row: rows of a source that stand at one place are numbered, and all but the first move to
+    the place of their number. Only such rows are sorted, and by the whole table's order, so any number of them is spread over tasks."""
+    same = materialize(rows.groupBy("_key", "_at").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key", "_at"), "same-place")
+    if same.isEmpty():
+        return rows
+    shared = rows.join(same, ["_key", "_at"], "left_semi").withColumnRenamed("_at", "_place")
+    numbered = materialize(number_rows(shared, ["_key", "_place"], "_number", start=0), "numbered-places")
+    first = numbered.groupBy("_key", "_place").agg(F.min("_number").alias("_first"))
+    turn = F.col("_number") - F.col("_first")
+    moved = _digits(F.concat_ws(":", F.lit(seed), F.col("_place").cast("string"), turn.cast("string")))
+    numbered = numbered.join(first, ["_key", "_place"]).withColumn("_at", F.when(turn > 0, moved).otherwise(F.col("_place")))
+    return rows.join(same, ["_key", "_at"], "left_anti").select(rows.columns).unionByName(numbered.select(rows.columns))
+
+
 def targets(sizes: DataFrame, weights: Sequence[float], budget: float, passes: int) -> DataFrame:
     """(_key, source, source_size, target) of ``sizes`` (source, source_size): sources in code point order, null last, take the weights in turn
     and share ``budget`` times all words; no target is above ``passes`` times its source's size, and what is above goes to
@@ -84,20 +102,22 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float =
     target, taken (words, repeats counted).
 
     A null or empty text has size 0 and takes nothing. A null source is a source of its own, null ids are ids.
-    Rows with the same id stand at one place of their source's order, and are all taken or all left. An empty table gives no rows.
+    Rows of the same id and text are documents of their own, each at its own place; which of them is taken is arbitrary, how many are is not. An empty table gives no rows.
     """
-    slim = materialize(docs.select("doc_id", "source", n_words("text").alias("size"), position("doc_id", seed).alias("_at")), "sizes")
+    rows = docs.select("doc_id", "source", key_of("source").alias("_key"), n_words("text").alias("size"), position(seed=seed).alias("_at"))
+    slim = materialize(apart(materialize(rows, "sizes"), seed), "places")
     sources = queue(slim, weights, budget, passes).drop("source")
-    return (slim.withColumn("_key", key_of("source")).join(sources, "_key")
-            .select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).cast("bigint").alias("taken")))
+    return slim.join(sources, "_key").select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).cast("bigint").alias("taken"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, passes: int = 2, seed: str = "mix") -> DataFrame:
     """The mix itself: the rows of ``docs`` that are taken, each as often as it is taken, with the same columns.
 
-    Rows without a word have nothing to mix and are left out. The texts are read twice and joined with one row for each source.
+    Rows without a word have nothing to mix and are left out; null ids and sources, ties and repeated rows are as in :func:`plan`. An empty table gives no rows. The
+    texts are read twice and joined with one row for each source.
     """
-    slim = materialize(docs.select("source", n_words("text").alias("size"), position("doc_id", seed).alias("_at")), "sizes")
+    rows = docs.filter(n_words("text") > 0).select(key_of("source").alias("_key"), position(seed=seed).alias("_at"), "source", n_words("text").alias("size"))
+    slim = materialize(apart(materialize(rows, "sizes"), seed), "places")
     sources = queue(slim, weights, budget, passes).select("_key", "_upto")
-    placed = docs.filter(n_words("text") > 0).select(F.struct("*").alias("_row"), key_of("source").alias("_key"), position("doc_id", seed).alias("_at"))
-    return placed.join(sources, "_key").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies()))).select("_row.*")
+    placed = docs.filter(n_words("text") > 0).select(F.struct("*").alias("_row"), key_of("source").alias("_key"), position(seed=seed).alias("_at"))
+    return apart(placed, seed).join(sources, "_key").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies()))).select("_row.*")

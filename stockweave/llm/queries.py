@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 from itertools import permutations
 
@@ -27,8 +28,10 @@ def query(name: str, sql: str | None = None):
 
 
 OP4 = rf"""
-WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORDS_SQL}))::BIGINT AS size,
-                      CAST('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15) AS BIGINT) AS pos FROM documents),
+WITH first AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORDS_SQL}))::BIGINT AS size,
+                      CAST('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS at FROM documents),
+turns AS (SELECT *, row_number() OVER (PARTITION BY source, at) - 1 AS turn FROM first),
+sized AS (SELECT doc_id, source, size, CASE turn WHEN 0 THEN at ELSE CAST('0x' || substr(md5('mix:' || at || ':' || turn), 1, 15) AS BIGINT) END AS pos FROM turns),
 sums AS (SELECT source, sum(size)::BIGINT AS total FROM sized GROUP BY source),
 ranked AS (SELECT source, total, total * 2 AS most,
                   [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM sums),
@@ -86,7 +89,7 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _kind_sql(kind: str, place: int, pattern: str, group: int, least: int) -> str:
-    p = "'" + pattern.replace("'", "''") + "'"
+    p = "'" + re.sub(r"([*+?}])\+", r"\1", pattern).replace("'", "''") + "'"  # possessive or not gives the same matches
     return (f"SELECT blob, '{kind}' AS kind, {place} AS place, unnest(range(1, len(w) + 1)) AS i, w, k, s, {least} AS least FROM "
             f"(SELECT blob, regexp_extract_all(text, {p}, 0) AS w, regexp_extract_all(text, {p}, {group}) AS k, regexp_split_to_array(text, {p}) AS s FROM blobs) WHERE len(w) > 0")
 

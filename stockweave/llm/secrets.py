@@ -37,13 +37,13 @@ BASE = (
     Rule("hex", r"[0-9a-f]{32,}", 0, 32),
 )
 #: A key from its BEGIN line through its END line. Where no END follows before the next five dashes: through the lines of base64, which have 16
-#: characters or more but for the last; headers of an encrypted key may come first. Line ends may be written as ``\\n``. Loops over groups are bounded: Java's
-#: recurse. A key of 16,384 bits has about 200 lines; 251 are taken where END is missing.
-_GAP, _B64 = r"[\x20\x09-\x0D]*(?:\\[nrt][\x20\x09-\x0D]*){0,3}", "[A-Za-z0-9+/=]"
-KEY_BLOCK = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,16}-----END [A-Z ]*PRIVATE KEY-----"
-             rf"|(?:{_GAP}(?:Proc-Type|DEK-Info|Comment):[^\r\n\\]*){{0,4}}{_GAP}{_B64 * 16}{_B64}*(?:{_GAP}{_B64 * 16}{_B64}*){{0,250}}(?:{_GAP}{_B64}+)?|)")
+#: characters or more but for the last; headers of an encrypted key may come first. Line ends may be written as ``\\n``. No length is bounded: all
+#: loops over groups are possessive, which Java runs without recursion.
+_GAP, _B64 = r"[\x20\x09-\x0D]*+(?:\\[nrt][\x20\x09-\x0D]*+)*+", "[A-Za-z0-9+/=]"
+KEY_BLOCK = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]*PRIVATE KEY-----"
+             rf"|(?:{_GAP}(?:Proc-Type|DEK-Info|Comment):[^\r\n\\]*+)*+(?:{_GAP}{_B64}{{16,}}+)++(?:{_GAP}{_B64}++)?+|)")
 RULES = BASE + (
-    Rule("private_key", KEY_BLOCK, version=2, base=False),
+    Rule("private_key", KEY_BLOCK, version=3, base=False),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", base=False),
 )
 MASK = "[secret]"

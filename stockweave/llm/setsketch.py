@@ -360,6 +360,13 @@ def links(each: DataFrame, docs: DataFrame, s: Sketch, percent: int) -> DataFram
         best = 10 * more.count() >= fresh.count() > 0
 
 
+def groups(docs: DataFrame, percent: int, s: Sketch = Sketch()) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_key, n (size of its set) and root, the smallest key of a set in its component; empty sets share one."""
+    each = materialize(sketches(docs, s), "sketches")
+    roots = components(links(each, docs, s, percent))
+    return each.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "text_key", "n", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, s: Sketch = Sketch()) -> DataFrame:
     """Per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, n_shingles (different five-word shingles; a text of fewer words is one),
     component_id (the smallest doc_id that can be reached over links of ``percent`` * union <= 100 * intersection, itself included), kept (whether that
@@ -369,11 +376,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, s: Sketch = Sketch()) ->
     A null id takes part, and is a component's id only where no other is; such rows are kept. An empty table gives no rows. Texts of any length are
     taken whole. Sets are told apart by 64 bits, as are shingles.
     """
-    each = materialize(sketches(docs, s), "sketches")
-    roots = components(links(each, docs, s, percent))
-    tied = each.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "fp")).alias("root"))
+    tied = groups(docs, percent, s)
     ids = tied.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_m")).filter("_m > 1")
     out = tied.filter("n > 0").join(ids.select("root", "_least"), "root", "left").select(
         "doc_id", "n", "root", F.coalesce("_least", "doc_id").alias("component_id"))
-    out = out.unionByName(tied.filter("n = 0").select("doc_id", "n", "root", F.col("doc_id").alias("component_id")))
+    out = out.unionByName(tied.filter("n = 0").select("doc_id", "n", F.lit(None).cast("bigint").alias("root"), F.col("doc_id").alias("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "root")
+
+
+def keep_one(docs: DataFrame, percent: int = 80, s: Sketch = Sketch()) -> DataFrame:
+    """The rows of ``docs`` without near copies, with all their columns: of each component one row stays, one with the smallest doc_id, a null id
+    only where no other is. Of rows with the same id and text one stays, whichever its other columns are, the same in every run. Texts without words (null, empty) are
+    one component. An empty table gives no rows.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")).alias("m")
+    found = groups(docs, percent, s).groupBy("root").agg(least).select("m.doc_id", "m.text_key")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"))
+    rows = rows.join(found, rows["_id"].eqNullSafe(found["doc_id"]) & (rows["_key"] == found["text_key"]), "left_semi")
+    return rows.groupBy("_id", "_key").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row.*")

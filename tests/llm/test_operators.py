@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stockweave.llm import hosts, knn_quality, maxscore, mixing, near_copies, packing, quality_rules, secrets, simhash, suffix_dedup, token_files, tokens
+from stockweave.llm import hosts, knn_quality, maxscore, mixing, packing, quality_rules, secrets, setsketch, simhash, suffix_dedup, token_files, tokens
 from stockweave.llm.components import components
 from stockweave.llm.suffix_array import suffix_array
 
@@ -99,7 +99,7 @@ def test_chunked_encoding_equals_the_library():
     texts = ["".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(3000)] + [LONG, "", " x", "x "]
     coder = tokens.Encoder(cache_chunks=500)
     for lo in range(0, len(texts), 200):  # the cache is emptied on the way
-        flat, sizes = coder.encode(texts[lo:lo + 200])
+        flat, sizes = coder.encode([t.encode() for t in texts[lo:lo + 200]])
         assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == plain_ids(texts[lo:lo + 200])
 
 
@@ -223,6 +223,18 @@ def test_mix_meets_targets(spark, real, odd):
     assert mixing.plan(empty(spark)).count() == 0
 
 
+def test_rows_without_ids_or_with_one_id_are_cut_at_the_target(spark):
+    text = "one two three four five six seven eight nine ten " * 2
+    rows_ = [(None, text + (str(i) if i % 2 else ""), "en", "a") for i in range(400)] + [(5, text, "en", "b") for _ in range(300)] + [(i, text * 3, "en", "c") for i in range(1000, 1100)]
+    df = docs_of(spark, rows_)
+    out = mixing.plan(df).collect()
+    for source in {r["target"] for r in out}:
+        own = [r for r in out if r["target"] == source]
+        assert abs(sum(r["taken"] for r in own) - source) <= 61 and all(r["taken"] <= 2 * r["size"] for r in own)
+    mixed = mixing.mix(df)
+    assert mixed.count() == sum(r["taken"] // r["size"] for r in out)
+
+
 def test_mixed_rows_keep_their_columns(spark, odd):
     out = mixing.mix(odd)
     assert out.columns == odd.columns
@@ -401,7 +413,7 @@ def test_fingerprints_and_components(spark, real, odd):
 def test_null_and_repeated_ids_do_not_join_components(spark):
     texts = [" ".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=60)) for k in range(5)]
     df = docs_of(spark, [(None, texts[0], "en", "a"), (None, texts[1], "en", "a"), (7, texts[2], "en", "a"), (7, texts[3], "en", "a"), (8, texts[4], "en", "a"), (None, texts[4], "en", "a")])
-    for keep in (simhash.keep_one, near_copies.keep_one):
+    for keep in (simhash.keep_one, setsketch.keep_one):
         assert collected(keep(df).orderBy("text")) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4])], key=lambda r: r[1])
 
 
@@ -422,7 +434,7 @@ def test_near_copy_stage_meets_every_similar_pair(spark, odd, monkeypatch):
     line = [f"common{i}" for i in range(30)]  # frequent words beside text of each document's own
     given += [line + [f"own{k}x{i}" for i in range(12)] for k in range(20)]
     planted = docs_of(spark, [(100 + i, " ".join(w), "en", "a") for i, w in enumerate(given)])
-    monkeypatch.setattr(near_copies, "CHUNK", 7)
+    monkeypatch.setattr(setsketch, "CHUNK", 7)
     for df in (planted, odd, empty(spark)):
         docs = collected(df)
         sets = [five_words(t) for _, t in docs]
@@ -505,7 +517,7 @@ def test_the_ledger_scans_only_what_is_new(spark, odd, real):
     assert more.join(scanned, ["blob", "kind", "version"]).count() == 0
     both = found.unionByName(new)
     assert rows(secrets.report(real, both)) == rows(secrets.report(real, secrets.scan(real)[1]))
-    raised = tuple(secrets.Rule(r.kind, r.pattern, r.group, r.least, 2 if r.kind == "hex" else 1, r.base) for r in secrets.RULES)
+    raised = tuple(secrets.Rule(r.kind, r.pattern, r.group, r.least, r.version + (r.kind == "hex"), r.base) for r in secrets.RULES)
     newer, _ = secrets.scan(old, raised, scanned)
     assert {r["kind"] for r in newer.select("kind").distinct().collect()} == {"hex"}
 
@@ -523,7 +535,8 @@ def test_private_keys_are_masked_with_their_bodies(spark):
     head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
     encrypted = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF00FF\n\n"
     texts = [f"{head}{glue}{extra}{glue.join(lines)}{end}" for glue in ("\n", "\r\n", "\\n", "\n            ", " ") for extra in ("", encrypted) for end in (f"\n{tail}", "")]
-    texts += [f"{head}\n{lines[0]}\n{head}\n{lines[1]}\n{tail}"]
+    texts += [f"{head}\n{lines[0]}\n{head}\n{lines[1]}\n{tail}", head + "\n" + "\n".join(2 * lines[:200]), head + "\n" + "\n".join(f"{x} - -- --- ----" for x in lines) + "\n" + tail,
+              head + "\n" + "Comment: x\n" * 9 + "\n" + "\\n\\r\\n\\n\\t".join(lines)]
     df = docs_of(spark, [(i, f"before {t}\n(after)", "en", "a") for i, t in enumerate(texts)] + [(99, f"the line {head}\nNext words stay", "en", "a")])
     out = dict(collected(secrets.mask(df, secrets.scan(df)[1])))
     assert out.pop(99) == "the line [secret]\nNext words stay"
