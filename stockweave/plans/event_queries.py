@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stockweave.functions.runtime import new_path
+from stockweave.functions.runtime import materialize, new_path
 from stockweave.operators import members, orders as od
 from stockweave.plans import views as v
 from stockweave.plans.member_queries import AFTER, BEFORE, EARNED, LEVELS
 from stockweave.plans.registry import query
-from stockweave.plans.stock_queries import AVAILABLE, LEDGER, product_stock, sold
+from stockweave.plans.stock_queries import AVAILABLE, LEDGER, LOT_STOCK, SHOP, due_lines, lot_stock, product_stock, sold
 from stockweave.streaming import payments, pull
 
 LATER = 1_000_000_000_000
 
 
 def _payload(e, type_):
-    """Five shapes of the same facts, by event id; the fifth names only the payment."""
+    """Five shapes of the same facts, by event id; the fifth names only the payment, some of the first name a customer and an error too."""
     shape, q = e % 5, lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     order, pay = F.col("user_id").cast("string"), F.concat(F.lit("pay_"), ((F.col("user_id") + e % 2) % 50).cast("string"))
-    body = (F.when(shape == 0, F.concat(F.lit('{"object":{"paymentId":'), q(pay), F.lit(',"orderId":'), q(order), F.lit("}}")))
+    customer = F.when(e % 10 == 0, F.concat(F.lit(',"customerId":"cus_'), (F.col("user_id") % 97).cast("string"), F.lit('"'))).otherwise("")
+    error = F.when(e % 15 == 0, F.concat(F.lit(',"error":"declined '), (e % 7).cast("string"), F.lit('"'))).otherwise("")
+    body = (F.when(shape == 0, F.concat(F.lit('{"object":{"paymentId":'), q(pay), F.lit(',"orderId":'), q(order), customer, error, F.lit("}}")))
             .when(shape == 1, F.concat(F.lit('{"object":{"payment_id":'), q(pay), F.lit(',"order_id":'), q(order), F.lit("}}")))
             .when(shape == 2, F.concat(F.lit('{"id":'), q(pay), F.lit(',"metadata":{"orderId":'), q(order), F.lit("}}")))
             .when(shape == 3, F.concat(F.lit('{"object":{"id":'), q(pay), F.lit(',"metadata":{"cartCustomAttributes":{"orderId":'), q(order), F.lit("}}}}")))
@@ -49,7 +51,8 @@ def fresh(spark, sf):
 EVENTS = """ev AS (SELECT event_id AS seq, 'evt_' || event_id AS event_id, CASE event_type WHEN 'purchase' THEN 'payment.succeeded' WHEN 'error' THEN 'payment.failed' WHEN 'signup' THEN 'order.refunded'
       WHEN 'click' THEN 'cart.updated' ELSE 'page.view/extra' END AS event_type, CASE WHEN event_id % 5 <> 4 THEN CAST(user_id AS VARCHAR) END AS order_id,
     CASE WHEN event_id % 5 IN (0, 1, 4) OR event_type IN ('purchase', 'error') THEN 'pay_' || (user_id + event_id % 2) % 50 END AS payment_id,
-    CASE event_type WHEN 'purchase' THEN 'paid' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'refunded' END AS status FROM events)"""
+    CASE event_type WHEN 'purchase' THEN 'paid' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'refunded' END AS status,
+    CASE WHEN event_id % 10 = 0 THEN 'cus_' || user_id % 97 END AS customer_id, CASE WHEN event_id % 15 = 0 THEN 'declined ' || event_id % 7 END AS error FROM events)"""
 MOVED = f"""{EVENTS}, direct AS (SELECT * FROM ev WHERE status IS NOT NULL AND order_id IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders)),
   fallback AS (SELECT * FROM ev WHERE status IS NOT NULL AND order_id IS NULL),
   held AS (SELECT order_id, payment_id, seq AS since, lead(seq) OVER (PARTITION BY order_id ORDER BY seq) AS until FROM direct WHERE payment_id IS NOT NULL),
@@ -88,40 +91,76 @@ def _alerts(spark, sf):
     return payments.new_alerts(payments.status_changes(shop(spark, sf), fresh(spark, sf))[0])
 
 
-@query("alert_payload", f"""WITH {MOVED}, {AVAILABLE}, {EARNED}, before AS ({BEFORE}), after AS ({AFTER}), tier AS (SELECT order_id, level_after, level_after > level_before AS tier_up FROM before JOIN after USING (customer, order_id)),
-  per AS (SELECT order_id, CAST(sum(quantity) AS BIGINT) AS units, count(*) FILTER (short > 0) AS pickup_lines, count(*) FILTER (NOT short > 0) AS ship_lines, sum(short) AS shortfall
-    FROM (SELECT l.*, CASE WHEN a.fulfilment = 'just_in_time' THEN greatest(a.sold - a.on_hand, 0) ELSE 0 END AS short FROM lines l JOIN available a USING (sku)) GROUP BY order_id)
-  SELECT order_id, CAST(round(o_totalprice * 100) AS BIGINT) AS total_cents, units, pickup_lines, ship_lines, shortfall, level_after, tier_up,
-    CASE WHEN tier_up THEN 'Tier up · ' ELSE '' END || CASE WHEN pickup_lines > 0 THEN 'Pickup needed · order ' || order_id
-      ELSE 'Order ' || order_id || ' paid · ship ' || coalesce(units, 0) || CASE WHEN units = 1 THEN ' vial' ELSE ' vials' END END AS title
-  FROM alerts JOIN orders ON CAST(o_orderkey AS VARCHAR) = order_id LEFT JOIN per USING (order_id) LEFT JOIN tier USING (order_id)""")
+LINES = f"""priced AS (SELECT l.order_id, l.sku, l.quantity, a.name, CASE WHEN a.fulfilment = 'just_in_time' THEN greatest(a.sold - a.on_hand, 0) ELSE 0 END AS short FROM lines l JOIN available a USING (sku)),
+  per AS (SELECT order_id, CAST(sum(quantity) AS BIGINT) AS units, count(*) FILTER (short > 0) AS pickup_lines, count(*) FILTER (NOT short > 0) AS ship_lines, CAST(sum(short) AS DOUBLE) AS shortfall,
+      string_agg(name, ', ' ORDER BY name, sku, quantity) FILTER (short > 0) AS names,
+      string_agg('PICKUP (just-in-time, ' || CAST(short AS BIGINT) || ' short): ' || name || ' ×' || quantity || chr(10), '' ORDER BY name, sku, quantity) FILTER (short > 0) AS pick,
+      string_agg('Ship from stock: ' || name || ' ×' || quantity || chr(10), '' ORDER BY name, sku, quantity) FILTER (NOT short > 0) AS ship FROM priced GROUP BY order_id)"""
+FACTS = f"""{AVAILABLE}, {EARNED}, before AS ({BEFORE}), after AS ({AFTER}), tier AS (SELECT order_id, level_after, level_after > level_before AS tier_up FROM before JOIN after USING (customer, order_id)),
+  {LINES}, told AS (SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(round(o_totalprice * 100) AS BIGINT) AS total_cents, o_orderdate AS t, n_name AS place,
+      CASE o_orderkey % 3 WHEN 0 THEN 'Base' WHEN 1 THEN 'Middle' END AS priced_at, coalesce(units, 0) AS units, pickup_lines, ship_lines, shortfall, names, pick, ship, level_after,
+      coalesce(tier_up, false) AS tier_up, CASE level_after WHEN 2 THEN 'Top' WHEN 1 THEN 'Middle' ELSE 'Base' END AS level_name
+    FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey LEFT JOIN per ON order_id = CAST(o_orderkey AS VARCHAR) LEFT JOIN tier USING (order_id)),
+  facts AS (SELECT order_id, total_cents, units, pickup_lines, ship_lines, shortfall, level_after, level_name, tier_up,
+    CASE WHEN tier_up THEN 'Tier up: ' || level_name || ' · ' ELSE '' END || CASE WHEN pickup_lines > 0 THEN 'Pickup needed: ' || names || ' · order ' || order_id
+      ELSE 'Order ' || order_id || ' paid · ship ' || units || CASE WHEN units = 1 THEN ' vial' ELSE ' vials' END END AS title,
+    'Order ' || order_id || ' · $' || total_cents // 100 || '.' || lpad(CAST(total_cents % 100 AS VARCHAR), 2, '0') || ' · ' || strftime(t, '%Y-%m-%d %H:%M') || ' UTC' || chr(10)
+      || coalesce(pick, '') || coalesce(ship, '') || 'Ship to: ' || place || chr(10) || 'Status: ' || level_name || CASE WHEN priced_at <> 'Base' THEN ' (priced at ' || priced_at || ')' ELSE '' END
+      || ' · pack ' || lower(level_name) || ' labels' || CASE WHEN tier_up THEN ' · ADD THE ' || upper(level_name) || ' CARD' ELSE '' END AS message FROM told)"""
+
+
+def facts(spark, sf):
+    """What alerts about any of the orders say."""
+    o, k = v.table(spark, sf, "orders"), F.col("o_orderkey") % 3
+    c = v.table(spark, sf, "customer").join(v.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("place"))
+    o = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").cast("string").alias("order_id"), v.cents("o_totalprice").alias("total_cents"), F.col("o_orderdate").alias("created_at"), "place",
+        F.when(k == 0, "Base").when(k == 1, "Middle").alias("priced_at"))
+    lines = v.order_lines(spark, sf).join(v.products(spark, sf).select("sku", "name"), "sku")
+    pickups = od.pickup_lines(lines, product_stock(spark, sf), sold(spark, sf))
+    tiers = members.tier_ups(members.earned_levels(v.member_orders(spark, sf), LEVELS), LEVELS)
+    return payments.order_facts(o, pickups, tiers, LEVELS)
+
+
+def message(df):
+    return df.withColumn("message", F.array_join("lines", "\n")).drop("lines")
+
+
+@query("alert_payload", f"WITH {MOVED}, {FACTS} SELECT facts.* FROM alerts JOIN facts USING (order_id)")
 def _payload_of(spark, sf):
     alerts = payments.new_alerts(payments.status_changes(shop(spark, sf), fresh(spark, sf))[0])
-    o = v.shop_orders(spark, sf).withColumnRenamed("subtotal_cents", "total_cents")
-    pickups = od.pickup_lines(v.order_lines(spark, sf), product_stock(spark, sf), sold(spark, sf))
-    tiers = members.tier_ups(members.earned_levels(v.member_orders(spark, sf), LEVELS), LEVELS)
-    return payments.alert_payload(alerts, o, pickups, tiers).select(
-        "order_id", "total_cents", "units", "pickup_lines", "ship_lines", "shortfall", "level_after", "tier_up", "title")
+    return message(facts(spark, sf).join(alerts.select("order_id"), "order_id"))
+
 
+def fed(spark, rows, order: str, folder: str, start, parts: int = 6) -> None:
+    """Append ``rows`` in parts along ``order`` to the files of a stream, and run what ``start`` makes of it after each part."""
+    edges = rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001)
+    part = sum((F.when(F.col(order) > e, 1).otherwise(0) for e in edges), F.lit(0))
+    for b in range(parts):
+        rows.filter(part == b).write.mode("append").parquet(folder)
+        start(spark.readStream.schema(rows.schema).parquet(folder)).awaitTermination()
 
-def event_stream(spark, sf):
-    return deliveries(v.stream(spark, sf, "events"))
 
+def streamed_payments(spark, sf, said=None):
+    """Six runs of the payment stream, one for each part of the deliveries, in order of arrival."""
+    folder, o = new_path(spark, "payments"), materialize(shop(spark, sf), "shop")
+    fed(spark, materialize(deliveries(v.table(spark, sf, "events")), "deliveries"), "arrival", f"{folder}/in", lambda s: payments.start_payments(s, o, folder, facts=said))
+    return folder, o
 
-@query("stream_order_status", f"WITH {MOVED} SELECT * FROM state")
+
+@query("stream_order_status", f"""WITH {MOVED}, named AS (SELECT order_id, arg_max(customer_id, seq) FILTER (customer_id IS NOT NULL) AS customer_id, max(seq) AS last FROM direct GROUP BY order_id)
+  SELECT state.*, n.customer_id, e.error AS last_error FROM state LEFT JOIN named n USING (order_id) LEFT JOIN direct e ON e.seq = n.last""")
 def _stream_status(spark, sf):
-    """The same through a streaming run over the event files."""
-    folder, o = new_path(spark, "payments"), shop(spark, sf)
-    payments.start_payments(event_stream(spark, sf), o, folder).awaitTermination()
+    """Order status with customer and last error through six micro-batches over the events."""
+    folder, o = streamed_payments(spark, sf)
     return payments.read_orders(spark, o, folder)
 
 
-@query("stream_paid_alerts", f"WITH {MOVED} SELECT order_id, kind, arrival FROM alerts")
+@query("stream_paid_alerts", f"WITH {MOVED}, {FACTS} SELECT order_id, kind, arrival, title, message FROM alerts JOIN facts USING (order_id)")
 def _stream_alerts(spark, sf):
-    folder = new_path(spark, "payments")
-    payments.start_payments(event_stream(spark, sf), shop(spark, sf), folder).awaitTermination()
-    from stockweave.sources.batches import read_before
-    return read_before(spark, f"{folder}/alerts").select("order_id", "kind", "arrival")
+    """Alerts with their finished messages, written by the micro-batch that first confirms the order."""
+    folder, _ = streamed_payments(spark, sf, materialize(facts(spark, sf), "facts"))
+    return message(payments.read_alerts(spark, folder)).select("order_id", "kind", "arrival", "title", "message")
 
 
 @query("stream_on_hand", f"WITH {LEDGER} SELECT lot_id, sum(delta) AS on_hand FROM ledger GROUP BY lot_id")
@@ -132,19 +171,46 @@ def _stream_on_hand(spark, sf):
     return pull.read_on_hand(spark, folder)
 
 
-@query("stream_order_pull", """SELECT order_id, sum(taken) AS units FROM (SELECT CAST(l_orderkey AS VARCHAR) AS order_id, l_quantity AS taken FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F') GROUP BY order_id""")
+def _walk(name: str, turn: str, caps: str) -> str:
+    """Lines of ``turn`` (sku, order_id, quantity, created_at) decided in their order on stock ``caps`` (sku, cap): table ``name``, and ``name``_left with what is left."""
+    return f"""{name}_turn AS (SELECT t.*, coalesce(cap, 0) AS cap, row_number() OVER (PARTITION BY t.sku ORDER BY created_at, order_id) AS rn FROM {turn} t LEFT JOIN {caps} USING (sku)),
+  {name} AS (SELECT sku, CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS order_id, CAST(cap AS BIGINT) AS left_after, false AS served FROM (SELECT DISTINCT sku, cap FROM {name}_turn)
+    UNION ALL SELECT t.sku, t.rn, t.order_id, CAST(CASE WHEN t.quantity <= w.left_after THEN w.left_after - t.quantity ELSE w.left_after END AS BIGINT), t.quantity <= w.left_after
+    FROM {name} w JOIN {name}_turn t ON t.sku = w.sku AND t.rn = w.rn + 1),
+  {name}_left AS (SELECT sku, coalesce(arg_max(left_after, rn), any_value(c.cap)) AS cap FROM {caps} c LEFT JOIN {name} USING (sku) GROUP BY sku)"""
+
+
+PULL = f"""WITH RECURSIVE {LOT_STOCK}, {SHOP}, units AS (SELECT sku, l_suppkey % 2 AS wave, floor(on_hand)::BIGINT AS n FROM lot_stock WHERE on_hand >= 1),
+  opening AS (SELECT sku, coalesce(sum(n) FILTER (wave = 0), 0)::BIGINT AS cap FROM (SELECT DISTINCT sku FROM lots) LEFT JOIN units USING (sku) GROUP BY sku),
+  due AS (SELECT order_id, sku, quantity, status, created_at, CAST(order_id AS BIGINT) AS k FROM lines JOIN shop_orders USING (order_id)
+    WHERE status IN ('paid', 'refunded') AND NOT synced AND NOT (CAST(order_id AS BIGINT) % 5 = 0 AND CAST(sku AS BIGINT) % 2 = 0)),
+  at_once AS (SELECT * FROM due WHERE (status = 'paid' AND k % 7 <> 0) OR (status = 'refunded' AND k % 2 = 0)),
+  {_walk('first', 'at_once', 'opening')}, by_word AS (SELECT * FROM due WHERE status = 'paid' AND k % 7 = 0), {_walk('second', 'by_word', 'first_left')},
+  open AS (SELECT * FROM due WHERE status = 'paid' AND (sku, order_id) NOT IN (SELECT (sku, order_id) FROM first WHERE served UNION ALL SELECT (sku, order_id) FROM second WHERE served)),
+  more AS (SELECT l.sku, l.cap + coalesce(sum(n), 0)::BIGINT AS cap FROM second_left l LEFT JOIN units u ON u.sku = l.sku AND wave = 1 GROUP BY l.sku, l.cap), {_walk('third', 'open', 'more')},
+  done AS (SELECT sku, order_id FROM first WHERE served UNION ALL SELECT sku, order_id FROM second WHERE served UNION ALL SELECT sku, order_id FROM third WHERE served)
+  SELECT order_id, sku, 'sold' AS outcome, quantity AS units FROM due JOIN done USING (sku, order_id)
+  UNION ALL SELECT order_id, sku, 'waits', 0 FROM open WHERE (sku, order_id) NOT IN (SELECT (sku, order_id) FROM done)"""
+
+
+@query("stream_order_pull", PULL)
 def _stream_pull(spark, sf):
-    """Paid lines streamed into a ledger whose lots hold plenty: every unit sold is on the ledger once."""
-    folder = new_path(spark, "pull")
-    rows = v.stream(spark, sf, "lineitem")
-    paid = v.table(spark, sf, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("created_at"))
-    lines = rows.join(paid, rows["l_orderkey"] == paid["o_orderkey"]).select(
-        F.concat_ws("/", "l_orderkey", "l_suppkey", "l_linenumber").alias("order_id"), F.col("l_partkey").cast("string").alias("sku"),
-        F.col("l_quantity").cast("bigint").alias("quantity"), F.lit("paid").alias("status"), "created_at")
-    lots = v.lots(spark, sf)
-    opening = lots.select(F.lit("IE-0001").alias("event_id"), "lot_id", F.lit("received").alias("kind"), F.lit(100_000.0).alias("quantity"),
-                          F.lit(None).cast("date").alias("occurred_on"), F.lit("opening").alias("reference"))
-    pull.start_pull(lines, lots, opening, folder).awaitTermination()
-    from stockweave.sources.batches import read_before
-    sales = read_before(spark, f"{folder}/sales")
-    return sales.groupBy(F.substring_index(F.split("reference", " ")[1], "/", 1).alias("order_id")).agg(F.sum("quantity").alias("units"))
+    """Lines stream in by their time on half of the stock; then some orders are paid and some refunded; then the other half of the lots arrives."""
+    folder, k = new_path(spark, "pull"), F.col("order_id").cast("bigint")
+    due = materialize(due_lines(spark, sf), "due")
+    late = F.when((F.col("status") == "paid") & (k % 7 == 0), "pending").when((F.col("status") == "refunded") & (k % 2 == 0), "paid")
+    lines = materialize(due.select("order_id", "sku", "quantity", F.coalesce(late, "status").alias("status"), "created_at", F.unix_micros("created_at").alias("t")), "lines")
+    words = due.filter(late.isNotNull()).select("order_id", "status", F.lit("2030-01-01").cast("timestamp").alias("at")).distinct()
+    stock = materialize(lot_stock(spark, sf).select("lot_id", "sku", F.col("on_hand").alias("units"), "expires_on", (F.split("lot_id", "-")[1].cast("bigint") % 2).alias("wave")), "stock")
+    opening, later = (stock.filter(F.col("wave") == w).drop("wave") for w in (0, 1))
+    recorded = v.sale_references(spark, sf).select(F.split("reference", " ").alias("r")).select(F.col("r")[1].alias("order_id"), F.col("r")[2].alias("sku")).distinct()
+    for name, rows in (("words", words), ("lots", later)):
+        rows.limit(0).write.parquet(f"{folder}/{name}")
+    read = lambda rows, name: spark.readStream.schema(rows.schema).parquet(f"{folder}/{name}")
+    start = lambda stream: pull.start_pull(stream, folder, read(later, "lots"), read(words, "words"), opening, recorded)
+    fed(spark, lines, "t", f"{folder}/lines", start, 3)
+    for name, rows in (("words", words), ("lots", later)):
+        rows.write.mode("append").parquet(f"{folder}/{name}")
+        start(read(lines, "lines")).awaitTermination()
+    sales = spark.read.parquet(f"{folder}/sales").groupBy("order_id", "sku").agg(F.lit("sold").alias("outcome"), F.sum("quantity").alias("units"))
+    return sales.unionByName(pull.read_waiting(spark, folder).select("order_id", "sku", F.lit("waits").alias("outcome"), F.lit(0).cast("bigint").alias("units")))

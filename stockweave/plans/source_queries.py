@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stockweave.functions.runtime import new_path
+from stockweave.functions.runtime import materialize, new_path
 from stockweave.functions.values import plain
 from stockweave.operators import catalog as c
 from stockweave.plans import graph_views as gv
@@ -77,7 +77,8 @@ def _masked_edges(spark, sf):
 def _resync(spark, sf):
     """A plan applied to a snapshot table leaves nothing to do but the orphans."""
     store = SnapshotTable(spark, new_path(spark, "catalog"))
-    r, local = remote(spark, sf), items(spark, sf)
+    local = materialize(items(spark, sf), "items")
+    r = remote(local)
     r = r.groupBy("sku").agg(F.max_by(F.struct(*[x for x in r.columns if x not in ("sku", "seq")]), "seq").alias("r")).select("sku", "r.*")
     store.replace(r)
     held = store.fetch()

@@ -1,74 +1,28 @@
-"""Tables that grow by numbered batches: ``folder/batch=N``. Writing a batch again replaces it."""
+"""A table that is replaced as a whole: numbered snapshots, of which readers take the last complete one."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-
-def batch_numbers(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the complete batches, by one listing of success markers; an unfinished write has none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    marks = fs.globStatus(path(f"{folder}/batch=*/_SUCCESS")) or []
-    return sorted(int(m.getPath().getParent().getName().split("=")[1]) for m in marks)
-
-
-def write_batch(df: DataFrame, folder: str, n: int) -> DataFrame:
-    """Write the rows as batch ``n`` and return them as read back."""
-    path = f"{folder}/batch={n}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def read_before(spark: SparkSession, folder: str, n: int | None = None) -> DataFrame | None:
-    """All complete batches, or those numbered below ``n``; None when there is none."""
-    numbers = [b for b in batch_numbers(spark, folder) if n is None or b < n]
-    if not numbers:
-        return None
-    return spark.read.option("basePath", folder).parquet(*[f"{folder}/batch={b}" for b in numbers])
-
-
-WHOLE_EVERY = 20  # batches after which a carried table is written as a whole
-
-
-def state_parts(spark: SparkSession, folder: str, n: int | None = None) -> list[str]:
-    """The files that hold a carried table before batch ``n``: its last whole copy and the changes since, however many batches went before."""
-    wholes = [b for b in batch_numbers(spark, f"{folder}/whole") if n is None or b < n]
-    since = wholes[-1] if wholes else -1
-    changes = [b for b in batch_numbers(spark, f"{folder}/changes") if b > since and (n is None or b < n)]
-    return [f"{folder}/whole/batch={b}" for b in wholes[-1:]] + [f"{folder}/changes/batch={b}" for b in changes]
-
-
-def read_state(spark: SparkSession, folder: str, key: str, n: int | None = None) -> DataFrame | None:
-    """A carried table before batch ``n`` (or now): the last row of each key; None when there is none."""
-    parts = state_parts(spark, folder, n)
-    if not parts:
-        return None
-    rows = [spark.read.parquet(p).withColumn("_turn", F.lit(i)) for i, p in enumerate(parts)]
-    table = reduce(DataFrame.unionByName, rows)
-    columns = [c for c in table.columns if c not in (key, "_turn")]
-    return table.groupBy(key).agg(F.max_by(F.struct(*columns), "_turn").alias("_r")).select(key, "_r.*")
-
-
-def write_state(changes: DataFrame, folder: str, key: str, n: int, every: int = WHOLE_EVERY) -> None:
-    """Write what batch ``n`` changes; every so many batches also the whole table, so that readers stop reading older changes."""
-    write_batch(changes, f"{folder}/changes", n)
-    if n % every == every - 1:
-        write_batch(read_state(changes.sparkSession, folder, key, n + 1), f"{folder}/whole", n)
+from pyspark.sql import DataFrame, SparkSession
 
 
 class SnapshotTable:
-    """A table replaced as a whole: each write is a new numbered snapshot, readers take the last complete one."""
+    """Each write is a new snapshot ``folder/batch=N``; one without a success marker was not finished and is not read."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def numbers(self) -> list[int]:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        marks = fs.globStatus(path(f"{self.folder}/batch=*/_SUCCESS")) or []
+        return sorted(int(m.getPath().getParent().getName().split("=")[1]) for m in marks)
+
     def fetch(self) -> DataFrame | None:
-        numbers = batch_numbers(self.spark, self.folder)
+        numbers = self.numbers()
         return self.spark.read.parquet(f"{self.folder}/batch={numbers[-1]}") if numbers else None
 
     def replace(self, df: DataFrame) -> DataFrame:
-        numbers = batch_numbers(self.spark, self.folder)
-        return write_batch(df, self.folder, numbers[-1] + 1 if numbers else 0)
+        numbers = self.numbers()
+        path = f"{self.folder}/batch={numbers[-1] + 1 if numbers else 0}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)

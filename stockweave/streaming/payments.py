@@ -1,17 +1,18 @@
 """Payment events delivered at least once: normalise, take each id once, move order status, alert once.
 
-The batch functions are plain DataFrame steps; :func:`start_payments` runs them on a stream. Every micro-batch
-writes its results under its own batch number, replacing what an earlier, failed try of that batch left, and
-reads only smaller numbers. A rerun therefore changes nothing.
+The batch functions are plain DataFrame steps over a whole table of events. :func:`start_payments` does the same to a stream with Spark's keyed state:
+event ids seen, orders of each payment, and the state of each order are three state variables in one query, so a batch reads the keys of its own
+events and nothing of the batches before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from stockweave.functions.ordered import SLICE_ROWS, Running, running
 from stockweave.functions.runtime import materialize
-from stockweave.sources.batches import read_before, read_state, write_batch, write_state
+from stockweave.streaming import state
 
 # Event type -> order status; other types are stored but change nothing.
 STATUS_OF = {
@@ -19,7 +20,7 @@ STATUS_OF = {
     "payment.failed": "failed", "payment.rejected": "failed", "order.failed": "failed",
     "payment.refunded": "refunded", "order.refunded": "refunded",
 }
-_OBJECT = ("paymentId: string, payment_id: string, id: string, orderId: string, order_id: string, "
+_OBJECT = ("paymentId: string, payment_id: string, id: string, orderId: string, order_id: string, customerId: string, customer_id: string, error: string, "
            "metadata: struct<orderId: string, cartCustomAttributes: struct<orderId: string>>")
 PAYLOAD = f"struct<id: string, type: string, data: struct<object: struct<{_OBJECT}>, {_OBJECT}>>"
 BEFORE_ALL = -1
@@ -33,16 +34,17 @@ def _first_dot(text) -> Column:
 
 
 def normalize(events: DataFrame, payload: str = "payload") -> DataFrame:
-    """Adds event_id, event_type, payment_id and order_id from the JSON payload; rows without an id are dropped."""
+    """Adds event_id, event_type, payment_id, order_id, customer_id and error from the JSON payload; rows without an id are dropped."""
     body = F.from_json(payload, PAYLOAD)
     e = events.withColumn("_p", body).filter(F.coalesce("_p.id", F.lit("")) != "")
     e = e.withColumn("_o", F.coalesce("_p.data.object", F.struct(*[
-        F.col(f"_p.data.{f}").alias(f) for f in ("paymentId", "payment_id", "id", "orderId", "order_id", "metadata")])))
+        F.col(f"_p.data.{f}").alias(f) for f in ("paymentId", "payment_id", "id", "orderId", "order_id", "customerId", "customer_id", "error", "metadata")])))
     e = e.withColumn("event_type", _first_dot(F.coalesce("_p.type", F.lit(""))))
     own = F.when(F.col("event_type").startswith("payment."), F.col("_o.id"))
     return e.withColumns({
         "event_id": F.col("_p.id"), "payment_id": F.coalesce("_o.paymentId", "_o.payment_id", own),
-        "order_id": F.coalesce("_o.orderId", "_o.order_id", "_o.metadata.orderId", "_o.metadata.cartCustomAttributes.orderId")}).drop("_p", "_o")
+        "order_id": F.coalesce("_o.orderId", "_o.order_id", "_o.metadata.orderId", "_o.metadata.cartCustomAttributes.orderId"),
+        "customer_id": F.coalesce("_o.customerId", "_o.customer_id"), "error": F.col("_o.error")}).drop("_p", "_o")
 
 
 def status_of(event_type="event_type") -> Column:
@@ -132,73 +134,162 @@ def new_alerts(moved: DataFrame, alerts: DataFrame | None = None) -> DataFrame:
     return first if alerts is None else first.join(alerts.select("order_id", "kind"), ["order_id", "kind"], "left_anti")
 
 
-def alert_payload(alerts: DataFrame, orders: DataFrame, pickups: DataFrame, tiers: DataFrame) -> DataFrame:
-    """What an alert says, without customer name or e-mail: total, units, lines to pick up and to ship, tier-up.
+def order_facts(orders: DataFrame, pickups: DataFrame, tiers: DataFrame, levels: list) -> DataFrame:
+    """What an alert about an order says, without customer name or e-mail, one row per order: title, total, units, lines to pick up and to ship, tier-up,
+    and the lines of the message in their order.
 
-    ``pickups`` comes from ``operators.orders.pickup_lines`` and ``tiers`` from ``operators.members.tier_ups``; the
-    single lines stay in ``pickups``.
+    ``orders`` has order_id, total_cents, created_at and, if known, place and priced_at (level name); ``pickups`` comes from ``operators.orders.pickup_lines``
+    with a name for each line; ``tiers`` from ``operators.members.tier_ups``; ``levels`` are the member levels in their order. The lines of one order stand in one row.
     """
+    line = F.struct("name", "sku", "quantity", F.col("shortfall").alias("short"), "pickup")
     lines = pickups.groupBy("order_id").agg(
-        F.sum("quantity").cast("bigint").alias("units"), F.count_if(F.col("pickup")).alias("pickup_lines"),
-        F.count_if(~F.col("pickup")).alias("ship_lines"), F.sum("shortfall").alias("shortfall"))
-    o = orders.select("order_id", "total_cents")
-    t = tiers.select("order_id", "level_after", "tier_up")
-    j = alerts.join(o, "order_id").join(lines, "order_id", "left").join(t, "order_id", "left")
-    title = (F.when(F.col("pickup_lines") > 0, F.concat(F.lit("Pickup needed · order "), "order_id"))
-             .otherwise(F.concat(F.lit("Order "), "order_id", F.lit(" paid · ship "), F.coalesce("units", F.lit(0)).cast("string"),
-                                 F.when(F.col("units") == 1, " vial").otherwise(" vials"))))
-    return j.withColumn("title", F.concat(F.when(F.col("tier_up"), "Tier up · ").otherwise(""), title))
-
-
-def start_payments(stream: DataFrame, orders: DataFrame, folder: str, trigger: dict | None = None):
-    """Run the steps on a stream of (payload, arrival); results are tables under ``folder``.
-
-    ``seen`` holds each event id once, for ever; ``alerts`` is a log. The state of the orders that events touched (status, payment, since which arrival, first
-    alert) is carried from batch to batch, so a batch reads the last whole copy of it and at most some changes, not the history. ``orders`` is the
-    state before the stream. Read the present state with :func:`read_orders`.
+        F.sum("quantity").cast("bigint").alias("units"), F.count_if(F.col("pickup")).alias("pickup_lines"), F.count_if(~F.col("pickup")).alias("ship_lines"),
+        F.sum("shortfall").alias("shortfall"), F.sort_array(F.collect_list(line)).alias("_lines"))
+    name = lambda c: F.element_at(F.array(*[F.lit(x.name) for x in levels]), F.coalesce(F.col(c), F.lit(0)).cast("int") + 1)
+    o = orders.select("order_id", "total_cents", "created_at", *[F.col(c) if c in orders.columns else F.lit(None).cast("string").alias(c) for c in ("place", "priced_at")])
+    j = o.join(lines, "order_id", "left").join(tiers.select("order_id", "level_after", "tier_up"), "order_id", "left")
+    j = j.withColumns({"level_name": name("level_after"), "tier_up": F.coalesce("tier_up", F.lit(False)), "_lines": F.coalesce("_lines", F.array().cast(dict(lines.dtypes)["_lines"])),
+                       "units": F.coalesce("units", F.lit(0).cast("bigint"))})
+    away = F.filter("_lines", lambda x: x["pickup"])
+    text = lambda xs, f: F.transform(xs, f)
+    count = lambda n: n.cast("bigint").cast("string")
+    dollars = F.format_string("%d.%02d", F.floor(F.col("total_cents") / 100), F.pmod("total_cents", F.lit(100)))
+    # Fixed: the wording of titles and message lines.
+    title = F.when(F.size(away) > 0, F.concat(F.lit("Pickup needed: "), F.array_join(text(away, lambda x: x["name"]), ", "), F.lit(" · order "), "order_id")).otherwise(
+        F.concat(F.lit("Order "), "order_id", F.lit(" paid · ship "), count(F.col("units")), F.when(F.col("units") == 1, " vial").otherwise(" vials")))
+    title = F.concat(F.when(F.col("tier_up"), F.concat(F.lit("Tier up: "), "level_name", F.lit(" · "))).otherwise(""), title)
+    first = F.concat(F.lit("Order "), "order_id", F.lit(" · $"), dollars, F.lit(" · "), F.date_format("created_at", "yyyy-MM-dd HH:mm"), F.lit(" UTC"))
+    pick = text(away, lambda x: F.concat(F.lit("PICKUP (just-in-time, "), count(x["short"]), F.lit(" short): "), x["name"], F.lit(" ×"), count(x["quantity"])))
+    ship = text(F.filter("_lines", lambda x: ~x["pickup"]), lambda x: F.concat(F.lit("Ship from stock: "), x["name"], F.lit(" ×"), count(x["quantity"])))
+    status = F.concat(F.lit("Status: "), "level_name", F.coalesce(F.when(F.col("priced_at") != levels[0].name, F.concat(F.lit(" (priced at "), "priced_at", F.lit(")"))), F.lit("")),
+                      F.lit(" · pack "), F.lower("level_name"), F.lit(" labels"), F.when(F.col("tier_up"), F.concat(F.lit(" · ADD THE "), F.upper("level_name"), F.lit(" CARD"))).otherwise(""))
+    lines = F.concat(F.array(first), pick, ship, F.array(F.concat(F.lit("Ship to: "), F.coalesce("place", F.lit(""))), status))
+    return j.select("order_id", title.alias("title"), "total_cents", "units", "pickup_lines", "ship_lines", "shortfall", "level_after", "level_name", "tier_up", lines.alias("lines"))
+
+
+class FirstDelivery(StatefulProcessor):
+    """By event id: the earliest row of the first batch that has the id; later deliveries give nothing, for ever."""
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "arrival bigint")
+
+    def handleInputRows(self, key, rows, timer):
+        first = min(rows, key=lambda r: r.arrival)
+        if not self.seen.exists():
+            self.seen.update((first.arrival,))
+            yield first
+
+    def close(self) -> None:
+        pass
+
+
+class OrdersOfPayment(StatefulProcessor):
+    """By payment: the orders that ever named it, and since when. Events with an order pass; one that names only the payment becomes a row for each of its orders.
+
+    Whether an order still carries the payment is for the order's own state to judge. Of a batch's events that name only the payment an order needs no
+    more than the last one, which may decide its status, and the first ``paid`` after each time that it takes the payment up, which may be its first confirmation.
     """
-    spark = stream.sparkSession
 
-    def step(batch: DataFrame, n: int) -> None:
-        fresh = first_deliveries(normalize(batch), read_before(spark, f"{folder}/seen", n))
-        fresh = write_batch(fresh, f"{folder}/seen", n)
-        held = read_state(spark, f"{folder}/orders", "order_id", n)
-        moved, paid_by = status_changes(with_state(orders, held), fresh)
-        changed = materialize(advance(held, moved, paid_by), "order-state")
-        alerts = changed.filter("_alerts").select("order_id", F.lit("paid").alias("kind"), F.col("alert_at").alias("arrival"))
-        write_batch(alerts, f"{folder}/alerts", n)
-        write_state(changed.drop("_alerts"), f"{folder}/orders", "order_id", n)
-
-    return (stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/_progress")
-            .trigger(**(trigger or {"availableNow": True})).start())
-
-
-def advance(held: DataFrame | None, moved: DataFrame, paid_by: DataFrame) -> DataFrame:
-    """State rows of the orders that ``moved`` or ``paid_by`` touch: order_id, status, status_at, payment_id, payment_at, alert_at, and whether
-    this is the first alert. A row of an earlier arrival than the held one changes nothing."""
-    m = moved.groupBy("order_id").agg(F.max_by("status", "arrival").alias("s"), F.max("arrival").alias("s_at"), F.min(F.when(F.col("status") == "paid", F.col("arrival"))).alias("alert"))
-    p = paid_by.groupBy("order_id").agg(F.max_by("payment_id", "arrival").alias("p"), F.max("arrival").alias("p_at"))
-    j = m.join(p, "order_id", "full_outer")
-    if held is None:
-        none = F.lit(None)
-        j = j.withColumns({"status": none.cast("string"), "status_at": none.cast("bigint"), "payment_id": none.cast("string"), "payment_at": none.cast("bigint"), "alert_at": none.cast("bigint")})
-    else:
-        j = j.join(held, "order_id", "left")
-    later = lambda new, old: F.col(new).isNotNull() & (F.col(old).isNull() | (F.col(new) > F.col(old)))
-    s, p = later("s_at", "status_at"), later("p_at", "payment_at")
-    pick = lambda c, new, old: F.when(c, F.col(new)).otherwise(F.col(old)).alias(old)
-    return j.select("order_id", pick(s, "s", "status"), pick(s, "s_at", "status_at"), pick(p, "p", "payment_id"), pick(p, "p_at", "payment_at"),
-                    F.coalesce("alert_at", "alert").alias("alert_at"), (F.col("alert_at").isNull() & F.col("alert").isNotNull()).alias("_alerts"))
-
-
-def with_state(orders: DataFrame, held: DataFrame | None) -> DataFrame:
-    """Orders with the status and payment of their carried state, where there is one."""
-    if held is None:
-        return orders
-    now = held.select("order_id", F.col("status").alias("_status"), F.col("payment_id").alias("_payment"))
-    return orders.join(now, "order_id", "left").withColumns(
-        {"status": F.coalesce("_status", "status"), "payment_id": F.coalesce("_payment", "payment_id")}).drop("_status", "_payment")
+    def init(self, handle) -> None:
+        self.orders = handle.getMapState("orders", "order_id string", "since bigint")
+
+    def handleInitialState(self, key, known, timer) -> None:
+        self.orders.updateValue((known.order_id,), (BEFORE_ALL,))
+
+    def handleInputRows(self, key, rows, timer):
+        told, taken = [], {}
+        for r in sorted(rows, key=lambda r: r.arrival):
+            if r.order_id is None:
+                told.append(r)
+                continue
+            if r.payment_id is not None:
+                taken.setdefault(r.order_id, []).append(r.arrival)
+            yield Row(order_id=r.order_id, payment_id=r.payment_id, customer_id=r.customer_id, error=r.error, status=r.status, arrival=r.arrival, direct=True)
+        for order, since in taken.items():
+            if not self.orders.containsKey((order,)):
+                self.orders.updateValue((order,), (since[0],))
+        if not told:
+            return
+        paid = [r.arrival for r in told if r.status == "paid"]
+        for (order,), (since,) in self.orders.iterator():
+            wanted = {told[-1].arrival}
+            for at in [since, *taken.get(order, [])]:
+                wanted.update([t for t in paid if t > at][:1])
+            for r in told:
+                if r.arrival in wanted and r.arrival > since:
+                    yield Row(order_id=order, payment_id=r.payment_id, customer_id=None, error=None, status=r.status, arrival=r.arrival, direct=False)
+
+    def close(self) -> None:
+        pass
+
+
+class OrderState(StatefulProcessor):
+    """By order: status, payment and customer (last ones named), last error, first confirmation. Only orders of the initial state are known.
+
+    An event that names the order sets its status and error and keeps payment and customer unless it names others; an event of its payment sets the status
+    alone, if the order carries that payment at its arrival. Gives one row when the order is first confirmed as paid."""
+
+    def init(self, handle) -> None:
+        self.order = handle.getValueState("order", "status string, payment_id string, customer_id string, last_error string, at bigint, alert_at bigint")
+
+    def handleInitialState(self, key, known, timer) -> None:
+        self.order.update((known.status, known.payment_id, known.customer_id, known.last_error, BEFORE_ALL, None))
+
+    def handleInputRows(self, key, rows, timer):
+        held = self.order.get()
+        if held is None:
+            return
+        status, payment, customer, error, at, alert = held
+        for r in sorted(rows, key=lambda r: r.arrival):
+            if r.arrival <= at or not (r.direct or r.payment_id == payment):
+                continue
+            status, at = r.status, r.arrival
+            if r.direct:
+                payment, customer, error = r.payment_id or payment, r.customer_id or customer, r.error
+            if status == "paid" and alert is None:
+                alert = r.arrival
+                yield Row(order_id=key[0], kind="paid", arrival=alert)
+        self.order.update((status, payment, customer, error, at, alert))
+
+    def close(self) -> None:
+        pass
+
+
+EVENT = "event_id string, event_type string, order_id string, payment_id string, customer_id string, error string, arrival bigint"
+MOVE = "order_id string, payment_id string, customer_id string, error string, status string, arrival bigint, direct boolean"
+
+
+def start_payments(stream: DataFrame, orders: DataFrame, folder: str, trigger: dict | None = None, facts: DataFrame | None = None):
+    """Run the steps on a stream of (payload, arrival) as one query; ``orders`` (order_id, status, payment_id and, if known, customer_id, last_error) is the state
+    before the stream and is read by its first batch alone.
+
+    The order rows of a key are taken in order of arrival; a row that arrived before what its order's state holds changes nothing. Alerts (order_id, kind, arrival)
+    are appended to ``folder``/alerts, each once, in the batch that first confirms the order. With ``facts`` (see :func:`order_facts`, a written table) they carry their
+    finished message. Read the state of the orders with :func:`read_orders`, alerts with :func:`read_alerts`.
+    """
+    spark = stream.sparkSession
+    state.use_rocks(spark)
+    extra = [F.col(c) if c in orders.columns else F.lit(None).cast("string").alias(c) for c in ("customer_id", "last_error")]
+    known = orders.select("order_id", "status", "payment_id", *extra)
+    events = normalize(stream).select("event_id", "event_type", "order_id", "payment_id", "customer_id", "error", F.col("arrival").cast("bigint").alias("arrival"))
+    fresh = events.groupBy("event_id").transformWithState(FirstDelivery(), EVENT, "append", "none")
+    moves = fresh.withColumn("status", status_of()).filter("status IS NOT NULL AND coalesce(order_id, payment_id) IS NOT NULL")
+    route = F.coalesce(F.concat(F.lit("payment "), "payment_id"), F.concat(F.lit("order "), "order_id")).alias("route")
+    held = known.filter("payment_id IS NOT NULL").select(route, "order_id")
+    moved = moves.select("*", route).groupBy("route").transformWithState(OrdersOfPayment(), MOVE, "append", "none", held.groupBy("route"))
+    alerts = moved.groupBy("order_id").transformWithState(OrderState(), "order_id string, kind string, arrival bigint", "append", "none", known.groupBy("order_id"))
+    if facts is not None:
+        alerts = alerts.join(facts, "order_id", "left")
+    return state.start(alerts, f"{folder}/alerts", f"{folder}/_progress", trigger)
 
 
 def read_orders(spark: SparkSession, orders: DataFrame, folder: str) -> DataFrame:
-    return with_state(orders, read_state(spark, f"{folder}/orders", "order_id"))
+    """order_id, status, payment_id, customer_id and last_error after the last batch; ``orders`` where no batch was run."""
+    if not state.started(spark, f"{folder}/_progress"):
+        extra = [F.col(c) if c in orders.columns else F.lit(None).cast("string").alias(c) for c in ("customer_id", "last_error")]
+        return orders.select("order_id", "status", "payment_id", *extra)
+    return state.read_variable(spark, f"{folder}/_progress", 0, "order").select("key.order_id", "value.status", "value.payment_id", "value.customer_id", "value.last_error")
+
+
+def read_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/alerts")

@@ -1,40 +1,196 @@
-"""Incremental pull of paid orders into the ledger, and running stock over a ledger stream."""
+"""Incremental pull of paid orders into the ledger, and running stock over a ledger stream.
+
+The pull is one query with two keyed states. By order: its lines and its status, so that a line that waits for its payment is sold when the payment comes, and
+a refund takes back what still waits. By sku: the lots with what is left of them, the lines that wait for a lot, and the orders already served. A batch reads
+the keys of its own rows; waiting lines are looked at when a lot of their sku arrives, since no line that waits fits before that.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import heapq
+
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
+from stockweave.functions.ordered import number_rows
+from stockweave.functions.runtime import materialize
 from stockweave.operators import allocate, ledger as lg
-from stockweave.sources.batches import read_before, write_batch
+from stockweave.streaming import state
 
 LEDGER = ["event_id", "lot_id", "kind", "quantity", "occurred_on", "reference"]
-
-
-def start_pull(stream: DataFrame, lots: DataFrame, ledger: DataFrame, folder: str, trigger: dict | None = None):
-    """Turn a stream of order lines (order_id, sku, quantity, status, created_at) into ledger events.
-
-    Each batch keeps its lines, allocates everything still open (lines that waited for a lot included), writes the
-    sales and only then marks orders, judged from the written ledger. Waiting lines are tried again in the next
-    batch; a rerun of a batch gives the same rows.
+STOCK_ROW = "kind string, sku string, order_id string, quantity bigint, created_at timestamp, lot_id string, expires_on date"
+SALE_ROW = "order_id string, sku string, lot_id string, part int, quantity bigint, created_at timestamp, reference string"
+
+
+class OrderLines(StatefulProcessor):
+    """By order: its lines, and its status by the latest word. Lines go to their sku while the order is paid, and are called back when it no longer is.
+
+    A line brings the status it was written with; a row without a sku is a later word about the order. Among rows of equal ``at`` words come after lines."""
+
+    def init(self, handle) -> None:
+        self.status = handle.getValueState("status", "status string, at bigint")
+        self.lines = handle.getMapState("lines", "sku string", "quantity bigint, created_at timestamp")
+
+    def handleInputRows(self, key, rows, timer):
+        held = self.status.get()
+        status, at = held if held is not None else (None, None)
+        was, fresh = status, {}
+        for r in sorted(rows, key=lambda r: (r.at, r.sku is None)):
+            if r.sku is not None and r.sku not in fresh and not self.lines.containsKey((r.sku,)):
+                fresh[r.sku] = (r.quantity, r.created_at)
+                self.lines.updateValue((r.sku,), fresh[r.sku])
+            if r.status is not None and (at is None or r.at >= at):
+                status, at = r.status, r.at
+        if at is not None:
+            self.status.update((status, at))
+        if (status == "paid") != (was == "paid"):
+            told = [((sku,), value) for (sku,), value in self.lines.iterator()]
+        else:
+            told = [((sku,), value) for sku, value in fresh.items()] if status == "paid" else []
+        for (sku,), (quantity, created_at) in told:
+            yield Row(kind="line" if status == "paid" else "cancel", sku=sku, order_id=key[0], quantity=quantity, created_at=created_at, lot_id=None, expires_on=None)
+
+    def close(self) -> None:
+        pass
+
+
+class SkuStock(StatefulProcessor):
+    """By sku: first-expiry-first sale of whole lines, in order of (created_at, order) among the lines that can be decided in a batch.
+
+    A line is served whole or waits, and a waiting line takes nothing from later, smaller ones. A line that was sold is never sold again, and a cancelled one that was
+    sold stays so."""
+
+    def init(self, handle) -> None:
+        self.stock = handle.getValueState("stock", "units bigint")
+        self.lots = handle.getMapState("lots", "lot_id string", "units bigint, expires_on date")
+        self.waiting = handle.getMapState("waiting", "order_id string", "quantity bigint, created_at timestamp")
+        self.sold = handle.getMapState("sold", "order_id string", "quantity bigint")
+
+    def handleInitialState(self, key, known, timer) -> None:
+        if known.kind == "sold":
+            self.sold.updateValue((known.order_id,), (known.quantity,))
+        else:
+            self.receive(known)
+
+    def units(self) -> int:
+        held = self.stock.get()
+        return held[0] if held is not None else 0
+
+    def receive(self, lot) -> None:
+        before = self.lots.getValue((lot.lot_id,)) if self.lots.containsKey((lot.lot_id,)) else (0, None)
+        self.lots.updateValue((lot.lot_id,), (before[0] + lot.quantity, lot.expires_on))
+        self.stock.update((self.units() + lot.quantity,))
+
+    def handleInputRows(self, key, rows, timer):
+        lines, cancelled, received = {}, set(), False
+        for r in rows:
+            if r.kind == "lot":
+                if r.quantity and r.quantity > 0:
+                    self.receive(r)
+                    received = True
+            elif r.kind == "cancel":
+                cancelled.add(r.order_id)
+            else:
+                lines[r.order_id] = (r.quantity, r.created_at)
+        for order in cancelled:
+            if self.waiting.containsKey((order,)):
+                self.waiting.removeKey((order,))
+        lines = {o: v for o, v in lines.items() if not self.sold.containsKey((o,))}
+        left = self.units()
+        open_ = dict(lines)
+        if received:
+            open_.update({order: (quantity, created_at) for (order,), (quantity, created_at) in self.waiting.iterator()})
+        lots, units = None, left
+        for order, (quantity, created_at) in sorted(open_.items(), key=lambda x: (x[1][1] is not None, x[1][1] or 0, x[0])):
+            if quantity is None or quantity > left:
+                if order in lines:
+                    self.waiting.updateValue((order,), (quantity, created_at))
+                continue
+            if lots is None:
+                lots = [(expires is None, expires, lot, n) for (lot,), (n, expires) in self.lots.iterator()]
+                lots = [(missing, expires.toordinal() if expires else 0, lot, n) for missing, expires, lot, n in lots]
+                heapq.heapify(lots)
+            need, part = quantity, 0
+            while need > 0:
+                missing, expires, lot, n = heapq.heappop(lots)
+                take = min(need, n)
+                reference = f"order {order} {key[0]}" + (f" lot {lot}" if part else "")
+                yield Row(order_id=order, sku=key[0], lot_id=lot, part=part, quantity=take, created_at=created_at, reference=reference)
+                need, part = need - take, part + 1
+                if take < n:
+                    heapq.heappush(lots, (missing, expires, lot, n - take))
+                    self.lots.updateValue((lot,), (n - take, self.lots.getValue((lot,))[1]))
+                else:
+                    self.lots.removeKey((lot,))
+            left -= max(quantity, 0)
+            self.sold.updateValue((order,), (quantity,))
+            if order not in lines:
+                self.waiting.removeKey((order,))
+        if left != units:
+            self.stock.update((left,))
+
+    def close(self) -> None:
+        pass
+
+
+def start_pull(lines: DataFrame, folder: str, lots: DataFrame | None = None, words: DataFrame | None = None, opening: DataFrame | None = None,
+               recorded: DataFrame | None = None, trigger: dict | None = None):
+    """Turn a stream of order lines (order_id, sku, quantity, status, created_at) into sales, appended to ``folder``/sales, each once.
+
+    ``lots``: a stream of arrivals (lot_id, sku, units, expires_on). ``words``: a stream of later words about orders (order_id, status, at), where the latest ``at``, a
+    timestamp, rules; a line's own status counts from its created_at. ``opening`` (lot_id, sku, units, expires_on) is the stock and ``recorded`` (order_id, sku) the sales
+    before the stream; the first batch alone reads them. Units are whole. An order has one line for each sku; a line that comes again changes nothing. A line of null
+    status waits for a word; a line without a quantity waits for ever. A batch takes the decided lines of a sku in order of (created_at, order).
     """
-    spark = stream.sparkSession
-
-    def step(batch: DataFrame, n: int) -> None:
-        write_batch(batch.select("order_id", "sku", "quantity", "status", "created_at"), f"{folder}/lines", n)
-        lines = read_before(spark, f"{folder}/lines", n + 1).drop("batch")
-        marked = read_before(spark, f"{folder}/marked", n)
-        due = lines if marked is None else lines.join(marked.select("order_id"), "order_id", "left_anti")
-        sold = read_before(spark, f"{folder}/sales", n)
-        now = ledger.select(LEDGER) if sold is None else ledger.select(LEDGER).unionByName(sold.select(LEDGER))
-        stocked = allocate.fefo_lots(lg.lot_on_hand(lots, now))
-        decided = allocate.decide_lines(due, stocked, now.select("reference"))
-        events = allocate.sale_events(allocate.sale_parts(decided, stocked), lg.next_event_number(now))
-        written = write_batch(events, f"{folder}/sales", n)
-        after = now.select("reference").unionByName(written.select("reference"))
-        write_batch(allocate.orders_to_mark(due, after), f"{folder}/marked", n)
-
-    return (stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/_progress")
-            .trigger(**(trigger or {"availableNow": True})).start())
+    spark = lines.sparkSession
+    state.use_rocks(spark)
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = lines.select("order_id", "sku", F.col("quantity").cast("bigint").alias("quantity"), "status", F.col("created_at").cast("timestamp").alias("created_at"),
+                        F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(0)).alias("at"))
+    if words is not None:
+        rows = rows.unionByName(words.select("order_id", none("string").alias("sku"), none("bigint").alias("quantity"), "status", none("timestamp").alias("created_at"),
+                                             F.unix_micros(F.col("at").cast("timestamp")).alias("at")))
+    stock = rows.groupBy("order_id").transformWithState(OrderLines(), STOCK_ROW, "append", "none")
+    as_lot = lambda df: df.select(F.lit("lot").alias("kind"), "sku", none("string").alias("order_id"), F.floor("units").cast("bigint").alias("quantity"),
+                                  none("timestamp").alias("created_at"), "lot_id", F.col("expires_on").cast("date").alias("expires_on"))
+    known = spark.createDataFrame([], STOCK_ROW)
+    if opening is not None:
+        known = known.unionByName(as_lot(opening.filter("units >= 1")))
+    if recorded is not None:
+        known = known.unionByName(recorded.select(F.lit("sold").alias("kind"), "sku", "order_id", F.lit(0).cast("bigint").alias("quantity"),
+                                                  none("timestamp").alias("created_at"), none("string").alias("lot_id"), none("date").alias("expires_on")))
+    if lots is not None:
+        stock = stock.unionByName(as_lot(lots))
+    sales = stock.groupBy("sku").transformWithState(SkuStock(), SALE_ROW, "append", "none", known.groupBy("sku"))
+    return state.start(sales.withColumn("pulled_at", F.current_timestamp()), f"{folder}/sales", f"{folder}/_progress", trigger)
+
+
+def read_sales(spark: SparkSession, folder: str, ledger: DataFrame | None = None) -> DataFrame:
+    """The sales as ledger rows, numbered on from ``ledger`` in order of batch, line and part; ``pulled_at`` is one time for each batch, so numbers stay as they are
+    when batches are added."""
+    sales = materialize(spark.read.parquet(f"{folder}/sales"), "sales")
+    first = 1 if ledger is None else lg.next_event_number(ledger)
+    numbered = number_rows(sales, ["pulled_at", "created_at", "order_id", "sku", "part"], "n", first)
+    return numbered.select(F.format_string("IE-%04d", "n").alias("event_id"), "lot_id", F.lit("sold").alias("kind"), F.col("quantity").cast("double").alias("quantity"),
+                           F.to_date("created_at").alias("occurred_on"), "reference")
+
+
+def read_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of the stream with its order's status after the last batch."""
+    progress = f"{folder}/_progress"
+    lines = state.read_variable(spark, progress, 1, "lines").select("key.order_id", "user_map_key.sku", "user_map_value.quantity", "user_map_value.created_at")
+    return lines.join(state.read_variable(spark, progress, 1, "status").select("key.order_id", "value.status"), "order_id", "left")
+
+
+def read_waiting(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that wait for a lot: sku, order_id, quantity, created_at."""
+    return state.read_variable(spark, f"{folder}/_progress", 0, "waiting").select("key.sku", "user_map_key.order_id", "user_map_value.quantity", "user_map_value.created_at")
+
+
+def read_marked(spark: SparkSession, folder: str, recorded: DataFrame | None = None) -> DataFrame:
+    """Orders safe to mark as synced, judged from the written sales alone (and ``recorded`` references, if given)."""
+    references = spark.read.parquet(f"{folder}/sales").select("reference")
+    return allocate.orders_to_mark(read_lines(spark, folder), references if recorded is None else references.unionByName(recorded.select("reference")))
 
 
 def running_on_hand(ledger_stream: DataFrame) -> DataFrame:
@@ -43,14 +199,13 @@ def running_on_hand(ledger_stream: DataFrame) -> DataFrame:
 
 
 def start_running_on_hand(ledger_stream: DataFrame, folder: str, trigger: dict | None = None):
-    """Write, per batch, the lots whose stock changed; read with :func:`read_on_hand`."""
-    def step(batch: DataFrame, n: int) -> None:
-        write_batch(batch, f"{folder}/on_hand", n)
-
-    return (running_on_hand(ledger_stream).writeStream.outputMode("update").foreachBatch(step)
-            .option("checkpointLocation", f"{folder}/_progress").trigger(**(trigger or {"availableNow": True})).start())
+    """Keep the stock of every lot in the query's own state; read with :func:`read_on_hand`. Nothing else is written."""
+    return (running_on_hand(ledger_stream).writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{folder}/_progress")
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def read_on_hand(spark: SparkSession, folder: str) -> DataFrame:
-    """The latest figure of every lot."""
-    return read_before(spark, f"{folder}/on_hand").groupBy("lot_id").agg(F.max_by("on_hand", "batch").alias("on_hand"))
+    """The figure of every lot after the last batch, one row for each lot whatever the number of batches."""
+    held = spark.read.format("statestore").load(f"{folder}/_progress")
+    total = held.schema["value"].dataType.fieldNames()[0]
+    return held.select("key.lot_id", F.col("value").getField(total).alias("on_hand"))

@@ -12,7 +12,6 @@ from stockweave.functions.columns import first_upper
 from stockweave.operators import allocate as al, fusion as fu, graph as g, resolve, serve, upsert, validate
 
 from stockweave.plans import graph_views as gv
-from stockweave.sources.batches import read_state, state_parts, write_state
 
 EDGE = "src string, rel string, dst string, source string, evidence string, valid_from string, attrs map<string,string>"
 
@@ -106,15 +105,3 @@ def test_a_billion_units_are_sold_without_a_row_for_each(spark):
     lots = lots_of(spark, [("x", "a", big, dt.date(2026, 1, 1)), ("x", "b", big, dt.date(2027, 1, 1))])
     events, _ = events_of(spark, [("A", "x", big + 5, "paid", DAY), ("B", "x", 7, "paid", DAY + dt.timedelta(1))], lots)
     assert events == [("IE-0001", float(big), "a", "order A x"), ("IE-0002", 5.0, "b", "order A x lot b"), ("IE-0003", 7.0, "b", "order B x")]
-
-
-def test_a_carried_table_is_read_from_few_files(spark, tmp_path):
-    folder, want = str(tmp_path), {}
-    for n in range(14):
-        rows_ = [(f"o{n % 5}", n), (f"p{n}", n)]
-        want.update(rows_)
-        write_state(spark.createDataFrame(rows_, "order_id string, v int"), folder, "order_id", n, every=4)
-        assert len(state_parts(spark, folder)) <= 4  # not growing with n
-    assert dict(rows(read_state(spark, folder, "order_id"))) == want
-    write_state(spark.createDataFrame([("o1", 99)], "order_id string, v int"), folder, "order_id", 13, every=4)  # a batch that is run again
-    assert dict(rows(read_state(spark, folder, "order_id"))) == {**{k: v for k, v in want.items() if k != "p13"}, "o3": 8, "o1": 99}

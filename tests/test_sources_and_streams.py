@@ -6,7 +6,6 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from stockweave.operators import allocate as al
-from stockweave.sources.batches import read_before
 from stockweave.sources.chunks import chunk_text
 from stockweave.sources.ontology_file import load_ontology
 from stockweave.sources.records import read_records
@@ -79,42 +78,98 @@ def test_streamed_order_status_equals_a_plain_replay(spark, tmp_path, files):
     rng = random.Random(files)
     orders = [(f"o{i}", rng.choice([None, "p0", "p1"])) for i in range(8)]
     kinds = {"paid": "payment.succeeded", "failed": "order.failed", "refunded": "order/refunded"}
-    events = [(i, f"e{rng.randrange(90)}", rng.choice(list(kinds)), rng.choice([None, f"o{rng.randrange(9)}"]), rng.choice([None, f"p{rng.randrange(4)}"])) for i in range(160)]
-    obj = lambda order, pay: {**({"orderId": order} if order else {}), **({"paymentId": pay} if pay else {})}
-    data = [(event(id_, kinds[status], **obj(order, pay)), i) for i, id_, status, order, pay in events]
+    events = [(i, f"e{rng.randrange(90)}", rng.choice(list(kinds)), rng.choice([None, f"o{rng.randrange(9)}"]), rng.choice([None, f"p{rng.randrange(4)}"]),
+               rng.choice([None, f"c{rng.randrange(3)}"]), rng.choice([None, "declined"])) for i in range(160)]
+    obj = lambda **k: {n: x for n, x in k.items() if x}
+    data = [(event(id_, kinds[status], **obj(orderId=order, paymentId=pay, customerId=who, error=why)), i) for i, id_, status, order, pay, who, why in events]
     source, folder = tmp_path / "in", str(tmp_path / "out")
+    state = spark.createDataFrame([(o, "pending", p) for o, p in orders], "order_id string, status string, payment_id string")
+    facts = spark.createDataFrame([(o, f"about {o}") for o, _ in orders], "order_id string, title string")
+    assert rows(pm.read_orders(spark, state, folder), "order_id", "status") == [(o, "pending") for o, _ in orders]
     for f in range(files):
         part = data[f * len(data) // files:(f + 1) * len(data) // files]
         spark.createDataFrame(part, "payload string, arrival bigint").coalesce(1).write.mode("append").parquet(str(source))
-    state = spark.createDataFrame([(o, "pending", p) for o, p in orders], "order_id string, status string, payment_id string")
-    stream = spark.readStream.schema("payload string, arrival bigint").option("maxFilesPerTrigger", 1).parquet(str(source))
-    for _ in range(2):  # the second run finds nothing new
-        pm.start_payments(stream, state, folder).awaitTermination()
-    want, alerts = plain_orders(orders, events)
-    assert {r[0]: (r[1], r[2]) for r in rows(pm.read_orders(spark, state, folder), "order_id", "status", "payment_id")} == want
-    assert dict(rows(read_before(spark, f"{folder}/alerts"), "order_id", "arrival")) == alerts
+        pm.start_payments(spark.readStream.schema("payload string, arrival bigint").parquet(str(source)), state, folder, facts=facts).awaitTermination()
+    pm.start_payments(spark.readStream.schema("payload string, arrival bigint").parquet(str(source)), state, folder, facts=facts).awaitTermination()  # finds nothing new
+    want, alerts, more, seen = *plain_orders(orders, [e[:5] for e in events]), {o: [None, None] for o, _ in orders}, set()
+    for _, id_, _, order, _, who, why in events:
+        if id_ not in seen and order in more:
+            more[order] = [who or more[order][0], why]
+        seen.add(id_)
+    assert {r[0]: tuple(r[1:]) for r in rows(pm.read_orders(spark, state, folder))} == {o: (*want[o], *more[o]) for o in want}
+    assert rows(pm.read_alerts(spark, folder), "order_id", "kind", "arrival", "title") == sorted((o, "paid", at, f"about {o}") for o, at in alerts.items())
 
 
-def test_pull_sells_once_and_retries_what_waited(spark, tmp_path):
-    at = dt.datetime(2026, 1, 1)
-    schema = "order_id string, sku string, quantity bigint, status string, created_at timestamp"
+def test_a_late_batch_reads_and_touches_its_own_events_only(spark, tmp_path):
     source, folder = str(tmp_path / "in"), str(tmp_path / "out")
-    batches = [[("A", "X", 3, "paid", at), ("A", "Y", 1, "paid", at), ("B", "X", 4, "paid", at), ("C", "X", 1, "refunded", at)], [("D", "X", 2, "paid", at)]]
-    for b in batches:
-        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(source)
-    lots = spark.createDataFrame([("lx", "X", "X", None)], "lot_id string, sku string, product_id string, expires_on date")
-    ledger = spark.createDataFrame([("IE-0007", "lx", "received", 5.0, None, "PO 1")], "event_id string, lot_id string, kind string, quantity double, occurred_on date, reference string")
-    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    pull.start_pull(stream(), lots, ledger, folder).awaitTermination()
-    sales = lambda: rows(read_before(spark, f"{folder}/sales"), "event_id", "quantity", "reference")
-    assert sales() == [("IE-0008", 3.0, "order A X"), ("IE-0009", 2.0, "order D X")]
-    assert rows(read_before(spark, f"{folder}/marked"), "order_id") == [("C",), ("D",)]
-    more = spark.createDataFrame([("IE-0007", "lx", "received", 5.0, None, "PO 1"), ("IE-0020", "lx", "received", 4.0, None, "PO 2"), ("IE-0021", "ly", "received", 1.0, None, "PO 3")], ledger.schema)
-    both = lots.unionByName(spark.createDataFrame([("ly", "Y", "Y", None)], lots.schema))
-    spark.createDataFrame([("E", "Y", 9, "paid", at)], schema).coalesce(1).write.mode("append").parquet(source)
-    pull.start_pull(stream(), both, more, folder).awaitTermination()
-    assert sales()[2:] == [("IE-0022", 1.0, "order A Y"), ("IE-0023", 4.0, "order B X")]
-    assert rows(read_before(spark, f"{folder}/marked"), "order_id") == [("A",), ("B",), ("C",), ("D",)]
+    state = spark.createDataFrame([(f"o{i}", "pending", None) for i in range(20)], "order_id string, status string, payment_id string")
+    for b in range(12):
+        part = [(event(f"e{b}-{i}", "order.paid", orderId=f"o{i}", paymentId=f"p{i}"), b * 10 + i) for i in range(10)]
+        spark.createDataFrame(part, "payload string, arrival bigint").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("payload string, arrival bigint").option("maxFilesPerTrigger", 1).parquet(source)
+    query = pm.start_payments(stream, state, folder)
+    query.awaitTermination()
+    said = [json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress]
+    said = [p for p in said if p["numInputRows"]]
+    assert len(said) == 12 and len({p["numInputRows"] for p in said}) == 1
+    touched = [[op["numRowsUpdated"] for op in p["stateOperators"]] for p in said]
+    assert touched[1] == touched[-1]
+    assert pm.read_alerts(spark, folder).count() == 10
+
+
+AT = dt.datetime(2026, 1, 1)
+LINE = "order_id string, sku string, quantity bigint, status string, created_at timestamp"
+LOT = "lot_id string, sku string, units double, expires_on date"
+WORD = "order_id string, status string, at timestamp"
+
+
+class Pull:
+    """A pull fed by hand: lines, lots and words of each batch."""
+
+    def __init__(self, spark, folder, opening=(), recorded=()):
+        self.spark, self.folder = spark, str(folder)
+        self.opening = spark.createDataFrame(list(opening), LOT)
+        self.recorded = spark.createDataFrame(list(recorded), "order_id string, sku string")
+        for name, schema in (("lines", LINE), ("lots", LOT), ("words", WORD)):
+            spark.createDataFrame([], schema).write.parquet(f"{self.folder}/{name}")
+
+    def batch(self, lines=(), lots=(), words=()):
+        for name, schema, new in (("lines", LINE, lines), ("lots", LOT, lots), ("words", WORD, words)):
+            if new:
+                self.spark.createDataFrame(list(new), schema).coalesce(1).write.mode("append").parquet(f"{self.folder}/{name}")
+        read = lambda name, schema: self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}")
+        pull.start_pull(read("lines", LINE), self.folder, read("lots", LOT), read("words", WORD), self.opening, self.recorded).awaitTermination()
+
+    def sales(self):
+        return rows(pull.read_sales(self.spark, self.folder), "event_id", "lot_id", "quantity", "reference")
+
+    def marked(self):
+        return [r[0] for r in rows(pull.read_marked(self.spark, self.folder))]
+
+
+def test_pull_sells_once_waits_and_takes_back(spark, tmp_path):
+    p = Pull(spark, tmp_path, opening=[("lx", "X", 5.9, None)], recorded=[("Z", "X")])
+    p.batch(lines=[("A", "X", 3, "paid", AT), ("A", "Y", 1, "paid", AT), ("B", "X", 4, "paid", AT), ("C", "X", 1, "refunded", AT), ("Z", "X", 1, "paid", AT), ("N", "X", 1, None, AT)])
+    assert p.sales() == [("IE-0001", "lx", 3.0, "order A X")] and p.marked() == ["C"]
+    p.batch(lines=[("D", "X", 2, "paid", AT), ("D", "X", 2, "paid", AT), ("A", "X", 3, "paid", AT), ("F", "Y", 2, "paid", AT)])
+    assert p.sales()[1:] == [("IE-0002", "lx", 2.0, "order D X")] and p.marked() == ["C", "D"]
+    assert rows(pull.read_waiting(spark, p.folder), "sku", "order_id") == [("X", "B"), ("Y", "A"), ("Y", "F")]
+    later = AT + dt.timedelta(1)
+    p.batch(words=[("F", "refunded", later), ("N", "paid", later), ("D", "refunded", later)])
+    assert rows(pull.read_waiting(spark, p.folder), "sku", "order_id") == [("X", "B"), ("X", "N"), ("Y", "A")]
+    p.batch(lots=[("ly", "Y", 9.0, None), ("l2", "X", 2.0, dt.date(2027, 1, 1)), ("l1", "X", 3.0, dt.date(2026, 6, 1))])
+    assert p.sales()[2:] == [("IE-0003", "ly", 1.0, "order A Y"), ("IE-0004", "l1", 3.0, "order B X"), ("IE-0005", "l2", 1.0, "order B X lot l2"), ("IE-0006", "l2", 1.0, "order N X")]
+    assert p.marked() == ["A", "B", "C", "F", "N"]
+    p.batch()
+    assert len(p.sales()) == 6
+
+
+def test_a_stock_that_waits_is_not_read_again(spark, tmp_path):
+    """Every batch touches the keys of its own rows, however many lines wait."""
+    p = Pull(spark, tmp_path, opening=[("lx", "X", 1.0, None)])
+    for b in range(3):
+        p.batch(lines=[(f"{b}-{i}", "X", 2, "paid", AT) for i in range(5)] + [(f"{b}-{i}", f"S{b}", 1, "paid", AT) for i in range(5)])
+    assert p.spark.read.parquet(f"{p.folder}/sales").count() == 0 and pull.read_waiting(spark, p.folder).count() == 30
 
 
 def test_running_stock_over_several_batches(spark, tmp_path):
