@@ -9,8 +9,8 @@ corpus add up. Two registers are equal with a probability that grows with the Ja
 * Members of a bucket first meet its smallest one, one pair for each member, and what the check confirms is tied together. Then members of different components are
   compared by their whole sketches, in cells of two chunks of a bucket: sizes that can't be similar and pairs whose registers are too unlikely under the wanted
   similarity go. The likelihood takes both exact sizes and the three counts of larger, smaller and equal registers jointly; a pair is left out where the best J is e^SLACK
-  times as likely as the wanted one, which happens to a similar pair with a probability of about 1e-9. Each member gives its most likely partner; turns go on
-  while a tenth of these pairs are links, and the last turn takes every pair that is left.
+  times as likely as the wanted one, which happens to a similar pair with a probability of about 1e-9. Each member first meets the one partner
+  that differs from it in the fewest bits; turns go on while a tenth of these pairs are links, and the last turn takes every pair that is left.
 * Every pair is confirmed on the full sets of shingles of both texts.
 """
 
@@ -181,8 +181,8 @@ def best_similarity(nu, nv, more, fewer, same, base: float, turns: int = 30) ->
     return (low + high) / 2
 
 
-def can_be(regs_a: np.ndarray, regs_b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int, base: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each pair of rows: whether a similarity of ``percent`` in 100 can't be ruled out, and the likelihood of it."""
+def can_be(regs_a: np.ndarray, regs_b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int, base: float) -> np.ndarray:
+    """For each pair of rows whether a similarity of ``percent`` in 100 can't be ruled out."""
     more = (regs_a > regs_b).sum(axis=1)
     same = (regs_a == regs_b).sum(axis=1)
     fewer = regs_a.shape[1] - more - same
@@ -190,7 +190,7 @@ def can_be(regs_a: np.ndarray, regs_b: np.ndarray, na: np.ndarray, nb: np.ndarra
     want = np.minimum(percent / 100, np.minimum(na, nb) / np.maximum(na, nb))
     at = likelihood(want, na, nb, more, fewer, same, base)
     best = best_similarity(na, nb, more, fewer, same, base)
-    return (best >= want) | (likelihood(best, na, nb, more, fewer, same, base) - at <= SLACK), at
+    return (best >= want) | (likelihood(best, na, nb, more, fewer, same, base) - at <= SLACK)
 
 
 def sketches(docs: DataFrame, s: Sketch = Sketch()) -> DataFrame:
@@ -252,9 +252,12 @@ def tail(n: int, p: float, slack: float = SLACK) -> int:
     return n
 
 
-def first_band(same: np.ndarray, rows: int) -> np.ndarray:
-    """The first band in which all registers are equal, for rows of equal and unequal registers."""
-    return same.reshape(len(same), -1, rows).all(axis=2).argmax(axis=1)
+def in_first_band(bands: np.ndarray, band: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows (i, j) share no band before ``band``: a pair is looked at in the first bucket it shares only."""
+    left = np.arange(len(i))
+    for e in range(bands.shape[1]):
+        left = left[(e >= band[left]) | (bands[i[left], e] != bands[j[left], e])]
+    return left
 
 
 def _pairs_inside(sizes: np.ndarray, begins: np.ndarray, cells: list[tuple[np.ndarray, np.ndarray]], block: int):
@@ -273,7 +276,7 @@ def _pairs_inside(sizes: np.ndarray, begins: np.ndarray, cells: list[tuple[np.nd
 
 
 def _across(batches, percent: int, s: Sketch, best: bool, block: int = 1 << 18, small: int = 64):
-    """Pairs of different components inside cells that can be similar; with ``best`` the most likely one for each member and cell.
+    """Pairs of different components inside cells that can be similar; with ``best`` one for each member and batch of cells, by the bits that differ.
 
     Of each register one bit is compared first, as two words for each pair; then whole registers, in the first band that both share; then the likelihood."""
     unlike = 1.1 * (1 - percent / 100)  # of registers, with some room for the spacing of the scale
@@ -285,6 +288,10 @@ def _across(batches, percent: int, s: Sketch, best: bool, block: int = 1 << 18,
         regs = np.frombuffer(b"".join(ms.field("regs").to_pylist()), "<u2").reshape(len(ids), -1)
         bits = np.packbits(regs & 1 == 1, axis=1)
         bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
+        bands = np.zeros((len(ids), s.bands), np.uint64)
+        for r in range(s.rows):  # of up to four registers: the registers themselves
+            bands = spread(bands) if r >= 4 else bands
+            bands = (bands << np.uint64(16)) ^ regs[:, r::s.rows].astype(np.uint64)
         begins, few = np.cumsum(sizes) - sizes, sizes <= small
         cell = np.repeat(np.arange(len(sizes)), sizes)
         ci, cj, band = (np.asarray(batch.column(c)).astype(np.int64) for c in ("ci", "cj", "band"))
@@ -294,30 +301,40 @@ def _across(batches, percent: int, s: Sketch, best: bool, block: int = 1 << 18,
             right = left if ci[k] == cj[k] else begins[k] + np.flatnonzero(chunk[begins[k]:begins[k] + sizes[k]] == cj[k])
             if len(left) and len(right):
                 large.append((left, right))
-        found = []
+        found = [(np.zeros(0, np.int64),) * 3]
         for i, j in _pairs_inside(sizes[few], begins[few], large, block):
             ok = (root[i] != root[j]) & ((ci[cell[i]] == cj[cell[i]]) | (chunk[i] != chunk[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j = i[ok], j[ok]
-            apart = sum(np.bitwise_count(bits[i, w] ^ bits[j, w]).astype(np.uint16) for w in range(bits.shape[1]))
-            i, j = i[apart <= most_bits], j[apart <= most_bits]
-            for lo in range(0, len(i), block >> 4):
-                x, y = i[lo:lo + (block >> 4)], j[lo:lo + (block >> 4)]
-                same = regs[x] == regs[y]
-                fits = (s.registers - same.sum(axis=1) <= most_unequal) & (first_band(same, s.rows) == band[cell[x]])
-                x, y = x[fits], y[fits]
-                if len(x):
-                    fits, worth = can_be(regs[x], regs[y], n[x], n[y], percent, s.base)
-                    x, y, worth = x[fits], y[fits], worth[fits]
-                if best and len(x):
-                    order = np.lexsort((ids[y], -worth, x))
-                    x, y = x[order], y[order]
-                    x, first = np.unique(x, return_index=True)
-                    y = y[first]
-                found.append((ids[x], ids[y]))
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found))
-            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            apart = sum(np.bitwise_count(bits[i, w] ^ bits[j, w]).astype(np.int64) for w in range(bits.shape[1]))
+            ok = np.flatnonzero(apart <= most_bits)
+            if best:
+                found.append(nearest(np.append(i[ok], j[ok]), np.append(j[ok], i[ok]), np.append(apart[ok], apart[ok]), ids))
+                continue
+            ok = ok[in_first_band(bands, band[cell[i[ok]]], i[ok], j[ok])]
+            for lo in range(0, len(ok), block >> 4):
+                part = ok[lo:lo + (block >> 4)]
+                found.append(likely(i[part], j[part], apart[part], regs, n, percent, s, most_unequal))
+        x, y, apart = (np.concatenate(c) for c in zip(*found))
+        if best:
+            x, y, apart = nearest(x, y, apart, ids)
+            x, y, apart = likely(x, y, apart, regs, n, percent, s, most_unequal)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(apart)], ["a", "b", "apart"])
+
+
+def nearest(x: np.ndarray, y: np.ndarray, apart: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place x the pair of fewest bits apart, then of the smallest id."""
+    order = np.lexsort((ids[y], apart, x))
+    x, y, apart = x[order], y[order], apart[order]
+    x, first = np.unique(x, return_index=True)
+    return x, y[first], apart[first]
+
+
+def likely(x, y, apart, regs, n, percent: int, s: Sketch, most_unequal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs whose registers don't rule the similarity out."""
+    ok = np.flatnonzero((regs[x] != regs[y]).sum(axis=1) <= most_unequal)
+    if len(ok):
+        ok = ok[can_be(regs[x[ok]], regs[y[ok]], n[x[ok]], n[y[ok]], percent, s.base)]
+    return x[ok], y[ok], apart[ok]
 
 
 def across(members: DataFrame, sets: DataFrame, roots: DataFrame, s: Sketch, percent: int, best: bool) -> DataFrame:
@@ -335,7 +352,10 @@ def across(members: DataFrame, sets: DataFrame, roots: DataFrame, s: Sketch, per
     rows = cells.join(sets.select("fp", "n", "regs"), "fp")
     buckets = rows.groupBy("k", "band", "ci", "cj").agg(F.collect_list(F.struct("fp", "n", "root", "chunk", "regs")).alias("members"))
     buckets = buckets.filter(F.size(F.array_distinct("members.root")) > 1).drop("k")
-    return buckets.mapInArrow(lambda b: _across(b, percent, s, best), "a bigint, b bigint").distinct()
+    pairs = buckets.mapInArrow(lambda b: _across(b, percent, s, best), "a bigint, b bigint, apart bigint")
+    if best:
+        pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def links(each: DataFrame, docs: DataFrame, s: Sketch, percent: int) -> DataFrame:
