@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stockweave.functions.columns import first_upper, trim_number, truthy
 from stockweave.functions.ordered import number_rows
+from stockweave.functions.runtime import materialize
 from stockweave.functions.text import fold, fold_text
 from stockweave.operators.orders import in_stock, just_in_time
 
@@ -311,11 +312,45 @@ def labels(products: DataFrame, contains: DataFrame, components: DataFrame) -> D
 
 def search(documents: DataFrame, text: str, in_stock_only: bool = False) -> DataFrame:
     """Products whose name, family, size, sku, class or composition holds the text, accents and punctuation ignored."""
-    said = F.concat_ws(" ", "name", "family_name", "size_label", "sku", "composition_class", "composition_line")
-    hit = documents.filter(F.contains(fold(said), F.lit(fold_text(text))))
+    hit = documents.filter(F.contains(fold(searched_text()), F.lit(fold_text(text))))
     return hit.filter(F.col("in_stock") & (F.col("status") == "active")) if in_stock_only else hit
 
 
+def searched_text() -> Column:
+    return F.concat_ws(" ", "name", "family_name", "size_label", "sku", "composition_class", "composition_line")
+
+
+GRAM = 3
+
+
+def search_terms(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, sku) for a table of ``terms`` (term): the products of ``documents`` whose folded text (see :func:`search`) holds the folded term.
+
+    Posting lists of the three-letter pieces of all texts (and of the shorter pieces at their ends) are read for the two rarest pieces of a term, met with each other,
+    and what is left is compared whole. A term of one or two letters reads the pieces that begin with it. A term that folds to nothing names no product; null terms and
+    texts match nothing; repeated terms count once. ``sku`` is a product's key.
+    """
+    texts = materialize(documents.select("sku", fold(searched_text()).alias("text")).filter("text <> ''"), "folded-texts")
+    grams = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substr("text", i, F.lit(GRAM)))
+    postings = materialize(texts.select("sku", F.explode(F.array_distinct(grams)).alias("gram")), "postings")
+    asked = materialize(terms.select("term").filter("term IS NOT NULL").distinct().withColumn("want", fold("term")).filter("want <> ''"), "terms")
+
+    long = asked.filter(F.length("want") >= GRAM)
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("want") - (GRAM - 1)), lambda i: F.substr("want", i, F.lit(GRAM))))
+    sizes = postings.groupBy("gram").agg(F.count("*").alias("m"))
+    listed = long.select("term", "want", F.explode(pieces).alias("gram")).join(sizes, "gram", "left")
+    rarest = listed.groupBy("term", "want").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "gram"))), 1, 2).alias("g"))  # as many as a term has letters
+    picked = rarest.filter(F.col("g")[0]["m"] > 0).select("term", "want", F.size("g").alias("n"), F.explode("g.gram").alias("gram"))
+    met = picked.join(postings, "gram").groupBy("term", "want", "sku").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter("c = n")
+    whole = met.join(texts, "sku").filter(F.contains("text", F.col("want"))).select("term", "sku")
+
+    short = asked.filter(F.length("want") < GRAM).select("term", F.length("want").alias("k"), F.col("want").alias("start"))
+    starts = postings.select("sku", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"), "gram").filter(F.length("gram") >= F.col("k")).select(
+        "sku", "k", F.substr("gram", F.lit(1), F.col("k")).alias("start"))
+    begun = short.join(starts, ["k", "start"]).select("term", "sku").distinct()
+    return whole.unionByName(begun)
+
+
 def search_groups(hits: DataFrame) -> DataFrame:
     """Visible groups with their counts; groups without a hit do not appear."""
     return hits.groupBy("composition_slug").agg(F.count("*").alias("n_visible"))

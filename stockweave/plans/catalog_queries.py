@@ -318,6 +318,18 @@ def _search(spark, sf):
     return found(spark, sf, "Çmp-12", True).select("sku", "name")
 
 
+@query("catalog_search_terms", f"""WITH {DOCUMENTS}, folded AS (SELECT sku, {FOLDED} AS t FROM document), words AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part
+    UNION SELECT DISTINCT p_brand FROM part UNION SELECT DISTINCT 'CMP-' || p_partkey // 4 FROM part UNION SELECT DISTINCT CAST(p_size AS VARCHAR) FROM part UNION SELECT unnest(['k', 'Kit', '#!'])),
+  terms AS (SELECT term, regexp_replace(lower(term), '[^a-z0-9]', '', 'g') AS want FROM words) SELECT term, sku FROM terms JOIN folded ON contains(t, want) WHERE want <> ''""")
+def _search_terms(spark, sf):
+    """Every brand, product word, component, size and two short terms as search terms in one job."""
+    part, one = v.table(spark, sf, "part"), lambda c: c.alias("term")
+    terms = (part.select(one(F.explode(F.split("p_name", " ")))).unionByName(part.select(one(F.col("p_brand"))))
+             .unionByName(part.select(one(F.concat(F.lit("CMP-"), F.floor(F.col("p_partkey") / 4).cast("string"))))).unionByName(part.select(one(F.col("p_size").cast("string"))))
+             .unionByName(spark.createDataFrame([("k",), ("Kit",), ("#!",)], "term string")))
+    return c.search_terms(c.labels(product_docs(spark, sf), contains(spark, sf), components(spark, sf)), terms)
+
+
 @query("search_groups", f"WITH {DOCUMENTS} SELECT trim(regexp_replace(lower(composition_class), '[^a-z0-9]+', '-', 'g'), '-') AS composition_slug, count(*) AS n_visible FROM document WHERE contains({FOLDED}, 'kit') GROUP BY 1")
 def _search_groups(spark, sf):
     return c.search_groups(found(spark, sf, "KIT!", False))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from stockweave.functions import keys
 from stockweave.functions.values import plain
@@ -360,6 +362,23 @@ def _query(spark, sf):
     return n.select("id", plain(F.col("attrs")["brand"]).alias("brand"))
 
 
+@query("attribute_queries", f"""SELECT 'page ' || p_type AS query, 'Part:part' || p_partkey AS id FROM part WHERE p_size % 3 IN (0, 1)
+  UNION ALL SELECT 'brand ' || p_brand, 'Part:part' || p_partkey FROM part UNION ALL SELECT 'made ' || p_type || ' ' || p_size, 'Part:part' || p_partkey FROM part
+  UNION ALL SELECT 'order ' || o_orderstatus || ' ' || o_orderpriority, 'Order:order' || o_orderkey FROM orders
+  UNION ALL SELECT 'bare', 'Region:' || {KEY.format('r_name')} FROM region""")
+def _queries(spark, sf):
+    """Some hundred named queries over all nodes in one job."""
+    part, orders = table(spark, sf, "part"), table(spark, sf, "orders")
+    ask = lambda df, name, type_, **where: df.select(F.concat_ws(" ", *name).alias("query"), F.lit(type_).alias("type"), F.explode(F.array(
+        *[F.struct(F.lit(a).alias("attr"), w.cast("string").alias("want")) for a, w in where.items()])).alias("c")).select("query", "type", "c.*").distinct()
+    conditions = [ask(part, [F.lit("page"), "p_type"], "Part", **{"class": F.lower("p_type"), "scope": F.lit("product_page"), "checked": F.lit("None")}),
+                  ask(part, [F.lit("brand"), "p_brand"], "Part", brand=F.upper("p_brand"), scope=F.lit("faq")),
+                  ask(part, [F.lit("made"), "p_type", "p_size"], "Part", **{"class": F.col("p_type"), "size": F.col("p_size")}),
+                  ask(orders, [F.lit("order"), "o_orderstatus", "o_orderpriority"], "Order", status=F.col("o_orderstatus"), priority=F.col("o_orderpriority")),
+                  ask(part.limit(1), [F.lit("bare")], "Region", anything=F.lit("none"))]
+    return serve.query_all(gv.nodes(spark, sf), reduce(DataFrame.unionByName, conditions))
+
+
 @query("siblings", f"""WITH {EDGES}, c AS (SELECT src, dst FROM edges WHERE rel = 'CONTAINS'),
   last AS (SELECT 'Order:order' || arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS id FROM orders GROUP BY o_custkey)
   SELECT DISTINCT l.id, o.src AS sibling FROM last l JOIN c ON c.src = l.id JOIN c o ON o.dst = c.dst

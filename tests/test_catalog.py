@@ -89,3 +89,17 @@ def test_testing_is_claimed_only_when_every_stocked_lot_has_its_certificate(spar
     df = spark.createDataFrame(lots, "product_id string, lot_id string, on_hand double, coa_status string, purity_measured double, coa_lab string")
     got = rows(c.testing_flags(products, df, ["us"]), "product_id", "lot_tested", "lot_tested_us", "coa_lot")
     assert got == [("acc", False, False, "l6"), ("all", True, True, None), ("none", False, False, "l5"), ("some", False, False, "l3")]
+
+
+def test_terms_find_what_a_substring_scan_finds(spark):
+    import random
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcÄ -1", k=rng.randrange(0, 14))) for _ in range(60)] + ["", "a", "ab", None]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "sku string, name string").selectExpr(
+        "sku", "name", *[f"CAST(NULL AS STRING) AS {c}" for c in ("family_name", "size_label", "composition_class", "composition_line")])
+    docs = docs.withColumn("sku", F.concat(F.lit("9"), "sku"))
+    terms = ["a", "1", "ab", "ba", "abc", "a-b", "AB", "aaab", "Äb c", "-", "", "zzz", "9", None, "ab", *["".join(rng.choices("abc1", k=rng.randrange(1, 6))) for _ in range(40)]]
+    folded = {r[0]: r[1] for r in docs.select("sku", c.fold(c.searched_text())).collect()}
+    want = sorted({(t, sku) for t in terms if t is not None and fold_text(t) for sku, x in folded.items() if fold_text(t) in x})
+    assert rows(c.search_terms(docs, spark.createDataFrame([(t,) for t in terms], "term string"))) == want
+    assert c.search_terms(docs.limit(0), spark.createDataFrame([("a",)], "term string")).count() == 0

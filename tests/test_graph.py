@@ -220,3 +220,13 @@ def test_gate_refuses_until_precise_and_scored(spark):
     some = gate.accept(few, n, e, ONTO, ids=pending.filter("kind = 'edge'"))
     assert some.opened and rows(some.loaded.errors, "error") == [("target_not_found",)] and some.staging.filter("status = 'pending'").count() == 3
     assert gate.sample_pending(staging, 2, 7).collect() == gate.sample_pending(staging, 2, 7).collect()
+
+
+def test_a_table_of_conditions_gives_what_single_queries_give(spark):
+    n = nodes_of(spark, node("Pep", "A", {"class": '"Small"', "scope": '["x"]', "size": "5"}), node("Pep", "B", {"class": '"small"', "scope": '["all"]'}),
+                 node("Pep", "C", {"class": "null", "scope": '["y","None"]', "size": '"5"'}), node("Pep", "D", {"scope": '"x"'}), node("Sup", "E", {"class": '"small"'}))
+    asked = {"q1": ("Pep", {"class": "SMALL"}), "q2": ("Pep", {"class": "small", "scope": "x"}), "q3": ("Pep", {"class": "none"}), "q4": ("Pep", {"size": "5", "scope": "y"}),
+             "q5": ("Pep", {"size": "None", "class": "small"}), "q6": ("Sup", {"class": "small", "size": "none"}), "q7": ("Pep", {"size": "6"}), "q8": ("Pep", {"scope": "None"}), "q9": ("Pep", {"scope": "x"})}
+    table = spark.createDataFrame([(q, t, a, w) for q, (t, where) in asked.items() for a, w in where.items()] * 2, "query string, type string, attr string, want string")
+    want = sorted((q, r["id"]) for q, (t, where) in asked.items() for r in serve.query(n, t, where).collect())
+    assert rows(serve.query_all(n, table)) == want
