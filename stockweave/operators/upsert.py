@@ -221,7 +221,8 @@ def ingest(records: DataFrame, nodes: DataFrame, edges: DataFrame, ontology: Ont
 def add_edges(wanted: DataFrame, nodes: DataFrame, edges: DataFrame, ontology: Ontology) -> tuple[DataFrame, DataFrame]:
     """Validated append of edges given as references (src_ref, rel, dst_ref, optional attrs, source, confidence).
 
-    References may be bare names. Returns the new edges table and the rejected rows with their ``error``.
+    References may be bare names. Returns the new edges table and the rejected rows with their ``error``: an endpoint that is not found, one that several nodes
+    answer to, or the relation's fault.
     """
     from stockweave.operators.resolve import resolve_any
     have = set(wanted.columns)
@@ -229,9 +230,10 @@ def add_edges(wanted: DataFrame, nodes: DataFrame, edges: DataFrame, ontology: O
         "attrs": F.coalesce("attrs", F.create_map().cast("map<string,string>")) if "attrs" in have else F.create_map().cast("map<string,string>"),
         "source": F.coalesce("source", F.lit("manual")) if "source" in have else F.lit("manual"),
         "confidence": F.coalesce("confidence", F.lit("high")) if "confidence" in have else F.lit("high")})
-    w = resolve_any(w, nodes, "src_ref").withColumnRenamed("node_id", "src").drop("n_matches", "status")
-    w = resolve_any(w, nodes, "dst_ref").withColumnRenamed("node_id", "dst").drop("n_matches", "status")
+    w = resolve_any(w, nodes, "src_ref").withColumnsRenamed({"node_id": "src", "status": "_src_found"}).drop("n_matches")
+    w = resolve_any(w, nodes, "dst_ref").withColumnsRenamed({"node_id": "dst", "status": "_dst_found"}).drop("n_matches")
     judged = edge_fault(w.withColumns({"src_type": F.split("src", ":")[0], "dst_type": F.split("dst", ":")[0]}), ontology)
-    missing = F.col("src").isNull() | F.col("dst").isNull()
-    judged = judged.withColumn("error", F.when(missing, "endpoint_not_found").otherwise(F.col("fault"))).drop("fault", "src_type", "dst_type")
+    either = lambda word: (F.col("_src_found") == word) | (F.col("_dst_found") == word)
+    error = F.when(either("not_found"), "endpoint_not_found").when(either("ambiguous"), "endpoint_ambiguous").otherwise(F.col("fault"))
+    judged = judged.withColumn("error", error).drop("fault", "src_type", "dst_type", "_src_found", "_dst_found")
     return upsert_edges(edges, judged.filter(F.col("error").isNull())), judged.filter(F.col("error").isNotNull())

@@ -202,24 +202,32 @@ def _ingest_edges(spark, sf):
     return ingested(spark, sf).edges.select("src", "rel", "dst", "source")
 
 
-@query("add_edges", f"""SELECT 'Order:order' || o_orderkey AS src, CASE WHEN o_orderkey % 4 = 0 THEN 'IN_NATION' ELSE 'PLACED_BY' END AS rel,
-    CASE WHEN o_orderkey % 4 <> 1 THEN 'Customer:customer' || {BUYER} END AS dst,
-    CASE o_orderkey % 4 WHEN 0 THEN 'domain' WHEN 1 THEN 'endpoint_not_found' ELSE 'added' END AS outcome FROM orders""")
+@query("add_edges", f"""WITH {NODES}, {ALIASES}, per_key AS (SELECT alias_key, count(*) AS n, min(id) AS id FROM aliases GROUP BY alias_key),
+  w AS (SELECT o_orderkey AS k, {BUYER} AS buyer, p_name FROM orders LEFT JOIN part ON p_partkey = o_orderkey AND o_orderkey % 8 = 5)
+  SELECT 'Order:order' || k AS src, CASE WHEN k % 4 = 0 THEN 'IN_NATION' ELSE 'PLACED_BY' END AS rel,
+    CASE WHEN p_name IS NOT NULL THEN CASE WHEN n = 1 THEN id END WHEN k % 4 <> 1 THEN 'Customer:customer' || buyer END AS dst,
+    CASE WHEN k % 4 = 0 THEN 'domain' WHEN p_name IS NOT NULL THEN CASE WHEN n = 1 THEN 'range' ELSE 'endpoint_ambiguous' END WHEN k % 4 = 1 THEN 'endpoint_not_found' ELSE 'added' END AS outcome
+  FROM w LEFT JOIN per_key ON alias_key = {KEY.format('p_name')}""")
 def _add_edges(spark, sf):
+    """Orders tied to their buyers; some name nobody, some a part by a name that it may share with others."""
     o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("o_orderkey"), "p_name").filter(k % 8 == 5)
     buyer = F.concat(F.lit("Customer#"), F.format_string("%09d", "o_custkey"))
-    wanted = o.select(F.concat(F.lit("order "), k.cast("string")).alias("src_ref"), F.when(k % 4 == 0, "IN_NATION").otherwise("PLACED_BY").alias("rel"),
-                      F.when(k % 4 == 1, F.concat(F.lit("nobody "), k.cast("string"))).otherwise(buyer).alias("dst_ref"))
+    wanted = o.join(part, "o_orderkey", "left").select(F.concat(F.lit("order "), k.cast("string")).alias("src_ref"), F.when(k % 4 == 0, "IN_NATION").otherwise("PLACED_BY").alias("rel"),
+                                                       F.coalesce("p_name", F.when(k % 4 == 1, F.concat(F.lit("nobody "), k.cast("string"))).otherwise(buyer)).alias("dst_ref"))
     empty = g.as_edges(spark.createDataFrame([], "src string"))
     added, refused = upsert.add_edges(wanted, gv.nodes(spark, sf), empty, gv.ONTOLOGY)
     return added.select("src", "rel", "dst", F.lit("added").alias("outcome")).unionByName(refused.select("src", "rel", "dst", F.col("error").alias("outcome")))
 
 
 @query("delete_nodes", f"""WITH {NODES}, {EDGES}, gone AS (SELECT id FROM nodes WHERE valid_to IS NOT NULL)
-  SELECT src, rel, dst FROM edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)""")
+  SELECT src, rel, dst FROM edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)
+  UNION ALL SELECT id, 'node', type FROM nodes WHERE id NOT IN (SELECT id FROM gone)""")
 def _delete_nodes(spark, sf):
+    """What is left, nodes and edges."""
     n = gv.nodes(spark, sf)
-    return g.delete_nodes(n, gv.edges(spark, sf), n.filter("valid_to IS NOT NULL"))[1].select("src", "rel", "dst")
+    nodes, edges = g.delete_nodes(n, gv.edges(spark, sf), n.filter("valid_to IS NOT NULL"))
+    return edges.select("src", "rel", "dst").unionByName(nodes.select(F.col("id").alias("src"), F.lit("node").alias("rel"), F.col("type").alias("dst")))
 
 
 @query("delete_edges", f"WITH {EDGES} SELECT src, rel, dst FROM edges WHERE rel NOT IN ('CONTAINS', 'SUPPLIED_BY')")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stockweave.functions.runtime import materialize, new_path
-from stockweave.functions.values import plain
+from stockweave.functions.values import shown
 from stockweave.operators import catalog as c
 from stockweave.plans import graph_views as gv
 from stockweave.plans.catalog_queries import DIFF, items, remote
@@ -59,18 +59,19 @@ def _triples(spark, sf):
     return exports.triples(gv.nodes(spark, sf), gv.edges(spark, sf)).select("triple")
 
 
-@query("masked_nodes", f"WITH {ATTRS} SELECT id, attr, v AS value FROM attrs WHERE attr <> 'balance' AND attr <> 'scope'")
+@query("masked_nodes", f"WITH {ATTRS} SELECT id, attr, v AS value FROM attrs WHERE attr <> 'balance'")
 def _masked_nodes(spark, sf):
     n, _ = exports.masked_graph(gv.nodes(spark, sf), gv.edges(spark, sf), gv.ONTOLOGY)
-    return n.select("id", F.explode("attrs").alias("attr", "v")).filter("attr <> 'scope'").select("id", "attr", plain("v").alias("value"))
+    return n.select("id", F.explode("attrs").alias("attr", "v")).select("id", "attr", shown("v").alias("value"))
 
 
-@query("masked_edges", """SELECT 'Order:order' || l_orderkey AS src, 'Part:part' || l_partkey AS dst, CAST(CAST(sum(l_quantity) AS BIGINT) AS VARCHAR) AS units FROM lineitem GROUP BY l_orderkey, l_partkey
-  UNION ALL SELECT DISTINCT 'Part:part' || l_partkey, 'Supplier:supplier' || printf('%09d', l_suppkey), NULL FROM lineitem""")
+@query("masked_edges", f"""WITH {EDGES}, units AS (SELECT 'Order:order' || l_orderkey AS src, 'Part:part' || l_partkey AS dst, CAST(CAST(sum(l_quantity) AS BIGINT) AS VARCHAR) AS units FROM lineitem GROUP BY ALL)
+  SELECT src, rel, dst, CASE rel WHEN 'CONTAINS' THEN units WHEN 'SUPPLIED_BY' THEN NULL ELSE 'shown' END AS units FROM edges LEFT JOIN units USING (src, dst)""")
 def _masked_edges(spark, sf):
-    e = gv.edges(spark, sf).filter(F.col("rel").isin("CONTAINS", "SUPPLIED_BY")).withColumn(
-        "attrs", F.when(F.col("rel") == "SUPPLIED_BY", F.create_map(F.lit("units"), F.lit("secret"))).otherwise(F.col("attrs")))
-    return exports.masked_graph(gv.nodes(spark, sf), e, gv.ONTOLOGY)[1].select("src", "dst", F.col("attrs")["units"].alias("units"))
+    """All relations, every edge with an attribute; the internal relation's are blanked."""
+    told = F.when(F.col("rel") == "CONTAINS", F.col("attrs")).otherwise(F.create_map(F.lit("units"), F.when(F.col("rel") == "SUPPLIED_BY", "secret").otherwise("shown")))
+    _, e = exports.masked_graph(gv.nodes(spark, sf), gv.edges(spark, sf).withColumn("attrs", told), gv.ONTOLOGY)
+    return e.select("src", "rel", "dst", F.col("attrs")["units"].alias("units"))
 
 
 @query("snapshot_resync", f"WITH {DIFF} SELECT sku, CASE action WHEN 'orphan' THEN 'orphan' ELSE 'unchanged' END AS action FROM diff")
