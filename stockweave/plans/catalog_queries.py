@@ -128,6 +128,14 @@ def _diff(spark, sf):
     return c.catalog_diff(local, remote(local)).select("sku", "action")
 
 
+@query("catalog_changes", f"WITH {DIFF} SELECT * FROM diff WHERE action <> 'unchanged'")
+def _digest_diff(spark, sf):
+    """The diff by digests, of one catalogue against the platform's; the rows that stayed are not listed."""
+    local = materialize(items(spark, sf), "items")
+    held = materialize(remote(local), "remote")
+    return c.catalog_changes(local, held, c.catalog_digests(local), c.catalog_digests(held)).select("sku", "action")
+
+
 @query("plan_changes", f"""WITH {DIFF} SELECT sku, 'price_usd' AS field, round(price_usd + 1, 2) AS old_value, round(price_usd, 2) AS new_value FROM items WHERE k % 10 <> 0 AND k % 7 = 0
   UNION ALL SELECT sku, 'name', NULL, NULL FROM items WHERE k % 10 <> 0 AND k % 11 = 0""")
 def _changes(spark, sf):

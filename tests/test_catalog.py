@@ -103,3 +103,20 @@ def test_terms_find_what_a_substring_scan_finds(spark):
     want = sorted({(t, sku) for t in terms if t is not None and fold_text(t) for sku, x in folded.items() if fold_text(t) in x})
     assert rows(c.search_terms(docs, spark.createDataFrame([(t,) for t in terms], "term string"))) == want
     assert c.search_terms(docs.limit(0), spark.createDataFrame([("a",)], "term string")).count() == 0
+
+
+def test_digests_lead_to_the_changed_items_and_spare_equal_catalogues(spark):
+    items = spark.range(400).select(F.col("id").cast("string").alias("sku"), *[F.lit("t").alias(f) for f in c.COMPARED if f not in c.NUMERIC],
+                                    *[F.lit(1.0).alias(f) for f in c.NUMERIC])
+    same = items.withColumns({"slug": F.col("slug")}).orderBy(F.rand(3))
+    poisoned = items.withColumn("name", F.raise_error(F.lit("read")).cast("string"))
+    assert c.catalog_changes(poisoned, poisoned, c.catalog_digests(items), c.catalog_digests(same)).count() == 0
+    k = F.col("sku").cast("int")
+    other = (items.filter(k != 7).withColumn("price_usd", F.when(k == 11, 2.0).otherwise(F.col("price_usd"))).withColumn("slug", F.when(k == 12, None).otherwise(F.col("slug")))
+             .unionByName(items.filter(k == 5).withColumn("sku", F.lit("new"))))
+    ours, theirs = c.catalog_digests(items), c.catalog_digests(other)
+    assert c.changed_buckets(ours, theirs).count() <= 4
+    want = rows(c.catalog_diff(items, other).filter("action <> 'unchanged'"))
+    assert rows(c.catalog_changes(items, other, ours, theirs)) == want and len(want) == 4
+    empty = items.limit(0)
+    assert c.catalog_changes(items, empty, ours, c.catalog_digests(empty)).count() == 400
