@@ -293,6 +293,49 @@ def product_documents(products: DataFrame, contains: DataFrame, components: Data
     return p.orderBy(F.col("category") != FIRST_CATEGORY, "name", "product_id")
 
 
+# Fixed: the facts of a component that a product's document shows.
+COMPONENT_FACTS = ("summary", "class", "kind", "sequence", "molecular_formula", "molecular_weight", "cas_number", "appearance")
+
+
+def component_facts(products: DataFrame, contains: DataFrame, components: DataFrame) -> DataFrame:
+    """One row for each component of a sellable product with its amount and public facts; ``place`` orders them by where the component's name stands in the product's
+    name, those that don't appear last, then as listed."""
+    p = products.filter(F.col("status").isin(*SELLABLE)).select("product_id", F.col("name").alias("_name"))
+    c = components.select("component_id", "component_name", *COMPONENT_FACTS)
+    at = F.position(F.col("component_name"), F.col("_name"))
+    rows = p.join(contains.select("product_id", "component_id", "pos", "amount_mg"), "product_id").join(c, "component_id")
+    rows = rows.withColumn("_at", F.when(at > 0, at).otherwise(F.lit(1_000_000)))
+    own = F.struct("_at", "pos", "component_id")
+    order = rows.groupBy("product_id").agg(F.sort_array(F.collect_list(own)).alias("_order"))  # a product's own parts list
+    placed = rows.join(order, "product_id").withColumn("place", F.array_position("_order", own).cast("int"))
+    return placed.select("product_id", "place", "component_id", "component_name", "amount_mg", *COMPONENT_FACTS)
+
+
+LEAST_ALIAS = 5  # fixed: shorter aliases are not shown
+
+
+def document_extras(products: DataFrame, photos: DataFrame, pages: DataFrame, assets: DataFrame) -> DataFrame:
+    """(product_id, section, item, value): what a product's document holds besides its facts, as rows.
+
+    ``alias``: names of LEAST_ALIAS letters or more of ``products`` (aliases array). ``alt``: for each format the text of the last of ``photos`` (photo_id, format, alt_text), empty
+    where it has none. ``page``: title and meta_description of the last of ``pages`` (page_id, product_id) that feature the product. ``asset``: path, and as value the
+    JSON of what is known of asset_type, alt_text and url of ``assets`` (product_id, path). Sellable products only.
+    """
+    p = products.filter(F.col("status").isin(*SELLABLE)).select("product_id", "aliases")
+    of = lambda df, section, item, value: df.select("product_id", F.lit(section).alias("section"), item.alias("item"), value.alias("value"))
+    named = p.select("product_id", F.explode(F.array_distinct("aliases")).alias("a")).filter(F.length("a") >= LEAST_ALIAS)
+    last = photos.filter(truthy("format")).groupBy("product_id", "format").agg(F.max_by(F.coalesce("alt_text", F.lit("")), "photo_id").alias("alt"))
+    page = pages.groupBy("product_id").agg(F.max_by(F.struct("title", "meta_description"), "page_id").alias("page"))
+    told = page.select("product_id", F.explode(F.array(F.struct(F.lit("title").alias("k"), F.col("page.title").alias("v")),
+                                                       F.struct(F.lit("meta_description").alias("k"), F.col("page.meta_description").alias("v")))).alias("e"))
+    parts = [of(named, "alias", F.col("a"), F.lit(None).cast("string")), of(last, "alt", F.col("format"), F.col("alt")), of(told, "page", F.col("e.k"), F.col("e.v")),
+             of(assets.distinct(), "asset", F.col("path"), F.to_json(F.struct("asset_type", "alt_text", "url")))]
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    return rows.join(p.select("product_id"), "product_id", "left_semi")
+
+
 def area_products(documents: DataFrame) -> DataFrame:
     """(research_area, slug, position): the products of each area, numbered from 1 by name. Numbered over the whole table, so an area of any size is
     spread over tasks."""

@@ -272,6 +272,39 @@ def _documents(spark, sf):
     return product_docs(spark, sf).select("sku", "name", "category", "on_hand", "in_stock", "jit_backorder", "lot_tested", "square", "n_components", "composition_class", "composition_slug")
 
 
+@query("product_component_facts", f"""WITH {PROD}, c AS (SELECT sku, name, c1 AS c, n1 AS n, 0 AS pos, CASE WHEN k % 2 = 0 THEN s::DOUBLE END AS amount_mg FROM prod WHERE status IN ('active', 'coming_soon')
+    UNION ALL SELECT sku, name, c2, n2, 1, s * 2.0 FROM prod WHERE blend AND status IN ('active', 'coming_soon')),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY CASE WHEN instr(name, c) > 0 THEN instr(name, c) ELSE 1000000 END, pos, c)::INT AS place FROM c)
+  SELECT sku AS product_id, place, c AS component_id, c AS component_name, amount_mg, CASE WHEN n % 2 = 0 THEN 'Summary of cmp' || n || '.' END AS summary, CASE WHEN n % 3 = 0 THEN 'small peptide' END AS class,
+    CASE WHEN n % 3 = 1 THEN 'solvent' END AS kind, CASE WHEN n % 4 = 0 THEN 'AAA' END AS sequence, CASE WHEN n % 5 = 0 THEN 'C2H6' END AS molecular_formula, n % 7 + 0.5::DOUBLE AS molecular_weight,
+    CASE WHEN n % 6 = 0 THEN 'CAS-' || n END AS cas_number, CASE WHEN n % 2 = 0 THEN 'white powder' ELSE 'clear liquid' END AS appearance FROM placed""")
+def _component_facts(spark, sf):
+    return c.component_facts(products(spark, sf), contains(spark, sf), components(spark, sf))
+
+
+@query("document_extras", f"""WITH {PROD}, sold AS (SELECT sku, k, p_name, p_brand FROM prod WHERE status IN ('active', 'coming_soon')),
+  seen AS (SELECT CAST(l_partkey AS VARCHAR) AS sku, max(l_orderkey) AS o FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O' GROUP BY l_partkey),
+  told AS (SELECT sku, o, o_orderpriority AS meta FROM seen JOIN orders ON o_orderkey = o)
+  SELECT sku AS product_id, 'alias' AS section, item, CAST(NULL AS VARCHAR) AS value FROM (SELECT DISTINCT sku, unnest([p_name, p_brand, 'p' || k]) AS item FROM sold) WHERE length(item) > 4
+  UNION ALL SELECT sku, 'alt', CASE WHEN k % 2 = 0 THEN 'square' ELSE 'portrait' END, CASE WHEN k % 5 = 0 THEN '' WHEN k % 4 < 2 THEN 'photo of ' || k ELSE '' END FROM sold WHERE k % 3 <> 0
+  UNION ALL SELECT sku, 'page', 'title', 'order ' || o FROM told JOIN sold USING (sku) UNION ALL SELECT sku, 'page', 'meta_description', meta FROM told JOIN sold USING (sku)
+  UNION ALL SELECT DISTINCT sku, 'asset', 'asset-' || l_suppkey, '{{"asset_type":"' || CASE WHEN l_suppkey % 2 = 0 THEN 'image' ELSE 'sheet' END || '"' || CASE WHEN l_suppkey % 3 = 0 THEN ',"url":"/a/' || l_suppkey || '"' ELSE '' END || '}}'
+    FROM lineitem JOIN sold ON sku = CAST(l_partkey AS VARCHAR)""")
+def _document_extras(spark, sf):
+    """Aliases, alternative texts, page titles and assets of products; open orders stand for pages, suppliers for assets."""
+    named = v.table(spark, sf, "part").select(T().alias("product_id"), F.array("p_name", "p_brand", F.concat(F.lit("p"), T())).alias("aliases"))
+    p = products(spark, sf).join(named, "product_id")
+    pics = photos(spark, sf).withColumn("alt_text", F.when((F.col("photo_id") < 1_000_000_000) & (F.col("photo_id") % 4 < 2), F.concat(F.lit("photo of "), "product_id")))
+    lines = v.table(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("product_id"), "l_orderkey", "l_suppkey")
+    live = v.table(spark, sf, "orders").filter("o_orderstatus = 'O'")
+    pages = lines.join(live, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "product_id", F.col("o_orderkey").alias("page_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title"), F.col("o_orderpriority").alias("meta_description"))
+    n = F.col("l_suppkey")
+    assets = lines.select("product_id", F.concat(F.lit("asset-"), n.cast("string")).alias("path"), F.when(n % 2 == 0, "image").otherwise("sheet").alias("asset_type"),
+                          F.lit(None).cast("string").alias("alt_text"), F.when(n % 3 == 0, F.concat(F.lit("/a/"), n.cast("string"))).alias("url"))
+    return c.document_extras(p, pics, pages, assets)
+
+
 @query("stock_flags", f"WITH {PROD} SELECT sku, status = 'active' AND (on_hand > 0 OR fulfilment = 'just_in_time') AS in_stock, fulfilment = 'just_in_time' AND on_hand = 0 AS jit_backorder FROM prod")
 def _flags(spark, sf):
     return c.stock_flags(product_stock(spark, sf)).select("sku", "in_stock", "jit_backorder")
