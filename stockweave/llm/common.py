@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"  # fixed: a word is a run of characters other than blank and the five ASCII controls
@@ -29,3 +31,19 @@ def key_of(c) -> Column:
 def even_parts(spark: SparkSession, rows: int, most: int) -> int:
     """Partitions for so many rows with at most ``most`` in each, never fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // most))
+
+
+def released(rows):
+    """All of ``rows``, and at the task's end freed memory goes back to the system, as Python workers wait for the next stage beside the JVM."""
+    import ctypes
+
+    import pyarrow as pa
+
+    try:
+        yield from rows
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others do it by themselves
+        if trim is not None:
+            trim(0)

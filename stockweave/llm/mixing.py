@@ -30,7 +30,7 @@ def _digits(text: Column) -> Column:
 
 def position(doc_id="doc_id", text="text", seed: str = "mix") -> Column:
     """Place of a document in its source's shuffle, 60 bits, by its id and text."""
-    return _digits(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))))
+    return _digits(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")))))
 
 
 def apart(rows: DataFrame, seed: str = "mix") -> DataFrame:

@@ -29,9 +29,9 @@ def query(name: str, sql: str | None = None):
 
 OP4 = rf"""
 WITH first AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORDS_SQL}))::BIGINT AS size,
-                      CAST('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS at FROM documents),
-turns AS (SELECT *, row_number() OVER (PARTITION BY source, at) - 1 AS turn FROM first),
-sized AS (SELECT doc_id, source, size, CASE turn WHEN 0 THEN at ELSE CAST('0x' || substr(md5('mix:' || at || ':' || turn), 1, 15) AS BIGINT) END AS pos FROM turns),
+                      CAST('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS place FROM documents),
+turns AS (SELECT *, row_number() OVER (PARTITION BY source, place) - 1 AS turn FROM first),
+sized AS (SELECT doc_id, source, size, CASE turn WHEN 0 THEN place ELSE CAST('0x' || substr(md5('mix:' || place || ':' || turn), 1, 15) AS BIGINT) END AS pos FROM turns),
 sums AS (SELECT source, sum(size)::BIGINT AS total FROM sized GROUP BY source),
 ranked AS (SELECT source, total, total * 2 AS most,
                   [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM sums),

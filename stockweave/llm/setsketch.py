@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stockweave.functions.runtime import materialize
+from stockweave.llm.common import released
 from stockweave.llm.components import components
 
 CHUNK = 2048  # members of a chunk of a bucket
@@ -207,7 +208,7 @@ def sketches(docs: DataFrame, s: Sketch = Sketch()) -> DataFrame:
                     pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "text_key", "fp", "n", "regs"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key bigint, fp bigint, n bigint, regs binary")
+    return rows.mapInArrow(lambda b: released(run(b)), f"doc_id {dict(docs.dtypes)['doc_id']}, text_key bigint, fp bigint, n bigint, regs binary")
 
 
 def band_keys(s: Sketch, regs: str = "regs") -> Column:
@@ -228,19 +229,20 @@ def _confirmed(batches, percent: int):
         return kept[key]
 
     for batch in batches:
-        ok = []
-        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
-            x, y = of(a, x), of(b, y)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for lo in range(0, batch.num_rows, 256):
+            part, ok = batch.slice(lo, 256), []
+            for a, b, x, y in zip(*(part.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
+                x, y = of(a, x), of(b, y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) whose ``texts`` (fp, text) have a similarity of ``percent`` in 100 or more, written."""
     side = lambda k, t: texts.select(F.col("fp").alias(k), F.col("text").alias(t))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(lambda rows: _confirmed(rows, percent), "a bigint, b bigint"), "similar")
+    return materialize(both.mapInArrow(lambda rows: released(_confirmed(rows, percent)), "a bigint, b bigint"), "similar")
 
 
 def tail(n: int, p: float, slack: float = SLACK) -> int:
@@ -352,7 +354,7 @@ def across(members: DataFrame, sets: DataFrame, roots: DataFrame, s: Sketch, per
     rows = cells.join(sets.select("fp", "n", "regs"), "fp")
     buckets = rows.groupBy("k", "band", "ci", "cj").agg(F.collect_list(F.struct("fp", "n", "root", "chunk", "regs")).alias("members"))
     buckets = buckets.filter(F.size(F.array_distinct("members.root")) > 1).drop("k")
-    pairs = buckets.mapInArrow(lambda b: _across(b, percent, s, best), "a bigint, b bigint, apart bigint")
+    pairs = buckets.mapInArrow(lambda b: released(_across(b, percent, s, best)), "a bigint, b bigint, apart bigint")
     if best:
         pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
