@@ -132,7 +132,7 @@ def _payload_of(spark, sf):
     return message(facts(spark, sf).join(alerts.select("order_id"), "order_id"))
 
 
-def fed(spark, rows, order: str, folder: str, start, parts: int = 6) -> None:
+def fed(spark, rows, order: str, folder: str, start, parts: int = 5) -> None:
     """Append ``rows`` in parts along ``order`` to the files of a stream, and run what ``start`` makes of it after each part."""
     edges = rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001)
     part = sum((F.when(F.col(order) > e, 1).otherwise(0) for e in edges), F.lit(0))
@@ -142,7 +142,7 @@ def fed(spark, rows, order: str, folder: str, start, parts: int = 6) -> None:
 
 
 def streamed_payments(spark, sf, said=None):
-    """Six runs of the payment stream, one for each part of the deliveries, in order of arrival."""
+    """Five runs of the payment stream, one for each part of the deliveries, in order of arrival."""
     folder, o = new_path(spark, "payments"), materialize(shop(spark, sf), "shop")
     fed(spark, materialize(deliveries(v.table(spark, sf, "events")), "deliveries"), "arrival", f"{folder}/in", lambda s: payments.start_payments(s, o, folder, facts=said))
     return folder, o
@@ -151,7 +151,7 @@ def streamed_payments(spark, sf, said=None):
 @query("stream_order_status", f"""WITH {MOVED}, named AS (SELECT order_id, arg_max(customer_id, seq) FILTER (customer_id IS NOT NULL) AS customer_id, max(seq) AS last FROM direct GROUP BY order_id)
   SELECT state.*, n.customer_id, e.error AS last_error FROM state LEFT JOIN named n USING (order_id) LEFT JOIN direct e ON e.seq = n.last""")
 def _stream_status(spark, sf):
-    """Order status with customer and last error through six micro-batches over the events."""
+    """Order status with customer and last error through five micro-batches over the events."""
     folder, o = streamed_payments(spark, sf)
     return payments.read_orders(spark, o, folder)
 
