@@ -3,7 +3,7 @@
 import corpus_pipeline
 from stockweave.functions.runtime import materialize
 from stockweave.llm import packing
-from tests.llm.test_operators import plain_spans
+from tests.llm.test_operators import empty, odd, plain_spans  # noqa: F401
 from tests.llm.test_rotation_sketch_survival import plain_components
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +37,19 @@ def test_stages_take_effect(spark):
 def test_run_equals_the_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_stages_take_odd_and_empty_tables(spark, odd, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, clashing columns; then no rows at all."""
+    sf = str(tmp_path)
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{sf}/labels.parquet")
+    for docs in (odd, empty(spark)):
+        columns, docs = docs.columns, materialize(docs, "given")
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, materialize(stage(spark, docs, sf), name)
+            if name != "best_fit_packing":
+                assert docs.columns == columns
+                assert docs.select("doc_id").distinct().join(before, "doc_id", "left_anti").filter("doc_id IS NOT NULL").isEmpty()
+            assert before.count() == 0 or name == "quality_classifier" or docs.count() > 0
+            if before.count() == 0:
+                assert docs.count() == 0
