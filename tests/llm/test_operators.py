@@ -329,6 +329,33 @@ def test_neighbours_tell_junk_on_held_out_rows(spark):
     assert sum(r["predicted"] == r["quality"] for r in out) >= 0.97 * len(out)
 
 
+def plain_vote(text, model):
+    """One text by plain loops: terms counted, projected, every labelled row's cosine sorted, the nearest ones voting."""
+    words = WORD.findall(text or "")
+    counts = Counter()
+    for w in words:
+        counts[zlib.crc32(w.strip(".,;:!?").lower().encode()) % knn_quality.WORDS] += 1
+        counts[knn_quality.WORDS + zlib.crc32(knn_quality.shape_of(w).encode()) % (knn_quality.SHAPES - 1)] += 1
+    if again := sum(a == b for a, b in zip(words, words[1:])):
+        counts[knn_quality.WORDS + knn_quality.SHAPES - 1] = again
+    value = {b: (n / len(words)) ** (0.5 if b < knn_quality.WORDS else 1) for b, n in counts.items()}
+    sizes = [sum(v * v for b, v in value.items() if (b < knn_quality.WORDS) == first) ** 0.5 for first in (True, False)]
+    x = np.zeros(model.projection.shape[1])
+    for b, v in value.items():
+        x += v * (1 / sizes[0] if b < knn_quality.WORDS else model.fit.shape_weight / sizes[1]) * model.projection[b].astype(float)
+    x /= max(1e-12, np.linalg.norm(x))
+    nearest = sorted(((float(x @ v), float(y)) for v, y in zip(model.vectors, model.labels)), reverse=True)[:model.fit.neighbours]
+    weights = [max(c, 0) ** model.fit.sharpness for c, _ in nearest]
+    return (sum(w * y for w, (_, y) in zip(weights, nearest)) + model.fit.doubt * model.mean) / (sum(weights) + model.fit.doubt)
+
+
+def test_votes_equal_plain_loops(spark, real):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = knn_quality.train(real, labels)
+    got = {r["doc_id"]: r["score"] for r in knn_quality.judge(real, labels).collect()}
+    assert len(model.labels) > 40 and all(abs(got[i] - plain_vote(t, model)) < 1e-3 for i, t in collected(real))
+
+
 def test_classifier_on_awkward_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (7, 0, 0), (7, 1, 0), (None, 1, 0), (9, None, 0), (6, 1, 1)], "doc_id bigint, quality int, toxic int")
     out = knn_quality.judge(odd, labels).collect()
