@@ -407,35 +407,27 @@ def searched_text() -> Column:
     return F.concat_ws(" ", "name", "family_name", "size_label", "sku", "composition_class", "composition_line")
 
 
-GRAM = 3
+HEAD, WIDTH = 3, 32  # fixed: letters of a term that pick the places of a text; letters that are looked up as one key
 
 
 def search_terms(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, sku) for a table of ``terms`` (term): the products of ``documents`` whose folded text (see :func:`search`) holds the folded term.
 
-    Posting lists of the three-letter pieces of all texts (and of the shorter pieces at their ends) are read for the two rarest pieces of a term, met with each other,
-    and what is left is compared whole. A term of one or two letters reads the pieces that begin with it. A term that folds to nothing names no product; null terms and
-    texts match nothing; repeated terms count once. ``sku`` is a product's key.
+    A place of a text counts if the one to three letters there are those that some term begins with. There the text's pieces are taken in the lengths that these terms have, and
+    looked up whole among the terms; so the work follows the places and the hits, however many terms begin alike. Of a term of over 32 letters the first 32 are looked
+    up, and what is left is compared whole. A term that folds to nothing names no product; null terms and texts match nothing; repeated terms count once. ``sku`` is a product's key.
     """
     texts = materialize(documents.select("sku", fold(searched_text()).alias("text")).filter("text <> ''"), "folded-texts")
-    grams = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substr("text", i, F.lit(GRAM)))
-    postings = materialize(texts.select("sku", F.explode(F.array_distinct(grams)).alias("gram")), "postings")
-    asked = materialize(terms.select("term").filter("term IS NOT NULL").distinct().withColumn("want", fold("term")).filter("want <> ''"), "terms")
-
-    long = asked.filter(F.length("want") >= GRAM)
-    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("want") - (GRAM - 1)), lambda i: F.substr("want", i, F.lit(GRAM))))
-    sizes = postings.groupBy("gram").agg(F.count("*").alias("m"))
-    listed = long.select("term", "want", F.explode(pieces).alias("gram")).join(sizes, "gram", "left")
-    rarest = listed.groupBy("term", "want").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "gram"))), 1, 2).alias("g"))  # as many as a term has letters
-    picked = rarest.filter(F.col("g")[0]["m"] > 0).select("term", "want", F.size("g").alias("n"), F.explode("g.gram").alias("gram"))
-    met = picked.join(postings, "gram").groupBy("term", "want", "sku").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter("c = n")
-    whole = met.join(texts, "sku").filter(F.contains("text", F.col("want"))).select("term", "sku")
-
-    short = asked.filter(F.length("want") < GRAM).select("term", F.length("want").alias("k"), F.col("want").alias("start"))
-    starts = postings.select("sku", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"), "gram").filter(F.length("gram") >= F.col("k")).select(
-        "sku", "k", F.substr("gram", F.lit(1), F.col("k")).alias("start"))
-    begun = short.join(starts, ["k", "start"]).select("term", "sku").distinct()
-    return whole.unionByName(begun)
+    asked = terms.select("term").filter("term IS NOT NULL").distinct().withColumn("want", fold("term")).filter("want <> ''")
+    asked = materialize(asked.withColumn("key", F.substring("want", 1, WIDTH)), "terms")
+    heads = materialize(asked.select(F.substring("key", 1, HEAD).alias("head"), F.length("key").alias("k")).groupBy("head").agg(F.collect_set("k").alias("ks")), "term-heads")  # at most WIDTH lengths each
+    places = texts.select("sku", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("i"))
+    begins = places.select("sku", "text", "i", F.explode(F.array(*[F.substr("text", "i", F.lit(n)) for n in range(1, HEAD + 1)])).alias("head"))
+    pieces = begins.join(heads, "head").select("sku", F.explode(F.transform("ks", lambda k: F.substr("text", "i", k))).alias("key"))
+    hits = pieces.join(asked, "key").select("term", "want", "sku").distinct()
+    whole = hits.filter(F.length("want") <= WIDTH).select("term", "sku")
+    long = hits.filter(F.length("want") > WIDTH).join(texts, "sku").filter(F.contains("text", F.col("want"))).select("term", "sku")
+    return whole.unionByName(long)
 
 
 def search_groups(hits: DataFrame) -> DataFrame:
