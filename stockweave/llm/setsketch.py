@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stockweave.functions.runtime import materialize
+from stockweave.llm import simhash
 from stockweave.llm.common import released
 from stockweave.llm.components import components
 
@@ -194,8 +195,9 @@ def can_be(regs_a: np.ndarray, regs_b: np.ndarray, na: np.ndarray, nb: np.ndarra
     return (best >= want) | (likelihood(best, na, nb, more, fewer, same, base) - at <= SLACK)
 
 
-def sketches(docs: DataFrame, s: Sketch = Sketch()) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, fp (key of its set), n (size of its set), regs (registers, two bytes each), text_key."""
+def sketches(docs: DataFrame, s: Sketch = Sketch(), prints: bool = False) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, fp (key of its set), n (size of its set), regs (registers, two bytes each), text_key, print (with ``prints`` the
+    SimHash of its set, else null)."""
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -205,10 +207,11 @@ def sketches(docs: DataFrame, s: Sketch = Sketch()) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), part.column("text_key"), pa.array([set_key(x) for x in each], pa.int64()), pa.array([len(x) for x in each], pa.int64()),
-                    pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "text_key", "fp", "n", "regs"])
+                    pa.array([r.tobytes() for r in regs], pa.binary()), pa.array([simhash.print_of_set(x) if prints else None for x in each], pa.int64())],
+                    ["doc_id", "text_key", "fp", "n", "regs", "print"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(lambda b: released(run(b)), f"doc_id {dict(docs.dtypes)['doc_id']}, text_key bigint, fp bigint, n bigint, regs binary")
+    return rows.mapInArrow(lambda b: released(run(b)), f"doc_id {dict(docs.dtypes)['doc_id']}, text_key bigint, fp bigint, n bigint, regs binary, print bigint")
 
 
 def band_keys(s: Sketch, regs: str = "regs") -> Column:
@@ -360,19 +363,31 @@ def across(members: DataFrame, sets: DataFrame, roots: DataFrame, s: Sketch, per
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(each: DataFrame, docs: DataFrame, s: Sketch, percent: int) -> DataFrame:
-    """Links (a, b) between keys of sets of ``each`` (written rows of :func:`sketches`) whose components are those of all similar pairs."""
-    sets = materialize(each.filter("n > 0").groupBy("fp").agg(F.min_by(F.struct("doc_id", "text_key", "n", "regs"), "text_key").alias("r")).select("fp", "r.*"), "sets")
+def links(each: DataFrame, docs: DataFrame, s: Sketch, percent: int, near: int | None = None) -> DataFrame:
+    """Links (a, b) between keys of sets of ``each`` (written rows of :func:`sketches`) whose components are those of all similar pairs.
+
+    With ``near`` the pairs that SimHash's pigeonhole blocks find within so many bits of ``print`` are confirmed first, and bands are asked only for what these leave apart."""
+    sets = materialize(each.filter("n > 0").groupBy("fp").agg(F.min_by(F.struct("doc_id", "text_key", "n", "regs", "print"), "text_key").alias("r")).select("fp", "r.*"), "sets")
     entries = sets.select("fp", F.posexplode(band_keys(s)).alias("band", "k"))
     shared = entries.groupBy("k").agg(F.min("fp").alias("least"), F.count("*").alias("_m")).filter("_m > 1")
     members = materialize(entries.join(shared.select("k", "least"), "k"), "members")
     pairs = materialize(members.filter("fp <> least").groupBy(F.col("fp").alias("b")).agg(F.min("least").alias("a")).select("a", "b"), "pairs")
-    wanted = sets.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", "doc_id", "text_key")
+    of_prints = None if near is None else materialize(simhash.candidates(sets.select("fp", "print"), near), "print-pairs")
+    needed = members.select("fp") if near is None else members.select("fp").unionByName(of_prints.select(F.explode(F.array("a", "b")).alias("fp")))
+    wanted = sets.join(needed.distinct(), "fp", "left_semi").select("fp", "doc_id", "text_key")
     rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), F.col("text").cast("binary").alias("text"))
     texts = rows.join(wanted, (F.col("_key") == F.col("text_key")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("fp", "text")
     texts = materialize(texts.groupBy("fp").agg(F.first("text").alias("text")), "texts")
     members = members.select("k", "band", "fp")
-    tried, found, best = pairs, confirm(pairs, texts, percent), True
+    if near is None:
+        tried, found, best = pairs, confirm(pairs, texts, percent), True
+    else:
+        found = confirm(of_prints, texts, percent)
+        tied = components(found)
+        root = lambda c: tied.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        open_ = pairs.join(of_prints, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+        pairs = materialize(open_.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "pairs")
+        tried, found, best = of_prints.unionByName(pairs), found.unionByName(confirm(pairs, texts, percent)), True
     while True:
         fresh = materialize(across(members, sets, components(found), s, percent, best).join(tried, ["a", "b"], "left_anti"), "pairs")
         more = confirm(fresh, texts, percent)
@@ -382,10 +397,10 @@ def links(each: DataFrame, docs: DataFrame, s: Sketch, percent: int) -> DataFram
         best = 10 * more.count() >= fresh.count() > 0
 
 
-def groups(docs: DataFrame, percent: int, s: Sketch = Sketch()) -> DataFrame:
+def groups(docs: DataFrame, percent: int, s: Sketch = Sketch(), near: int | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, text_key, n (size of its set) and root, the smallest key of a set in its component; empty sets share one."""
-    each = materialize(sketches(docs, s), "sketches")
-    roots = components(links(each, docs, s, percent))
+    each = materialize(sketches(docs, s, near is not None), "sketches")
+    roots = components(links(each, docs, s, percent, near))
     return each.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "text_key", "n", F.coalesce("root", "fp").alias("root"))
 
 
@@ -406,13 +421,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, s: Sketch = Sketch()) ->
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "root")
 
 
-def keep_one(docs: DataFrame, percent: int = 80, s: Sketch = Sketch()) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80, s: Sketch = Sketch(), near: int | None = None) -> DataFrame:
     """The rows of ``docs`` without near copies, with all their columns: of each component one row stays, one with the smallest doc_id, a null id
     only where no other is. Of rows with the same id and text one stays, whichever its other columns are, the same in every run. Texts without words (null, empty) are
-    one component. An empty table gives no rows.
+    one component. An empty table gives no rows. ``near`` as in :func:`links`; the rows don't depend on it.
     """
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")).alias("m")
-    found = groups(docs, percent, s).groupBy("root").agg(least).select("m.doc_id", "m.text_key")
+    found = groups(docs, percent, s, near).groupBy("root").agg(least).select("m.doc_id", "m.text_key")
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"))
     rows = rows.join(found, rows["_id"].eqNullSafe(found["doc_id"]) & (rows["_key"] == found["text_key"]), "left_semi")
     return rows.groupBy("_id", "_key").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row")).select("_row.*")

@@ -36,6 +36,12 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0].astype(np.int64))
 
 
+def print_of_set(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of 64-bit hashes, as a signed integer; zero for the empty set."""
+    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">u8")[0].astype(np.int64))
+
+
 def fp_of(text: str) -> Column:
     """The fingerprint of a text column, by batches."""
     @F.arrow_udf("bigint")
@@ -99,6 +105,16 @@ def links(prints: DataFrame, near: int = 2) -> DataFrame:
     return buckets.mapInArrow(lambda batches: _forests(batches, near), "a bigint, b bigint")
 
 
+def candidates(sets: DataFrame, near: int = 2) -> DataFrame:
+    """Pairs (a, b) of the keys ``fp`` of ``sets`` (fp, print) that tie all sets whose prints are linked: each set with the smallest one of its print, and these along
+    the spanning forest of :func:`links`."""
+    least = materialize(sets.groupBy(F.col("print").alias("fp")).agg(F.min("fp").alias("least")), "prints")
+    own = sets.join(least.withColumnRenamed("fp", "print"), "print").filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    end = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_set"))
+    across = links(least.select("fp"), near).join(end("a"), "a").join(end("b"), "b")
+    return own.unionByName(across.select(F.least("a_set", "b_set").alias("a"), F.greatest("a_set", "b_set").alias("b"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, near: int = 2) -> DataFrame:
     """Per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, fp, component_id (the smallest doc_id that can be reached
     over links of at most ``near`` differing bits, itself included), root (the component itself, as its smallest fingerprint).
