@@ -22,8 +22,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
-    return setsketch.keep_one(docs, percent=80)
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more.
+
+    SimHash fingerprints that differ in at most two bits meet in pigeonhole blocks, and their links are checked exactly. Texts of similarity 0.8 can differ in more
+    bits than blocks can meet; sketches find the links that are left."""
+    return setsketch.keep_one(docs, percent=80, near=2)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
