@@ -1,8 +1,9 @@
 """How much a query reads and makes when its input grows: rows of its steps."""
 
 from conftest import rows
+from test_graph import edges_of, node, nodes_of
 
-from stockweave.operators import catalog as c
+from stockweave.operators import catalog as c, fusion as fu
 
 
 
@@ -31,3 +32,19 @@ def test_terms_that_begin_alike_are_not_met_with_every_text(spark):
     fold = {t: t.replace("-", "") for t in asked if t}
     assert got == sorted(((t, s) for t, w in fold.items() for s, x in texts.items() if w and w in x), key=repr)
     assert most_rows(found) < 200_000  # places of all texts; pairs that share their rarest pieces are over a million
+
+
+def test_scores_gather_only_the_neighbours_of_the_pairs(spark, monkeypatch):
+    """Edges of nodes without a pair are left out before anything is met."""
+    written, write = {}, fu.materialize
+
+    def told(df, label="step"):
+        out = write(df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(fu, "materialize", told)
+    n = nodes_of(spark, node("Pep", "x y"), node("Pep", "x z"))
+    e = edges_of(spark, ("Pep:xy", "R", "t1"), ("Pep:xz", "R", "t1"), *[(f"Pep:u{i}", "R", "t1") for i in range(200)])
+    got = fu.score_pairs(spark.createDataFrame([("Pep:xy", "Pep:xz")], "a string, b string"), n, e).first()
+    assert got["reasons"] == ["token overlap", "shared neighbours"] and written["neighbours"] == 2
