@@ -1,9 +1,9 @@
 """How much a query reads and makes when its input grows: rows of its steps."""
 
 from conftest import rows
-from test_graph import edges_of, node, nodes_of
+from test_graph import ONTO, catalogue, edges_of, node, nodes_of
 
-from stockweave.operators import catalog as c, fusion as fu
+from stockweave.operators import catalog as c, fusion as fu, serve
 
 
 
@@ -48,3 +48,21 @@ def test_scores_gather_only_the_neighbours_of_the_pairs(spark, monkeypatch):
     e = edges_of(spark, ("Pep:xy", "R", "t1"), ("Pep:xz", "R", "t1"), *[(f"Pep:u{i}", "R", "t1") for i in range(200)])
     got = fu.score_pairs(spark.createDataFrame([("Pep:xy", "Pep:xz")], "a string, b string"), n, e).first()
     assert got["reasons"] == ["token overlap", "shared neighbours"] and written["neighbours"] == 2
+
+
+def test_lines_of_bundles_are_made_once_and_large_bundles_are_cut_into_slices(spark, monkeypatch):
+    n, e = catalogue(spark)
+    n, e = n.unionByName(nodes_of(spark, *[node("Pep", f"n{i}") for i in range(30)])), e.unionByName(edges_of(spark, *[("Prod:a", "CONTAINS", f"Pep:n{i}") for i in range(30)] * 2))
+    recipe = ONTO.recipes["page"]
+    ctx = serve.context(n.filter("id IN ('Prod:a', 'Prod:gone')"), n, e, ONTO, recipe, lines=True)
+    told = lambda c, most: serve.context_lines(c, n, e, ONTO, recipe, "page", max_lines=most)
+    whole = told(ctx, 300)
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [seed") == 1
+    plain = rows(whole)
+    assert rows(told(serve.Context(ctx.nodes, ctx.edges, ctx.refused), 300)) == plain and len(plain) == len(set(plain))
+    monkeypatch.setattr(serve, "SLICE_ROWS", 7)
+    assert rows(told(ctx, 300)) == plain
+    for most in (5, 40):
+        full = [r for r in plain if r[1] <= most]
+        omitted = {seed: sum(r[0] == seed for r in plain) - most for seed in ("Prod:a", "Prod:gone")}
+        assert rows(told(ctx, most)) == sorted(full + [(s, most + 1, f"# {m} lines omitted") for s, m in omitted.items() if m > 0], key=repr)
