@@ -6,8 +6,10 @@ corpus add up. Two registers are equal with a probability that grows with the Ja
 
 * Bands of ``rows`` registers are bucket keys. A pair of J = 0.85 shares none of 32 bands of 4 with a probability of 6e-11, of J = 0.8 of 5e-8; no pair is lost
   otherwise. Equal sets are one row before anything is joined.
-* Members of a bucket first meet its smallest one, one pair for each member, and what the check confirms is tied together. Then members of different components are
-  compared by their whole sketches, in cells of two chunks of a bucket: sizes that can't be similar and pairs whose registers are too unlikely under the wanted
+* Members of a bucket first meet its smallest one, one pair for each member, and what the check confirms is tied together. The check also gives how the member differs
+  from the smallest one, its reference: two members of one reference c have |c| - |c \\ x| - |c \\ y| + (differences that both have) shingles in common, so all their pairs are decided
+  by the differences alone, in cells, and of the links of a cell a spanning forest leaves the task. However many texts are alike just below the wanted similarity, none of their pairs is written.
+* Then members of different components and references are compared by their whole sketches, in cells of two chunks of a bucket: sizes that can't be similar and pairs whose registers are too unlikely under the wanted
   similarity go. The likelihood takes both exact sizes and the three counts of larger, smaller and equal registers jointly; a pair is left out where the best J is e^SLACK
   times as likely as the wanted one, which happens to a similar pair with a probability of about 1e-9. Each member first meets the one partner
   that differs from it in the fewest bits; turns go on while a tenth of these pairs are links, and the last turn takes every pair that is left.
@@ -28,6 +30,7 @@ from stockweave.llm.common import released
 from stockweave.llm.components import components
 
 CHUNK = 2048  # members of a chunk of a bucket
+DIFFERENCES = 1 << 20  # of the members of a chunk of a reference
 SLACK = 20.0
 WORDS, SEED = 5, 42
 BLOCK = 1 << 20  # bytes of words that are hashed at a time
@@ -220,8 +223,9 @@ def band_keys(s: Sketch, regs: str = "regs") -> Column:
     return F.array(*[F.xxhash64(F.lit(i), F.substring(regs, 1 + wide * i, wide)) for i in range(s.bands)])
 
 
-def _confirmed(batches, percent: int):
-    """The pairs whose full sets are similar. The pairs of a batch are mostly sorted by one side, so the last few sets are kept."""
+def _confirmed(batches, percent: int, differences: bool = False):
+    """The pairs whose full sets are similar; with ``differences`` all pairs, and how b differs from a where they have half of their shingles in common. The pairs of a
+    batch are mostly sorted by one side, so the last few sets are kept."""
     kept: dict[int, np.ndarray] = {}
 
     def of(key: int, text: bytes) -> np.ndarray:
@@ -233,19 +237,100 @@ def _confirmed(batches, percent: int):
 
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
-            part, ok = batch.slice(lo, 256), []
+            part, ok, told = batch.slice(lo, 256), [], []
             for a, b, x, y in zip(*(part.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
                 x, y = of(a, x), of(b, y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                if differences:
+                    half = 2 * both >= len(x) + len(y) - both
+                    told.append((len(y), len(x), len(x) - both, np.setxor1d(x, y, assume_unique=True).view(np.int64) if half else None))
+            part = part.select(["a", "b"])
+            if not differences:
+                yield part.filter(pa.array(ok, pa.bool_()))
+                continue
+            n, size, lost, diff = zip(*told)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ok, pa.bool_()), *(pa.array(c, pa.int64()) for c in (n, size, lost)), pa.array(diff, pa.list_(pa.int64()))],
+                                             ["a", "b", "linked", "n", "size", "lost", "diff"])
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose ``texts`` (fp, text) have a similarity of ``percent`` in 100 or more, written."""
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int, differences: bool = False) -> DataFrame:
+    """The ``pairs`` (a, b) whose ``texts`` (fp, text) have a similarity of ``percent`` in 100 or more, written; with ``differences`` all pairs with linked, n (size of b), size
+    (that of a), lost (shingles of a that b lacks) and diff (the shingles that one of both has)."""
     side = lambda k, t: texts.select(F.col("fp").alias(k), F.col("text").alias(t))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-    return materialize(both.mapInArrow(lambda rows: released(_confirmed(rows, percent)), "a bigint, b bigint"), "similar")
+    more = ", linked boolean, n bigint, size bigint, lost bigint, diff array<bigint>" if differences else ""
+    return materialize(both.mapInArrow(lambda rows: released(_confirmed(rows, percent, differences)), "a bigint, b bigint" + more), "similar")
+
+
+def _of_reference(batches, percent: int, columns: int = 2048):
+    """Spanning forests of the links between members of a reference, cell by cell: what two members have in common follows from their differences."""
+    for batch in batches:
+        left_ends, right_ends = [], []
+        for row in range(batch.num_rows):
+            size, ci, cj = (batch.column(c)[row].as_py() for c in ("size", "ci", "cj"))
+            ms = batch.column("members")[row].values
+            fp, n, lost, root, chunk = (np.asarray(ms.field(c)).astype(np.int64) for c in ("fp", "n", "lost", "root", "chunk"))
+            diff = ms.field("diff")
+            counts = np.asarray(diff.value_lengths()).astype(np.int64)
+            tokens, held = np.asarray(diff.flatten()), np.repeat(np.arange(len(fp)), counts)
+            left = np.flatnonzero(chunk == ci)
+            right = left if ci == cj else np.flatnonzero(chunk == cj)
+            at = np.full(len(fp), -1)
+            at[left] = np.arange(len(left))
+            other = at if ci == cj else np.full(len(fp), -1)
+            other[right] = np.arange(len(right))
+            _, token, times = np.unique(tokens, return_inverse=True, return_counts=True)
+            shared = np.flatnonzero(times > 1)
+            place = np.full(len(times), -1)
+            place[shared] = np.arange(len(shared))
+            token, held = place[token], held[place[token] >= 0] if len(token) else held
+            token = token[token >= 0]
+            order = np.argsort(token, kind="stable")
+            token, held = token[order], held[order]
+            common = np.zeros((len(left), len(right)), np.float32)
+            for lo in range(0, len(shared), columns):  # counts of shared differences as products of matrices
+                some = slice(*np.searchsorted(token, [lo, lo + columns]))
+                sides = []
+                for where, m in ((at, len(left)), (other, len(right))):
+                    bits = np.zeros((m, columns), np.float32)
+                    mine = where[held[some]] >= 0
+                    bits[where[held[some]][mine], token[some][mine] - lo] = 1
+                    sides.append(bits)
+                common += sides[0] @ sides[1].T
+            both = common.astype(np.int64) + (size - lost[left][:, None] - lost[right][None, :])
+            linked = (100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)) & (root[left][:, None] != root[right][None, :])
+            i, j = np.nonzero(linked)
+            label = simhash.smallest(len(fp), left[i], right[j])
+            moved = np.flatnonzero(label != np.arange(len(fp)))
+            left_ends.append(fp[label[moved]])
+            right_ends.append(fp[moved])
+        if left_ends:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left_ends), pa.int64()), pa.array(np.concatenate(right_ends), pa.int64())], ["a", "b"])
+
+
+def of_reference(compared: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that tie all similar sets of one reference, from the differences of ``compared`` (see :func:`confirm`); those of one component of ``roots`` are tied already.
+
+    As in :func:`across` a reference's largest component is no partner of itself; chunks hold at most about ``DIFFERENCES`` differences."""
+    rows = compared.filter("diff IS NOT NULL").join(roots, F.col("b") == F.col("node"), "left")
+    rows = materialize(rows.select(F.col("a").alias("ref"), F.col("b").alias("fp"), "n", "size", "lost", "diff", F.coalesce("root", "b").alias("root")), "differences")
+    sizes = rows.groupBy("ref", "root").agg(F.count("*").alias("m"), F.sum(F.size("diff")).alias("d")).groupBy("ref").agg(
+        F.max(F.struct("m", "root", "d")).alias("top"), F.sum("m").alias("m"), F.sum("d").alias("d"))
+    up = lambda m, d: F.greatest(F.ceil(m / CHUNK), F.ceil(d / DIFFERENCES)).cast("int")
+    sizes = sizes.filter("m > top.m").select("ref", F.col("top.root").alias("_top"), up(F.col("m") - F.col("top.m"), F.col("d") - F.col("top.d")).alias("few"), up(F.col("top.m"), F.col("top.d")).alias("many"))
+    cells = _meeting(rows.join(sizes, "ref"), F.col("root") == F.col("_top"))
+    cells = cells.groupBy("ref", "size", "ci", "cj").agg(F.collect_list(F.struct("fp", "n", "lost", "root", "chunk", "diff")).alias("members"))
+    cells = cells.filter(F.size(F.array_distinct("members.root")) > 1).drop("ref")
+    return cells.mapInArrow(lambda b: released(_of_reference(b, percent)), "a bigint, b bigint")
+
+
+def _meeting(rows: DataFrame, own: Column) -> DataFrame:
+    """``rows`` once for each cell (ci, cj) that their chunk is part of: ``few`` chunks meet all others, the ``many`` of the largest class (``own``) only those."""
+    code = F.xxhash64("fp")
+    return (rows.withColumn("chunk", F.when(own, F.col("few") + F.pmod(code, F.col("many"))).otherwise(F.pmod(code, F.col("few"))).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(own, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))))
+            .withColumns({"ci": F.least("chunk", "other"), "cj": F.greatest("chunk", "other")}))
 
 
 def tail(n: int, p: float, slack: float = SLACK) -> int:
@@ -289,7 +374,7 @@ def _across(batches, percent: int, s: Sketch, best: bool, block: int = 1 << 18,
     for batch in batches:
         lists = batch.column("members")
         ms, sizes = lists.flatten(), np.asarray(lists.value_lengths()).astype(np.int64)
-        ids, n, root, chunk = (np.asarray(ms.field(c)).astype(np.int64) for c in ("fp", "n", "root", "chunk"))
+        ids, n, root, chunk, ref = (np.asarray(ms.field(c)).astype(np.int64) for c in ("fp", "n", "root", "chunk", "ref"))
         regs = np.frombuffer(b"".join(ms.field("regs").to_pylist()), "<u2").reshape(len(ids), -1)
         bits = np.packbits(regs & 1 == 1, axis=1)
         bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.uint64)
@@ -308,7 +393,7 @@ def _across(batches, percent: int, s: Sketch, best: bool, block: int = 1 << 18,
                 large.append((left, right))
         found = [(np.zeros(0, np.int64),) * 3]
         for i, j in _pairs_inside(sizes[few], begins[few], large, block):
-            ok = (root[i] != root[j]) & ((ci[cell[i]] == cj[cell[i]]) | (chunk[i] != chunk[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            ok = (root[i] != root[j]) & (ref[i] != ref[j]) & ((ci[cell[i]] == cj[cell[i]]) | (chunk[i] != chunk[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j = i[ok], j[ok]
             apart = sum(np.bitwise_count(bits[i, w] ^ bits[j, w]).astype(np.int64) for w in range(bits.shape[1]))
             ok = np.flatnonzero(apart <= most_bits)
@@ -343,20 +428,21 @@ def likely(x, y, apart, regs, n, percent: int, s: Sketch, most_unequal: int) ->
 
 
 def across(members: DataFrame, sets: DataFrame, roots: DataFrame, s: Sketch, percent: int, best: bool) -> DataFrame:
-    """Different pairs (a, b) of sets that share a bucket of ``members`` (k, band, fp), lie in different components of ``roots`` (node, root) and can be similar.
-
-    The members of a bucket's largest component are no partners of each other: chunks of the others meet all chunks, its own chunks meet only those of the others."""
-    tied = materialize(members.join(roots, F.col("fp") == F.col("node"), "left").select("k", "band", "fp", F.coalesce("root", "fp").alias("root")), "tied")
-    sizes = tied.groupBy("k", "root").agg(F.count("*").alias("m")).groupBy("k").agg(F.max(F.struct("m", "root")).alias("top"), (F.sum("m") - F.max("m")).alias("others"))
+    """Different pairs (a, b) of sets that share a bucket of ``members`` (k, band, fp, ref), lie in different components of ``roots`` (node, root), differ in ``ref`` and can be similar.
+
+    The members of a bucket's largest class, of one component or one ref, are no partners of each other: chunks of the others meet all chunks, its own chunks meet only
+    those of the others."""
+    tied = members.join(roots, F.col("fp") == F.col("node"), "left").select("k", "band", "fp", "ref", F.coalesce("root", "fp").alias("root"))
+    tied = materialize(tied, "tied")
+    classes = tied.select("k", F.explode(F.array(F.struct(F.lit(False).alias("by_ref"), F.col("root").alias("is")), F.struct(F.lit(True).alias("by_ref"), F.col("ref").alias("is")))).alias("c"))
+    sizes = classes.groupBy("k", "c").agg(F.count("*").alias("m")).groupBy("k").agg(F.max(F.struct("m", "c")).alias("top"), (F.sum("m") / 2).cast("bigint").alias("m"))
     up = lambda c: F.ceil(c / CHUNK).cast("int")
-    sizes = sizes.filter("others > 0").select("k", F.col("top.root").alias("_top"), up(F.col("others")).alias("few"), up(F.col("top.m")).alias("many"))
-    own, code = F.col("root") == F.col("_top"), F.xxhash64("fp")
-    cells = (tied.join(sizes, "k").withColumn("chunk", F.when(own, F.col("few") + F.pmod(code, F.col("many"))).otherwise(F.pmod(code, F.col("few"))).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(own, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))))
-             .select("k", "band", "fp", "root", "chunk", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj")))
+    sizes = sizes.filter("m > top.m").select("k", F.col("top.c").alias("_top"), up(F.col("m") - F.col("top.m")).alias("few"), up(F.col("top.m")).alias("many"))
+    cells = _meeting(tied.join(sizes, "k"), F.when(F.col("_top.by_ref"), F.col("ref")).otherwise(F.col("root")) == F.col("_top.is"))
+    cells = cells.select("k", "band", "fp", "root", "ref", "chunk", "ci", "cj")
     rows = cells.join(sets.select("fp", "n", "regs"), "fp")
-    buckets = rows.groupBy("k", "band", "ci", "cj").agg(F.collect_list(F.struct("fp", "n", "root", "chunk", "regs")).alias("members"))
-    buckets = buckets.filter(F.size(F.array_distinct("members.root")) > 1).drop("k")
+    buckets = rows.groupBy("k", "band", "ci", "cj").agg(F.collect_list(F.struct("fp", "n", "root", "ref", "chunk", "regs")).alias("members"))
+    buckets = buckets.filter((F.size(F.array_distinct("members.root")) > 1) & (F.size(F.array_distinct("members.ref")) > 1)).drop("k")
     pairs = buckets.mapInArrow(lambda b: released(_across(b, percent, s, best)), "a bigint, b bigint, apart bigint")
     if best:
         pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
@@ -366,7 +452,7 @@ def across(members: DataFrame, sets: DataFrame, roots: DataFrame, s: Sketch, per
 def links(each: DataFrame, docs: DataFrame, s: Sketch, percent: int, near: int | None = None) -> DataFrame:
     """Links (a, b) between keys of sets of ``each`` (written rows of :func:`sketches`) whose components are those of all similar pairs.
 
-    With ``near`` the pairs that SimHash's pigeonhole blocks find within so many bits of ``print`` are confirmed first, and bands are asked only for what these leave apart."""
+    With ``near`` the pairs that SimHash's pigeonhole blocks find within so many bits of ``print`` are confirmed too, and bands are asked for what these and the references leave apart."""
     sets = materialize(each.filter("n > 0").groupBy("fp").agg(F.min_by(F.struct("doc_id", "text_key", "n", "regs", "print"), "text_key").alias("r")).select("fp", "r.*"), "sets")
     entries = sets.select("fp", F.posexplode(band_keys(s)).alias("band", "k"))
     shared = entries.groupBy("k").agg(F.min("fp").alias("least"), F.count("*").alias("_m")).filter("_m > 1")
@@ -378,16 +464,13 @@ def links(each: DataFrame, docs: DataFrame, s: Sketch, percent: int, near: int |
     rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), F.col("text").cast("binary").alias("text"))
     texts = rows.join(wanted, (F.col("_key") == F.col("text_key")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("fp", "text")
     texts = materialize(texts.groupBy("fp").agg(F.first("text").alias("text")), "texts")
-    members = members.select("k", "band", "fp")
-    if near is None:
-        tried, found, best = pairs, confirm(pairs, texts, percent), True
-    else:
-        found = confirm(of_prints, texts, percent)
-        tied = components(found)
-        root = lambda c: tied.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-        open_ = pairs.join(of_prints, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-        pairs = materialize(open_.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "pairs")
-        tried, found, best = of_prints.unionByName(pairs), found.unionByName(confirm(pairs, texts, percent)), True
+    compared = confirm(pairs, texts, percent, differences=True)
+    tried, found, best = pairs, compared.filter("linked").select("a", "b"), True
+    if near is not None:
+        tried, found = tried.unionByName(of_prints), confirm(of_prints, texts, percent).unionByName(found)
+    found = found.unionByName(materialize(of_reference(compared, components(found), percent), "similar"))
+    refs = compared.filter("diff IS NOT NULL").select(F.col("b").alias("fp"), F.col("a").alias("ref"))
+    members = members.join(refs, "fp", "left").select("k", "band", "fp", F.coalesce("ref", "fp").alias("ref"))
     while True:
         fresh = materialize(across(members, sets, components(found), s, percent, best).join(tried, ["a", "b"], "left_anti"), "pairs")
         more = confirm(fresh, texts, percent)

@@ -65,14 +65,18 @@ def forest(members: np.ndarray, near: int, cells: int = 1 << 22) -> np.ndarray:
     n = len(members)
     block = max(1, cells // n)
     bits = members.view(np.uint64)
-    label = np.arange(n)
     pairs = []
     for s in range(0, n, block):  # rows in blocks; only the links are kept
         apart = np.bitwise_count(bits[s:s + block, None] ^ bits[None, s:]) <= near
         i, j = np.nonzero(apart)
         keep = i < j
         pairs.append(np.stack([i[keep] + s, j[keep] + s]))
-    a, b = np.concatenate(pairs, axis=1)
+    return members[smallest(n, *np.concatenate(pairs, axis=1))]
+
+
+def smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the smallest one that it reaches over links (a, b)."""
+    label = np.arange(n)
     while len(a):
         low = np.minimum(label[a], label[b])
         before = label.copy()
@@ -81,7 +85,7 @@ def forest(members: np.ndarray, near: int, cells: int = 1 << 22) -> np.ndarray:
         label = label[label]
         if (label == before).all():
             break
-    return members[label]
+    return label
 
 
 def _forests(batches, near: int):

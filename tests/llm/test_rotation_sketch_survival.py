@@ -108,6 +108,30 @@ def test_every_similar_pair_is_linked(spark, odd, real, monkeypatch, percent):
         assert rows(out.drop("root")) == sorted(plain_components(collected(df), percent), key=repr)
 
 
+def test_pairs_just_below_the_similarity_are_decided_without_being_written(spark, monkeypatch):
+    """150 texts with four words of one text changed: pairs are 0.76 alike, but for those that change the same places."""
+    written, write = {}, setsketch.materialize
+
+    def told(df, label="step"):
+        out = write(df, label)
+        written.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(setsketch, "materialize", told)
+    monkeypatch.setattr(setsketch, "CHUNK", 40)
+    rng = random.Random(11)
+    base, texts = [f"w{i}" for i in range(300)], []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(300), 4) if i % 10 else (50, 120, 190, 260):
+            words[at] = f"x{rng.randrange(10 ** 6)}"
+        texts.append(" ".join(words))
+    df = docs_of(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    want = sorted(plain_components(list(enumerate(texts)), 85), key=repr)
+    assert rows(setsketch.near_duplicates(df).drop("root")) == want and 20 < sum(r[3] for r in want) < 150
+    assert sum(written["pairs"]) < 600  # one for each text and turn; all pairs are 11,175
+
+
 def test_ids_that_repeat_or_are_missing_do_not_join_components(spark):
     texts = [" ".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=60)) for k in range(4)]
     df = docs_of(spark, [(None, texts[0], "en", "a"), (None, texts[1], "en", "a"), (7, texts[2], "en", "a"), (7, texts[3], "en", "a"), (9, texts[3], "en", "a"), (5, " \n", "en", "a"), (6, None, "en", "a")])
