@@ -53,14 +53,26 @@ def sort_suffixes(places: np.ndarray, words: np.ndarray, stops: np.ndarray, dept
     return places
 
 
-def suffix_array(rows: np.ndarray, depth: int) -> np.ndarray:
-    """All places of the flattened ``rows`` in the order of their suffixes, exact to ``depth`` bytes and more."""
+def asked_for(direct: np.ndarray, starts: int) -> np.ndarray:
+    """Of each row the places before ``starts``, and the ones after them that a suffix there is induced from: up to the first that is sorted in stage one."""
+    out = np.zeros(direct.shape, bool)
+    out[:, :starts] = True
+    for i in range(max(starts, 1), direct.shape[1]):
+        out[:, i] = out[:, i - 1] & ~direct[:, i - 1]
+    return out
+
+
+def suffix_array(rows: np.ndarray, depth: int, starts: int | None = None) -> np.ndarray:
+    """Places of the flattened ``rows`` in the order of their suffixes, exact to ``depth`` bytes and more: all, or those before ``starts`` in their rows and
+    what they are induced from."""
     n, width = rows.shape
     flat = np.ascontiguousarray(rows).reshape(-1)
     size = n * width
-    direct = smaller_than_next(rows).reshape(-1)
+    direct = smaller_than_next(rows)
+    wanted = asked_for(direct, width if starts is None else starts).reshape(-1)
+    direct = direct.reshape(-1)
     stops = (np.arange(size, dtype=np.int64) // max(width, 1) + 1) * width
-    chosen = sort_suffixes(np.nonzero(direct)[0], words_at(flat), stops, depth)
+    chosen = sort_suffixes(np.nonzero(direct & wanted)[0], words_at(flat), stops, depth)
     cuts = np.searchsorted(flat[chosen], np.arange(257))
     fronts: list[list[np.ndarray]] = [[] for _ in range(256)]
 
@@ -74,7 +86,8 @@ def suffix_array(rows: np.ndarray, depth: int) -> np.ndarray:
         for c in np.unique(letters).tolist():
             fronts[c].append(sources[order[ends[c]:ends[c + 1]]])
 
-    pass_on(np.arange(width - 1, size, width))  # the ends of the rows come first of all
+    ends = np.arange(width - 1, size, width)
+    pass_on(ends[wanted[ends]])  # the ends of the rows come first of all
     out = []
     for c in range(256):
         front, turn = [], np.concatenate(fronts[c]) if fronts[c] else np.zeros(0, np.int64)

@@ -80,12 +80,12 @@ def grams(data: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarra
 
 
 class Page:
-    """A page's documents and its grams, the same each time it is read."""
+    """A page's documents and its grams, which were chosen when it was written."""
 
-    def __init__(self, blob: bytes, ids: np.ndarray, lengths: np.ndarray):
+    def __init__(self, blob: bytes, ids: np.ndarray, lengths: np.ndarray, gaps: bytes):
         self.data = np.frombuffer(unsqueeze(blob), np.uint8)
         self.ids, self.ends = ids, np.cumsum(lengths)
-        self.places = grams(self.data, self.ends)
+        self.places = np.cumsum(np.frombuffer(unsqueeze(gaps), "<u4"), dtype=np.int64)
         four = self.data[self.places[:, None] + np.arange(GRAM)].view("<u8") if len(self.places) else np.zeros((0, 4), np.uint64)
         h = mix(four[:, 0], 3)
         for k in (1, 2, 3):
@@ -133,18 +133,21 @@ class Page:
 
 
 def _pages(batches):
-    """Rows (page, ids, lengths, size, blob): about PAGE bytes of documents, compressed; a longer document is a page by itself."""
+    """Rows (page, ids, lengths, size, blob, gaps): about PAGE bytes of documents, compressed, and the places of their grams, each as its distance from the one
+    before; a longer document is a page by itself."""
     from pyspark import TaskContext
 
     task, number = TaskContext.get().partitionId(), 0
-    names = ["page", "ids", "lengths", "size", "blob"]
+    names = ["page", "ids", "lengths", "size", "blob", "gaps"]
 
     def page(ids, texts):
         joined = b"".join(texts)
+        places = grams(np.frombuffer(joined, np.uint8), np.cumsum([len(t) for t in texts]))
         return pa.RecordBatch.from_arrays([
             pa.array([(task << 32) + number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, pa.int64())),
             pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([len(joined)], pa.int64()),
-            pa.array([squeeze(joined, 6)], pa.binary())], names)
+            pa.array([squeeze(joined, 6)], pa.binary()),
+            pa.array([squeeze(np.diff(places, prepend=0).astype("<u4").tobytes())], pa.binary())], names)
 
     ids, texts, held = [], [], 0
     for batch in batches:
@@ -163,7 +166,7 @@ def _pages(batches):
 def _page(batch, row: int) -> Page:
     get = lambda name: batch.column(name)[row]
     ids = np.array([NO_ID if i is None else i for i in get("ids").as_py()], np.int64)
-    return Page(get("blob").as_py(), ids, np.asarray(get("lengths").values, np.int64))
+    return Page(get("blob").as_py(), ids, np.asarray(get("lengths").values, np.int64), get("gaps").as_py())
 
 
 def _rows(page: int, parts, names):
@@ -232,7 +235,7 @@ def first_ids(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray)
     least = np.full(len(heads), np.iinfo(np.int64).max)
     np.minimum.at(least, which, ids)
     each = np.ascontiguousarray(rows[heads])
-    ranked = suffix_array(each, LENGTH)
+    ranked = suffix_array(each, LENGTH, STEP)
     row, start = ranked // AROUND, ranked % AROUND
     ok = (start < STEP) & (start >= lo[heads][row]) & (start + LENGTH <= hi[heads][row])
     ranked, row, start = ranked[ok], row[ok], start[ok]
@@ -301,7 +304,7 @@ def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
     """
     spark = docs.sparkSession
     pages = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-                        .mapInArrow(_pages, "page long, ids array<long>, lengths array<long>, size long, blob binary"), "pages")
+                        .mapInArrow(_pages, "page long, ids array<long>, lengths array<long>, size long, blob binary, gaps binary"), "pages")
     size = pages.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
     deal = lambda df: df.repartition(n, "bucket").groupBy("bucket")

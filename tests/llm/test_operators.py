@@ -300,6 +300,25 @@ def test_suffix_array_orders_suffixes():
         assert all(a <= b for a, b in zip(found, found[1:]))
 
 
+def test_suffixes_of_the_first_places_alone_have_the_same_order():
+    rng = random.Random(6)
+    for alphabet in (b"ab", bytes(range(1, 256)), b"a"):
+        data = np.array([[rng.choice(alphabet) for _ in range(68)] for _ in range(50)], np.uint8)
+        data[30:40] = data[:10]
+        whole, part = suffix_array(data, 68), suffix_array(data, 68, 19)
+        assert np.isin(np.nonzero(np.arange(50 * 68) % 68 < 19)[0], part).all() and (alphabet == b"a" or len(part) < 25 * 50)
+        assert part.tolist() == whole[np.isin(whole, part)].tolist()
+
+
+def test_grams_are_chosen_once_for_a_page(monkeypatch):
+    calls, choose = [], suffix_dedup.grams
+    monkeypatch.setattr(suffix_dedup, "grams", lambda data, ends: calls.append(len(data)) or choose(data, ends))
+    data, ends = np.frombuffer(b"the same words, again and again " * 40, np.uint8), np.array([300, 1280])
+    gaps = suffix_dedup.squeeze(np.diff(choose(data, ends), prepend=0).astype("<u4").tobytes())
+    page = suffix_dedup.Page(suffix_dedup.squeeze(data.tobytes()), np.array([1, 2]), np.array([300, 980]), gaps)
+    assert page.places.tolist() == choose(data, ends).tolist() and not calls
+
+
 def test_suffix_dedup_equals_brute_force(spark, real, odd):
     rng = random.Random(2)
     passages = ["".join(rng.choices("abcdefgh \n", k=rng.randint(40, 140))) for _ in range(12)]
