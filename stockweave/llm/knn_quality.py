@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from stockweave.llm.common import give_back
+
 WORDS, SHAPES = 4096, 1024  # buckets of hashed words and shapes
 CACHED_WORDS = 400_000  # words a worker keeps the buckets of; then it starts anew, which changes no result
 
@@ -121,18 +123,33 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     chosen = (labels.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit.fit_rows))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    found = rows.mapInArrow(lambda b: _bags(b, fit.shape_weight), "id string, quality int, at array<int>, value array<float>").dropDuplicates(["id"]).collect()
-    found.sort(key=lambda r: r["id"])  # rows of one id count once, so the bound holds
-    matrix = np.zeros((len(found), WORDS + SHAPES), np.float32)
-    for i, r in enumerate(found):
-        matrix[i, r["at"]] = r["value"]
-    y = np.array([r["quality"] for r in found], np.float32)
-    if not len(found):
+    found = rows.mapInArrow(lambda b: _bags(b, fit.shape_weight), "id string, quality int, at array<int>, value array<float>").dropDuplicates(["id"]).toArrow()
+    model = _fitted(found.sort_by("id").combine_chunks(), fit)  # rows of one id count once, so the bound holds
+    del found
+    give_back()
+    return model
+
+
+def _filled(found: pa.Table) -> np.ndarray:
+    """The bags of ``found`` (at, value) as rows."""
+    matrix = np.zeros((found.num_rows, WORDS + SHAPES), np.float32)
+    for i, (at, value) in enumerate(zip(found.column("at"), found.column("value"))):
+        matrix[i, at.values.to_numpy()] = value.values.to_numpy()
+    return matrix
+
+
+def _fitted(found: pa.Table, fit: Fit) -> Model:
+    """The model of labelled bags (id, quality, at, value). Only one matrix of all of them stands in memory at a time."""
+    y = found.column("quality").to_numpy().astype(np.float32)
+    if not len(y):
         return Model(np.zeros((WORDS + SHAPES, 1), np.float32), np.zeros((0, 1), np.float32), y, 0.5, fit)
-    rare = np.log((1 + len(found)) / (1 + (matrix > 0).sum(axis=0))).astype(np.float32)
+    matrix = _filled(found)
+    rare = np.log((1 + len(y)) / (1 + np.count_nonzero(matrix, axis=0))).astype(np.float32)
     rare[WORDS:] = 1
-    projection = rare[:, None] * latent(matrix * rare, fit.dims)
-    return Model(projection, unit(matrix @ projection), y, float(y.mean()), fit)
+    matrix *= rare
+    projection = rare[:, None] * latent(matrix, fit.dims)
+    del matrix
+    return Model(projection, unit(_filled(found) @ projection), y, float(y.mean()), fit)
 
 
 def scores(texts: list[str | None], model: Model, cache: dict, block: int = 256) -> np.ndarray:

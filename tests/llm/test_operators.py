@@ -348,6 +348,29 @@ def test_neighbours_tell_junk_on_held_out_rows(spark):
     assert sum(r["predicted"] == r["quality"] for r in out) >= 0.97 * len(out)
 
 
+def test_fitting_holds_one_matrix_of_the_bags_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    n, width = 2000, knn_quality.WORDS + knn_quality.SHAPES
+    at = [np.sort(rng.choice(width, 40, replace=False)).astype(np.int32) for _ in range(n)]
+    found = pa.table({"id": [str(i) for i in range(n)], "quality": pa.array([i % 2 for i in range(n)], pa.int32()), "at": pa.array(at, pa.list_(pa.int32())),
+                      "value": pa.array([rng.random(40, np.float32) + 0.1 for _ in range(n)], pa.list_(pa.float32()))})
+    tracemalloc.start()
+    model = knn_quality._fitted(found, knn_quality.Fit())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.7 * n * width * 4
+    whole = np.zeros((n, width), np.float32)
+    for i, a in enumerate(at):
+        whole[i, a] = found.column("value")[i].as_py()
+    rare = np.log((1 + n) / (1 + (whole > 0).sum(axis=0))).astype(np.float32)
+    rare[knn_quality.WORDS:] = 1
+    assert (model.projection == rare[:, None] * knn_quality.latent(whole * rare, model.fit.dims)).all() and (model.vectors == knn_quality.unit(whole @ model.projection)).all()
+
+
 def plain_vote(text, model):
     """One text by plain loops: terms counted, projected, every labelled row's cosine sorted, the nearest ones voting."""
     words = WORD.findall(text or "")
