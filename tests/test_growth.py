@@ -66,3 +66,23 @@ def test_lines_of_bundles_are_made_once_and_large_bundles_are_cut_into_slices(sp
         full = [r for r in plain if r[1] <= most]
         omitted = {seed: sum(r[0] == seed for r in plain) - most for seed in ("Prod:a", "Prod:gone")}
         assert rows(told(ctx, most)) == sorted(full + [(s, most + 1, f"# {m} lines omitted") for s, m in omitted.items() if m > 0], key=repr)
+
+
+def test_paths_pair_only_kinds_that_are_linked(spark, monkeypatch):
+    """Twenty orders of a customer never touch twenty suppliers of a part; only the nation's side is probed."""
+    from stockweave.operators import paths
+    links = [("N:1", "HAS", "C:1"), ("N:1", "HAS", "S:0")]
+    links += [(f"O:{i}", "BY", "C:1") for i in range(20)] + [("P:1", "FROM", f"S:{i}") for i in range(20)]
+    links += [(f"O:{i}", "HOLDS", f"L:{i} {j}") for i in range(20) for j in range(30)]
+    sizes, write = [], paths.materialize
+
+    def counted(df, label="step"):
+        out = write(df, label)
+        if label == "path-ends":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(paths, "materialize", counted)
+    found = paths.shortest_paths(spark.createDataFrame([("C:1", "P:1")], "a string, b string"), spark.createDataFrame(links, "src string, rel string, dst string")).collect()
+    assert [(r["hops"], [s["node"] for s in r["path"]]) for r in found] == [(3, ["N:1", "S:0", "P:1"])]
+    assert max(sizes) <= 40, sizes
