@@ -1,12 +1,13 @@
 """Incremental pull of paid orders into the ledger, and running stock over a ledger stream.
 
-The pull is one query with two keyed states. By order: its lines and its status, so that a line that waits for its payment is sold when the payment comes, and
+The pull is one query with two keyed states. By order: its lines and its status in one value, so that a line that waits for its payment is sold when the payment comes, and
 a refund takes back what still waits. By sku: the lots with what is left of them, the lines that wait for a lot, and the orders already served. A batch reads
 the keys of its own rows; waiting lines are looked at when a lot of their sku arrives, since no line that waits fits before that.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import heapq
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
@@ -18,37 +19,39 @@ from stockweave.operators import allocate, ledger as lg
 from stockweave.streaming import state
 
 LEDGER = ["event_id", "lot_id", "kind", "quantity", "occurred_on", "reference"]
-STOCK_ROW = "kind string, sku string, order_id string, quantity bigint, created_at timestamp, lot_id string, expires_on date"
-SALE_ROW = "order_id string, sku string, lot_id string, part int, quantity bigint, created_at timestamp, reference string"
+STOCK_ROW = "kind string, sku string, order_id string, quantity bigint, created bigint, lot_id string, expires_on date"
+SALE_ROW = "order_id string, sku string, lot_id string, part int, quantity bigint, created bigint, reference string"
+LOTS = "array<struct<lot_id:string,units:bigint,expires_day:int>>"
 
 
 class OrderLines(StatefulProcessor):
-    """By order: its lines, and its status by the latest word. Lines go to their sku while the order is paid, and are called back when it no longer is.
+    """By order: its status by the latest word, and its lines, in one value that a batch reads and writes once. Lines go to their sku while the order is paid, and
+    are called back when it no longer is.
 
     A line brings the status it was written with; a row without a sku is a later word about the order. Among rows of equal ``at`` words come after lines."""
 
     def init(self, handle) -> None:
-        self.status = handle.getValueState("status", "status string, at bigint")
-        self.lines = handle.getMapState("lines", "sku string", "quantity bigint, created_at timestamp")
+        self.order = handle.getValueState("order", "status string, at bigint, lines array<struct<sku:string,quantity:bigint,created:bigint>>")
 
     def handleInputRows(self, key, rows, timer):
-        held = self.status.get()
-        status, at = held if held is not None else (None, None)
-        was, fresh = status, {}
+        held = self.order.get()
+        status, at, kept = held if held is not None else (None, None, [])
+        kept = [(x["sku"], x["quantity"], x["created"]) for x in kept]
+        known, was, before, fresh = {x[0] for x in kept}, status, at, []
         for r in sorted(rows, key=lambda r: (r.at, r.sku is None)):
-            if r.sku is not None and r.sku not in fresh and not self.lines.containsKey((r.sku,)):
-                fresh[r.sku] = (r.quantity, r.created_at)
-                self.lines.updateValue((r.sku,), fresh[r.sku])
+            if r.sku is not None and r.sku not in known:
+                known.add(r.sku)
+                fresh.append((r.sku, r.quantity, r.created))
             if r.status is not None and (at is None or r.at >= at):
                 status, at = r.status, r.at
-        if at is not None:
-            self.status.update((status, at))
-        if (status == "paid") != (was == "paid"):
-            told = [((sku,), value) for (sku,), value in self.lines.iterator()]
-        else:
-            told = [((sku,), value) for sku, value in fresh.items()] if status == "paid" else []
-        for (sku,), (quantity, created_at) in told:
-            yield Row(kind="line" if status == "paid" else "cancel", sku=sku, order_id=key[0], quantity=quantity, created_at=created_at, lot_id=None, expires_on=None)
+        if fresh or (status, at) != (was, before):
+            self.order.update((status, at, kept + fresh))
+        if status == "paid":
+            told = fresh if was == "paid" else kept + fresh
+        else:  # lines of this batch were never told
+            told = kept if was == "paid" else []
+        for sku, quantity, created in told:
+            yield Row(kind="line" if status == "paid" else "cancel", sku=sku, order_id=key[0], quantity=quantity, created=created, lot_id=None, expires_on=None)
 
     def close(self) -> None:
         pass
@@ -58,76 +61,81 @@ class SkuStock(StatefulProcessor):
     """By sku: first-expiry-first sale of whole lines, in order of (created_at, order) among the lines that can be decided in a batch.
 
     A line is served whole or waits, and a waiting line takes nothing from later, smaller ones. A line that was sold is never sold again, and a cancelled one that was
-    sold stays so."""
+    sold stays so: ``sold`` holds the lines recorded before the stream and, since a line comes again only after it was cancelled, those cancelled after their sale.
+    Lots that arrive are appended; the lots are read, and written back, only in a batch that sells."""
 
     def init(self, handle) -> None:
-        self.stock = handle.getValueState("stock", "units bigint")
-        self.lots = handle.getMapState("lots", "lot_id string", "units bigint, expires_on date")
-        self.waiting = handle.getMapState("waiting", "order_id string", "quantity bigint, created_at timestamp")
+        self.stock = handle.getValueState("stock", "units bigint, marked boolean")
+        self.lots = handle.getListState("lots", "lot_id string, units bigint, expires_day int")
+        self.waiting = handle.getMapState("waiting", "order_id string", "quantity bigint, created bigint")
         self.sold = handle.getMapState("sold", "order_id string", "quantity bigint")
 
     def handleInitialState(self, key, known, timer) -> None:
+        units, marked = self.stock.get() or (0, False)
         if known.kind == "sold":
-            self.sold.updateValue((known.order_id,), (known.quantity,))
+            self.sold.updateValue((known.order_id,), (0,))
+            if not marked:
+                self.stock.update((units, True))
         else:
-            self.receive(known)
-
-    def units(self) -> int:
-        held = self.stock.get()
-        return held[0] if held is not None else 0
-
-    def receive(self, lot) -> None:
-        before = self.lots.getValue((lot.lot_id,)) if self.lots.containsKey((lot.lot_id,)) else (0, None)
-        self.lots.updateValue((lot.lot_id,), (before[0] + lot.quantity, lot.expires_on))
-        self.stock.update((self.units() + lot.quantity,))
+            lots = [(lot["lot_id"], lot["units"], lot["expires_day"]) for lot in known.lots]
+            self.lots.appendList(lots)
+            self.stock.update((units + sum(n for _, n, _ in lots), marked))
 
     def handleInputRows(self, key, rows, timer):
-        lines, cancelled, received = {}, set(), False
+        lines, cancelled, received = {}, set(), []
         for r in rows:
             if r.kind == "lot":
                 if r.quantity and r.quantity > 0:
-                    self.receive(r)
-                    received = True
+                    received.append((r.lot_id, r.quantity, r.expires_on.toordinal() if r.expires_on else None))
             elif r.kind == "cancel":
                 cancelled.add(r.order_id)
             else:
-                lines[r.order_id] = (r.quantity, r.created_at)
+                lines[r.order_id] = (r.quantity, r.created)
+        units, marked = before = tuple(self.stock.get() or (0, False))
         for order in cancelled:
             if self.waiting.containsKey((order,)):
                 self.waiting.removeKey((order,))
-        lines = {o: v for o, v in lines.items() if not self.sold.containsKey((o,))}
-        left = self.units()
+            else:
+                self.sold.updateValue((order,), (0,))
+                marked = True
+        if marked:
+            lines = {o: v for o, v in lines.items() if not self.sold.containsKey((o,))}
+        left = units + sum(lot[1] for lot in received)
         open_ = dict(lines)
         if received:
-            open_.update({order: (quantity, created_at) for (order,), (quantity, created_at) in self.waiting.iterator()})
-        lots, units = None, left
-        for order, (quantity, created_at) in sorted(open_.items(), key=lambda x: (x[1][1] is not None, x[1][1] or 0, x[0])):
+            open_.update({order: (quantity, created) for (order,), (quantity, created) in self.waiting.iterator()})
+        lots = None
+        for order, (quantity, created) in sorted(open_.items(), key=lambda x: (x[1][1] is not None, x[1][1] or 0, x[0])):
             if quantity is None or quantity > left:
                 if order in lines:
-                    self.waiting.updateValue((order,), (quantity, created_at))
+                    self.waiting.updateValue((order,), (quantity, created))
                 continue
             if lots is None:
-                lots = [(expires is None, expires, lot, n) for (lot,), (n, expires) in self.lots.iterator()]
-                lots = [(missing, expires.toordinal() if expires else 0, lot, n) for missing, expires, lot, n in lots]
+                lots = {}
+                for lot, n, day in [*self.lots.get(), *received]:  # a lot that comes again adds its units, and its last date holds
+                    lots[lot] = (n + lots[lot][0] if lot in lots else n, day)
+                lots = [(day is None, day or 0, lot, n) for lot, (n, day) in lots.items()]
                 heapq.heapify(lots)
             need, part = quantity, 0
             while need > 0:
-                missing, expires, lot, n = heapq.heappop(lots)
+                missing, day, lot, n = heapq.heappop(lots)
                 take = min(need, n)
                 reference = f"order {order} {key[0]}" + (f" lot {lot}" if part else "")
-                yield Row(order_id=order, sku=key[0], lot_id=lot, part=part, quantity=take, created_at=created_at, reference=reference)
+                yield Row(order_id=order, sku=key[0], lot_id=lot, part=part, quantity=take, created=created, reference=reference)
                 need, part = need - take, part + 1
                 if take < n:
-                    heapq.heappush(lots, (missing, expires, lot, n - take))
-                    self.lots.updateValue((lot,), (n - take, self.lots.getValue((lot,))[1]))
-                else:
-                    self.lots.removeKey((lot,))
+                    heapq.heappush(lots, (missing, day, lot, n - take))
             left -= max(quantity, 0)
-            self.sold.updateValue((order,), (quantity,))
             if order not in lines:
                 self.waiting.removeKey((order,))
-        if left != units:
-            self.stock.update((left,))
+        if lots is not None and not lots:
+            self.lots.clear()
+        elif lots is not None:
+            self.lots.put([(lot, n, None if missing else day) for missing, day, lot, n in lots])
+        elif received:
+            self.lots.appendList(received)
+        if (left, marked) != before:
+            self.stock.update((left, marked))
 
     def close(self) -> None:
         pass
@@ -145,23 +153,26 @@ def start_pull(lines: DataFrame, folder: str, lots: DataFrame | None = None, wor
     spark = lines.sparkSession
     state.use_rocks(spark)
     none = lambda kind: F.lit(None).cast(kind)
-    rows = lines.select("order_id", "sku", F.col("quantity").cast("bigint").alias("quantity"), "status", F.col("created_at").cast("timestamp").alias("created_at"),
+    rows = lines.select("order_id", "sku", F.col("quantity").cast("bigint").alias("quantity"), "status", F.unix_micros(F.col("created_at").cast("timestamp")).alias("created"),
                         F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(0)).alias("at"))
     if words is not None:
-        rows = rows.unionByName(words.select("order_id", none("string").alias("sku"), none("bigint").alias("quantity"), "status", none("timestamp").alias("created_at"),
+        rows = rows.unionByName(words.select("order_id", none("string").alias("sku"), none("bigint").alias("quantity"), "status", none("bigint").alias("created"),
                                              F.unix_micros(F.col("at").cast("timestamp")).alias("at")))
     stock = rows.groupBy("order_id").transformWithState(OrderLines(), STOCK_ROW, "append", "none")
     as_lot = lambda df: df.select(F.lit("lot").alias("kind"), "sku", none("string").alias("order_id"), F.floor("units").cast("bigint").alias("quantity"),
-                                  none("timestamp").alias("created_at"), "lot_id", F.col("expires_on").cast("date").alias("expires_on"))
-    known = spark.createDataFrame([], STOCK_ROW)
-    if opening is not None:
-        known = known.unionByName(as_lot(opening.filter("units >= 1")))
+                                  none("bigint").alias("created"), "lot_id", F.col("expires_on").cast("date").alias("expires_on"))
+    known = spark.createDataFrame([], f"kind string, sku string, order_id string, lots {LOTS}")
+    if opening is not None:  # a sale holds all lots of its sku, too
+        day = (F.datediff(F.col("expires_on").cast("date"), F.lit("1970-01-01").cast("date")) + dt.date(1970, 1, 1).toordinal()).alias("expires_day")
+        lot = F.struct("lot_id", F.floor("units").cast("bigint").alias("units"), day)
+        known = known.unionByName(opening.filter("units >= 1").groupBy("sku").agg(F.collect_list(lot).cast(LOTS).alias("lots")).select(
+            F.lit("lot").alias("kind"), "sku", none("string").alias("order_id"), "lots"))
     if recorded is not None:
-        known = known.unionByName(recorded.select(F.lit("sold").alias("kind"), "sku", "order_id", F.lit(0).cast("bigint").alias("quantity"),
-                                                  none("timestamp").alias("created_at"), none("string").alias("lot_id"), none("date").alias("expires_on")))
+        known = known.unionByName(recorded.select(F.lit("sold").alias("kind"), "sku", "order_id", none(LOTS).alias("lots")))
     if lots is not None:
         stock = stock.unionByName(as_lot(lots))
     sales = stock.groupBy("sku").transformWithState(SkuStock(), SALE_ROW, "append", "none", known.groupBy("sku"))
+    sales = sales.withColumn("created_at", F.timestamp_micros("created")).drop("created")
     return state.start(sales.withColumn("pulled_at", F.current_timestamp()), f"{folder}/sales", f"{folder}/_progress", trigger)
 
 
@@ -177,14 +188,13 @@ def read_sales(spark: SparkSession, folder: str, ledger: DataFrame | None = None
 
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Every line of the stream with its order's status after the last batch."""
-    progress = f"{folder}/_progress"
-    lines = state.read_variable(spark, progress, 1, "lines").select("key.order_id", "user_map_key.sku", "user_map_value.quantity", "user_map_value.created_at")
-    return lines.join(state.read_variable(spark, progress, 1, "status").select("key.order_id", "value.status"), "order_id", "left")
+    orders = state.read_variable(spark, f"{folder}/_progress", 1, "order").select("key.order_id", "value.status", F.explode("value.lines").alias("l"))
+    return orders.select("order_id", "l.sku", "l.quantity", F.timestamp_micros("l.created").alias("created_at"), "status")
 
 
 def read_waiting(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that wait for a lot: sku, order_id, quantity, created_at."""
-    return state.read_variable(spark, f"{folder}/_progress", 0, "waiting").select("key.sku", "user_map_key.order_id", "user_map_value.quantity", "user_map_value.created_at")
+    return state.read_variable(spark, f"{folder}/_progress", 0, "waiting").select("key.sku", "user_map_key.order_id", "user_map_value.quantity", F.timestamp_micros("user_map_value.created").alias("created_at"))
 
 
 def read_marked(spark: SparkSession, folder: str, recorded: DataFrame | None = None) -> DataFrame:

@@ -3,7 +3,7 @@ import json
 
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from stockweave.operators import allocate as al
 from stockweave.sources.chunks import chunk_text
@@ -184,6 +184,49 @@ def test_a_stock_that_waits_is_not_read_again(spark, tmp_path):
     assert p.spark.read.parquet(f"{p.folder}/sales").count() == 0 and pull.read_waiting(spark, p.folder).count() == 30
 
 
+def test_pull_reads_and_writes_state_once_for_a_key():
+    """An order of many lines, and a sku of many lots and lines, cost a few calls of the state, not some for each."""
+    calls = []
+
+    class State:
+        def __init__(self, held=None):
+            self.held = held
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                return {"containsKey": False, "iterator": iter([])}.get(name, self.held)
+            return call
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        def getMapState(self, *_):
+            return State()
+
+        def getListState(self, *_):
+            return State([])
+
+    order, sku = pull.OrderLines(), pull.SkuStock()
+    order.init(Handle()), sku.init(Handle())
+    row = lambda **more: Row(**{"at": 0, "status": "paid", "created": 0, "created_at": AT, **more})
+    told = list(order.handleInputRows(("A",), iter([row(sku=f"s{i}", quantity=1) for i in range(50)]), None))
+    assert len(told) == 50 and len(calls) <= 4
+    calls.clear()
+    lots = [row(kind="lot", lot_id=f"l{i}", quantity=1, expires_on=None, order_id=None) for i in range(50)]
+    sales = list(sku.handleInputRows(("s",), iter([*lots, *[row(kind="line", order_id=f"o{i}", quantity=1) for i in range(50)]]), None))
+    assert len(sales) == 50 and len(calls) <= 8
+
+
+def test_a_line_cancelled_after_its_sale_is_not_sold_again(spark, tmp_path):
+    p = Pull(spark, tmp_path, opening=[("lx", "X", 9.0, None)])
+    p.batch(lines=[("A", "X", 3, "paid", AT), ("B", "X", 1, "paid", AT)], words=[("B", "refunded", AT + dt.timedelta(1))])
+    p.batch(words=[("A", "refunded", AT + dt.timedelta(1))])
+    p.batch(words=[("A", "paid", AT + dt.timedelta(2)), ("B", "paid", AT + dt.timedelta(2))])
+    assert p.sales() == [("IE-0001", "lx", 3.0, "order A X"), ("IE-0002", "lx", 1.0, "order B X")]
+
+
 def test_running_stock_over_several_batches(spark, tmp_path):
     source = str(tmp_path / "in")
     for b in ([("l", "received", 5.0), ("m", "sold", 1.0)], [("l", "sold", 2.0)]):
