@@ -1,14 +1,15 @@
 """Incremental pull of paid orders into the ledger, and running stock over a ledger stream.
 
-The pull is one query with two keyed states. By order: its lines and its status in one value, so that a line that waits for its payment is sold when the payment comes, and
-a refund takes back what still waits. By sku: the lots with what is left of them, the lines that wait for a lot, and the orders already served. A batch reads
-the keys of its own rows; waiting lines are looked at when a lot of their sku arrives, since no line that waits fits before that.
+The pull is one query with two keyed states. Of an order: its lines and its status in one element, so that a line that waits for its payment is sold when the payment comes, and
+a refund takes back what still waits. Of a sku: the lots with what is left of them, the lines that wait for a lot, and the orders already served. A batch reads
+the buckets (:func:`state.bucket`) of its own rows; waiting lines are looked at when a lot of their sku arrives, since no line that waits fits before that.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import heapq
+import json
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -21,121 +22,167 @@ from stockweave.streaming import state
 LEDGER = ["event_id", "lot_id", "kind", "quantity", "occurred_on", "reference"]
 STOCK_ROW = "kind string, sku string, order_id string, quantity bigint, created bigint, lot_id string, expires_on date"
 SALE_ROW = "order_id string, sku string, lot_id string, part int, quantity bigint, created bigint, reference string"
-LOTS = "array<struct<lot_id:string,units:bigint,expires_day:int>>"
+LOTS = "array<struct<sku:string,lot_id:string,units:bigint,expires_day:int>>"
+PAIRS = "array<struct<sku:string,order_id:string>>"
+STOCKED = Row("kind", "sku", "order_id", "quantity", "created", "lot_id", "expires_on")
+SALE = Row("order_id", "sku", "lot_id", "part", "quantity", "created", "reference")
+
+
+def _apart(rows, name: str, key) -> dict:
+    """The rows of a bucket by their ``name``; rows that don't carry it are those of the key itself."""
+    rows, out = list(rows), {}
+    named = bool(rows) and name in rows[0]
+    for r in rows:
+        out.setdefault(r[name] if named else key[0], []).append(r)
+    return out
 
 
 class OrderLines(StatefulProcessor):
-    """By order: its status by the latest word, and its lines, in one value that a batch reads and writes once. Lines go to their sku while the order is paid, and
-    are called back when it no longer is.
+    """By bucket of orders: an order's status by the latest word, and its lines, one element of a list that a batch reads and writes once. Lines go to their sku while
+    the order is paid, and are called back when it no longer is. Lines are kept as JSON text, [[sku, quantity, created], ...].
 
     A line brings the status it was written with; a row without a sku is a later word about the order. Among rows of equal ``at`` words come after lines."""
 
     def init(self, handle) -> None:
-        self.order = handle.getValueState("order", "status string, at bigint, lines array<struct<sku:string,quantity:bigint,created:bigint>>")
+        self.order = handle.getListState("order", "order_id string, status string, at bigint, lines string")
 
     def handleInputRows(self, key, rows, timer):
-        held = self.order.get()
-        status, at, kept = held if held is not None else (None, None, [])
-        kept = [(x["sku"], x["quantity"], x["created"]) for x in kept]
-        known, was, before, fresh = {x[0] for x in kept}, status, at, []
-        for r in sorted(rows, key=lambda r: (r.at, r.sku is None)):
-            if r.sku is not None and r.sku not in known:
-                known.add(r.sku)
-                fresh.append((r.sku, r.quantity, r.created))
-            if r.status is not None and (at is None or r.at >= at):
-                status, at = r.status, r.at
-        if fresh or (status, at) != (was, before):
-            self.order.update((status, at, kept + fresh))
-        if status == "paid":
-            told = fresh if was == "paid" else kept + fresh
-        else:  # lines of this batch were never told
-            told = kept if was == "paid" else []
-        for sku, quantity, created in told:
-            yield Row(kind="line" if status == "paid" else "cancel", sku=sku, order_id=key[0], quantity=quantity, created=created, lot_id=None, expires_on=None)
+        held, changed, new = {x[0]: tuple(x) for x in self.order.get()}, False, []
+        for order, told_now in _apart(rows, "order_id", key).items():
+            known = held.get(order)
+            _, status, at, lines = known or (order, None, None, "[]")
+            kept = [tuple(x) for x in json.loads(lines)]
+            skus, was, before, fresh = {x[0] for x in kept}, status, at, []
+            for r in sorted(told_now, key=lambda r: (r.at, r.sku is None)):
+                if r.sku is not None and r.sku not in skus:
+                    skus.add(r.sku)
+                    fresh.append((r.sku, r.quantity, r.created))
+                if r.status is not None and (at is None or r.at >= at):
+                    status, at = r.status, r.at
+            if known is None:
+                new.append((order, status, at, json.dumps(fresh)))
+            elif fresh or (status, at) != (was, before):
+                held[order], changed = (order, status, at, json.dumps(kept + fresh)), True
+            if status == "paid":
+                told = fresh if was == "paid" else kept + fresh
+            else:  # lines of this batch were never told
+                told = kept if was == "paid" else []
+            kind = "line" if status == "paid" else "cancel"
+            for sku, quantity, created in told:
+                yield STOCKED(kind, sku, order, quantity, created, None, None)
+        if changed:
+            self.order.put([*held.values(), *new])
+        elif new:
+            self.order.appendList(new)
 
     def close(self) -> None:
         pass
 
 
 class SkuStock(StatefulProcessor):
-    """By sku: first-expiry-first sale of whole lines, in order of (created_at, order) among the lines that can be decided in a batch.
+    """By bucket of skus: first-expiry-first sale of whole lines of each sku, in order of (created_at, order) among the lines that can be decided in a batch.
 
     A line is served whole or waits, and a waiting line takes nothing from later, smaller ones. A line that was sold is never sold again, and a cancelled one that was
     sold stays so: ``sold`` holds the lines recorded before the stream and, since a line comes again only after it was cancelled, those cancelled after their sale.
-    Lots that arrive are appended; the lots are read, and written back, only in a batch that sells."""
+    Lots that arrive are appended, one element for a sku with its lots as JSON text, [[lot, units, day], ...]; the lots are read, and written back, only in a batch that
+    has lines to decide and that sells."""
 
     def init(self, handle) -> None:
-        self.stock = handle.getValueState("stock", "units bigint, marked boolean")
-        self.lots = handle.getListState("lots", "lot_id string, units bigint, expires_day int")
-        self.waiting = handle.getMapState("waiting", "order_id string", "quantity bigint, created bigint")
-        self.sold = handle.getMapState("sold", "order_id string", "quantity bigint")
+        self.lots = handle.getListState("lots", "sku string, lots string")
+        self.waiting = handle.getListState("waiting", "sku string, order_id string, quantity bigint, created bigint")
+        self.sold = handle.getListState("sold", "sku string, order_id string")
 
     def handleInitialState(self, key, known, timer) -> None:
-        units, marked = self.stock.get() or (0, False)
-        if known.kind == "sold":
-            self.sold.updateValue((known.order_id,), (0,))
-            if not marked:
-                self.stock.update((units, True))
-        else:
-            lots = [(lot["lot_id"], lot["units"], lot["expires_day"]) for lot in known.lots]
-            self.lots.appendList(lots)
-            self.stock.update((units + sum(n for _, n, _ in lots), marked))
+        if known.sold:
+            self.sold.appendList([(x["sku"], x["order_id"]) for x in known.sold])
+        by_sku = {}
+        for x in known.lots or ():
+            by_sku.setdefault(x["sku"], []).append((x["lot_id"], x["units"], x["expires_day"]))
+        if by_sku:
+            self.lots.appendList([(sku, json.dumps(lots)) for sku, lots in by_sku.items()])
+
+    def _waits(self) -> dict:
+        waits = {}
+        for sku, order, quantity, created in self.waiting.get():
+            waits.setdefault(sku, {})[order] = (quantity, created)
+        return waits
 
     def handleInputRows(self, key, rows, timer):
-        lines, cancelled, received = {}, set(), []
-        for r in rows:
-            if r.kind == "lot":
-                if r.quantity and r.quantity > 0:
-                    received.append((r.lot_id, r.quantity, r.expires_on.toordinal() if r.expires_on else None))
-            elif r.kind == "cancel":
-                cancelled.add(r.order_id)
-            else:
-                lines[r.order_id] = (r.quantity, r.created)
-        units, marked = before = tuple(self.stock.get() or (0, False))
-        for order in cancelled:
-            if self.waiting.containsKey((order,)):
-                self.waiting.removeKey((order,))
-            else:
-                self.sold.updateValue((order,), (0,))
-                marked = True
-        if marked:
-            lines = {o: v for o, v in lines.items() if not self.sold.containsKey((o,))}
-        left = units + sum(lot[1] for lot in received)
-        open_ = dict(lines)
-        if received:
-            open_.update({order: (quantity, created) for (order,), (quantity, created) in self.waiting.iterator()})
-        lots = None
-        for order, (quantity, created) in sorted(open_.items(), key=lambda x: (x[1][1] is not None, x[1][1] or 0, x[0])):
-            if quantity is None or quantity > left:
-                if order in lines:
-                    self.waiting.updateValue((order,), (quantity, created))
-                continue
-            if lots is None:
-                lots = {}
-                for lot, n, day in [*self.lots.get(), *received]:  # a lot that comes again adds its units, and its last date holds
-                    lots[lot] = (n + lots[lot][0] if lot in lots else n, day)
-                lots = [(day is None, day or 0, lot, n) for lot, (n, day) in lots.items()]
-                heapq.heapify(lots)
-            need, part = quantity, 0
-            while need > 0:
-                missing, day, lot, n = heapq.heappop(lots)
-                take = min(need, n)
-                reference = f"order {order} {key[0]}" + (f" lot {lot}" if part else "")
-                yield Row(order_id=order, sku=key[0], lot_id=lot, part=part, quantity=take, created=created, reference=reference)
-                need, part = need - take, part + 1
-                if take < n:
-                    heapq.heappush(lots, (missing, day, lot, n - take))
-            left -= max(quantity, 0)
-            if order not in lines:
-                self.waiting.removeKey((order,))
-        if lots is not None and not lots:
-            self.lots.clear()
-        elif lots is not None:
-            self.lots.put([(lot, n, None if missing else day) for missing, day, lot, n in lots])
-        elif received:
-            self.lots.appendList(received)
-        if (left, marked) != before:
-            self.stock.update((left, marked))
+        lines, cancelled, received = {}, {}, {}
+        for sku, told in _apart(rows, "sku", key).items():
+            for r in told:
+                if r.kind == "lot":
+                    if r.quantity and r.quantity > 0:
+                        received.setdefault(sku, []).append((r.lot_id, r.quantity, r.expires_on.toordinal() if r.expires_on else None))
+                elif r.kind == "cancel":
+                    cancelled.setdefault(sku, set()).add(r.order_id)
+                else:
+                    lines.setdefault(sku, {})[r.order_id] = (r.quantity, r.created)
+        waits = self._waits() if received or cancelled else None  # None: not read
+        taken_back = False
+        sold = set(self.sold.get()) if lines else set()
+        marks = []
+        for sku, orders in cancelled.items():
+            for order in orders:
+                if waits.get(sku, {}).pop(order, None) is not None:
+                    taken_back = True
+                elif (sku, order) not in sold:
+                    marks.append((sku, order))
+        if marks:
+            self.sold.appendList(marks)
+            sold.update(marks)
+        open_ = {sku: left for sku, orders in lines.items() if (left := {o: v for o, v in orders.items() if (sku, o) not in sold})}
+        for sku in received:
+            if waits.get(sku):
+                open_[sku] = {**open_.get(sku, {}), **waits[sku]}
+        held, sells, later = {}, False, []
+        if open_:
+            for sku, text in self.lots.get():
+                held.setdefault(sku, []).append(text)
+        for sku, orders in open_.items():
+            lots = {}
+            for lot, n, day in [*(x for text in held.get(sku, ()) for x in json.loads(text)), *received.get(sku, ())]:  # a lot that comes again adds its units, and its last date holds
+                lots[lot] = (n + lots[lot][0] if lot in lots else n, day)
+            left, was_waiting = sum(n for n, _ in lots.values()), (waits or {}).get(sku, {})
+            lots, sells_here = [(day is None, day or 0, lot, n) for lot, (n, day) in lots.items()], False
+            heapq.heapify(lots)
+            for order, (quantity, created) in sorted(orders.items(), key=lambda x: (x[1][1] is not None, x[1][1] or 0, x[0])):
+                if quantity is None or quantity > left:
+                    if order not in was_waiting:
+                        later.append((sku, order, quantity, created))
+                    continue
+                need, part = quantity, 0
+                while need > 0:
+                    missing, day, lot, n = heapq.heappop(lots)
+                    take = min(need, n)
+                    reference = f"order {order} {sku}" + (f" lot {lot}" if part else "")
+                    yield SALE(order, sku, lot, part, take, created, reference)
+                    need, part, sells_here = need - take, part + 1, True
+                    if take < n:
+                        heapq.heappush(lots, (missing, day, lot, n - take))
+                left -= max(quantity, 0)
+                if was_waiting.pop(order, None) is not None:
+                    taken_back = True
+            if sells_here:
+                sells = True
+                received.pop(sku, None)
+                held[sku] = [json.dumps([(lot, n, None if missing else day) for missing, day, lot, n in lots])] if lots else []
+        arrived = [(sku, json.dumps(lots)) for sku, lots in received.items()]
+        if sells:
+            self._write(self.lots, [(sku, text) for sku, texts in held.items() for text in texts] + arrived)
+        elif arrived:
+            self.lots.appendList(arrived)
+        if taken_back:
+            self._write(self.waiting, [(sku, order, *v) for sku, orders in waits.items() for order, v in orders.items()] + later)
+        elif later:
+            self.waiting.appendList(later)
+
+    @staticmethod
+    def _write(state, rows) -> None:
+        if rows:
+            state.put(rows)
+        else:
+            state.clear()
 
     def close(self) -> None:
         pass
@@ -158,20 +205,21 @@ def start_pull(lines: DataFrame, folder: str, lots: DataFrame | None = None, wor
     if words is not None:
         rows = rows.unionByName(words.select("order_id", none("string").alias("sku"), none("bigint").alias("quantity"), "status", none("bigint").alias("created"),
                                              F.unix_micros(F.col("at").cast("timestamp")).alias("at")))
-    stock = rows.groupBy("order_id").transformWithState(OrderLines(), STOCK_ROW, "append", "none")
+    stock = rows.withColumn("bucket", state.bucket("order_id")).groupBy("bucket").transformWithState(OrderLines(), STOCK_ROW, "append", "none")
     as_lot = lambda df: df.select(F.lit("lot").alias("kind"), "sku", none("string").alias("order_id"), F.floor("units").cast("bigint").alias("quantity"),
                                   none("bigint").alias("created"), "lot_id", F.col("expires_on").cast("date").alias("expires_on"))
-    known = spark.createDataFrame([], f"kind string, sku string, order_id string, lots {LOTS}")
-    if opening is not None:  # a sale holds all lots of its sku, too
+    known = spark.createDataFrame([], f"bucket int, lots {LOTS}, sold {PAIRS}")
+    if opening is not None:  # a sale holds all lots of its bucket, too
         day = (F.datediff(F.col("expires_on").cast("date"), F.lit("1970-01-01").cast("date")) + dt.date(1970, 1, 1).toordinal()).alias("expires_day")
-        lot = F.struct("lot_id", F.floor("units").cast("bigint").alias("units"), day)
-        known = known.unionByName(opening.filter("units >= 1").groupBy("sku").agg(F.collect_list(lot).cast(LOTS).alias("lots")).select(
-            F.lit("lot").alias("kind"), "sku", none("string").alias("order_id"), "lots"))
+        lot = F.struct("sku", "lot_id", F.floor("units").cast("bigint").alias("units"), day)
+        known = known.unionByName(opening.filter("units >= 1").groupBy(state.bucket("sku").alias("bucket")).agg(F.collect_list(lot).cast(LOTS).alias("lots")).withColumn("sold", none(PAIRS)))
     if recorded is not None:
-        known = known.unionByName(recorded.select(F.lit("sold").alias("kind"), "sku", "order_id", none(LOTS).alias("lots")))
+        pairs = recorded.groupBy(state.bucket("sku").alias("bucket")).agg(F.collect_list(F.struct("sku", "order_id")).cast(PAIRS).alias("sold"))
+        known = known.unionByName(pairs.select("bucket", none(LOTS).alias("lots"), "sold"))
     if lots is not None:
         stock = stock.unionByName(as_lot(lots))
-    sales = stock.groupBy("sku").transformWithState(SkuStock(), SALE_ROW, "append", "none", known.groupBy("sku"))
+    stock = stock.withColumn("bucket", state.bucket("sku"))
+    sales = stock.groupBy("bucket").transformWithState(SkuStock(), SALE_ROW, "append", "none", known.groupBy("bucket"))
     sales = sales.withColumn("created_at", F.timestamp_micros("created")).drop("created")
     return state.start(sales.withColumn("pulled_at", F.current_timestamp()), f"{folder}/sales", f"{folder}/_progress", trigger)
 
@@ -188,13 +236,14 @@ def read_sales(spark: SparkSession, folder: str, ledger: DataFrame | None = None
 
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Every line of the stream with its order's status after the last batch."""
-    orders = state.read_variable(spark, f"{folder}/_progress", 1, "order").select("key.order_id", "value.status", F.explode("value.lines").alias("l"))
-    return orders.select("order_id", "l.sku", "l.quantity", F.timestamp_micros("l.created").alias("created_at"), "status")
+    orders = state.read_variable(spark, f"{folder}/_progress", 1, "order").select("list_element.*")
+    orders = orders.select("order_id", "status", F.explode(F.from_json("lines", "array<array<string>>")).alias("l"))
+    return orders.select("order_id", F.col("l")[0].alias("sku"), F.col("l")[1].cast("bigint").alias("quantity"), F.timestamp_micros(F.col("l")[2].cast("bigint")).alias("created_at"), "status")
 
 
 def read_waiting(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that wait for a lot: sku, order_id, quantity, created_at."""
-    return state.read_variable(spark, f"{folder}/_progress", 0, "waiting").select("key.sku", "user_map_key.order_id", "user_map_value.quantity", F.timestamp_micros("user_map_value.created").alias("created_at"))
+    return state.read_variable(spark, f"{folder}/_progress", 0, "waiting").select("list_element.sku", "list_element.order_id", "list_element.quantity", F.timestamp_micros("list_element.created").alias("created_at"))
 
 
 def read_marked(spark: SparkSession, folder: str, recorded: DataFrame | None = None) -> DataFrame:

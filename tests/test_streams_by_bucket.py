@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import Row
 
-from stockweave.streaming import payments as pm
+from stockweave.streaming import payments as pm, pull
 
 
 class State:
@@ -24,6 +24,10 @@ class State:
         self.calls.append("put")
         self.held = list(rows)
 
+    def clear(self):
+        self.calls.append("clear")
+        self.held = []
+
 
 class Handle:
     def __init__(self):
@@ -65,3 +69,28 @@ def test_the_earliest_row_of_a_batch_stands_for_its_event():
     parts = [batch([{"event_id": "b", "arrival": 4}, {"event_id": "a", "arrival": 9}]), batch([]), batch([{"event_id": "a", "arrival": 2}, {"event_id": "a", "arrival": None}])]
     assert [r for b in pm._earliest(iter(parts)) for r in b.to_pylist()] == [{"event_id": "a", "arrival": 2}, {"event_id": "b", "arrival": 4}]
     assert [r for b in pm._earliest(iter([])) for r in b.to_pylist()] == []
+
+
+def test_many_lines_of_a_bucket_cost_few_calls_and_stay_apart():
+    handle, orders = Handle(), pull.OrderLines()
+    orders.init(handle)
+    line = lambda i, sku, status, at=0: Row(order_id=f"o{i}", sku=sku, quantity=1, created=at, status=status, at=at)
+    out = list(orders.handleInputRows((7,), iter([line(i, sku, "pending" if i == 3 else "paid") for i in range(50) for sku in "ab"]), None))
+    assert len(out) == 98 and {r.kind for r in out} == {"line"} and handle.calls == ["get", "appendList"]
+    handle.calls.clear()
+    out = list(orders.handleInputRows((7,), iter([line(3, None, "paid", 5), line(4, None, "refunded", 5), line(5, "c", "paid")]), None))
+    assert sorted((r.kind, r.order_id, r.sku) for r in out) == [("cancel", "o4", "a"), ("cancel", "o4", "b"), ("line", "o3", "a"), ("line", "o3", "b"), ("line", "o5", "c")]
+    assert handle.calls == ["get", "put"] and len(handle.states["order"].held) == 50
+
+
+def test_many_skus_of_a_bucket_cost_few_calls_and_stay_apart():
+    handle, stock = Handle(), pull.SkuStock()
+    stock.init(handle)
+    row = lambda kind, sku, order=None, n=1, lot=None: Row(kind=kind, sku=sku, order_id=order, quantity=n, created=0, lot_id=lot, expires_on=None)
+    out = list(stock.handleInputRows((7,), iter([row("lot", f"s{i}", n=2, lot=f"l{i}") for i in range(50)] + [row("line", f"s{i}", "A", 1 + i % 3) for i in range(50)]), None))
+    assert sorted(r.sku for r in out) == sorted(f"s{i}" for i in range(50) if i % 3 < 2) and all(r.lot_id == "l" + r.sku[1:] for r in out) and len(handle.calls) <= 5
+    handle.calls.clear()
+    out = list(stock.handleInputRows((7,), iter([row("lot", "s2", n=1, lot="more"), row("cancel", "s5", "A"), row("cancel", "s0", "A")]), None))
+    assert [(r.sku, r.lot_id, r.part, r.quantity) for r in out] == [("s2", "l2", 0, 2), ("s2", "more", 1, 1)] and len(handle.calls) <= 5
+    assert handle.states["sold"].held == [("s0", "A")] and not {"s2", "s5"} & {x[0] for x in handle.states["waiting"].held}
+    assert list(stock.handleInputRows((7,), iter([row("line", "s0", "A"), row("line", "s5", "A", 3)]), None)) == []  # sold before; too many
