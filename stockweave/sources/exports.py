@@ -14,10 +14,10 @@ def graph_rows(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Two folders of JSON lines, ``nodes`` and ``edges``, in listing order across files."""
+    """Two folders of JSON lines, ``nodes`` and ``edges``, in listing order across files, packed by gzip: as plain text they take several times the disk of all the rest."""
     n, e = graph_rows(nodes, edges)
-    n.write.json(f"{path}/nodes")
-    e.write.json(f"{path}/edges")
+    n.write.option("compression", "gzip").json(f"{path}/nodes")
+    e.write.option("compression", "gzip").json(f"{path}/edges")
 
 
 def triples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
